@@ -60,8 +60,45 @@ def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~F.coalesce(held_out(), F.lit(False))), "doc_id", "text", "lang")
+    out = identify(docs, model)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .chat import format_conversations, read_conversations
+
+    vocabulary, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = read_conversations(format_conversations(turns, vocabulary, pattern), vocabulary, pattern)
+    each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(each, "").cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiff import digests, read_media, store_texts
+
+    return digests(read_media(store_texts(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_resharding, op6_piece_bpe, op8_packing, op10_rans_ids)}
+    found = (op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resharding import reshard
 
@@ -97,7 +103,7 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids)
+    found = (op1_hyperminhash, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids)
     return {f.__name__: f for f in found}
 
 

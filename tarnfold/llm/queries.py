@@ -20,6 +20,12 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dups import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resharding import reshard
 
@@ -103,7 +109,7 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_hyperminhash, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids)
+    found = (op1_hyperminhash, op3_rotation_codes, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids)
     return {f.__name__: f for f in found}
 
 

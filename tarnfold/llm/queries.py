@@ -20,6 +20,12 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dups import near_vectors
 
@@ -109,7 +115,7 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_hyperminhash, op3_rotation_codes, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids)
+    found = (op1_hyperminhash, op2_suffix_repeats, op3_rotation_codes, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids)
     return {f.__name__: f for f in found}
 
 

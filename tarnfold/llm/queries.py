@@ -23,7 +23,7 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,15 +247,16 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most: int) -> DataFr
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 32, most: int = 4096, keep: bool = False) -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept_sha256, kept`` for every row; ``kept`` holds the bytes left.
+    """``key, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
-    With ``keep`` all columns of ``docs`` come first (those of the result's names replaced). A null or
+    With ``keep`` all columns of ``docs`` come first (those of the result's names replaced), and
+    ``kept`` holds the bytes left, ``kept_text`` the whole characters left. A null or
     short text loses nothing. Rows are told apart by key and text: rows that repeat both count as
     occurrences of each other. Null keys are a value like any other; an empty table gives no rows.
     """
     from pyspark.sql import types as T
 
-    names = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"}
+    names = {"n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"}
     fields = [f for f in docs.schema.fields if (f.name not in names if keep else f.name == key)]
     packed = F.struct(*[docs[f.name] for f in fields]).alias("row")
     d = F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63)))
@@ -264,13 +265,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rows = docs.select(d.alias("d"), F.xxhash64(docs[text]).alias("h"), docs[text].cast("string").alias("t"), *([packed] if keep else []))
     joined = rows.repartition(partitions(docs.sparkSession), "d", "h").join(spans, ["d", "h"], "left")
 
+    made = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+    if keep:
+        made |= {"kept": pa.binary(), "kept_text": pa.string()}
+    types = {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType()}
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[] for _ in made]
                 for t, runs in zip(raw_texts(part.column(1)), part.column(2), strict=True):
-                    removed, n_spans, left = 0, 0, t
+                    removed, n_spans, left = 0, 0, [t]
                     if runs.is_valid and len(runs.values):
                         a = runs.values.field("a").to_numpy()
                         b = runs.values.field("b").to_numpy() + length
@@ -279,14 +285,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                         new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
                         a, b = a[new], b[np.append(new[1:] - 1, len(b) - 1)]
                         removed, n_spans = int((b - a).sum()), len(a)
-                        left = b"".join(t[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(t)], strict=True))
-                    for c, v in zip(out, (len(t), removed, n_spans, hashlib.sha256(left).hexdigest(), left), strict=True):
+                        left = [t[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(t)], strict=True)]
+                    whole = b"".join(left)
+                    row = [len(t), removed, n_spans, hashlib.sha256(whole).hexdigest()]
+                    if keep:
+                        row += [whole, "".join(x.decode("utf-8", "ignore") for x in left)]
+                    for c, v in zip(out, row, strict=True):
                         c.append(v)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, x) for c, x in zip(out, types, strict=True))], names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, x) for c, x in zip(out, made.values(), strict=True))], names=["row", *made])
 
     first = F.col("row") if keep else F.struct(F.when(F.col("d") != -(1 << 63), F.col("d")).alias(key)).alias("row")
     kind = T.StructType(fields) if keep else T.StructType([T.StructField(key, T.LongType())])
-    schema = T.StructType([T.StructField("row", kind)] + [T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType()))])
-    made = joined.select(first.alias("row"), "t", "runs").mapInArrow(run, schema)
-    return made.select("row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    schema = T.StructType([T.StructField("row", kind)] + [T.StructField(n, types[t]) for n, t in made.items()])
+    return joined.select(first.alias("row"), "t", "runs").mapInArrow(run, schema).select("row.*", *made)

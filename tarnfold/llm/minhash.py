@@ -33,15 +33,15 @@ class Shingles:
 
     def __init__(self, width: int):
         self.width = width
-        self.memo = Memo(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 200_000)
+        self.memo = Memo(xxhash.xxh3_64_intdigest)
 
     def of(self, text: bytes) -> np.ndarray:
         """Sorted distinct 64-bit hashes; of a text with fewer words, the whole sequence as one."""
         words = text.lower().split()
         if len(words) < self.width:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words) + 1)] if words else [], np.uint64)
-        known = self.memo.ensure(set(words))
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        self.memo = self.memo.trimmed()
+        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
         n = len(h) - self.width + 1
         acc = h[:n] * np.uint64(0x9E3779B97F4A7C15)
         for i in range(1, self.width):

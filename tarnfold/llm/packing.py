@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .word_ids import WordIds
+from .word_ids import word_ids
 
 SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -126,7 +126,7 @@ def pack_documents(
     """
 
     def run(batches):
-        encoder = WordIds(tokenizer)
+        encoder = word_ids(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         task = (TaskContext.get() and TaskContext.get().partitionId() or 0) << 33
         sequence, group = 0, 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import discard, partitions, written
-from .word_ids import WordIds
+from .word_ids import word_ids
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -146,7 +146,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", t
     rows = rows.repartitionByRange(partitions(spark), F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"))
 
     def encode(batches):
-        encoder, end, part = WordIds(tokenizer), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
+        encoder, end, part = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
         before = 0
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()

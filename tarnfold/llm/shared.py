@@ -65,31 +65,23 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-class Memo:
-    """A bounded memo in two generations: when the young one is full it becomes the old one.
+class Memo(dict):
+    """A bounded memo in two generations; ``make`` answers what neither knows.
 
-    What is in use survives, as a hit in the old generation is copied to the young one.
+    ``trimmed`` returns the memo to go on with: when the young generation is full, it becomes the old
+    one, and what is still in use is copied from it as it is met.
     """
 
-    def __init__(self, make, limit: int = 150_000):
-        self.make, self.limit, self.young, self.old = make, limit, {}, {}
-
-    def ensure(self, keys) -> dict:
-        """A mapping that holds every key of the set ``keys``; ``make`` gets the missing ones at once."""
-        young = self.young
-        need = keys - young.keys()
-        if need:
-            if len(young) > self.limit:
-                self.old, self.young = young, {}
-                young, need = self.young, set(keys)
-            old = self.old
-            missing = []
-            for k in need:
-                v = old.get(k)
-                if v is None:
-                    missing.append(k)
-                else:
-                    young[k] = v
-            if missing:
-                young.update(zip(missing, self.make(missing), strict=True))
-        return young
+    def __init__(self, make, limit: int = 400_000, before: dict | None = None):
+        super().__init__()
+        self.make, self.limit, self.before = make, limit, before or {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trimmed(self) -> Memo:
+        return self if len(self) < self.limit else Memo(self.make, self.limit, dict(self))

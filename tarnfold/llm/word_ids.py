@@ -11,13 +11,17 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 
+from .piece_codec import byte_characters
 from .shared import Memo
 
 # str.split() also cuts at these four, which the tokenizer's pattern does not count as white space.
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_NOT_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+# ASCII marks but the apostrophe, which can begin a pre-token of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def chunk_safe(path: str) -> bool:
@@ -37,7 +41,12 @@ def chunk_safe(path: str) -> bool:
 
 
 class WordIds:
-    """Encodes texts to little-endian unsigned 32-bit ids. Strings of special tokens are ordinary text."""
+    """Encodes texts to little-endian unsigned 32-bit ids. Strings of special tokens are ordinary text.
+
+    A chunk that is a run of letters below U+0250, perhaps with ASCII marks behind, goes straight to the
+    library's BPE model: such letters are in normal form, their lower case is letter by letter, and the
+    run is one pre-token. Every other chunk goes through the whole library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,19 +55,60 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_chunk = chunk_safe(path)
-        self.memo = Memo(self._library)
+        self.model = self.tokenizer.model
+        self.map = dict(enumerate(byte_characters()))
+        self.known = Memo(self.chunk)
+        self.tails: dict[str, bytes] = {}
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in batch]
+    def chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self.letters(chunk) or self.library(chunk)
+        stem = chunk.rstrip(_MARKS)
+        if not stem.isalpha():
+            return self.library(chunk)
+        ids = self.letters(stem)
+        if ids is None:
+            return self.library(chunk)
+        tail = chunk[len(stem) :]
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {}
+            self.tails[tail] = self.library(tail)
+        return ids + self.tails[tail]
+
+    def letters(self, run: str) -> bytes | None:
+        low = run.lower()
+        if low != run:
+            if (ids := self.known.get(low)) is not None:
+                return ids
+            run = low
+        if not run.isascii():
+            if max(run) > "\u024f":
+                return None
+            run = run.encode("utf-8").decode("latin-1").translate(self.map)
+        return array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            part = [t or "" for t in texts[at : at + 64]]
-            whole = [not self.by_chunk or any(c in t for c in _NOT_SPACE) for t in part]
-            chunks = [[] if w else t.split() for t, w in zip(part, whole, strict=True)]
-            known = self.memo.ensure(set().union(*chunks))
-            for t, w, c in zip(part, whole, chunks, strict=True):
-                out.append(self._library([t])[0] if w else b"".join(map(known.__getitem__, c)))
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif not self.by_chunk or not _NOT_SPACE.isdisjoint(t):
+                out.append(self.library(t))
+            else:
+                self.known = self.known.trimmed()
+                out.append(b"".join(map(self.known.__getitem__, t.split())))
         return out
+
+
+_SHARED: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One encoder a worker process and file, kept from task to task."""
+    if path not in _SHARED:
+        _SHARED[path] = WordIds(path)
+    return _SHARED[path]

@@ -1 +1,28 @@
 """A Spark-native retrieval and structured-query library."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Sends this package to the executors once an application, for clusters that do not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):  # already running from an archive
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tarnfold-"), "tarnfold.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("tarnfold", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(target)

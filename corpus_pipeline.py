@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold import ship
 from tarnfold.llm.language import identify, train
 from tarnfold.llm.minhash import near_duplicates
 from tarnfold.llm.packing import pack_documents
@@ -22,6 +23,7 @@ LEAST_SCORE = 0.2
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text is recognised as a language; fills a null ``lang`` with it."""
+    ship(spark)
     found = identify(docs, train(docs, "doc_id", "text", "lang"), keep=True)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)

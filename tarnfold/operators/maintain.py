@@ -84,12 +84,13 @@ def compaction_plan(ratios: DataFrame, ratio: float = 0.3, most: int = 8, capaci
     drop = [s for s, _, live in rows if not live]
     rewrite = [s for s, total, live in rows if live and 1 - live / total >= ratio]
     rest = sorted((live, s) for s, _, live in rows if live and s not in rewrite)
-    merge: list = []
-    while len(rest) + len(rewrite) - len(merge) + bool(merge) > most and rest:
-        live, s = rest.pop(0)
-        if sum(x for x, _ in ((live, s),)) + sum(r[2] for r in rows if r[0] in merge) > capacity:
+    merge, held = [], 0
+    wanted = len(rest) + len(rewrite) - most + 1  # that many become one
+    for live, s in rest[: max(0, wanted)]:
+        if held + live > capacity:
             break
         merge.append(s)
+        held += live
     return {"drop": drop, "rewrite": rewrite, "merge": merge if len(merge) > 1 else []}
 
 

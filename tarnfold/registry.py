@@ -274,17 +274,22 @@ hits AS (SELECT c.*, -({" + ".join(parts)}) AS score FROM counted, stats, corpus
 
 _WORDS = ["the", "edition", "heen"]
 _QUERY = " ".join(_WORDS)
-_ROUNDED = F.round("score", 6).alias("score")
+
+
+def _rounded():
+    return F.round("score", 6).alias("score")
+
+
 
 
 @_register("kw_bm25", _bm25_sql(_WORDS) + " SELECT doc_id, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), doc_id LIMIT 20")
 def _kw_bm25(spark, sf_dir):
-    return search.keyword_search(corpus(spark, sf_dir), _QUERY).select("doc_id", _ROUNDED)
+    return search.keyword_search(corpus(spark, sf_dir), _QUERY).select("doc_id", _rounded())
 
 
 @_register("kw_bm25_all", _bm25_sql(_WORDS) + " SELECT doc_id, round(score, 6) AS score FROM hits")
 def _kw_bm25_all(spark, sf_dir):
-    return search.keyword_scores(corpus(spark, sf_dir), _QUERY).select("doc_id", _ROUNDED)
+    return search.keyword_scores(corpus(spark, sf_dir), _QUERY).select("doc_id", _rounded())
 
 
 _FILTERS = search.Filters(extensions=(".txt", ".md", ".csv"), category="document", directory="/data/en", modified_after="2023-11-20", modified_before="2024-02-01T00:00:00Z", min_size=200, max_size=20_000, file_source=None)
@@ -294,12 +299,12 @@ _FILTER_SQL = f"""extension IN ('.txt', '.md', '.csv') AND extension IN ('.pdf',
 
 @_register("kw_filtered", _bm25_sql(_WORDS, _FILTER_SQL) + " SELECT doc_id, path, size, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), doc_id LIMIT 20")
 def _kw_filtered(spark, sf_dir):
-    return search.keyword_search(corpus(spark, sf_dir), _QUERY, filters=_FILTERS).select("doc_id", "path", "size", _ROUNDED)
+    return search.keyword_search(corpus(spark, sf_dir), _QUERY, filters=_FILTERS).select("doc_id", "path", "size", _rounded())
 
 
 @_register("kw_source", _bm25_sql(_WORDS, "source_id = 'src3' AND extension = '.py'") + " SELECT doc_id, source_id, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), doc_id LIMIT 20")
 def _kw_source(spark, sf_dir):
-    return search.keyword_search(corpus(spark, sf_dir), _QUERY, filters=search.Filters(source_id="src3", extension=".py")).select("doc_id", "source_id", _ROUNDED)
+    return search.keyword_search(corpus(spark, sf_dir), _QUERY, filters=search.Filters(source_id="src3", extension=".py")).select("doc_id", "source_id", _rounded())
 
 
 for _sort, _by in (("modified_desc", "mtime_ns DESC, "), ("modified_asc", "mtime_ns, "), ("name", "lower(name), ")):
@@ -433,7 +438,7 @@ fused AS (SELECT doc_id, sum(CAST(1 AS DOUBLE) / (61 + rank)) AS score FROM (SEL
 
 @_register("hybrid_rrf", _HYBRID + " SELECT doc_id, round(score, 6) AS score FROM fused ORDER BY round(fused.score, 9) DESC, doc_id LIMIT 20")
 def _hybrid_rrf(spark, sf_dir):
-    return search.hybrid_search(corpus(spark, sf_dir), _table(spark, sf_dir, "embeddings"), _QUERY, _VECTOR).select("doc_id", _ROUNDED)
+    return search.hybrid_search(corpus(spark, sf_dir), _table(spark, sf_dir, "embeddings"), _QUERY, _VECTOR).select("doc_id", _rounded())
 
 
 @_register(
@@ -447,7 +452,7 @@ SELECT doc_id, round(score, 6) AS score, exact FROM both_lists ORDER BY exact DE
 def _hybrid_exact(spark, sf_dir):
     c = corpus(spark, sf_dir)
     page = search.hybrid_search(c, _table(spark, sf_dir, "embeddings"), _QUERY, _VECTOR)
-    return search.exact_names_first(page, c, "Doc7.py", 20).select("doc_id", _ROUNDED, "exact")
+    return search.exact_names_first(page, c, "Doc7.py", 20).select("doc_id", _rounded(), "exact")
 
 
 @_register(
@@ -473,7 +478,7 @@ def _kw_batch(spark, sf_dir):
     lengths = t.select("chunk_id", F.size(index_tokens(F.col("text"))).alias("length"))
     wanted = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(index_tokens(F.col("text"))).alias("term"))
     out = search.batch_keyword(index, lengths, wanted, 5)
-    return out.select("query_id", "chunk_id", _ROUNDED, F.col("rank").cast("long").alias("rank"))
+    return out.select("query_id", "chunk_id", _rounded(), F.col("rank").cast("long").alias("rank"))
 
 
 # ---- status ---------------------------------------------------------------------------------------
@@ -767,7 +772,7 @@ def _kw_bm25_chunk(spark, sf_dir):
     chunks = _chunk_documents(spark, sf_dir).select(F.concat_ws("#", "path", "ordinal").alias("chunk"), "path", "text")
     hits = search.keyword_scores(chunks, _QUERY)
     best = search.best_chunk(hits, "path", [F.round("score", 9), F.col("chunk")])
-    return best.orderBy(F.round("score", 9), "chunk").limit(20).select("chunk", _ROUNDED)
+    return best.orderBy(F.round("score", 9), "chunk").limit(20).select("chunk", _rounded())
 
 
 # ---- diagnosis and quality ----------------------------------------------------------------------------------

@@ -285,7 +285,7 @@ def parse_xlsx(data: bytes) -> Iterator[tuple[str, dict]]:
         raise Refused("error", "no workbook part")
     epoch = datetime(1904, 1, 1) if any(_tag(e) == "workbookPr" and e.get("date1904") in ("1", "true") for e in book) else datetime(1899, 12, 30)
     strings_root = package.xml("xl/sharedStrings.xml")
-    strings = ["".join(t.text or "" for t in s.iter() if _tag(t) == "t") for s in strings_root or () if _tag(s) == "si"]
+    strings = ["".join(t.text or "" for t in s.iter() if _tag(t) == "t") for s in (strings_root if strings_root is not None else ()) if _tag(s) == "si"]
     styles, dated = package.xml("xl/styles.xml"), []
     if styles is not None:
         custom = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter() if _tag(f) == "numFmt"}

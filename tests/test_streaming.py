@@ -1,0 +1,93 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tarnfold.streaming import events as streams
+from tarnfold.streaming.journal import ChangeJournal, Record, decode, encode
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 20_000_000), max_size=30))
+def test_bursts(times):
+    times.sort()
+    out = list(streams.settle(times))
+    assert sum(n for _, _, n in out) == len(times)
+    for first, emitted, _ in out:
+        assert first < emitted <= first + streams.CAP_US
+    for a, b in zip(out, out[1:], strict=False):
+        assert a[1] <= b[0]
+
+
+def test_debounce(spark):
+    at = [0, 300_000, 700_000, 2_000_000, *range(10_000_000, 14_000_001, 400_000)]
+    rows = spark.createDataFrame([("a", t) for t in at] + [("b", 5)], "path string, at_us long")
+    got = sorted((r.path, r.first_us, r.emitted_us, r.events) for r in streams.debounce(rows).collect())
+    assert got == sorted([("a", *x) for x in streams.settle(at)] + [("b", 5, 500_005, 1)])
+    assert ("a", 10_000_000, 13_000_000, 8) in got  # a run longer than the cap
+
+
+def test_debounce_stream_agrees(spark, tmp_path):
+    start = 1_700_000_000_000_000  # events at the watermark's beginning, 1970, would be late
+    at = [start + t for t in (0, 300_000, 700_000, 2_000_000, *range(10_000_000, 14_000_001, 400_000), 60_000_000)]
+    rows = spark.createDataFrame([("a", t) for t in at], "path string, us long").select("path", F.timestamp_micros("us").alias("at"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withWatermark("at", "1 second")
+    q = streams.debounce_stream(stream).writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.first_us, r.emitted_us, r.events) for r in spark.table("bursts").collect())
+    assert got == [x for x in streams.settle(at)][:-1]  # the last burst is still open
+
+
+def test_coalesce_ack_overflow(spark):
+    rows = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("b", 3, False)], "path string, at long, is_directory boolean")
+    queue = streams.coalesce_events(rows)
+    assert {r.path: (r.is_directory, r.version, r.last_at) for r in queue.collect()} == {"a": (True, 2, 2), "b": (False, 1, 3)}
+    done = spark.createDataFrame([("a", 1), ("b", 1)], "path string, version long")
+    assert [r.path for r in streams.acknowledged(queue, done).collect()] == ["a"]
+    assert streams.overflowed(rows, 2) and not streams.overflowed(rows, 3)
+
+
+def test_throughput(spark):
+    seconds = [0, 0, 30, 59, 60, 61, 3839, 3840, 3841, 10_000]
+    rows = spark.createDataFrame([(s,) for s in seconds], "s long")
+    got = {r.second: (r.n, r.trailing) for r in streams.throughput(rows, F.col("s")).collect()}
+    assert got == {s: (seconds.count(s), sum(s - 59 <= x <= s for x in seconds)) for s in set(seconds)}
+
+
+def records(n, major=2):
+    return [Record(100 + 80 * i, 1_700_000_000_000_000 + i, 0x100 if i % 2 else 0x200, i % 3 == 0, f"{i:0{16 if major == 2 else 32}x}", f"{5:0{16 if major == 2 else 32}x}", f"näme{i}.txt") for i in range(n)]
+
+
+@pytest.mark.parametrize("major", [2, 3])
+def test_journal_records(major):
+    rows = records(5, major)
+    data = b"".join(encode(r, major) for r in rows)
+    assert list(decode(data)) == rows
+    with pytest.raises(ValueError):
+        list(decode(data[:-4]))
+
+
+def test_journal_stream(spark, tmp_path):
+    rows = records(6)
+    folder = tmp_path / "journal"
+    folder.mkdir()
+    (folder / "100.bin").write_bytes(b"".join(map(encode, rows[:3])))
+    spark.dataSource.register(ChangeJournal)
+
+    def run():
+        s = spark.readStream.format("change_journal").option("path", str(folder)).load()
+        s = s.select("usn", "name", streams.classify(F.col("reason")).alias("action"))
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r.usn, r.action) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [(100, "delete"), (180, "upsert"), (260, "delete")]
+    (folder / "340.bin").write_bytes(b"".join(map(encode, rows[3:])))
+    assert run() == [(r.usn, "upsert" if r.reason == 0x100 else "delete") for r in rows]
+
+
+def test_classes(spark):
+    rows = spark.createDataFrame([(0x200 | 0x100,), (0x10000,), (0x2000,), (0x80000000,)], "r long")
+    assert [r[0] for r in rows.select(streams.classify(F.col("r"))).collect()] == ["delete", "reconcile", "upsert", None]

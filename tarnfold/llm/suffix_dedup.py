@@ -95,7 +95,7 @@ def suffix_order(s: np.ndarray, top: int, depth: int) -> np.ndarray:
     sample = np.concatenate([one, two])
     base = top + 1
     triples = (padded[sample] * base + padded[sample + 1]) * base + padded[sample + 2]
-    order = np.argsort(triples, kind="stable")
+    order = np.argsort(triples)
     ranked = triples[order]
     names = np.empty(len(sample), np.int64)
     names[order] = np.concatenate([[1], 1 + np.cumsum(ranked[1:] != ranked[:-1])])
@@ -108,7 +108,7 @@ def suffix_order(s: np.ndarray, top: int, depth: int) -> np.ndarray:
     sorted_sample = sorted_sample[sorted_sample < n]
     zero = np.arange(0, n, 3)
     wide = len(sample) + 2
-    zero = zero[np.argsort(padded[zero] * wide + rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort(padded[zero] * wide + rank[zero + 1])]
     ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
     # sorted once more, as suffixes that agree over the depth may stand in any order
     below = np.searchsorted(np.sort(padded[ones] * wide + rank[ones + 1]), padded[zero] * wide + rank[zero + 1])
@@ -129,22 +129,21 @@ def repeated_starts(contexts: list[bytes], many: list[int], length: int) -> list
     symbols = text.astype(np.int64) + 2
     symbols[begin[1:] - 1] = 1
     found = np.repeat(np.array(many) > 1, sizes - length + 1)
-    if len(contexts) > 1:
-        is_start = np.zeros(len(text), bool)
-        is_start[starts] = True
-        order = suffix_order(symbols, 257, length)
-        order = order[is_start[order]]
-        same = np.zeros(len(order), bool)
-        strings = np.lib.stride_tricks.sliding_window_view(text, length)
-        for at in range(0, len(order) - 1, 16384):
-            a, b = order[at : at + 16384], order[at + 1 : at + 16385]
-            a = a[: len(b)]
-            same[at : at + len(a)] = (strings[a] == strings[b]).all(1)
-        slot = np.empty(len(text), np.int64)
-        slot[starts] = np.arange(len(starts))
-        hit = slot[order]
-        found[hit[:-1][same[:-1]]] = True
-        found[hit[1:][same[:-1]]] = True
+    is_start = np.zeros(len(text), bool)
+    is_start[starts] = True
+    order = suffix_order(symbols, 257, length)
+    order = order[is_start[order]]
+    same = np.zeros(len(order), bool)
+    strings = np.lib.stride_tricks.sliding_window_view(text, length)
+    for at in range(0, len(order) - 1, 16384):
+        a, b = order[at : at + 16384], order[at + 1 : at + 16385]
+        a = a[: len(b)]
+        same[at : at + len(a)] = (strings[a] == strings[b]).all(1)
+    slot = np.empty(len(text), np.int64)
+    slot[starts] = np.arange(len(starts))
+    hit = slot[order]
+    found[hit[:-1][same[:-1]]] = True
+    found[hit[1:][same[:-1]]] = True
     edges = np.searchsorted(owner, np.arange(len(contexts) + 1))
     return [found[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -208,8 +207,13 @@ def repeated_spans(docs: DataFrame, length: int, gram: int, most: int) -> DataFr
 
         def close():
             out: list[list] = [[], [], [], []]
-            flags = repeated_starts([h[2] for h in held], [h[3] for h in held], length)
-            for (g, c, _, _), f in zip(held, flags, strict=True):
+            anchors = [h[0] for h in held]
+            alone = [a != b and a != c for a, b, c in zip(anchors, [None, *anchors], [*anchors[1:], None], strict=False)]
+            # strings meet only under their anchor: a lone context has nothing to be sorted against
+            several = [h for h, x in zip(held, alone, strict=True) if not x]
+            sorted_flags = iter(repeated_starts([h[2] for h in several], [h[3] for h in several], length) if several else [])
+            for (g, c, context, n), x in zip(held, alone, strict=True):
+                f = np.full(len(context) - length + 1, n > 1) if x else next(sorted_flags)
                 if f.any():
                     for column, v in zip(out, (g, c, *_runs(f)), strict=True):
                         column.append(v)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions.text import FOLDED, row_text
-from tarnfold.operators import chunking, evidence, maintain, search, sync
+from tarnfold.operators import chunking, evidence, maintain, search, sync, vectors
 from tarnfold.plans.structured import Source, within_budget
 from tarnfold.sources import files
 from tarnfold.streaming import events as streams
@@ -747,6 +747,42 @@ def _event_classes(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", streams.classify(F.col("event_id") * 37).alias("action"))
 
 
+# ---- vectors kept and made, hits checked again -------------------------------------------------------
+
+
+@_register("vec_half_precision")
+def _vec_half(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    return vectors.unpacked(vectors.packed(rows, "vec_id", dim=64), "vec_id", 64)
+
+
+@_register("embed_encode")
+def _embed_encode(spark, sf_dir):
+    return vectors.encoded(turns(spark, sf_dir).where("semantic"), "chunk_id", "text", vectors.hashing_provider, "hashing-64")
+
+
+@_register("hits_revalidated", f"WITH {_CORPUS} SELECT doc_id FROM corpus WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0")
+def _hits_revalidated(spark, sf_dir):
+    n, own = F.col("doc_id"), F.col("doc_id").cast("string")
+    c = corpus(spark, sf_dir)
+    hits = c.select("doc_id", "path", own.alias("identity"))
+    there = c.select("path", F.when(n % 3 == 0, "other").otherwise(own).alias("identity"), (n % 5 == 0).alias("is_link"), (n % 7 != 0).alias("in_scope"))
+    return vectors.still_valid(hits, there).select("doc_id")
+
+
+@_register(
+    "kw_cited",
+    _bm25_sql(_WORDS) + """, page AS (SELECT *, doc_id % 4 = 0 AS moved FROM hits ORDER BY round(hits.score, 9), doc_id LIMIT 20)
+    SELECT doc_id, doc_id % 3 = 0 OR moved AS stale, CASE WHEN doc_id % 2 = 0 THEN 'v' || doc_id ELSE (CASE WHEN moved THEN mtime_ns + 1 ELSE mtime_ns END) || ':' || size END AS revision FROM page""",
+)
+def _kw_cited(spark, sf_dir):
+    n = F.col("doc_id")
+    c = corpus(spark, sf_dir)
+    page = search.keyword_search(c, _QUERY).select("doc_id", "score")
+    now = c.select("doc_id", "source_id", "path", "size", F.col("mtime_ns").alias("indexed_mtime_ns"), F.col("size").alias("indexed_size"), (F.col("mtime_ns") + (n % 4 == 0).cast("long")).alias("mtime_ns"), F.when(n % 3 == 0, "row").otherwise("file").alias("kind"), F.when(n % 2 == 0, F.concat(F.lit("v"), n.cast("string"))).alias("version"), F.lit(None).cast("string").alias("locator"), F.lit(0).alias("indexed_at"))
+    return search.shown(page, now).select("doc_id", "citation.stale", "citation.revision")
+
+
 # ---- extraction and chunking -----------------------------------------------------------------------------
 
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import Memo
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,21 +73,50 @@ class PieceCodec:
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model_bytes(self.ranks))
         self.map = dict(enumerate(byte_characters()))
-        self.memo = Memo(self._pieces)
-
-    def _pieces(self, cuts: list[str]) -> list[tuple[int, ...]]:
-        as_bytes = [c.encode("utf-8") for c in cuts]
-        encoded = self.model.encode([b.decode("latin-1").translate(self.map) for b in as_bytes], num_threads=1)
-        # an entry that no sequence of joins reaches still stands for itself
-        return [(self.ranks[b],) if b in self.ranks else tuple(e) for b, e in zip(as_bytes, encoded, strict=True)]
-
-    def encode(self, text: str) -> list[int]:
-        cuts = self.find(text)
-        known = self.memo.ensure(set(cuts))
-        return [i for c in cuts for i in known[c]]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        self.known, self.before, self.limit = {}, {}, 400_000
+
+    def _learn(self, cuts: set[str]) -> None:
+        """Adds cuts to the memo: from its last generation, else from the library, all in one call."""
+        new = []
+        for c in cuts:
+            ids = self.before.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                self.known[c] = ids
+        plain = [c.encode("utf-8").decode("latin-1").translate(self.map) for c in new]
+        for c, ids in zip(new, self.model.encode(plain, num_threads=1), strict=True):
+            if len(ids) > 1 and (rank := self.ranks.get(c.encode("utf-8"))) is not None:
+                ids = (rank,)  # an entry that no sequence of joins reaches still stands for itself
+            self.known[c] = array("i", ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; cuts that are new to the memo are encoded together."""
+        all_cuts = [self.find(t) for t in texts]
+        known, new = self.known.get, set()
+        for cuts in all_cuts:
+            found = list(map(known, cuts))
+            if None in found:
+                new.update(c for c, ids in zip(cuts, found, strict=True) if ids is None)
+        if len(self.known) + len(new) > self.limit:  # a new generation: it needs the others of these texts as well
+            self.known, self.before = {}, self.known
+            new = {c for cuts in all_cuts for c in cuts}
+        if new:
+            self._learn(new)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, cuts)), np.int32) for cuts in all_cuts]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
+
+_SHARED: dict[tuple[str, str], PieceCodec] = {}
+
+
+def piece_codec(path: str, pattern: str) -> PieceCodec:
+    """One codec a worker process, vocabulary and pattern, kept from task to task."""
+    if (path, pattern) not in _SHARED:
+        _SHARED[path, pattern] = PieceCodec(path, pattern)
+    return _SHARED[path, pattern]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,13 +128,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
     """
 
     def run(batches):
-        codec = PieceCodec(vocabulary, pattern)
+        codec = piece_codec(vocabulary, pattern)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
-                ids = [codec.encode(t or "") for t in texts[at : at + 256]]
+                ids = codec.encode([t or "" for t in texts[at : at + 256]])
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, len(ids)), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.binary())],
+                    [keys.slice(at, len(ids)), pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids)), pa.array([codec.decode(x) for x in ids], pa.binary())],
                     names=["k", "ids", "decoded"],
                 )
 

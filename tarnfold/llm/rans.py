@@ -29,6 +29,7 @@ SCALE = 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MAGIC = b"TFRANS1\0"
+COUNTS = -1
 HEADER = struct.Struct("<8sIIIIIIIIQ")
 
 
@@ -38,7 +39,7 @@ class Table:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
+        self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 65536 else np.uint32), freq.astype(np.int64))
         self.check = zlib.crc32(freq.astype("<u4").tobytes())
 
     @classmethod
@@ -61,7 +62,7 @@ class Table:
         return cls(freq)
 
 
-def encode_block(ids: np.ndarray, table: Table, lanes: int = 1024, every: int = 512) -> bytes:
+def encode_block(ids: np.ndarray, table: Table, lanes: int = 2048, every: int = 256) -> bytes:
     n = len(ids)
     lanes = max(1, min(lanes, n // 64))
     steps = -(-n // lanes)
@@ -147,7 +148,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", t
 
     def encode(batches):
         encoder, end, part = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
-        before = 0
+        before, seen = 0, np.zeros(0, np.int64)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for at in range(0, len(texts), 512):
@@ -157,31 +158,38 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", t
                 cuts = np.cumsum([0, *sizes])
                 packed = [_narrow(flat[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(before + cuts[:-1]), keys.slice(at, len(ids)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
-                    names=["part", "at", "k", "n", "ids"],
+                    [pa.array([part] * len(ids), pa.int32()), pa.array(before + cuts[:-1]), keys.slice(at, len(ids)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(ids), pa.binary())],
+                    names=["part", "at", "k", "n", "ids", "counts"],
                 )
                 before += int(cuts[-1])
+                seen = _added(seen, np.bincount(flat))
+        # the task's counts ride along as a last row, so that no id is read again for them
+        (found,) = np.nonzero(seen)
+        counts = found.astype("<u4").tobytes() + seen[found].astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([COUNTS], pa.int64()), pa.array([None], pa.int64()), pa.array([before], pa.int64()), pa.array([None], pa.binary()), pa.array([counts], pa.binary())], names=["part", "at", "k", "n", "ids", "counts"])
 
-    ids = written(rows.mapInArrow(encode, "part int, at long, k long, n long, ids binary"), "rans-ids", "zstd")
+    ids = written(rows.mapInArrow(encode, "part int, at long, k long, n long, ids binary, counts binary"), "rans-ids")
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            c = np.bincount(np.concatenate([_wide(x) for x in batch.column(0).to_pylist()]))
-            if len(c) > len(total):
-                c, total = total, c
-            total[: len(c)] += c
+            for x in batch.column(0).to_pylist():
+                k = len(x) // 12
+                own = np.zeros(int(np.frombuffer(x, "<u4", k)[-1]) + 1 if k else 0, np.int64)
+                own[np.frombuffer(x, "<u4", k)] = np.frombuffer(x, "<i8", k, 4 * k)
+                total = _added(total, own)
         (seen,) = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    tallies = ids.where(F.col("at") == COUNTS)
+    counts = tallies.select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     freq = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
     for r in counts:
         freq[r.id] = r.n
     made = Table.of_counts(freq)
     shared = made.freq.astype("<u4").tobytes()
     spark.createDataFrame([(shared,)], "freq binary").coalesce(1).write.parquet(f"{path}/table")
-    totals = sorted((r.part, r.n) for r in ids.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    totals = sorted((r.part, r.n) for r in tallies.select("part", "n").collect())  # a row a task
     before, at = {}, 0
     for p, n in totals:
         before[p] = at
@@ -213,10 +221,17 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", t
             yield made_block()
 
     # a task's file holds its rows in order, however readers split it; so no row moves again
-    ids.mapInArrow(blocks, "start long, blob binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    ids.where(F.col("at") != COUNTS).drop("counts").mapInArrow(blocks, "start long, blob binary").write.option("compression", "none").parquet(f"{path}/blocks")
     discard(ids)
 
 
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b.astype(np.int64), a
+    a[: len(b)] += b
+    return a
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """Two bytes an id where all fit (a leading byte tells), else four."""
     return b"\2" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\4" + x.tobytes()

@@ -57,7 +57,7 @@ class WordIds:
         self.by_chunk = chunk_safe(path)
         self.model = self.tokenizer.model
         self.map = dict(enumerate(byte_characters()))
-        self.known = Memo(self.chunk)
+        self.known = Memo(self.chunk, 600_000)
         self.tails: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
@@ -69,8 +69,8 @@ class WordIds:
         stem = chunk.rstrip(_MARKS)
         if not stem.isalpha():
             return self.library(chunk)
-        ids = self.letters(stem)
-        if ids is None:
+        ids = self.known.get(stem)
+        if ids is None and (ids := self.letters(stem)) is None:
             return self.library(chunk)
         tail = chunk[len(stem) :]
         if tail not in self.tails:

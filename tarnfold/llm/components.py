@@ -22,15 +22,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = written(edges.where("a is not null and b is not null and a != b").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     for _ in range(most_rounds):
         if _is_stars(now):
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            members, roots = now.select(F.col("u").alias("id"), F.col("v").alias("component")), now.select(F.col("v").alias("id"), F.col("v").alias("component"))
+            out = members.unionByName(roots.distinct())
+            out._tarnfold_path = now._tarnfold_path  # for ``discard``, when the result is used up
+            return out
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(small, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         after = written(step.distinct(), "edges")
-        discard(now)
-        discard(least)
+        discard(now, least)
         now = after
     raise RuntimeError("components did not settle")
 

@@ -7,8 +7,9 @@ a Jaccard estimate corrected for chance collisions of registers drops those that
 threshold; the rest is verified on the full shingle sets.
 
 Groups are never expanded to pairs: documents with equal sets become one class; in each band bucket every
-class is first compared with the bucket's smallest; then only with classes that are in another component
-by then. So a bucket of many near copies costs a pair a member, and no link between components is lost.
+class is first compared with the bucket's smallest, a pair a member. Buckets that still hold several
+components are gathered into clusters and compared there in tiles, inside tasks, component against
+component, so that no link between components is lost and only links leave a task.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Memo, discard, raw_texts, written
+from .shared import discard, partitions, raw_texts, written
 
 REGISTERS = 128
 BAND = 4
@@ -33,15 +34,13 @@ class Shingles:
 
     def __init__(self, width: int):
         self.width = width
-        self.memo = Memo(xxhash.xxh3_64_intdigest)
 
     def of(self, text: bytes) -> np.ndarray:
         """Sorted distinct 64-bit hashes; of a text with fewer words, the whole sequence as one."""
         words = text.lower().split()
         if len(words) < self.width:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words) + 1)] if words else [], np.uint64)
-        self.memo = self.memo.trimmed()
-        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         n = len(h) - self.width + 1
         acc = h[:n] * np.uint64(0x9E3779B97F4A7C15)
         for i in range(1, self.width):
@@ -74,8 +73,8 @@ def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
     mantissa = (x << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     registers = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
     if not filled.all():
-        source = _ORDER[np.arange(REGISTERS), filled[_ORDER].argmax(1)]
-        registers = registers[source]
+        lender = _ORDER[np.arange(REGISTERS), filled[_ORDER].argmax(1)]
+        registers = np.where(filled, registers, registers[lender])
     return registers.astype("<u2").tobytes(), np.packbits(filled).tobytes()
 
 
@@ -161,6 +160,95 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def _across(placed: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, tile: int = 400_000) -> DataFrame:
+    """Links (a, b) between components that share a band bucket, enough of them to join what is linked.
+
+    Classes of buckets that still hold several components form clusters. In a cluster every class outside
+    its largest component is compared with all classes of other components: tile by tile (about ``tile``
+    shingles each), every class's set once a tile, and only links leave a task, never pairs.
+    """
+    parts = partitions(placed.sparkSession)
+    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first")).where("lo != hi").select("band", "first")
+    loose = written(placed.join(mixed, "band").select("id", "component", "first").distinct(), "loose")
+    clusters = components(loose.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    named = clusters.withColumnRenamed("component", "cluster")
+    rows = written(loose.select("id", "component").distinct().join(named, "id").join(sizes, "id"), "clustered")
+    each = rows.groupBy("cluster", "component").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    whole = each.groupBy("cluster").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.sum("n").alias("n"), F.max_by("n", F.struct("many", "component")).alias("main_n"))
+    stats = written(whole.select("cluster", "main", F.ceil((F.col("n") - F.col("main_n") + 1) / tile).cast("int").alias("minors"), F.ceil(F.col("main_n") / tile).cast("int").alias("mains")), "clusters")
+    j = rows.join(stats, "cluster").withColumn("minor", F.col("component") != F.col("main"))
+    j = j.withColumn("t", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains"))).cast("int"))
+
+    def upto(n):
+        return F.sequence(F.lit(0), n - 1)
+
+    t = F.col("t")
+    among = F.transform(upto(F.col("minors")), lambda x: F.struct(F.lit(0).alias("kind"), F.least(t, x).alias("i"), F.greatest(t, x).alias("j")))
+    to_main = F.transform(upto(F.col("mains")), lambda x: F.struct(F.lit(1).alias("kind"), t.alias("i"), x.alias("j")))
+    from_main = F.transform(upto(F.col("minors")), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("i"), t.alias("j")))
+    dealt = j.select("cluster", "id", "component", "minor", "t", F.explode(F.when(F.col("minor"), F.concat(among, to_main)).otherwise(from_main)).alias("g"))
+    group = ["cluster", "kind", "i", "j"]
+    dealt = dealt.select("cluster", "g.*", "id", "component", "minor", "t").join(sets, "id").select(*group, "id", "component", "minor", "t", "hashes")
+    dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group)
+
+    def run(batches):
+        current, held, out = None, [], []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            lists = batch.column(8)
+            for k, row in enumerate(zip(*columns, strict=True)):
+                if row[:4] != current:
+                    out += _group_links(current, held, percent)
+                    held, current = [], row[:4]
+                held.append((*row[4:], lists[k].values.to_numpy().astype(np.uint64)))
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        out += _group_links(current, held, percent)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    out = written(dealt.mapInArrow(run, "a long, b long"), "more-links")
+    discard(loose, clusters, rows, stats)
+    return out
+
+
+def _group_links(key, held: list, percent: int) -> list[tuple[int, int]]:
+    """Links between rows (id, component, minor, tile, hashes) of a group, one for each pair of components it joins."""
+    if len(held) < 2:
+        return []
+    _, kind, i, j = key
+    left = [k for k, h in enumerate(held) if h[2] and h[3] == i]
+    right = [k for k, h in enumerate(held) if not h[2]] if kind else [k for k, h in enumerate(held) if h[3] == j]
+    if not left or not right:
+        return []
+    sketches = [sketch(h[4]) for h in held]
+    registers = np.frombuffer(b"".join(x for x, _ in sketches), "<u2").reshape(-1, REGISTERS)
+    filled = np.unpackbits(np.frombuffer(b"".join(x for _, x in sketches), np.uint8).reshape(-1, REGISTERS // 8), axis=1).astype(bool)
+    n = np.array([len(h[4]) for h in held], float)
+    names, root = np.unique([h[1] for h in held], return_inverse=True)
+    parent = np.arange(len(names))
+    right = np.array(right)
+    t, out = percent / 100, []
+    for a in left:
+        b = right[parent[root[right]] != parent[root[a]]]
+        if kind == 0 and i == j:
+            b = b[b > a]
+        b = b[(100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))]
+        if not len(b):
+            continue
+        found, buckets = estimate(registers[a][None], registers[b], filled[a][None], filled[b], n[a : a + 1], n[b])
+        b = b[found >= t - 6 * np.sqrt(t * (1 - t) / np.maximum(buckets, 1))]
+        for k in b:  # the exact check, on full sets
+            if parent[root[k]] == parent[root[a]]:
+                continue
+            common = len(np.intersect1d(held[a][4], held[k][4], assume_unique=True))
+            if 100 * common >= percent * (n[a] + n[k] - common):
+                out.append((held[a][0], held[k][0]))
+                parent[parent == parent[root[k]]] = parent[root[a]]
+    return out
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row.
 
@@ -182,17 +270,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     stars = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_verified(_likely(stars, classes, percent), sets, percent), "links")
     groups = components(links)
-    placed = written(members.join(groups, "id", "left").select("band", "id", "first", F.coalesce("component", "id").alias("component")), "placed")
-    heads = placed.where("id = first").select("band", F.col("component").alias("head"))
-    apart = placed.join(heads, "band").where("component != head")
-    one = apart.select("band", F.col("id").alias("x"), F.col("component").alias("cx"))
-    other = placed.select("band", F.col("id").alias("y"), F.col("component").alias("cy"), "first")
-    crossed = one.join(other, "band").where("cx != cy and y != first").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _verified(_likely(crossed, classes, percent), sets, percent)
+    placed = written(members.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "placed")
+    more = _across(placed, classes.select("id", "n"), sets, percent)
     final = components(links.unionByName(more))
-    for t in (placed, sets, members):
-        discard(t)
+    discard(placed, sets, members, groups)
     of_class = written(classes.select("h1", "h2", "id").join(final, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component")), "labels")
+    discard(classes, links, more, final)
     found = signatures.select("k", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
     return found.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))

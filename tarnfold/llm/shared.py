@@ -34,18 +34,35 @@ def written(df: DataFrame, tag: str, compression: str = "snappy", partition_by:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _MADE.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tarnfold_path = path
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete a table of ``written`` that no later plan reads."""
-    path = getattr(df, "_tarnfold_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+#: Tables of ``written`` that are still there, for ``discard_all``.
+_MADE: list[str] = []
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``written`` that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_tarnfold_path", None):
+            _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession, but: str) -> None:
+    """Delete all tables of ``written`` but those with this tag: for a job whose results are safe elsewhere."""
+    for path in list(_MADE):
+        if not path.rpartition("/")[2].startswith(but):
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _MADE:
+        _MADE.remove(path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -105,7 +105,7 @@ def near_vectors(
     Links are pairs with cosine >= threshold in double precision among vectors of equal length. ``miss``
     is the share of pairs exactly at the threshold that no table may bring together. A vector that is
     null, empty, zero or holds a null or non-finite component links with nothing. Rows that repeat a key
-    are vectors of their own for the counts and one node for the components; a null key has no component and is kept.
+    are vectors of their own for the counts and one node for the components; a null key has no links and no component and is kept.
     An empty table gives no rows; other columns are ignored.
     """
     raw = written(_raw(vectors, key, embedding), "vectors")
@@ -131,7 +131,7 @@ def near_vectors(
     )
     out = raw.select("k", "h1", "h2", "dim").join(labels, ["h1", "h2", "dim"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
-    return out.select(F.col("k").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
+    return out.select(F.col("k").alias(key), F.when(F.col("k").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
 
 
 def _compare(classes, plan, threshold, confidence, tile, parts):

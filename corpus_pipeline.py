@@ -14,16 +14,22 @@ from tarnfold.llm.language import identify, train
 from tarnfold.llm.minhash import near_duplicates
 from tarnfold.llm.packing import pack_documents
 from tarnfold.llm.queries import tokenizer_path
-from tarnfold.llm.shared import table, written
+from tarnfold.llm.shared import discard_all, table, written
 from tarnfold.llm.suffix_dedup import remove_repeats
 
 #: A document goes if its language is undetermined or the winner's score is below this.
 LEAST_SCORE = 0.2
 
 
+def _begin(spark: SparkSession) -> None:
+    """The stage before has been written, so what it kept on the way can go."""
+    ship(spark)
+    discard_all(spark, but="stage-")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text is recognised as a language; fills a null ``lang`` with it."""
-    ship(spark)
+    _begin(spark)
     found = identify(docs, train(docs, "doc_id", "text", "lang"), keep=True)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
@@ -31,6 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each group of near-duplicates (5 words, 0.8), once."""
+    _begin(spark)
     groups = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
@@ -41,6 +48,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Cuts fall between bytes; a character that a cut would split goes whole, so texts stay valid.
     """
+    _begin(spark)
     out = remove_repeats(docs, keep=True)
     cut = F.col("n_removed") > 0
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
@@ -50,6 +58,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences' pieces, as op8_packing returns them."""
+    _begin(spark)
     out = pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 

@@ -51,9 +51,14 @@ def tokens(c: Column) -> Column:
 
 
 def index_tokens(c: Column) -> Column:
-    """The same tokens; text without CJK runs takes one regular expression only."""
-    latin = F.regexp_extract_all(casefolded(c), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.when(c.rlike(f"[{CJK}]"), tokens(c)).otherwise(F.coalesce(latin, F.array().cast("array<string>")))
+    """The same tokens by the shortest way: ASCII text needs no case folding, text without CJK one expression."""
+
+    def latin(folded):
+        return F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), F.lit(1))
+
+    is_ascii = F.octet_length(c) == F.char_length(c)
+    found = F.when(is_ascii, latin(F.lower(c))).when(c.rlike(f"[{CJK}]"), tokens(c)).otherwise(latin(casefolded(c)))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
 def query_phrases(query: str) -> list[list[str]]:

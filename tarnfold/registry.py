@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions.text import FOLDED, row_text
 from tarnfold.operators import chunking, evidence, maintain, search, sync, vectors
+from tarnfold.plans.parallel import spread
 from tarnfold.plans.structured import Source, within_budget
 from tarnfold.sources import files
 from tarnfold.streaming import events as streams
@@ -229,7 +230,7 @@ _EXTENSIONS = (".txt", ".md", ".py", ".csv", ".json")
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as files: source, path, name, extension, size, time."""
-    d = _table(spark, sf_dir, "documents")
+    d = spread(_table(spark, sf_dir, "documents"))
     extension = F.element_at(F.array(*[F.lit(e) for e in _EXTENSIONS]), (F.col("doc_id") % 5 + 1).cast("int"))
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), extension)
     return d.select(
@@ -333,7 +334,7 @@ def _category_counts(spark, sf_dir):
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations")
+    c = spread(_table(spark, sf_dir, "conversations"))
     return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("ordinal"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "role", "text", F.sha2(F.col("text").cast("binary"), 256).alias("hash"), (F.col("role") == "assistant").alias("semantic"))
 
 
@@ -787,7 +788,7 @@ def _kw_cited(spark, sf_dir):
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "pages")
+    p = spread(_table(spark, sf_dir, "pages"))
     return p.select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
 
 
@@ -859,7 +860,7 @@ def _recall(spark, sf_dir):
     """Each benchmark passage searched as a query over all documents; relevant: documents that hold it."""
     from tarnfold.functions.text import index_tokens
 
-    d, b = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    d, b = spread(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark")
     wanted = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("term"))
     index = search.postings(d, "doc_id")
     hits = search.batch_keyword(index, d.select("doc_id", F.size(index_tokens(F.col("text"))).alias("length")), wanted, 10, "doc_id")

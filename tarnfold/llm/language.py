@@ -60,21 +60,27 @@ def vector(text: str) -> np.ndarray:
     return out
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, epochs: int = 20, seed: int = 7) -> np.ndarray:
-    """Weights (bias last) of a linear SVM with squared hinge loss, by dual coordinate descent. y: +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+def linear_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, c: float = 1.0, epochs: int = 20, seed: int = 7) -> np.ndarray:
+    """Weights (bias last) of a linear SVM with squared hinge loss, by dual coordinate descent.
+
+    ``y`` is +1 or -1 for each of ``rows`` (default: all); ``x`` is not copied.
+    """
+    rows = np.arange(len(x)) if rows is None else rows
     weight = {s: len(y) / (2 * max(1, int((y == s).sum()))) for s in (1, -1)}  # rare classes count as much
     ridge = np.array([0.5 / (c * weight[int(s)]) for s in y])
-    square = (x * x).sum(1) + ridge
-    alpha, w, pick = np.zeros(len(y)), np.zeros(x.shape[1], np.float32), np.random.default_rng(seed)
+    square = np.einsum("ij,ij->i", x, x)[rows] + 1 + ridge
+    alpha, w, bias, pick = np.zeros(len(y)), np.zeros(x.shape[1], np.float32), 0.0, np.random.default_rng(seed)
     for _ in range(epochs):
         for i in pick.permutation(len(y)):
-            gradient = y[i] * float(x[i] @ w) - 1 + ridge[i] * alpha[i]
+            row = x[rows[i]]
+            gradient = y[i] * (float(row @ w) + bias) - 1 + ridge[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / square[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += np.float32(step) * row
+                bias += step
                 alpha[i] = new
-    return w
+    return np.append(w, np.float32(bias))
 
 
 @dataclass
@@ -98,23 +104,22 @@ class Model:
             codes, own = by_family[f], []
             for i, a in enumerate(codes):
                 for b in codes[i + 1 :]:
-                    here = (of == a) | (of == b)
-                    own.append(linear_svm(x[here], np.where(of[here] == a, 1, -1)))
+                    here = np.flatnonzero((of == a) | (of == b))
+                    own.append(linear_svm(x, np.where(of[here] == a, 1, -1), here))
             pairs.append(np.array(own, np.float32).reshape(len(own), WIDTH + 1))
         return cls(families, [by_family[f] for f in families], np.array(heads, np.float32).reshape(len(heads), WIDTH + 1), pairs)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score (family's share times mean pairwise share, each from logistic margins)."""
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         names, scores = [], np.zeros(len(x))
         if len(self.families) > 1:
-            margins = 3.0 * (x @ self.family_weights.T).astype(np.float64)
+            margins = 3.0 * _margins(x, self.family_weights)
             share = np.exp(margins - margins.max(1, keepdims=True))
             share /= share.sum(1, keepdims=True)
             best = share.argmax(1)
         else:
             share, best = np.ones((len(x), 1)), np.zeros(len(x), int)
-        within = [1 / (1 + np.exp(-3.0 * (x @ w.T).astype(np.float64))) for w in self.pair_weights]
+        within = [1 / (1 + np.exp(-3.0 * _margins(x, w))) for w in self.pair_weights]
         for i, f in enumerate(best):
             codes = self.languages[f]
             votes, support, k = [0] * len(codes), [0.0] * len(codes), 0
@@ -131,6 +136,10 @@ class Model:
         return names, scores
 
 
+def _margins(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return (x @ weights[:, :-1].T).astype(np.float64) + weights[:, -1]
+
+
 def train(rows: DataFrame, key: str, text: str, label: str, sample: int = 2000) -> Model | None:
     """A model from at most about ``sample`` rows that have a label and a letter; None without any.
 
@@ -155,7 +164,10 @@ def train(rows: DataFrame, key: str, text: str, label: str, sample: int = 2000)
     found = sorted((r.label, bytes(r.x)) for r in chosen.mapInArrow(run, "label string, x binary").limit(4 * sample + 16 * len(counts)).collect())
     if not found:
         return None
-    return Model.fit(np.stack([np.frombuffer(x, "<f2") for _, x in found]).astype(np.float32), [c for c, _ in found])
+    x = np.empty((len(found), WIDTH), np.float32)
+    for i, (_, raw) in enumerate(found):
+        x[i] = np.frombuffer(raw, "<f2")
+    return Model.fit(x, [c for c, _ in found])
 
 
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:

@@ -61,12 +61,17 @@ class Coder:
         return out
 
 
+def bound(factor: np.ndarray, dim: int, confidence: float) -> np.ndarray:
+    """How far a row's estimates may be off."""
+    f = np.clip(factor, 1e-9, 1.0)
+    return confidence * np.sqrt((1 - f * f) / (f * f) / max(1, dim - 1))
+
+
 def estimated(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of all inner products, and how far each row's may be off."""
+    """Unbiased estimates of all inner products, and each row's bound."""
     dim = signs.shape[1]
-    f = np.clip(factor, 1e-9, 1.0)
-    found = (signs @ turned.T) / (math.sqrt(dim) * f[:, None])
-    return found, confidence * np.sqrt((1 - f * f) / (f * f) / max(1, dim - 1))
+    found = (signs @ turned.T) / (math.sqrt(dim) * np.clip(factor, 1e-9, 1.0)[:, None])
+    return found, bound(factor, dim, confidence)
 
 
 def _raw(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -164,69 +169,81 @@ def _compare(classes, plan, threshold, confidence, tile, parts):
 
     def run(batches):
         coders: dict = {}
-        held: list = []
-        current, out = None, []
-
-        def close():
-            dim, t, _, i, j = current
-            coder = coders.setdefault(dim, Coder(dim, *plan[dim]))
-            out.extend(_group(coder, t, i, j, held, threshold, confidence))
-
+        held = None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns, strict=True):
-                if row[:5] != current:
-                    if len(held) > 1:
-                        close()
-                    held, current = [], row[:5]
-                    if len(out) > 20_000:
-                        yield _links(out)
-                        out = []
-                held.append(row[5:])
-        if len(held) > 1:
-            close()
-        if out:
-            yield _links(out)
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            marks = np.stack([held.column(g).to_numpy() for g in group])
+            last = np.flatnonzero((marks != marks[:, -1:]).any(0))
+            whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
+            if whole >= 4096:
+                yield from _compared(coders, plan, held.slice(0, whole), threshold, confidence)
+                held = held.slice(whole).combine_chunks()
+        if held is not None:
+            yield from _compared(coders, plan, held, threshold, confidence)
 
     return rows.mapInArrow(run, "id long, links long, root long")
 
 
-def _links(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["id", "links", "root"])
-
-
-def _group(coder: Coder, table: int, i: int, j: int, held: list, threshold: float, confidence: float) -> list[tuple[int, int, int]]:
-    """(id, linked vectors, root) of the rows of a tile (i = j) or of two tiles, for pairs of this table."""
-    own = np.array([h[0] for h in held])
-    ids, many = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-    v, unit = _unit([h[3] for h in held])
-    left = np.flatnonzero(own == i)
-    right = np.flatnonzero(own == j)
-    if not len(left) or not len(right):
-        return []
+def _compared(coders: dict, plan: dict, rows: pa.Table, threshold: float, confidence: float):
+    """(id, linked vectors, root) for the rows of whole groups, one vector length at a time."""
+    marks = np.stack([rows.column(g).to_numpy() for g in ("dim", "t", "key", "i", "j")])
+    for dim in np.unique(marks[0]).tolist():
+        pick = np.flatnonzero(marks[0] == dim)
+        part = rows.take(pa.array(pick))
+        coder = coders.setdefault(dim, Coder(dim, *plan[dim]))
+        starts = np.flatnonzero(np.concatenate([[True], (marks[:, pick][:, 1:] != marks[:, pick][:, :-1]).any(0)]))
+        found = _block(coder, marks[1:, pick], starts, part, threshold, confidence)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "links", "root"])
+
+
+def _pairs(starts: np.ndarray, sizes: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """Row pairs of all groups, in pieces: within a tile every pair once, of two tiles one row of each."""
+    within = i[starts] == j[starts]
+    for size in np.unique(sizes[within]).tolist():
+        if size < 2:
+            continue
+        a, b = np.triu_indices(size, 1)
+        of = starts[within & (sizes == size)]
+        step = max(1, 500_000 // len(a))
+        for at in range(0, len(of), step):
+            first = of[at : at + step, None]
+            yield (first + a).ravel(), (first + b).ravel()
+    for s, n in zip(starts[~within], sizes[~within], strict=True):
+        left = s + np.flatnonzero(own[s : s + n] == i[s])
+        right = s + np.flatnonzero(own[s : s + n] == j[s])
+        for at in range(0, len(left), 256):
+            yield np.repeat(left[at : at + 256], len(right)), np.tile(right, len(left[at : at + 256]))
+
+
+def _block(coder: Coder, marks: np.ndarray, starts: np.ndarray, rows: pa.Table, threshold: float, confidence: float):
+    t, _, i, j = marks
+    own, ids, many = (rows.column(c).to_numpy() for c in ("own", "id", "many"))
+    _, unit = _unit(rows.column("v").to_pylist())
     turned, signs, factor = coder.codes(unit)
-    found, off = estimated(signs[left], factor[left], turned[right], confidence)
-    a, b = np.nonzero(found + off[:, None] >= threshold)
-    a, b = left[a], right[b]
-    if i == j:
-        a, b = a[a < b], b[a < b]
-    if not len(a):
-        return []
+    off = bound(factor, coder.dim, confidence)
     keys = coder.keys(unit)
-    first = (keys[a, :table] == keys[b, :table]).any(1) if table else np.zeros(len(a), bool)
-    a, b = a[~first], b[~first]
-    exact = np.empty(len(a), bool)
-    for at in range(0, len(a), 65536):
-        x, y = a[at : at + 65536], b[at : at + 65536]
-        exact[at : at + 65536] = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
-    a, b = a[exact], b[exact]
+    before = np.arange(coder.tables)
+    kept_a, kept_b = [], []
+    for a, b in _pairs(starts, np.diff(np.append(starts, len(ids))), own, i, j):
+        found = np.einsum("ij,ij->i", signs[a], turned[b]) / (math.sqrt(coder.dim) * np.clip(factor[a], 1e-9, 1.0))
+        near = found + off[a] >= threshold
+        a, b = a[near], b[near]
+        # a pair counts in the first table that both share
+        first = ~((keys[a] == keys[b]) & (before[None, :] < t[a][:, None])).any(1)
+        a, b = a[first], b[first]
+        exact = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold  # double precision
+        kept_a.append(a[exact])
+        kept_b.append(b[exact])
+    a, b = (np.concatenate(x) if x else np.empty(0, int) for x in (kept_a, kept_b))
     if not len(a):
-        return []
-    links = np.zeros(len(ids), np.int64)
-    np.add.at(links, a, many[b])
-    np.add.at(links, b, many[a])
+        return None
+    links = np.bincount(a, many[b], len(ids)) + np.bincount(b, many[a], len(ids))
     root = np.arange(len(ids))
-    while True:  # the smallest row number reachable inside the group
+    while True:  # the smallest row number reachable inside a group
         low = root.copy()
         np.minimum.at(low, a, root[b])
         np.minimum.at(low, b, root[a])
@@ -234,4 +251,5 @@ def _group(coder: Coder, table: int, i: int, j: int, held: list, threshold: floa
         if (low == root).all():
             break
         root = low
-    return [(int(ids[k]), int(links[k]), int(ids[root[k]])) for k in np.flatnonzero(links)]
+    at = np.flatnonzero(links)
+    return ids[at], links[at].astype(np.int64), ids[root[at]]

@@ -38,7 +38,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _is_stars(edges: DataFrame) -> bool:
-    """Every id has one link, to an id that has none of its own."""
-    many = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-    chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
-    return many.unionByName(chained).isEmpty()
+    """Every id has one link, to an id that has none of its own: one pass over both ends."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up")))
+    each = ends.groupBy("id").agg(F.sum("up").alias("links"), F.count("*").alias("all"))
+    return each.where("links > 1 or links = 1 and all > 1").isEmpty()

@@ -272,10 +272,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     groups = components(links)
     placed = written(members.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "placed")
     more = _across(placed, classes.select("id", "n"), sets, percent)
-    final = components(links.unionByName(more))
-    discard(placed, sets, members, groups)
+    # stars of what is joined already, and the links between them; without those, nothing changes
+    final = groups if more.isEmpty() else components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    discard(placed, sets, members, links, more)
     of_class = written(classes.select("h1", "h2", "id").join(final, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component")), "labels")
-    discard(classes, links, more, final)
+    discard(classes, groups, final)
     found = signatures.select("k", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
     return found.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))

@@ -156,7 +156,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", t
                 sizes = [len(x) // 4 for x in ids]
                 flat = np.frombuffer(b"".join(ids), "<u4")
                 cuts = np.cumsum([0, *sizes])
-                packed = [_narrow(flat[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                width = 2 if not len(flat) or flat.max() < 65536 else 4  # bytes an id, told by a leading byte
+                raw, head = flat.astype(f"<u{width}").tobytes(), bytes((width,))
+                packed = [head + raw[width * a : width * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(ids), pa.int32()), pa.array(before + cuts[:-1]), keys.slice(at, len(ids)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(len(ids), pa.binary())],
                     names=["part", "at", "k", "n", "ids", "counts"],
@@ -232,11 +234,6 @@ def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Two bytes an id where all fit (a leading byte tells), else four."""
-    return b"\2" + x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\4" + x.tobytes()
-
-
 def _wide(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.uint32)
 

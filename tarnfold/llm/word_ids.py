@@ -19,7 +19,7 @@ from .piece_codec import byte_characters
 from .shared import Memo
 
 # str.split() also cuts at these four, which the tokenizer's pattern does not count as white space.
-_NOT_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 # ASCII marks but the apostrophe, which can begin a pre-token of its own.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -96,7 +96,7 @@ class WordIds:
         for t in texts:
             if not t:
                 out.append(b"")
-            elif not self.by_chunk or not _NOT_SPACE.isdisjoint(t):
+            elif not self.by_chunk or any(c in t for c in _NOT_SPACE):
                 out.append(self.library(t))
             else:
                 self.known = self.known.trimmed()

@@ -4,6 +4,11 @@ A one-versus-rest linear support vector machine picks the language family; withi
 one-versus-one linear support vector machines separate the close languages by votes and margins.
 Features are hashed byte n-grams (one to three bytes) of the whole lower-cased text, letters only.
 
+These machines only compare the learned languages with each other, so the score is also held to an
+absolute measure: how much likelier the text's n-grams are in the labelled sample than if all n-grams
+were equally likely. What falls short of half of what is usual for the winner (measured on rows that the
+table was not counted from) loses its score: letter noise, and languages far from the learned ones.
+
 Scale: the models are fitted on a bounded sample of labelled rows (``sample`` in all, dealt evenly to
 the languages), chosen by a hash of the key; prediction is one pass over all rows without a shuffle.
 """
@@ -42,9 +47,13 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text)) if len(text) < 64 else text[:64].upper() != text[:64].lower() or any(map(str.isalpha, text))
 
 
-def vector(text: str) -> np.ndarray:
-    """The text's features: hashed counts of 1-, 2- and 3-grams, damped, each order of unit length."""
-    raw = b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACE).split())
+def letters(text: str) -> bytes:
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACE).split())
+
+
+def vector(text: str | bytes) -> np.ndarray:
+    """The features of a text or its ``letters``: hashed counts of 1-, 2- and 3-grams, damped, each order of unit length."""
+    raw = letters(text) if isinstance(text, str) else text
     a = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
     out = np.zeros(WIDTH, np.float32)
     third = WIDTH // 8
@@ -83,15 +92,32 @@ def linear_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, c:
     return np.append(w, np.float32(bias))
 
 
+_ORDERS = (slice(0, 256), slice(256, 256 + WIDTH // 8), slice(256 + WIDTH // 8, WIDTH))
+# Bytes of a text that count, the slack of short texts in nats, and the fall of the score below the least familiarity.
+_COUNTED, _SLACK, _FALL = 2000, 4.0, 8.0
+
+
+def usual(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio (nats) of every n-gram: the rows of ``x`` against n-grams that are all equally likely."""
+    out = np.zeros(WIDTH, np.float32)
+    for part in _ORDERS:
+        counts = np.minimum(sizes, _COUNTED).astype(np.float32) @ np.square(x[:, part])
+        out[part] = np.log((counts + 0.5) / (counts.sum() + 0.5 * len(counts)) * len(counts)) / len(_ORDERS)
+    return out
+
+
 @dataclass
 class Model:
     families: list[str]
     languages: list[list[str]]  # by family
     family_weights: np.ndarray  # families x (WIDTH + 1)
     pair_weights: list[np.ndarray]  # by family, pairs x (WIDTH + 1)
+    usual: np.ndarray | None = None
+    least: dict[str, float] | None = None  # by language, of what ``usual`` gives
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: list[str]) -> Model:
+    def fit(cls, x: np.ndarray, labels: list[str], sizes: np.ndarray | None = None) -> Model:
+        """``sizes``: bytes of each row's letters; without them, scores are not held to an absolute measure."""
         by_family: dict[str, list[str]] = {}
         for code in sorted(set(labels)):
             by_family.setdefault(FAMILY_OF.get(code, f"language {code}"), []).append(code)
@@ -107,10 +133,21 @@ class Model:
                     here = np.flatnonzero((of == a) | (of == b))
                     own.append(linear_svm(x, np.where(of[here] == a, 1, -1), here))
             pairs.append(np.array(own, np.float32).reshape(len(own), WIDTH + 1))
-        return cls(families, [by_family[f] for f in families], np.array(heads, np.float32).reshape(len(heads), WIDTH + 1), pairs)
-
-    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and score (family's share times mean pairwise share, each from logistic margins)."""
+        model = cls(families, [by_family[f] for f in families], np.array(heads, np.float32).reshape(len(heads), WIDTH + 1), pairs)
+        if sizes is not None and len(x) > 1:
+            model.usual, known = usual(x, sizes), np.zeros(len(x))
+            for half in (0, 1):
+                known[half::2] = np.square(x[half::2]) @ usual(x[1 - half :: 2], sizes[1 - half :: 2])
+            middle = {c: float(np.median(known[of == c])) for c in set(labels)}
+            model.least = {c: m - max(1.0, abs(m) / 2) for c, m in middle.items()}
+        return model
+
+    def predict(self, x: np.ndarray, sizes: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
+        """Language and score: the family's share times the mean pairwise share, each from logistic margins.
+
+        With ``sizes`` (bytes of each row's letters), the score falls towards 0 as the text's familiarity
+        falls below the winner's least, with slack for short texts.
+        """
         names, scores = [], np.zeros(len(x))
         if len(self.families) > 1:
             margins = 3.0 * _margins(x, self.family_weights)
@@ -133,6 +170,9 @@ class Model:
             win = max(range(len(codes)), key=lambda c: (votes[c], support[c], -c))
             names.append(codes[win])
             scores[i] = share[i, f] * (support[win] / (len(codes) - 1) if len(codes) > 1 else 1.0)
+        if sizes is not None and self.least is not None:
+            least = np.array([self.least[c] for c in names]) - _SLACK / np.sqrt(np.maximum(sizes, 1))
+            scores *= np.exp(_FALL * np.minimum(0, np.square(x) @ self.usual - least))
         return names, scores
 
 
@@ -159,15 +199,16 @@ def train(rows: DataFrame, key: str, text: str, label: str, sample: int = 2000)
         for batch in batches:
             labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in keep], pa.string()), pa.array([vector(texts[i]).astype("<f2").tobytes() for i in keep], pa.binary())], names=["label", "x"])
+            raw = [letters(texts[i]) for i in keep]
+            yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in keep], pa.string()), pa.array([vector(r).astype("<f2").tobytes() for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int32())], names=["label", "x", "n"])
 
-    found = sorted((r.label, bytes(r.x)) for r in chosen.mapInArrow(run, "label string, x binary").limit(4 * sample + 16 * len(counts)).collect())
+    found = sorted((r.label, bytes(r.x), r.n) for r in chosen.mapInArrow(run, "label string, x binary, n int").limit(4 * sample + 16 * len(counts)).collect())
     if not found:
         return None
     x = np.empty((len(found), WIDTH), np.float32)
-    for i, (_, raw) in enumerate(found):
+    for i, (_, raw, _) in enumerate(found):
         x[i] = np.frombuffer(raw, "<f2")
-    return Model.fit(x, [c for c, _ in found])
+    return Model.fit(x, [c for c, _, _ in found], np.array([n for _, _, n in found]))
 
 
 def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
@@ -192,7 +233,8 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
                 names, scores = ["und"] * len(texts), np.zeros(len(texts))
                 known = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
                 if known:
-                    got, s = model.predict(np.stack([vector(texts[i]) for i in known]))
+                    raw = [letters(texts[i]) for i in known]
+                    got, s = model.predict(np.stack([vector(r) for r in raw]), np.array([len(r) for r in raw]))
                     scores[known] = s
                     for i, name in zip(known, got, strict=True):
                         names[i] = name

@@ -107,6 +107,19 @@ def test_families_part_first():
     assert m.predict(x)[0] == labels
 
 
+def test_noise_and_unlearned_languages_score_low(spark, docs_of, tmp_path):
+    import corpus_pipeline as c
+
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dice = random.Random(3)
+    noise = lambda n: " ".join("".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(dice.randint(2, 9))) for _ in range(n))
+    junk = [(-1 - i, noise(40)) for i in range(40)] + [(-50, "漢字"), (-51, "漢字 " * 40), (-52, "Привет, как дела? " * 5), (-53, "wszystkie dzieci poszły dzisiaj do szkoły " * 3), (-54, "x" * 500)]
+    both = " ".join(r.text for lang in ("de", "fr") for r in clean.where(F.col("lang") == lang).orderBy("doc_id").limit(2).collect())
+    more = docs_of([*junk, (-99, both)]).drop("score", "ids").withColumn("n_chars", F.char_length("text").cast("long")).select(clean.columns)
+    left = {r.doc_id for r in c.language(spark, clean.unionByName(more), "").select("doc_id").collect()}
+    assert left == {-99} | {r.doc_id for r in clean.select("doc_id").collect()}
+
+
 # ---- chat
 
 

@@ -33,9 +33,11 @@ def op3_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .resharding import reshard
+    import uuid
+
+    from .resharding import rewritten
 
-    out = reshard(table(spark, sf_dir, "documents"))
+    out = rewritten(table(spark, sf_dir, "documents"), f"{work_folder(spark)}/op5-{uuid.uuid4().hex}")
     return out.select(
         "doc_id",
         "size",

@@ -3,7 +3,7 @@
 Documents live in old shards, cut into blocks by a hash of their text (equal texts share a block). From
 the old shard sizes and the new capacities a transport problem is solved whose cost is the bytes that
 change shard; blocks are then picked to realise the flow, and only shards that gain or lose a block are
-rewritten.
+rewritten (``rewrite``), from rows that the plan carries whole.
 
 Scale: the driver sees block totals only (at most ``blocks`` + the pieces of split blocks, a constant);
 documents are dealt by block, never by shard, so a shard of any size is numbered by many tasks. A block
@@ -17,8 +17,7 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from .shared import written
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
@@ -170,8 +169,9 @@ def reshard(
 ) -> DataFrame:
     """Assign every row of ``docs`` a new shard of near equal bytes, moving the fewest bytes.
 
-    Returns ``key, size, text_crc32, old_shard, shard, slot``; other columns are not needed and may
-    have any name. ``old_shard`` gives the present shard (default: block modulo ``old_shards``).
+    Returns ``key, size, text_crc32, old_shard, shard, slot`` and ``row``, the whole row of ``docs`` for
+    ``rewrite``; other columns are not needed and may have any name. Rows come in ranges of shard and slot.
+    ``docs`` is read more than once and must give the same rows each time. ``old_shard`` gives the present shard (default: block modulo ``old_shards``).
     Size is the UTF-8 length plus 1 (null: 1). Null keys are a value like any other; repeated rows are
     kept and get slots of their own. An empty table gives no rows. Equal texts stay together unless
     their block is larger than ``1 / together`` of a shard; numbering is spread finer than that.
@@ -185,8 +185,8 @@ def reshard(
         block.cast("int").alias("block"),
         (F.pmod(block, F.lit(old_shards)) if old_shard is None else old_shard).cast("int").alias("old_shard"),
         F.pmod(F.xxhash64(F.lit("piece"), F.col(key).cast("long")), F.lit(1 << 20)).cast("int").alias("h"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
     )
-    rows = written(rows, "reshard-rows")
     spark = docs.sparkSession
     by_block = rows.groupBy("block", "old_shard").agg(F.sum("size").alias("bytes")).collect()
     total = sum(r.bytes for r in by_block)
@@ -211,29 +211,54 @@ def reshard(
         placed.append((*k, shard, base[shard]))
         base[shard] += n
     plan = spark.createDataFrame(placed, "block int, old_shard int, piece int, shard int, first long")
-    order = Window.partitionBy("block", "old_shard", "piece").orderBy("k", "size", "text_crc32")
-    return (
-        rows.withColumn("rank", F.row_number().over(order) - 1)
-        .join(F.broadcast(plan), ["block", "old_shard", "piece"])
-        .select(F.col("k").alias(key), "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank")).alias("slot"))
+    # one exchange of whole rows, by range, so that the window and the writer need no other
+    placed_rows = rows.join(F.broadcast(plan), ["block", "old_shard", "piece"]).repartitionByRange("shard", "first")
+    order = Window.partitionBy("shard", "first").orderBy("k", "size", "text_crc32")
+    return placed_rows.withColumn("rank", F.row_number().over(order) - 1).select(
+        F.col("k").alias(key), "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("rank")).alias("slot"), "row"
     )
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, path: str, key: str = "doc_id") -> list[int]:
-    """Write the shards of ``plan`` that changed as ``path/shard=<n>``; returns the numbers written.
+    """Write the shards of ``plan`` that changed as ``path/shard=<n>``; returns the numbers changed.
 
-    A shard is unchanged if nothing leaves or enters it. ``key`` must be unique. Rows go by slot range
-    within a shard, so that a large shard is several files.
+    A shard is unchanged if nothing leaves or enters it; a changed one that no row is left in is deleted.
+    Rows are those that the plan carries, whole, so null and repeated keys are rows like any other; they
+    are in the order of their slots, and columns of the names shard and slot are replaced. ``plan`` comes
+    in ranges of slots, so that a large shard is several files.
     """
-    moved = plan.where("shard != old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
-    changed = sorted(r.s for r in moved.collect())
-    rows = plan.where(F.col("shard").isin(changed)).select(key, "shard", "slot")
+    moves = plan.groupBy("old_shard", "shard").count().collect()
+    changed = sorted({s for r in moves if r.shard != r.old_shard for s in (r.shard, r.old_shard)})
+    if not changed:
+        return []
     spark = docs.sparkSession
-    out = docs.join(rows, key).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    out = plan.where(F.col("shard").isin(changed)).select(*own, "shard", "slot").sortWithinPartitions("shard", "slot")
     mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
         out.write.mode("overwrite").partitionBy("shard").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    for n in set(changed) - {r.shard for r in moves}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={n}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     return changed
+
+
+def rewritten(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", new_shards: int = 16) -> DataFrame:
+    """``key, size, text_crc32, shard, slot`` of every row after ``reshard`` and ``rewrite``.
+
+    Rows of the shards that changed are read back from the files; others have their place in the plan.
+    """
+    plan = reshard(docs, key, text, new_shards=new_shards)
+    changed = rewrite(docs, plan, path, key)
+    still = plan.where(~F.col("shard").isin(changed)).select(key, "size", "text_crc32", "shard", "slot")
+    if not changed:
+        return still
+    spark = docs.sparkSession
+    kinds = {f.name: f for f in docs.schema.fields}
+    back = spark.read.schema(StructType([kinds[key], kinds[text], StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(path)
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    back = back.select(F.col(key).cast("long").alias(key), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), "shard", "slot")
+    return back if set(range(new_shards)) <= set(changed) else back.unionByName(still)

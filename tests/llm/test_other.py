@@ -70,6 +70,31 @@ def test_rewrite_touches_only_changed_shards(spark, docs_of, tmp_path):
     assert resharding.rewrite(docs, still, str(tmp_path / "none")) == []
 
 
+def test_rewrite_keeps_whole_rows_and_deletes_emptied_shards(spark, docs_of, tmp_path):
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(120)] + [(None, "no key"), (None, "no key"), (None, None), (5, "again"), (5, "again"), (5, "other")]
+    path = str(tmp_path / "shards")
+    docs_of(rows).withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(16)).cast("int")).write.partitionBy("shard").parquet(path)
+    docs = spark.read.parquet(path)
+    before = sorted(map(str, docs.drop("shard").collect()))
+    changed = resharding.rewrite(docs, resharding.reshard(docs, new_shards=12, old_shard=F.col("shard"), blocks=64), path)
+    back = spark.read.parquet(path)
+    assert {12, 13, 14, 15} <= set(changed) and sorted(map(str, back.drop("shard", "slot").collect())) == before
+    slots = {r.shard: sorted(r.slots) for r in back.groupBy("shard").agg(F.collect_list("slot").alias("slots")).collect()}
+    assert max(slots) < 12 and all(slots[s] == list(range(len(slots[s]))) for s in changed if s < 12)
+
+
+def test_resharding_query_writes_and_reads_back(spark):
+    from tarnfold.llm.shared import work_folder
+
+    out = queries.op5_resharding(spark, SF)
+    assert out.inputFiles() and all(work_folder(spark) in f and "/shard=" in f for f in out.inputFiles())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = docs.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    assert sorted(map(tuple, out.select("doc_id", "size", "text_crc32").collect())) == sorted(map(tuple, want.collect()))
+    plan = resharding.reshard(docs)
+    assert sorted(map(tuple, out.select("doc_id", "shard", "slot").collect())) == sorted(map(tuple, plan.select("doc_id", "shard", "slot").collect()))
+
+
 # ---- language
 
 

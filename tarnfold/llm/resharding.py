@@ -7,8 +7,9 @@ rewritten (``rewrite``), from rows that the plan carries whole.
 
 Scale: the driver sees block totals only (at most ``blocks`` + the pieces of split blocks, a constant);
 documents are dealt by block, never by shard, so a shard of any size is numbered by many tasks. A block
-above ``1 / split`` of a shard's capacity (a hot group of equal texts) is cut by a hash of its key for the
-numbering; above ``1 / together`` its pieces may also part.
+above ``1 / split`` of a shard's capacity is cut by a hash of the text for the numbering, and a text that
+is itself above that (a hot group of equal texts; at most ``new_shards * split`` of them) by a hash of its
+key. Above ``1 / together`` the pieces of a block, or of a text, may also part.
 """
 
 from __future__ import annotations
@@ -173,8 +174,8 @@ def reshard(
     ``rewrite``; other columns are not needed and may have any name. Rows come in ranges of shard and slot.
     ``docs`` is read more than once and must give the same rows each time. ``old_shard`` gives the present shard (default: block modulo ``old_shards``).
     Size is the UTF-8 length plus 1 (null: 1). Null keys are a value like any other; repeated rows are
-    kept and get slots of their own. An empty table gives no rows. Equal texts stay together unless
-    their block is larger than ``1 / together`` of a shard; numbering is spread finer than that.
+    kept and get slots of their own. An empty table gives no rows. Equal texts of an old
+    shard stay together unless they are more than ``1 / together`` of a new one; numbering is spread finer.
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     block = F.pmod(F.xxhash64(raw), F.lit(blocks))
@@ -185,22 +186,45 @@ def reshard(
         block.cast("int").alias("block"),
         (F.pmod(block, F.lit(old_shards)) if old_shard is None else old_shard).cast("int").alias("old_shard"),
         F.pmod(F.xxhash64(F.lit("piece"), F.col(key).cast("long")), F.lit(1 << 20)).cast("int").alias("h"),
+        F.xxhash64(F.lit("text"), raw).alias("th"),
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
     )
     spark = docs.sparkSession
     by_block = rows.groupBy("block", "old_shard").agg(F.sum("size").alias("bytes")).collect()
     total = sum(r.bytes for r in by_block)
     most = max(1, total // (new_shards * split))
-    pieces = {(r.block, r.old_shard): min(1 << 12, -(-r.bytes // most)) for r in by_block if r.bytes > most}
-    cut = F.lit(1)
-    if pieces:  # at most new_shards * split of them
-        made = F.create_map(*[F.lit(x) for (b, s), n in pieces.items() for x in (b * 65536 + s, n)])
+    large = {(r.block, r.old_shard): r.bytes for r in by_block if r.bytes > most}  # at most new_shards * split
+    hot = []
+    if large:
+        of_large = rows.where(F.col("block").isin(sorted({b for b, _ in large})))
+        hot = of_large.groupBy("block", "old_shard", "th").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most).collect()
+    # pieces of a block: 0 .. n - 1 by text, then those of each hot text by key
+    rest, first, unit_of = dict(large), {k: 0 for k in large}, {}
+    for r in hot:
+        rest[r.block, r.old_shard] -= r.bytes
+    cuts = {k: max(1, min(1 << 12, -(-n // most))) for k, n in rest.items()}
+    apart = {k for k, n in large.items() if n * together > total // new_shards}
+    texts = []
+    for r in sorted(hot, key=lambda r: (r.block, r.old_shard, r.th)):
+        k, n = (r.block, r.old_shard), min(1 << 12, -(-r.bytes // most))
+        at = cuts[k] + first[k]
+        first[k] += n
+        texts.append((*k, r.th, at, n))
+        if r.bytes * together <= total // new_shards:
+            unit_of.update({(*k, at + i): (*k, at) for i in range(n)})
+    piece = F.lit(0)
+    if large:
+        made = F.create_map(*[F.lit(x) for (b, s), n in cuts.items() for x in (b * 65536 + s, n)])
         cut = F.coalesce(made[F.col("block") * 65536 + F.col("old_shard")], F.lit(1))
-    rows = rows.withColumn("piece", F.pmod(F.col("h"), cut))
+        piece = F.pmod("th", cut).cast("int")
+    if texts:
+        own = spark.createDataFrame(texts, "block int, old_shard int, th long, at int, many int")
+        rows = rows.join(F.broadcast(own), ["block", "old_shard", "th"], "left")
+        piece = F.coalesce(F.col("at") + F.pmod("h", F.col("many")), piece)
+    rows = rows.withColumn("piece", piece)
     sizes = rows.groupBy("block", "old_shard", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     stats = sorted(((r.block, r.old_shard, r.piece), r.old_shard, r.bytes, r.n) for r in sizes)
-    whole = {(r.block, r.old_shard): r.bytes for r in by_block}
-    unit = {k: k if whole[k[:2]] * together > total // new_shards else k[:2] for k, _, _, _ in stats}
+    unit = {k: unit_of.get(k, k) if k[:2] in apart else k[:2] for k, _, _, _ in stats}
     weight: dict = {}
     for k, s, b, _ in stats:
         weight[unit[k], s] = weight.get((unit[k], s), 0) + b

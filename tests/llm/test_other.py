@@ -59,6 +59,18 @@ def test_reshard(spark, docs_of, tmp_path):
     assert resharding.reshard(docs_of([])).count() == 0
 
 
+def test_a_hot_text_tears_no_other(spark, docs_of):
+    rows = [(i, f"small {i % 60} " * 4) for i in range(600)] + [(1000 + i, "hot text " * 40) for i in range(400)]
+    got = resharding.reshard(docs_of(rows), old_shards=1, new_shards=4, blocks=1).drop("row").collect()
+    where, slots, sizes = {}, {}, {}
+    for r in got:
+        where.setdefault(dict(rows)[r.doc_id], set()).add(r.shard)
+        slots.setdefault(r.shard, []).append(r.slot)
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+    assert len(got) == 1000 and len(where.pop("hot text " * 40)) > 1 and all(len(s) == 1 for s in where.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(sizes.values()) < 1.05 * sum(sizes.values()) / 4
+
+
 def test_rewrite_touches_only_changed_shards(spark, docs_of, tmp_path):
     docs = docs_of([(i, f"text {i} " * (i % 7)) for i in range(100)])
     plan = resharding.reshard(docs, old_shards=4, new_shards=5, blocks=64)

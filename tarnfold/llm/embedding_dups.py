@@ -116,7 +116,7 @@ def near_vectors(
     raw = written(_raw(vectors, key, embedding), "vectors")
     spark = vectors.sparkSession
     usable = raw.where("v is not null and k is not null")
-    classes = written(usable.groupBy("dim", "h1", "h2").agg(F.min("k").alias("id"), F.count("*").alias("many"), F.first("v").alias("v")), "vector-classes")
+    classes = written(usable.groupBy("dim", "h1", "h2").agg(F.min("k").alias("k"), F.count("*").alias("many"), F.first("v").alias("v")).withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     sizes = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     same_bit = 1 - math.acos(threshold) / math.pi
     plan = {}
@@ -129,9 +129,15 @@ def near_vectors(
         found = written(found, "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links")) if found is not None else spark.createDataFrame([], "id long, links long")
     edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")) if found is not None else spark.createDataFrame([], "a long, b long")
-    groups = components(edges)
+    # a key of several vectors is one node
+    several = usable.groupBy("k").agg(F.min(F.struct("dim", "h1", "h2")).alias("lo"), F.max(F.struct("dim", "h1", "h2")).alias("hi")).where("lo != hi").select("k")
+    of_key = usable.select("k", "dim", "h1", "h2").join(several, "k").distinct().join(classes.select("dim", "h1", "h2", "id"), ["dim", "h1", "h2"]).select("k", "id")
+    one = of_key.groupBy("k").agg(F.min("id").alias("a"))
+    groups = components(edges.unionByName(of_key.join(one, "k").select("a", F.col("id").alias("b"))))
+    least = groups.join(classes.select("id", "k"), "id").groupBy("component").agg(F.min("k").alias("label"))
+    named = groups.join(least, "component").select("id", "label")
     labels = written(
-        classes.join(counts, "id", "left").join(groups, "id", "left").select("h1", "h2", "dim", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "id").alias("component")),
+        classes.join(counts, "id", "left").join(named, "id", "left").select("h1", "h2", "dim", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("label", "k").alias("component")),
         "vector-labels",
     )
     out = raw.select("k", "h1", "h2", "dim").join(labels, ["h1", "h2", "dim"], "left")

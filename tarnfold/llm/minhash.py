@@ -116,20 +116,20 @@ def _signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``id, hashes`` of the wanted classes (id, h1, h2), each from a document that has that very set."""
+    """``id, hashes`` of the wanted classes (id, k, h1, h2), each from a document that has that very set."""
 
     def run(batches):
         shingles = Shingles(width)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                want = part.column(1).to_pylist()
-                sets = [shingles.of(t) for t in raw_texts(part.column(2))]
-                same = [i for i, h in enumerate(sets) if int.from_bytes(xxhash.xxh3_128_digest(h.tobytes())[:8], "little", signed=True) == want[i]]
+                want = [a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True) for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                sets = [shingles.of(t) for t in raw_texts(part.column(3))]
+                same = [i for i, h in enumerate(sets) if xxhash.xxh3_128_digest(h.tobytes()) == want[i]]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same, pa.int32())), pa.array([sets[i].astype(np.int64) for i in same], pa.list_(pa.int64()))], names=["id", "hashes"])
 
-    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t")).join(wanted.select("id", "h1"), "id")
-    return rows.select("id", "h1", "t").mapInArrow(run, "id long, hashes array<long>").dropDuplicates(["id"])
+    rows = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t")).join(wanted, "k")
+    return rows.select("id", "h1", "h2", "t").mapInArrow(run, "id long, hashes array<long>").dropDuplicates(["id"])
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -255,18 +255,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Two documents are linked if 100 * intersection >= percent * union of their sets of ``width``-word
     shingles (a shorter text is one shingle; without words the set is empty and links with nothing).
     component_id is the smallest key reachable over links, kept marks it. Rows that repeat a key with
-    equal text are kept, each with the same result; rows of a null key take part in no link
+    equal text are kept, each with the same result, and those with another text link by that text; rows of a null key take part in no link
     (component_id null, kept true); an empty table gives no rows; other columns are ignored.
     """
     signatures = written(_signatures(docs, key, text, width), "signatures")
     named = signatures.where("n > 0 and k is not null")
-    classes = written(named.groupBy("h1", "h2").agg(F.min("k").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("filled").alias("filled")), "classes")
+    # ids are numbers of their own, as a key may have several texts
+    classes = written(named.groupBy("h1", "h2").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("filled").alias("filled")).withColumn("id", F.monotonically_increasing_id()), "classes")
     size = 2 * BAND
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + i * size, size)) for i in range(REGISTERS // BAND)])
     banded = classes.select("id", F.explode(bands).alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("band", "first")
     members = written(banded.join(shared, "band").select("band", "id", "first"), "members")
-    sets = written(_sets(docs, key, text, width, members.select("id").distinct().join(classes.select("id", "h1"), "id")), "sets")
+    sets = written(_sets(docs, key, text, width, members.select("id").distinct().join(classes.select("id", "k", "h1", "h2"), "id")), "sets")
     stars = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_verified(_likely(stars, classes, percent), sets, percent), "links")
     groups = components(links)
@@ -275,7 +276,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # stars of what is joined already, and the links between them; without those, nothing changes
     final = groups if more.isEmpty() else components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     discard(placed, sets, members, links, more)
-    of_class = written(classes.select("h1", "h2", "id").join(final, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component")), "labels")
+    least = final.join(classes.select("id", "k"), "id").groupBy("component").agg(F.min("k").alias("label"))
+    of_class = written(classes.select("h1", "h2", "id", "k").join(final.join(least, "component"), "id", "left").select("h1", "h2", F.coalesce("label", "k").alias("component")), "labels")
     discard(classes, groups, final)
     found = signatures.select("k", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))

@@ -271,3 +271,15 @@ def test_estimate_bounds_hold():
     assert abs((found - true).mean()) < 0.005  # unbiased
     assert (np.abs(found - true) <= off[:, None]).mean() > 0.9
     assert (np.diag(found) + off >= np.diag(true)).all()
+
+
+def test_one_key_on_two_texts_or_vectors(spark, docs_of):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "alone in this table")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(docs_of(rows)).collect()}
+    assert got == {(1, 56): 1, (2, 57): 1, (3, 57): 1, (4, 1): 4}
+    x, y = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = lambda v: [c + 0.01 for c in v]
+    vectors = spark.createDataFrame([(1, x), (1, y), (2, near(x)), (3, near(y)), (4, near(near(y))), (5, [0.0, 0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
+    links = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dups.near_vectors(vectors).collect())
+    assert links == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 0, 5)]

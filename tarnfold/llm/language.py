@@ -44,7 +44,7 @@ _SPACE = bytes(i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
 
 
 def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text)) if len(text) < 64 else text[:64].upper() != text[:64].lower() or any(map(str.isalpha, text))
+    return any(map(str.isalpha, text))
 
 
 def letters(text: str) -> bytes:

@@ -157,6 +157,11 @@ def test_noise_and_unlearned_languages_score_low(spark, docs_of, tmp_path):
     assert left == {-99} | {r.doc_id for r in clean.select("doc_id").collect()}
 
 
+def test_cased_symbols_are_no_letters():
+    for n in (1, 63, 64, 200):
+        assert not language.has_letter("\u24d0" * n) and not language.has_letter("\u2167" * n) and language.has_letter("\u2167" * n + "a")
+
+
 # ---- chat
 
 

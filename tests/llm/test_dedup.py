@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tarnfold.llm import components as cc
 from tarnfold.llm import embedding_dups, minhash, suffix_dedup
@@ -192,7 +193,7 @@ def repeat_rows():
     return [*texts, texts[8], texts[8]]
 
 
-@pytest.mark.parametrize("most", [4096, 1])
+@pytest.mark.parametrize("most", [4096, 3, 1])
 def test_remove_repeats(spark, docs_of, most):
     texts = repeat_rows()
     got = suffix_dedup.remove_repeats(docs_of(list(enumerate(texts))), length=40, gram=8, most=most, keep=True).collect()
@@ -206,16 +207,48 @@ def test_remove_repeats(spark, docs_of, most):
 
 def test_remove_repeats_same_rows_and_null_keys(spark, docs_of):
     long = "".join(random.Random(2).choice("abcdef") for _ in range(90))
-    got = suffix_dedup.remove_repeats(docs_of([(1, long), (1, long), (None, long[:50]), (None, "x")]), length=40, gram=8).collect()
-    assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (-1, 50), (1, 90), (1, 90)]
+    got = suffix_dedup.remove_repeats(docs_of([(1, long), (1, long), (None, long[:50]), (None, "x"), (-(1 << 63), "y")]), length=40, gram=8).collect()
+    assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-(1 << 63), 0), (-1, 0), (-1, 50), (1, 90), (1, 90)]
     assert suffix_dedup.remove_repeats(docs_of([])).count() == 0
 
 
+def test_many_equal_rows(spark):
+    text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(2000))
+    docs = spark.range(20_000, numPartitions=8).selectExpr("1L as doc_id", f"'{text}' as text").unionByName(spark.createDataFrame([(2, text[:500]), (3, "z" * 150)], "doc_id long, text string"))
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans): r.n for r in suffix_dedup.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, 2000, 2000, 1): 20_000, (2, 500, 500, 1): 1, (3, 150, 0, 0): 1}
+
+
+def test_very_long_periodic_texts(spark, docs_of):
+    rng = random.Random(6)
+    zeros = " ".join("0" if rng.random() < 0.997 else str(rng.randrange(10, 99)) for _ in range(20_000))
+    rows = [(1, "a" * 20_000_000), (2, "ab" * 300), (3, "x" + "a" * 199), (4, "a" * 200 + "y"), (5, "b" * 199 + "a"), (6, zeros)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs_of(rows)).collect()}
+    want = brute_repeats(["a" * 1000, *(t for _, t in rows[1:])], 200)
+    assert got[1] == (20_000_000, 20_000_000, 1)
+    assert [got[d] for d in range(2, 7)] == [w[:3] for w in want[1:]]
+
+
 def test_units_cover_all_starts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_PIECE", 64)
-    text = bytes(random.Random(4).choices(b"abc", k=500))
-    first, last, _ = suffix_dedup.units(text, 40, 8)
-    assert first[0] == 0 and last[-1] == 460 and (first[1:] == last[:-1] + 1).all()
+    texts = [bytes(random.Random(4).choices(b"abc", k=500)), b"short", b"q" * 40, bytes(random.Random(5).choices(b"ab", k=41))]
+    starts = [[] for _ in texts]
+    for held in suffix_dedup.pieces_of(texts, 40):
+        of, first, last, anchor, _ = suffix_dedup.units([p for _, _, p in held], 40, 8)
+        for k, a, b, at in zip(of.tolist(), first.tolist(), last.tolist(), anchor.tolist(), strict=True):
+            i, base, piece = held[k]
+            assert b <= at <= a + 32 and texts[i][base : base + len(piece)] == piece
+            starts[i] += range(base + a, base + b + 1)
+    assert starts == [list(range(461)), [], [0], [0, 1]]
+
+
+def test_short_periods_come_last():
+    filler = np.frombuffer(b"0 " * 40, np.uint8)
+    assert suffix_dedup._short_periods(filler, 32).all()
+    text = np.frombuffer(bytes(random.Random(1).choices(range(97, 123), k=100)), np.uint8)
+    assert not suffix_dedup._short_periods(text, 32).any()
+    of, first, last, _, _ = suffix_dedup.units([b"0" * 150 + b"-one-" + b"0" * 150], 200, 32)
+    assert len(of) <= 8  # and not one a start
 
 
 def brute_vectors(rows, threshold):

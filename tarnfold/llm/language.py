@@ -10,7 +10,7 @@ were equally likely. What falls short of half of what is usual for the winner (m
 table was not counted from) loses its score: letter noise, and languages far from the learned ones.
 
 Scale: the models are fitted on a bounded sample of labelled rows (``sample`` in all, dealt evenly to
-the languages), chosen by a hash of the key; prediction is one pass over all rows without a shuffle.
+the languages), chosen by a hash of the text; prediction is one pass over all rows without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Families of ISO 639-1 codes. A language that is not listed is a family of its own.
@@ -180,20 +180,25 @@ def _margins(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (x @ weights[:, :-1].T).astype(np.float64) + weights[:, -1]
 
 
-def train(rows: DataFrame, key: str, text: str, label: str, sample: int = 2000) -> Model | None:
-    """A model from at most about ``sample`` rows that have a label and a letter; None without any.
+def train(rows: DataFrame, text: str, label: str, sample: int = 2000) -> Model | None:
+    """A model from at most ``sample`` rows (two a language at least) that have a label and a letter; None without any.
 
-    Every language gets an even share; rows are chosen by a hash of the key and their text, so the
-    choice does not depend on partitions.
+    Every language gets an even share of the sample. Rows are chosen by a hash of their text alone, in its
+    order, so the choice depends neither on keys nor on partitions, and equal texts of a language count once.
+    A language whose texts are all unlucky is learned from the one of the smallest hash.
     """
     rows = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
-    if not counts:
+    rows = rows.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("t"))
+    rows = rows.withColumn("die", F.xxhash64(F.lit("sample"), "t").cast("double") / float(1 << 64) + 0.5)
+    # a row a language: about how many texts it has, and its smallest hash
+    seen = {r[0]: (r[1], r[2]) for r in rows.groupBy("label").agg(F.approx_count_distinct("die"), F.min("die")).collect()}
+    if not seen:
         return None
-    each = max(2, sample // len(counts))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))])
-    dice = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(dice < share[F.col(label)]).select(F.col(label).cast("string").alias("label"), F.col(text).alias("t"))
+    each = max(2, sample // len(seen))
+    most = F.create_map(*[F.lit(v) for k, (n, least) in seen.items() for v in (k, max(least, min(1.0, 1.2 * each / max(n, 1))))])
+    chosen = rows.where(F.col("die") <= most[F.col("label")])
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("die", "t"))
+    chosen = chosen.dropDuplicates(["label", "die", "t"]).withColumn("rank", rank).where(F.col("rank") <= each).select("label", "t")
 
     def run(batches):
         for batch in batches:
@@ -202,7 +207,7 @@ def train(rows: DataFrame, key: str, text: str, label: str, sample: int = 2000)
             raw = [letters(texts[i]) for i in keep]
             yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in keep], pa.string()), pa.array([vector(r).astype("<f2").tobytes() for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int32())], names=["label", "x", "n"])
 
-    found = sorted((r.label, bytes(r.x), r.n) for r in chosen.mapInArrow(run, "label string, x binary, n int").limit(4 * sample + 16 * len(counts)).collect())
+    found = sorted((r.label, bytes(r.x), r.n) for r in chosen.mapInArrow(run, "label string, x binary, n int").collect())
     if not found:
         return None
     x = np.empty((len(found), WIDTH), np.float32)

@@ -84,7 +84,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import held_out, identify, train
 
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(~F.coalesce(held_out(), F.lit(False))), "doc_id", "text", "lang")
+    model = train(docs.where(~F.coalesce(held_out(), F.lit(False))), "text", "lang")
     out = identify(docs, model)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 

@@ -119,7 +119,7 @@ def test_language_held_out_accuracy(spark):
 def test_language_edges(spark, docs_of):
     train = [(i, "the and of to in is that it was for on are") for i in range(6)] + [(i + 10, "der die und das nicht ist ein zu mit auf für") for i in range(6)]
     docs = docs_of(train).withColumn("lang", F.when(F.col("doc_id") < 10, "en").otherwise("de"))
-    model = language.train(docs, "doc_id", "text", "lang")
+    model = language.train(docs, "text", "lang")
     assert model.families == ["germanic"] and model.languages == [["de", "en"]]
     odd = docs_of([(1, None), (2, ""), (3, "123 !? …"), (4, "the is of"), (5, "das ist nicht"), (None, "und die"), (7, "漢字"), (7, "漢字"), (8, "the and " * 50_000), (9, "1" * 100 + "a")])
     got = {(r.doc_id, r.lang_pred) for r in language.identify(odd, model).collect()}
@@ -127,12 +127,47 @@ def test_language_edges(spark, docs_of):
     kept = language.identify(odd, model, keep=True)
     assert kept.columns == ["doc_id", "text", "lang", "source", "ids", "lang_pred", "score"]
     assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
-    assert language.train(docs.withColumn("lang", F.lit(None).cast("string")), "doc_id", "text", "lang") is None
-    one = language.train(docs.where("lang = 'en'"), "doc_id", "text", "lang")
+    assert language.train(docs.withColumn("lang", F.lit(None).cast("string")), "text", "lang") is None
+    one = language.train(docs.where("lang = 'en'"), "text", "lang")
     assert {r.lang_pred for r in language.identify(docs, one).collect()} == {"en"}
     assert language.identify(odd.limit(0), model).count() == 0
 
 
+def test_sample_depends_on_texts_only(spark):
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    one = language.train(clean.repartition(7), "text", "lang", sample=80)
+    null = clean.withColumn("doc_id", F.lit(None).cast("long"))
+    other = language.train(null.unionByName(null).repartition(3), "text", "lang", sample=80)
+    assert one.families == other.families and (one.family_weights == other.family_weights).all() and one.least == other.least
+    copies = clean.where("lang = 'en'").limit(1).crossJoin(spark.range(3000)).select("doc_id", "text", "lang").unionByName(clean.where("lang = 'de'").limit(1))
+    few = language.train(copies, "text", "lang")  # a text a language, whatever its hash
+    assert few.languages == [["de", "en"]]
+    assert {(r.lang, r.lang_pred) for r in language.identify(copies, few, keep=True).select("lang", "lang_pred").distinct().collect()} == {("en", "en"), ("de", "de")}
+
+
+def plain_svm(x, y, ridge, epochs=300):
+    """The dual of the squared hinge by plain coordinate descent in double precision, a bias as one more feature."""
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(float)
+    alpha = np.zeros(len(y))
+    kernel = (y[:, None] * x) @ (y[:, None] * x).T + np.diag(ridge)
+    for _ in range(epochs):
+        for i in range(len(y)):
+            alpha[i] = max(0.0, alpha[i] - (kernel[i] @ alpha - 1) / kernel[i, i])
+    return (alpha * y) @ x
+
+
+def test_machines_agree_with_brute_force():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 6)).astype(np.float32)
+    labels = [["en", "de", "fr", "es"][k % 4] for k in range(40)]
+    for i, c in enumerate(labels):
+        x[i, "en de fr es".split().index(c)] += 1.5
+    y = np.where(np.array(labels) == "en", 1, -1)
+    ridge = np.where(y == 1, 0.5 / (40 / 20), 0.5 / (40 / 60))  # rare classes count as much
+    got, want = language.linear_svm(x, y, epochs=300), plain_svm(x, y, ridge)
+    assert np.abs(got - want).max() < 1e-2 * np.abs(want).max()
+
+
 def test_families_part_first():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((80, language.WIDTH)).astype(np.float32) * 0.01

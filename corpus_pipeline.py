@@ -30,7 +30,7 @@ def _begin(spark: SparkSession) -> None:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text is recognised as a language; fills a null ``lang`` with it."""
     _begin(spark)
-    found = identify(docs, train(docs, "doc_id", "text", "lang"), keep=True)
+    found = identify(docs, train(docs, "text", "lang"), keep=True)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 

@@ -8,8 +8,9 @@ threshold; the rest is verified on the full shingle sets.
 
 Groups are never expanded to pairs: documents with equal sets become one class; in each band bucket every
 class is first compared with the bucket's smallest, a pair a member. Buckets that still hold several
-components are gathered into clusters and compared there in tiles, inside tasks, component against
-component, so that no link between components is lost and only links leave a task.
+components are compared in tiles of bounded rows and shingles, inside tasks, component against component:
+by sketches first, then on the sets of those that the sketches leave. No link between components is lost,
+and only links leave a task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, partitions, raw_texts, written
+from .shared import discard, grouped, partitions, raw_texts, written
 
 REGISTERS = 128
 BAND = 4
@@ -160,92 +161,155 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _across(placed: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int, tile: int = 400_000) -> DataFrame:
+_GROUP = ["band", "kind", "i", "j"]
+
+
+def _across(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tile: int = 400_000, rows: int = 2048) -> DataFrame:
     """Links (a, b) between components that share a band bucket, enough of them to join what is linked.
 
-    Classes of buckets that still hold several components form clusters. In a cluster every class outside
-    its largest component is compared with all classes of other components: tile by tile (about ``tile``
-    shingles each), every class's set once a tile, and only links leave a task, never pairs.
+    In a bucket that still holds several components every class outside its largest one is compared with
+    the bucket's classes of other components, tile by tile (at most about ``rows`` classes and ``tile`` shingles on a side).
+    Sketches alone are dealt first; classes that are likely to have a partner in a tile come again with
+    their sets. Only links leave a task, never pairs, and buckets of the same classes are compared once.
     """
     parts = partitions(placed.sparkSession)
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first")).where("lo != hi").select("band", "first")
-    loose = written(placed.join(mixed, "band").select("id", "component", "first").distinct(), "loose")
-    clusters = components(loose.select(F.col("first").alias("a"), F.col("id").alias("b")))
-    named = clusters.withColumnRenamed("component", "cluster")
-    rows = written(loose.select("id", "component").distinct().join(named, "id").join(sizes, "id"), "clustered")
-    each = rows.groupBy("cluster", "component").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
-    whole = each.groupBy("cluster").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.sum("n").alias("n"), F.max_by("n", F.struct("many", "component")).alias("main_n"))
-    stats = written(whole.select("cluster", "main", F.ceil((F.col("n") - F.col("main_n") + 1) / tile).cast("int").alias("minors"), F.ceil(F.col("main_n") / tile).cast("int").alias("mains")), "clusters")
-    j = rows.join(stats, "cluster").withColumn("minor", F.col("component") != F.col("main"))
-    j = j.withColumn("t", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains"))).cast("int"))
+    marks = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")]
+    mixed = placed.groupBy("band").agg(*marks).where("lo != hi").groupBy("members", "x", "y").agg(F.min("band").alias("band")).select("band")
+    loose = written(placed.join(mixed, "band").join(classes.select("id", "n"), "id"), "loose")
+    each = loose.groupBy("band", "component").agg(F.count("*").alias("many"), F.sum("n").alias("n"))
+    largest = F.max(F.struct("many", "component", "n"))
+    stats = each.groupBy("band").agg(largest.alias("main"), F.sum("many").alias("many"), F.sum("n").alias("n"))
+    tiles = lambda n, many: F.greatest(F.ceil(n / tile), F.ceil(many / rows), F.lit(1)).cast("int")
+    stats = written(
+        stats.select(
+            "band",
+            F.col("main.component").alias("main"),
+            tiles(F.col("n") - F.col("main.n"), F.col("many") - F.col("main.many")).alias("minors"),
+            tiles(F.col("main.n"), F.col("main.many")).alias("mains"),
+        ),
+        "buckets",
+    )
+    j = loose.join(stats, "band").withColumn("minor", F.col("component") != F.col("main"))
+    t = F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains"))).cast("int")
+    j = j.withColumn("t", t)
+    t = F.col("t")
 
     def upto(n):
         return F.sequence(F.lit(0), n - 1)
 
-    t = F.col("t")
     among = F.transform(upto(F.col("minors")), lambda x: F.struct(F.lit(0).alias("kind"), F.least(t, x).alias("i"), F.greatest(t, x).alias("j")))
     to_main = F.transform(upto(F.col("mains")), lambda x: F.struct(F.lit(1).alias("kind"), t.alias("i"), x.alias("j")))
     from_main = F.transform(upto(F.col("minors")), lambda x: F.struct(F.lit(1).alias("kind"), x.alias("i"), t.alias("j")))
-    dealt = j.select("cluster", "id", "component", "minor", "t", F.explode(F.when(F.col("minor"), F.concat(among, to_main)).otherwise(from_main)).alias("g"))
-    group = ["cluster", "kind", "i", "j"]
-    dealt = dealt.select("cluster", "g.*", "id", "component", "minor", "t").join(sets, "id").select(*group, "id", "component", "minor", "t", "hashes")
-    dealt = dealt.repartition(parts, *group).sortWithinPartitions(*group)
+    dealt = j.select("band", "id", "component", "minor", "t", F.explode(F.when(F.col("minor"), F.concat(among, to_main)).otherwise(from_main)).alias("g"))
+    columns = [*_GROUP, "id", "component", "minor", "t"]
 
-    def run(batches):
-        current, held, out = None, [], []
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            lists = batch.column(8)
-            for k, row in enumerate(zip(*columns, strict=True)):
-                if row[:4] != current:
-                    out += _group_links(current, held, percent)
-                    held, current = [], row[:4]
-                held.append((*row[4:], lists[k].values.to_numpy().astype(np.uint64)))
+    def sorted_tiles(df):
+        return df.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP)
+
+    def likely(batches):
+        for key, held in grouped(batches, 4):
+            if (near := np.flatnonzero(_likely_rows(key, held, percent))).size:
+                yield from held.select(columns).take(near).combine_chunks().to_batches()
+
+    sketched = dealt.select("band", "g.*", "id", "component", "minor", "t").join(classes.select("id", "n", "registers", "filled"), "id")
+    schema = "band long, kind int, i int, j int, id long, component long, minor boolean, t int"
+    near = written(sorted_tiles(sketched.select(*columns, "n", "registers", "filled")).mapInArrow(likely, schema), "likely")
+
+    def exact(batches):
+        out: list = []
+        for key, held in grouped(batches, 4):
+            out += _links(key, held, percent)
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
                 out = []
-        out += _group_links(current, held, percent)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    out = written(dealt.mapInArrow(run, "a long, b long"), "more-links")
-    discard(loose, clusters, rows, stats)
-    return out
+    links = written(sorted_tiles(near.join(sets, "id").select(*columns, "hashes")).mapInArrow(exact, "a long, b long"), "more-links")
+    discard(loose, stats, near)
+    return links
 
 
-def _group_links(key, held: list, percent: int) -> list[tuple[int, int]]:
-    """Links between rows (id, component, minor, tile, hashes) of a group, one for each pair of components it joins."""
-    if len(held) < 2:
-        return []
+def _sides(key: tuple, held: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a tile pair's two sides."""
     _, kind, i, j = key
-    left = [k for k, h in enumerate(held) if h[2] and h[3] == i]
-    right = [k for k, h in enumerate(held) if not h[2]] if kind else [k for k, h in enumerate(held) if h[3] == j]
-    if not left or not right:
+    minor, t = held.column("minor").to_numpy(), held.column("t").to_numpy()
+    return np.flatnonzero(minor & (t == i)), np.flatnonzero(~minor) if kind else np.flatnonzero(minor & (t == j))
+
+
+def _likely_rows(key: tuple, held: pa.Table, percent: int, block: int = 256) -> np.ndarray:
+    """Which rows of a tile pair have a partner of another component that the estimate does not rule out."""
+    left, right = _sides(key, held)
+    out = np.zeros(held.num_rows, bool)
+    if not len(left) or not len(right):
+        return out
+    registers = np.frombuffer(b"".join(held.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    filled = np.unpackbits(np.frombuffer(b"".join(held.column("filled").to_pylist()), np.uint8).reshape(-1, REGISTERS // 8), axis=1).astype(bool)
+    n, component = held.column("n").to_numpy().astype(float), held.column("component").to_numpy()
+    octave, t = np.arange(58), percent / 100
+    share = (1 - 2.0 ** -(octave + 1)) ** (n / REGISTERS)[:, None] - (1 - 2.0**-octave) ** (n / REGISTERS)[:, None]
+    ours, theirs = np.where(filled, registers, 0xFFFF), np.ascontiguousarray(np.where(filled, registers, 0xFFFE)[right].T)  # no register is that large
+    full, size = filled.astype(np.float32), filled.sum(1)
+    for at in range(0, len(left), block):
+        a = left[at : at + block]
+        equal = np.zeros((len(a), len(right)), np.uint8)
+        for r in range(REGISTERS):
+            equal += ours[a, r][:, None] == theirs[r]
+        both = full[a] @ full[right].T
+        either = size[a][:, None] + size[right] - both
+        chance = share[a] @ share[right].T / (1 << MANTISSA) * both
+        near = (equal - chance) / np.maximum(either - chance, 1e-9) >= t - 6 * np.sqrt(t * (1 - t) / np.maximum(either, 1))
+        near &= component[a][:, None] != component[right]
+        near &= 100 * np.minimum(n[a][:, None], n[right]) >= percent * np.maximum(n[a][:, None], n[right])
+        out[a] |= near.any(1)
+        out[right] |= near.any(0)
+    return out
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, from the rows that hold each element."""
+    width = len(right)
+    flat = np.concatenate([*left, *right])
+    of = np.repeat(np.arange(len(left) + width), [len(x) for x in [*left, *right]])
+    order = np.lexsort((of, flat))
+    flat, of = flat[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    count = np.diff(np.append(first, len(flat)))
+    mine = np.add.reduceat((of < len(left)).astype(np.int64), first)
+    out = np.zeros(len(left) * width, np.int64)
+    sizes = np.unique(np.stack([mine, count - mine])[:, (mine > 0) & (mine < count)], axis=1)
+    for x, y in sizes.T.tolist():
+        here = first[(mine == x) & (count == x + y)]
+        step = max(1, 1_000_000 // (x * y))
+        for at in range(0, len(here), step):
+            f = here[at : at + step, None]
+            pairs = (of[f + np.arange(x)] * width)[:, :, None] + (of[f + x + np.arange(y)] - len(left))[:, None, :]
+            if pairs.size * 8 > out.size:
+                out += np.bincount(pairs.ravel(), minlength=out.size)
+            else:
+                np.add.at(out, pairs.ravel(), 1)
+    return out.reshape(len(left), width)
+
+
+def _links(key: tuple, held: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between the two sides of a tile pair, on full sets: enough of them to join what they join."""
+    left, right = _sides(key, held)
+    if not len(left) or not len(right):
         return []
-    sketches = [sketch(h[4]) for h in held]
-    registers = np.frombuffer(b"".join(x for x, _ in sketches), "<u2").reshape(-1, REGISTERS)
-    filled = np.unpackbits(np.frombuffer(b"".join(x for _, x in sketches), np.uint8).reshape(-1, REGISTERS // 8), axis=1).astype(bool)
-    n = np.array([len(h[4]) for h in held], float)
-    names, root = np.unique([h[1] for h in held], return_inverse=True)
-    parent = np.arange(len(names))
-    right = np.array(right)
-    t, out = percent / 100, []
-    for a in left:
-        b = right[parent[root[right]] != parent[root[a]]]
-        if kind == 0 and i == j:
-            b = b[b > a]
-        b = b[(100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))]
-        if not len(b):
-            continue
-        found, buckets = estimate(registers[a][None], registers[b], filled[a][None], filled[b], n[a : a + 1], n[b])
-        b = b[found >= t - 6 * np.sqrt(t * (1 - t) / np.maximum(buckets, 1))]
-        for k in b:  # the exact check, on full sets
-            if parent[root[k]] == parent[root[a]]:
-                continue
-            common = len(np.intersect1d(held[a][4], held[k][4], assume_unique=True))
-            if 100 * common >= percent * (n[a] + n[k] - common):
-                out.append((held[a][0], held[k][0]))
-                parent[parent == parent[root[k]]] = parent[root[a]]
+    lists = held.column("hashes").chunk(0)
+    flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+    sets = [flat[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    n = np.diff(edges)
+    ids, component = held.column("id").to_numpy(), held.column("component").to_numpy()
+    root = np.unique(component, return_inverse=True)[1]
+    common = _common([sets[k] for k in left], [sets[k] for k in right])
+    linked = 100 * common >= percent * (n[left][:, None] + n[right] - common)
+    out = []
+    for a, row in zip(left.tolist(), linked, strict=True):
+        for b in right[row & (root[right] != root[a])].tolist():
+            if root[a] != root[b]:
+                out.append((int(ids[a]), int(ids[b])))
+                root[root == root[b]] = root[a]
     return out
 
 
@@ -272,7 +336,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     links = written(_verified(_likely(stars, classes, percent), sets, percent), "links")
     groups = components(links)
     placed = written(members.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "placed")
-    more = _across(placed, classes.select("id", "n"), sets, percent)
+    more = _across(placed, classes, sets, percent)
     # stars of what is joined already, and the links between them; without those, nothing changes
     final = groups if more.isEmpty() else components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     discard(placed, sets, members, links, more)
@@ -281,4 +345,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     discard(classes, groups, final)
     found = signatures.select("k", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
-    return found.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
+    out = written(found.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept")), "near-duplicates")
+    discard(signatures, of_class)
+    return out

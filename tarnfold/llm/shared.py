@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +74,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def grouped(batches, by: int):
+    """(key, rows) of each group of a sorted Arrow stream whose first ``by`` columns are the key, without nulls."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        marks = np.stack([batch.column(k).to_numpy() for k in range(by)])
+        edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(by)):
+            yield _group(held, by)
+            held = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a:
+                yield _group(held, by)
+                held = []
+            held.append(table.slice(a, b - a))
+    if held:
+        yield _group(held, by)
+
+
+def _group(held: list[pa.Table], by: int) -> tuple[tuple, pa.Table]:
+    return tuple(held[0].column(k)[0].as_py() for k in range(by)), pa.concat_tables(held).combine_chunks()
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,11 +115,40 @@ def test_near_duplicates(spark, docs_of, width):
 def test_tiles_find_what_bands_left_apart(spark, docs_of, monkeypatch):
     rows = near_rows()
     across = minhash._across
-    monkeypatch.setattr(minhash, "_across", lambda *a: across(*a, tile=300))  # many tiles
+    monkeypatch.setattr(minhash, "_across", lambda *a: across(*a, tile=300, rows=7))  # many tiles
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(rows), width=2).collect()}
     assert got == brute_near(rows, 2, 80)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=2, max_size=9), st.data())
+def test_common_counts(sets, data):
+    cut = data.draw(st.integers(1, len(sets) - 1))
+    arrays = [np.array(sorted(s), np.int64) for s in sets]
+    assert minhash._common(arrays[:cut], arrays[cut:]).tolist() == [[len(a & b) for b in sets[cut:]] for a in sets[:cut]]
+
+
+def test_tile_of_related_rows_is_quick():
+    rng, m = np.random.default_rng(4), 2048
+    shared = rng.integers(1, 2**63, 40).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([rng.choice(shared, 16, replace=False), rng.integers(1, 2**63, 4).astype(np.uint64)])) for _ in range(m)]
+    sketches = [minhash.sketch(s) for s in sets]
+    held = pa.table({"id": range(m), "component": range(m), "minor": [True] * m, "t": pa.array([0] * m, pa.int32()), "n": [len(s) for s in sets], "registers": [x for x, _ in sketches], "filled": [x for _, x in sketches]})
+    began = time.process_time()
+    minhash._likely_rows((0, 0, 0, 0), held, 80)
+    links = minhash._links((0, 0, 0, 0), held.append_column("hashes", pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))), 80)
+    assert time.process_time() - began < 20
+    u, brute = Union(), Union()
+    for a, b in links:
+        u.join(a, b)
+    members = [set(s.tolist()) for s in sets]
+    for a in range(0, m, 16):
+        for b in range(m):
+            if a != b and 10 * len(members[a] & members[b]) >= 8 * len(members[a] | members[b]):
+                brute.join(a, b)
+                assert u.find(a) == u.find(b)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=400))
 def test_registers(values):

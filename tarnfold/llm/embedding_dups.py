@@ -1,16 +1,21 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-A unit vector is rotated by a random orthogonal matrix; the signs are its code, and its inner product
-with the code's own unit vector is stored as a correction factor. Code and factor give an unbiased
-estimate of the inner product with any rotated vector, and a confidence bound. Runs of code bits are
-table keys; vectors that share a key are compared: pairs whose upper bound reaches the threshold are
-recomputed exactly, in double precision; the others are dropped unseen.
+A unit vector is rotated by random orthogonal matrices; the signs are its code, and its inner product with
+the code's own unit vector is stored as a correction factor. The first rotation is stored in 8 bits a
+dimension, too. Code and factor of one vector and the 8-bit form of another give an unbiased estimate of
+their inner product, and a confidence bound. Runs of code bits are table keys; vectors that share a key are
+compared by these small forms alone. Rows with a pair whose upper bound reaches the threshold come again
+with their whole vectors, and such pairs are recomputed in double precision; the others are dropped unseen.
 
 Tables: bits per key grow with the logarithm of the number of distinct vectors and the number of tables
 follows from the wanted recall of a pair at the threshold, so a bucket stays small at every size. Equal
 vectors are one class with a multiplicity. A bucket above ``tile`` rows is cut into tiles that are
 compared two at a time; a pair counts only in the first table that both share, and a group hands on a
 row a vector (link count and a root), never its pairs.
+
+Scale: a table costs a key and an id a vector; buckets of several ship codes (an eighth of a byte a
+dimension and rotation) and 8-bit forms (a byte a dimension), whole vectors (8 bytes a dimension) only
+where the estimate leaves a pair. A comparison holds blocks of ``tile`` x ``_BLOCK`` estimates.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, written
+from .shared import discard, grouped, partitions, written
 
 
 def rotations(dim: int, count: int, seed: int = 20240501) -> np.ndarray:
@@ -41,36 +46,50 @@ class Coder:
         self.dim, self.bits, self.tables = dim, bits, tables
         self.each = max(1, dim // bits)
         self.matrices = rotations(dim, -(-tables // self.each))
+        self.weights = 1 << np.arange(min(bits, 62), dtype=np.int64)
 
-    def codes(self, unit: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rotated vectors, their signs (+1, -1) and correction factors."""
-        turned = unit @ self.matrices[k].T
-        signs = np.where(turned >= 0, 1.0, -1.0)
-        return turned, signs, np.abs(turned).sum(1) / math.sqrt(self.dim)
+    def codes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Code bits (rows x rotations x dim), the first rotation's correction factors, and it in 8 bits with its scale."""
+        bits = np.stack([unit @ m.T >= 0 for m in self.matrices], axis=1)
+        turned = unit @ self.matrices[0].T
+        return bits, np.abs(turned).sum(1) / math.sqrt(self.dim), turned
 
-    def keys(self, unit: np.ndarray) -> np.ndarray:
-        """Table keys (rows x tables); with fewer dimensions than bits, all signs are the key."""
-        out = np.empty((len(unit), self.tables), np.int64)
-        weights = 1 << np.arange(min(self.bits, 62), dtype=np.int64)
+    def keys(self, bits: np.ndarray) -> np.ndarray:
+        """Table keys (rows x tables) of code bits; with fewer dimensions than bits, all signs are the key."""
+        out = np.empty((len(bits), self.tables), np.int64)
         for t in range(self.tables):
             k, at = divmod(t, self.each)
-            if at == 0:
-                signs = unit @ self.matrices[k].T >= 0
-            piece = signs[:, at * self.bits : (at + 1) * self.bits]
-            out[:, t] = piece @ weights[: piece.shape[1]]
+            piece = bits[:, k, at * self.bits : (at + 1) * self.bits]
+            out[:, t] = piece @ self.weights[: piece.shape[1]]
         return out
 
+    def unpacked(self, packed: list[bytes]) -> np.ndarray:
+        flat = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)
+        return flat[:, : len(self.matrices) * self.dim].reshape(len(packed), len(self.matrices), self.dim)
+
+
+_BLOCK = 128
+
+
+def quantized(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotated vectors in 8 bits, and the scale of each."""
+    scale = np.abs(turned).max(1) / 127
+    return np.rint(turned / scale[:, None]).astype(np.int8), scale
+
 
 def bound(factor: np.ndarray, dim: int, confidence: float) -> np.ndarray:
-    """How far a row's estimates may be off."""
+    """How far a row's estimates may be off: the code's share, and that of 8 bits.
+
+    ``confidence`` counts the deviations of any pair. At a cosine c they shrink by sqrt(1 - c * c), so 1.9 is about 6 at 0.95.
+    """
     f = np.clip(factor, 1e-9, 1.0)
-    return confidence * np.sqrt((1 - f * f) / (f * f) / max(1, dim - 1))
+    return confidence * np.sqrt((1 - f * f) / (f * f) / max(1, dim - 1)) + 0.5 / 127 / f
 
 
 def estimated(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of all inner products, and each row's bound."""
+    """Unbiased estimates of all inner products (signs +1, -1 against rotated vectors), and each row's bound."""
     dim = signs.shape[1]
-    found = (signs @ turned.T) / (math.sqrt(dim) * np.clip(factor, 1e-9, 1.0)[:, None])
+    found = (signs @ turned.T) / (math.sqrt(dim) * np.clip(factor, 1e-9, 1.0)[:, None]).astype(signs.dtype)
     return found, bound(factor, dim, confidence)
 
 
@@ -125,8 +144,9 @@ def near_vectors(
         plan[dim] = (bits, math.ceil(math.log(miss) / math.log(1 - same_bit**bits)))
     found = None
     if plan:
-        found = _compare(classes, plan, threshold, confidence, tile, partitions(spark))
+        found, made = _compare(classes, plan, threshold, confidence, tile, partitions(spark))
         found = written(found, "vector-links")
+        discard(*made)
     counts = found.groupBy("id").agg(F.sum("links").alias("links")) if found is not None else spark.createDataFrame([], "id long, links long")
     edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")) if found is not None else spark.createDataFrame([], "a long, b long")
     # a key of several vectors is one node
@@ -142,120 +162,155 @@ def near_vectors(
     )
     out = raw.select("k", "h1", "h2", "dim").join(labels, ["h1", "h2", "dim"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
-    return out.select(F.col("k").alias(key), F.when(F.col("k").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept"))
+    links = F.when(F.col("k").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
+    out = written(out.select(F.col("k").alias(key), links.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept")), "near-vectors")
+    discard(raw, classes, labels, groups, *([found] if plan else []))
+    return out
+
+
+_GROUP = ["dim", "t", "key", "i", "j"]
 
 
 def _compare(classes, plan, threshold, confidence, tile, parts):
-    def key_rows(batches):
-        coders = {}
+    """``id, links, root`` of the rows of each tile, and tables to discard."""
+
+    def code_rows(batches):
+        coders: dict = {}
         for batch in batches:
-            dims = batch.column(1).to_pylist()
-            for dim in sorted(set(dims)):
-                coder = coders.setdefault(dim, Coder(dim, *plan[dim]))
-                pick = [i for i, d in enumerate(dims) if d == dim]
-                part = batch.take(pa.array(pick, pa.int32()))
-                _, unit = _unit(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(coder.keys(unit)), pa.list_(pa.int64()))], names=["id", "dim", "keys"])
-
-    keyed = classes.select("id", "dim", "v").mapInArrow(key_rows, "id long, dim int, keys array<long>")
-    light = written(keyed.select("id", "dim", F.posexplode("keys").alias("t", "key")), "vector-keys")
+            for at in range(0, batch.num_rows, 512):
+                cut = batch.slice(at, 512)
+                dims = cut.column(1).to_pylist()
+                for dim in sorted(set(dims)):
+                    coder = coders.setdefault(dim, Coder(dim, *plan[dim]))
+                    part = cut.take(pa.array([i for i, d in enumerate(dims) if d == dim], pa.int32()))
+                    bits, factor, turned = coder.codes(_unit(part.column(2).to_pylist())[1])
+                    small, scale = quantized(turned)
+                    packed = np.packbits(bits.reshape(len(bits), -1), axis=1)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), part.column(1), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(factor), pa.array([x.tobytes() for x in small], pa.binary()), pa.array(scale), pa.array(list(coder.keys(bits)), pa.list_(pa.int64()))],
+                        names=["id", "dim", "code", "factor", "small", "scale", "keys"],
+                    )
+
+    coded = classes.select("id", "dim", "v").mapInArrow(code_rows, "id long, dim int, code binary, factor double, small binary, scale double, keys array<long>")
+    coded = written(coded, "vector-codes")
+    light = coded.select("id", "dim", F.posexplode("keys").alias("t", "key"))
     buckets = light.groupBy("dim", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
     dealt = (
         light.join(buckets, ["dim", "t", "key"])
-        .withColumn("tiles", tiles)
+        .withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
         .withColumn("own", own)
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("id", "dim", "t", "key", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
     )
-    group = ["dim", "t", "key", "i", "j"]
-    rows = dealt.join(classes.select("id", "many", "v"), "id").select(*group, "own", "id", "many", "v")
-    rows = rows.repartition(parts, *group).sortWithinPartitions(*group)
-
-    def run(batches):
+    forms = ["code", "factor", "small", "scale"]
+
+    def sorted_tiles(df):
+        return df.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP)
+
+    def tiles_of(batches):
+        """Rows of whole tiles, many small ones together, and where each tile begins."""
+        held, n = [], 0
+        for key, rows in grouped(batches, 5):
+            if held and (n + rows.num_rows > 4096 or held[0][0][0] != key[0]):
+                yield pa.concat_tables([r for _, r in held]).combine_chunks(), held
+                held, n = [], 0
+            held.append((key, rows))
+            n += rows.num_rows
+        if held:
+            yield pa.concat_tables([r for _, r in held]).combine_chunks(), held
+
+    def likely(batches):
         coders: dict = {}
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            marks = np.stack([held.column(g).to_numpy() for g in group])
-            last = np.flatnonzero((marks != marks[:, -1:]).any(0))
-            whole = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
-            if whole >= 4096:
-                yield from _compared(coders, plan, held.slice(0, whole), threshold, confidence)
-                held = held.slice(whole).combine_chunks()
-        if held is not None:
-            yield from _compared(coders, plan, held, threshold, confidence)
-
-    return rows.mapInArrow(run, "id long, links long, root long")
-
-
-def _compared(coders: dict, plan: dict, rows: pa.Table, threshold: float, confidence: float):
-    """(id, linked vectors, root) for the rows of whole groups, one vector length at a time."""
-    marks = np.stack([rows.column(g).to_numpy() for g in ("dim", "t", "key", "i", "j")])
-    for dim in np.unique(marks[0]).tolist():
-        pick = np.flatnonzero(marks[0] == dim)
-        part = rows.take(pa.array(pick))
-        coder = coders.setdefault(dim, Coder(dim, *plan[dim]))
-        starts = np.flatnonzero(np.concatenate([[True], (marks[:, pick][:, 1:] != marks[:, pick][:, :-1]).any(0)]))
-        found = _block(coder, marks[1:, pick], starts, part, threshold, confidence)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "links", "root"])
-
-
-def _pairs(starts: np.ndarray, sizes: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray):
-    """Row pairs of all groups, in pieces: within a tile every pair once, of two tiles one row of each."""
-    within = i[starts] == j[starts]
-    for size in np.unique(sizes[within]).tolist():
-        if size < 2:
-            continue
-        a, b = np.triu_indices(size, 1)
-        of = starts[within & (sizes == size)]
-        step = max(1, 500_000 // len(a))
-        for at in range(0, len(of), step):
-            first = of[at : at + step, None]
-            yield (first + a).ravel(), (first + b).ravel()
-    for s, n in zip(starts[~within], sizes[~within], strict=True):
-        left = s + np.flatnonzero(own[s : s + n] == i[s])
-        right = s + np.flatnonzero(own[s : s + n] == j[s])
-        for at in range(0, len(left), 256):
-            yield np.repeat(left[at : at + 256], len(right)), np.tile(right, len(left[at : at + 256]))
-
-
-def _block(coder: Coder, marks: np.ndarray, starts: np.ndarray, rows: pa.Table, threshold: float, confidence: float):
-    t, _, i, j = marks
-    own, ids, many = (rows.column(c).to_numpy() for c in ("own", "id", "many"))
+        for rows, held in tiles_of(batches):
+            coder = coders.setdefault(held[0][0][0], Coder(held[0][0][0], *plan[held[0][0][0]]))
+            block = _Block(coder, rows, threshold, confidence)
+            near = np.zeros(rows.num_rows, bool)
+            at = 0
+            for (_, t, _, i, j), part in held:
+                for a, b in block.pairs(np.arange(at, at + part.num_rows), t, i, j):
+                    near[a] = near[b] = True
+                at += part.num_rows
+            if near.any():
+                yield from rows.select([*_GROUP, "own", "id"]).take(np.flatnonzero(near)).combine_chunks().to_batches()
+
+    small = dealt.join(coded.select("id", *forms), "id").select(*_GROUP, "own", "id", *forms)
+    near = written(sorted_tiles(small).mapInArrow(likely, "dim int, t int, key long, i int, j int, own int, id long"), "vector-pairs")
+
+    def exact(batches):
+        coders: dict = {}
+        for rows, held in tiles_of(batches):
+            coder = coders.setdefault(held[0][0][0], Coder(held[0][0][0], *plan[held[0][0][0]]))
+            if found := _exact(coder, rows, held, threshold, confidence):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "links", "root"])
+
+    whole = near.join(coded.select("id", *forms), "id").join(classes.select("id", "many", "v"), "id").select(*_GROUP, "own", "id", *forms, "many", "v")
+    return sorted_tiles(whole).mapInArrow(exact, "id long, links long, root long"), [coded, near]
+
+
+class _Block:
+    """The small forms of some rows, and the pairs that they do not rule out."""
+
+    def __init__(self, coder: Coder, rows: pa.Table, threshold: float, confidence: float):
+        n = rows.num_rows
+        self.threshold, self.own = threshold, rows.column("own").to_numpy()
+        self.bits = coder.unpacked(rows.column("code").to_pylist())
+        self.keys = coder.keys(self.bits)
+        self.signs = self.bits[:, 0].astype(np.float32) * 2 - 1
+        factor = np.clip(rows.column("factor").to_numpy(), 1e-9, 1.0)
+        self.off = bound(factor, coder.dim, confidence)
+        self.signs /= (math.sqrt(coder.dim) * factor)[:, None]
+        self.turned = np.frombuffer(b"".join(rows.column("small").to_pylist()), np.int8).reshape(n, -1) * rows.column("scale").to_numpy().astype(np.float32)[:, None]
+
+    def pairs(self, rows: np.ndarray, t: int, i: int, j: int):
+        """Pairs of a tile (or of two) whose upper bound reaches the threshold and whose first common table is ``t``."""
+        left, right = (rows, rows) if i == j else (rows[self.own[rows] == i], rows[self.own[rows] == j])
+        if len(rows) < 2:
+            return
+        for at in range(0, len(left), _BLOCK):
+            a = left[at : at + _BLOCK]
+            near = self.signs[a] @ self.turned[right].T >= (self.threshold - self.off[a])[:, None]
+            if i == j:
+                near &= right[None, :] > a[:, None]
+            x, y = np.nonzero(near)
+            if len(x):
+                x, y = a[x], right[y]
+                first = np.ones(len(x), bool)
+                for earlier in range(t):
+                    first &= self.keys[x, earlier] != self.keys[y, earlier]
+                if first.any():
+                    yield x[first], y[first]
+
+
+def _exact(coder: Coder, rows: pa.Table, held: list, threshold: float, confidence: float):
+    """(id, linked vectors, root) of whole tiles, from exact inner products of the pairs that the estimates leave."""
+    ids, many = rows.column("id").to_numpy(), rows.column("many").to_numpy()
+    block = _Block(coder, rows, threshold, confidence)
     _, unit = _unit(rows.column("v").to_pylist())
-    turned, signs, factor = coder.codes(unit)
-    off = bound(factor, coder.dim, confidence)
-    keys = coder.keys(unit)
-    before = np.arange(coder.tables)
-    kept_a, kept_b = [], []
-    for a, b in _pairs(starts, np.diff(np.append(starts, len(ids))), own, i, j):
-        found = np.einsum("ij,ij->i", signs[a], turned[b]) / (math.sqrt(coder.dim) * np.clip(factor[a], 1e-9, 1.0))
-        near = found + off[a] >= threshold
-        a, b = a[near], b[near]
-        # a pair counts in the first table that both share
-        first = ~((keys[a] == keys[b]) & (before[None, :] < t[a][:, None])).any(1)
-        a, b = a[first], b[first]
-        exact = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold  # double precision
-        kept_a.append(a[exact])
-        kept_b.append(b[exact])
-    a, b = (np.concatenate(x) if x else np.empty(0, int) for x in (kept_a, kept_b))
-    if not len(a):
-        return None
-    links = np.bincount(a, many[b], len(ids)) + np.bincount(b, many[a], len(ids))
-    root = np.arange(len(ids))
-    while True:  # the smallest row number reachable inside a group
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            break
-        root = low
-    at = np.flatnonzero(links)
-    return ids[at], links[at].astype(np.int64), ids[root[at]]
+    links, root, at = np.zeros(len(ids), np.int64), np.arange(len(ids)), 0
+    for (_, t, _, i, j), part in held:
+        of = np.arange(at, at + part.num_rows)
+        for a, b in block.pairs(of, t, i, j):
+            for cut in range(0, len(a), step := max(256, 4_000_000 // coder.dim)):
+                x, y = a[cut : cut + step], b[cut : cut + step]
+                same = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold  # double precision
+                x, y = x[same], y[same]
+                np.add.at(links, x, many[y])
+                np.add.at(links, y, many[x])
+                apart = root[x] != root[y]
+                _join(root, x[apart], y[apart], of)
+        at += part.num_rows
+    hit = np.flatnonzero(links)
+    return (ids[hit], links[hit], ids[root[hit]]) if len(hit) else None
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray) -> None:
+    """Lowers ``root`` (a row number for each row, roots their own) so that linked rows share it; rows ``of`` one tile."""
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root[of]] != root[of]).any():
+            root[of] = root[root[of]]
+        left = root[a] != root[b]
+        a, b = a[left], b[left]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -328,13 +329,36 @@ def test_estimate_bounds_hold():
     a = rng.standard_normal((300, 64))
     b = a + 0.2 * rng.standard_normal((300, 64))
     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-    _, signs, factor = coder.codes(a)
-    turned, _, _ = coder.codes(b)
-    found, off = embedding_dups.estimated(signs, factor, turned, 1.9)
+    bits, factor, _ = coder.codes(a)
+    small, scale = embedding_dups.quantized(coder.codes(b)[2])
+    found, off = embedding_dups.estimated(bits[:, 0] * 2.0 - 1, factor, small * scale[:, None], 1.9)
     true = a @ b.T
     assert abs((found - true).mean()) < 0.005  # unbiased
     assert (np.abs(found - true) <= off[:, None]).mean() > 0.9
     assert (np.diag(found) + off >= np.diag(true)).all()
+    packed = [x.tobytes() for x in np.packbits(bits.reshape(300, -1), axis=1)]
+    assert (coder.unpacked(packed) == bits).all()
+
+
+@pytest.mark.parametrize("dim", [768, 1536])
+def test_hot_buckets_of_wide_vectors_fit(dim):
+    rng, m = np.random.default_rng(2), 1024
+    coder = embedding_dups.Coder(dim, 12, 40)
+    v = rng.standard_normal(dim) + rng.uniform(0.1, 0.4, (m, 1)) * rng.standard_normal((m, dim))
+    tracemalloc.start()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    bits, factor, turned = coder.codes(unit)
+    small, scale = embedding_dups.quantized(turned)
+    rows = pa.table(
+        {"own": pa.array([0] * m, pa.int32()), "id": range(m), "code": [x.tobytes() for x in np.packbits(bits.reshape(m, -1), axis=1)], "factor": factor, "small": [x.tobytes() for x in small], "scale": scale, "many": [1] * m, "v": [x.tobytes() for x in v]}
+    )
+    ids, links, roots = embedding_dups._exact(coder, rows, [((dim, 0, 0, 0, 0), rows)], 0.95, 1.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600_000_000
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    missed = want.sum() - links.sum()
+    assert 0 <= missed <= 0.001 * want.sum() and set(ids.tolist()) <= set(np.flatnonzero(want).tolist()) and len(set(roots.tolist())) == 1
 
 
 def test_one_key_on_two_texts_or_vectors(spark, docs_of):

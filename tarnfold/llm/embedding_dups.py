@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, grouped, partitions, written
+from .shared import discard, partitions, written
 
 
 def rotations(dim: int, count: int, seed: int = 20240501) -> np.ndarray:
@@ -208,29 +208,13 @@ def _compare(classes, plan, threshold, confidence, tile, parts):
     def sorted_tiles(df):
         return df.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP)
 
-    def tiles_of(batches):
-        """Rows of whole tiles, many small ones together, and where each tile begins."""
-        held, n = [], 0
-        for key, rows in grouped(batches, 5):
-            if held and (n + rows.num_rows > 4096 or held[0][0][0] != key[0]):
-                yield pa.concat_tables([r for _, r in held]).combine_chunks(), held
-                held, n = [], 0
-            held.append((key, rows))
-            n += rows.num_rows
-        if held:
-            yield pa.concat_tables([r for _, r in held]).combine_chunks(), held
-
     def likely(batches):
         coders: dict = {}
-        for rows, held in tiles_of(batches):
-            coder = coders.setdefault(held[0][0][0], Coder(held[0][0][0], *plan[held[0][0][0]]))
-            block = _Block(coder, rows, threshold, confidence)
+        for dim, marks, starts, rows in _tiles(batches):
+            coder = coders.setdefault(dim, Coder(dim, *plan[dim]))
             near = np.zeros(rows.num_rows, bool)
-            at = 0
-            for (_, t, _, i, j), part in held:
-                for a, b in block.pairs(np.arange(at, at + part.num_rows), t, i, j):
-                    near[a] = near[b] = True
-                at += part.num_rows
+            for a, b, _ in _Block(coder, rows, threshold, confidence).pairs(marks, starts):
+                near[a] = near[b] = True
             if near.any():
                 yield from rows.select([*_GROUP, "own", "id"]).take(np.flatnonzero(near)).combine_chunks().to_batches()
 
@@ -239,73 +223,115 @@ def _compare(classes, plan, threshold, confidence, tile, parts):
 
     def exact(batches):
         coders: dict = {}
-        for rows, held in tiles_of(batches):
-            coder = coders.setdefault(held[0][0][0], Coder(held[0][0][0], *plan[held[0][0][0]]))
-            if found := _exact(coder, rows, held, threshold, confidence):
+        for dim, marks, starts, rows in _tiles(batches):
+            coder = coders.setdefault(dim, Coder(dim, *plan[dim]))
+            if found := _exact(coder, rows, marks, starts, threshold, confidence):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "links", "root"])
 
     whole = near.join(coded.select("id", *forms), "id").join(classes.select("id", "many", "v"), "id").select(*_GROUP, "own", "id", *forms, "many", "v")
     return sorted_tiles(whole).mapInArrow(exact, "id long, links long, root long"), [coded, near]
 
 
+def _tiles(batches, least: int = 4096):
+    """(dim, marks, first rows, rows) of whole tiles of a sorted stream, many small ones together; marks are those of ``_GROUP``."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        while held.num_rows > least:
+            marks = np.stack([held.column(g).to_numpy() for g in _GROUP])
+            first = np.flatnonzero(np.concatenate([[True], (marks[:, 1:] != marks[:, :-1]).any(0)]))
+            if first[-1] == 0:  # one tile, which may go on
+                break
+            end = first[first >= least][0] if first[-1] >= least else first[-1]
+            yield from _by_dim(marks[:, :end], first[first < end], held.slice(0, end))
+            held = held.slice(end)
+        held = held.combine_chunks()
+    if held is not None and held.num_rows:
+        marks = np.stack([held.column(g).to_numpy() for g in _GROUP])
+        yield from _by_dim(marks, np.flatnonzero(np.concatenate([[True], (marks[:, 1:] != marks[:, :-1]).any(0)])), held)
+
+
+def _by_dim(marks: np.ndarray, first: np.ndarray, rows: pa.Table):
+    for dim in np.unique(marks[0]).tolist():
+        here = marks[0] == dim  # rows of a vector length need not be neighbours
+        if here.all():
+            yield dim, marks, first, rows.combine_chunks()
+        else:
+            at = np.flatnonzero(here)
+            yield dim, marks[:, at], np.flatnonzero(np.isin(at, first)), rows.take(at).combine_chunks()
+
+
 class _Block:
     """The small forms of some rows, and the pairs that they do not rule out."""
 
     def __init__(self, coder: Coder, rows: pa.Table, threshold: float, confidence: float):
         n = rows.num_rows
         self.threshold, self.own = threshold, rows.column("own").to_numpy()
-        self.bits = coder.unpacked(rows.column("code").to_pylist())
-        self.keys = coder.keys(self.bits)
-        self.signs = self.bits[:, 0].astype(np.float32) * 2 - 1
+        bits = coder.unpacked(rows.column("code").to_pylist())
+        self.keys = coder.keys(bits)
         factor = np.clip(rows.column("factor").to_numpy(), 1e-9, 1.0)
         self.off = bound(factor, coder.dim, confidence)
-        self.signs /= (math.sqrt(coder.dim) * factor)[:, None]
+        self.signs = (bits[:, 0].astype(np.float32) * 2 - 1) / (math.sqrt(coder.dim) * factor.astype(np.float32))[:, None]
         self.turned = np.frombuffer(b"".join(rows.column("small").to_pylist()), np.int8).reshape(n, -1) * rows.column("scale").to_numpy().astype(np.float32)[:, None]
 
-    def pairs(self, rows: np.ndarray, t: int, i: int, j: int):
-        """Pairs of a tile (or of two) whose upper bound reaches the threshold and whose first common table is ``t``."""
-        left, right = (rows, rows) if i == j else (rows[self.own[rows] == i], rows[self.own[rows] == j])
-        if len(rows) < 2:
-            return
-        for at in range(0, len(left), _BLOCK):
-            a = left[at : at + _BLOCK]
-            near = self.signs[a] @ self.turned[right].T >= (self.threshold - self.off[a])[:, None]
-            if i == j:
-                near &= right[None, :] > a[:, None]
-            x, y = np.nonzero(near)
-            if len(x):
-                x, y = a[x], right[y]
-                first = np.ones(len(x), bool)
-                for earlier in range(t):
-                    first &= self.keys[x, earlier] != self.keys[y, earlier]
-                if first.any():
-                    yield x[first], y[first]
-
-
-def _exact(coder: Coder, rows: pa.Table, held: list, threshold: float, confidence: float):
+    def pairs(self, marks: np.ndarray, starts: np.ndarray, small: int = 32):
+        """(rows, rows, a tile's first row or None): pairs of tiles whose upper bound reaches the threshold and whose first common table is their own."""
+        sizes = np.diff(np.append(starts, marks.shape[1]))
+        one = marks[3, starts] == marks[4, starts]
+        for size in np.unique(sizes[one & (sizes <= small) & (sizes > 1)]).tolist():  # all small tiles of a size at once
+            x, y = np.triu_indices(size, 1)
+            of = starts[one & (sizes == size)]
+            step = max(1, 200_000 // len(x))
+            for at in range(0, len(of), step):
+                a, b = (of[at : at + step, None] + x).ravel(), (of[at : at + step, None] + y).ravel()
+                near = np.einsum("ij,ij->i", self.signs[a], self.turned[b]) + self.off[a] >= self.threshold
+                yield *self._first(a[near], b[near], marks[1, a[near]]), None
+        for s, n, within in zip(starts.tolist(), sizes.tolist(), one.tolist(), strict=True):
+            if n < 2 or within and n <= small:
+                continue
+            of, t = np.arange(s, s + n), marks[1, s]
+            left, right = (of, of) if within else (of[self.own[of] == marks[3, s]], of[self.own[of] == marks[4, s]])
+            for at in range(0, len(left), _BLOCK):
+                a = left[at : at + _BLOCK]
+                near = self.signs[a] @ self.turned[right].T >= (self.threshold - self.off[a])[:, None]
+                if within:
+                    near &= right[None, :] > a[:, None]
+                x, y = np.nonzero(near)
+                yield *self._first(a[x], right[y], np.full(len(x), t)), s
+
+    def _first(self, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = np.ones(len(a), bool)
+        for earlier in range(int(t.max(initial=0))):
+            new &= (self.keys[a, earlier] != self.keys[b, earlier]) | (t <= earlier)
+        return a[new], b[new]
+
+
+def _exact(coder: Coder, rows: pa.Table, marks: np.ndarray, starts: np.ndarray, threshold: float, confidence: float):
     """(id, linked vectors, root) of whole tiles, from exact inner products of the pairs that the estimates leave."""
     ids, many = rows.column("id").to_numpy(), rows.column("many").to_numpy()
-    block = _Block(coder, rows, threshold, confidence)
     _, unit = _unit(rows.column("v").to_pylist())
-    links, root, at = np.zeros(len(ids), np.int64), np.arange(len(ids)), 0
-    for (_, t, _, i, j), part in held:
-        of = np.arange(at, at + part.num_rows)
-        for a, b in block.pairs(of, t, i, j):
-            for cut in range(0, len(a), step := max(256, 4_000_000 // coder.dim)):
-                x, y = a[cut : cut + step], b[cut : cut + step]
-                same = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold  # double precision
-                x, y = x[same], y[same]
-                np.add.at(links, x, many[y])
-                np.add.at(links, y, many[x])
-                apart = root[x] != root[y]
-                _join(root, x[apart], y[apart], of)
-        at += part.num_rows
+    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    ends = np.append(starts, len(ids))
+    for a, b, tile in _Block(coder, rows, threshold, confidence).pairs(marks, starts):
+        of = slice(None) if tile is None else slice(tile, ends[np.searchsorted(ends, tile) + 1])
+        step = max(256, 4_000_000 // coder.dim)
+        for cut in range(0, len(a), step):
+            x, y = a[cut : cut + step], b[cut : cut + step]
+            same = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold  # double precision
+            x, y = x[same], y[same]
+            np.add.at(links, x, many[y])
+            np.add.at(links, y, many[x])
+            apart = root[x] != root[y]
+            _join(root, x[apart], y[apart], of)
     hit = np.flatnonzero(links)
     return (ids[hit], links[hit], ids[root[hit]]) if len(hit) else None
 
 
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray, of: np.ndarray) -> None:
-    """Lowers ``root`` (a row number for each row, roots their own) so that linked rows share it; rows ``of`` one tile."""
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray, of: slice) -> None:
+    """Lowers ``root`` (a row number for each row, roots their own) so that linked rows share it; ``of`` holds them all."""
     while len(a):
         low = np.minimum(root[a], root[b])
         np.minimum.at(root, root[a], low)

@@ -352,7 +352,7 @@ def test_hot_buckets_of_wide_vectors_fit(dim):
     rows = pa.table(
         {"own": pa.array([0] * m, pa.int32()), "id": range(m), "code": [x.tobytes() for x in np.packbits(bits.reshape(m, -1), axis=1)], "factor": factor, "small": [x.tobytes() for x in small], "scale": scale, "many": [1] * m, "v": [x.tobytes() for x in v]}
     )
-    ids, links, roots = embedding_dups._exact(coder, rows, [((dim, 0, 0, 0, 0), rows)], 0.95, 1.9)
+    ids, links, roots = embedding_dups._exact(coder, rows, np.zeros((5, m), np.int64), np.array([0]), 0.95, 1.9)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 600_000_000

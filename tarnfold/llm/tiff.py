@@ -1,10 +1,11 @@
 """TIFF media columns: a reader for one row per page, and a lossless writer.
 
 The reader walks the image directories of either byte order, decodes strips or tiles that are plain,
-PackBits, LZW or deflate, undoes horizontal differencing and joins planes to interleaved samples of 8 or
-16 bits. The writer makes strips or tiles with the same compressions.
+PackBits, LZW or deflate, undoes horizontal and floating-point differencing and joins planes to interleaved
+samples: unsigned of 1, 2, 4, 8, 16, 32 or 64 bits, signed of 8 and more, floating point of 16, 32 or 64.
+The writer makes strips or tiles with the same compressions.
 
-Scale: one pass without a shuffle; a task holds one image at a time.
+Scale: one pass without a shuffle; a task holds one page at a time, of at most ``largest`` bytes of samples.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .shared import raw_texts
 # Tags and compression numbers of the TIFF 6.0 specification, and Adobe's deflate.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 262, 273, 277
 ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 278, 279, 284, 317, 322, 323, 324, 325
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 CLEAR, END = 256, 257
@@ -36,7 +38,8 @@ class Page:
     samples: int
     bits: int
     compression: int
-    pixels: np.ndarray  # height x width x samples
+    pixels: np.ndarray  # height x width x samples; samples of less than 8 bits as bytes
+    sample_format: int = 1  # unsigned, signed, floating point: 1, 2, 3
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:
@@ -73,9 +76,10 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, size: int) -> bytes:
+    """At least ``size`` bytes, if the data hold them; what follows is left alone."""
     table = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, hold, have, width, last = [], 0, 0, 9, None
+    out, made, hold, have, width, last = [], 0, 0, 0, 9, None
     for byte in data:
         hold = hold << 8 | byte
         have += 8
@@ -91,6 +95,8 @@ def lzw_decode(data: bytes) -> bytes:
             width, last = 9, None
             continue
         if last is None:
+            if code > 255:
+                raise ValueError("damaged LZW data")
             entry = table[code]
         else:
             if code > len(table):
@@ -98,6 +104,9 @@ def lzw_decode(data: bytes) -> bytes:
             entry = table[code] if code < len(table) else last + last[:1]
             table.append(last + entry[:1])
         out.append(entry)
+        made += len(entry)
+        if made >= size:
+            break
         last = entry
         # codes widen one entry early
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
@@ -184,60 +193,97 @@ def _segment(data: bytes, compression: int, size: int) -> bytes:
     if compression == PACKBITS:
         return unpack_bits(data, size)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if compression in (DEFLATE, OLD_DEFLATE):
         return _inflate(data, size)
     raise ValueError(f"compression {compression} is not supported")
 
 
-def read_pages(data: bytes) -> list[Page]:
+def read_pages(data: bytes, largest: int = 1 << 28):
+    """The pages of a file, one at a time; more than ``largest`` bytes of samples in all are refused."""
     order, found = directories(data)
-    return [_read_page(data, order, tags, k) for k, tags in enumerate(found)]
-
-
-def _read_page(data: bytes, order: str, tags: dict, number: int) -> Page:
-    width, height = tags[WIDTH][0], tags[LENGTH][0]
-    samples, bits = tags.get(SAMPLES, (1,))[0], tags.get(BITS, (1,))[0]
-    compression, predictor = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
-    if bits not in (8, 16) or predictor not in (1, 2):
-        raise ValueError(f"{bits} bits with predictor {predictor} are not supported")
-    separate = tags.get(PLANAR, (1,))[0] == 2 and samples > 1
+    for k, tags in enumerate(found):
+        page = _read_page(data, order, tags, k, largest)
+        largest -= page.pixels.nbytes
+        yield page
+
+
+def _whole(tags: dict, tag: int, default: tuple | None = None, least: int = 0) -> tuple:
+    """The values of a tag of whole numbers."""
+    values = tags.get(tag, default)
+    if not values or not all(isinstance(v, int) and v >= least for v in values):
+        raise ValueError(f"tag {tag} is missing or out of range")
+    return values
+
+
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def _read_page(data: bytes, order: str, tags: dict, number: int, largest: int) -> Page:
+    width, height = _whole(tags, WIDTH, least=1)[0], _whole(tags, LENGTH, least=1)[0]
+    samples = _whole(tags, SAMPLES, (1,), 1)[0]
+    each, forms = _whole(tags, BITS, (1,), 1), _whole(tags, SAMPLE_FORMAT, (1,))
+    bits, form = each[0], 1 if forms[0] == 4 else forms[0]  # undefined samples are read as they are
+    compression, predictor = _whole(tags, COMPRESSION, (NONE,))[0], _whole(tags, PREDICTOR, (1,))[0]
+    if len(set(each)) > 1 or len(set(forms)) > 1 or bits not in {1: (1, 2, 4, 8, 16, 32, 64), 2: (8, 16, 32, 64), 3: (16, 32, 64)}.get(form, ()):
+        raise ValueError(f"samples of {each} bits in format {forms} are not supported")
+    if predictor not in (1, 2, 3) or predictor == 2 and (bits < 8 or form == 3) or predictor == 3 and form != 3:
+        raise ValueError(f"predictor {predictor} with {bits} bits in format {form} is not supported")
+    kind = np.dtype(order + {1: "u", 2: "i", 3: "f"}[form] + str(max(1, bits // 8)))
+    if height * width * samples * kind.itemsize > largest:
+        raise ValueError(f"{width} x {height} x {samples} samples are more than {largest} bytes")
+    separate = _whole(tags, PLANAR, (1,))[0] == 2 and samples > 1
     planes, depth = (samples, 1) if separate else (1, samples)
-    kind = np.dtype(order + ("u1" if bits == 8 else "u2"))
-    if TILE_OFFSETS in tags:
-        wide, high = tags[TILE_WIDTH][0], tags[TILE_LENGTH][0]
-        offsets, counts = tags[TILE_OFFSETS], tags[TILE_COUNTS]
+    tiled = TILE_OFFSETS in tags
+    if tiled:
+        wide, high = _whole(tags, TILE_WIDTH, least=1)[0], _whole(tags, TILE_LENGTH, least=1)[0]
+        offsets, counts = _whole(tags, TILE_OFFSETS), _whole(tags, TILE_COUNTS)
     else:
-        wide, high = width, min(tags.get(ROWS_PER_STRIP, (height,))[0], height)
-        offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+        wide, high = width, min(_whole(tags, ROWS_PER_STRIP, (height,), 1)[0], height)
+        offsets, counts = _whole(tags, STRIP_OFFSETS), _whole(tags, STRIP_COUNTS)
+    if wide * high * depth * kind.itemsize > largest:
+        raise ValueError("segments are too large")
     across, down = -(-width // wide), -(-height // high)
     if len(offsets) != planes * across * down or len(counts) != len(offsets):
         raise ValueError("segments do not cover the image")
+    reverse = _whole(tags, FILL_ORDER, (1,))[0] == 2
     pixels = np.zeros((height, width, samples), dtype=kind.newbyteorder("="))
     for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
         plane, rest = divmod(k, across * down)
         row, column = divmod(rest, across)
-        rows = high if TILE_OFFSETS in tags else min(high, height - row * high)
-        size = rows * wide * depth * kind.itemsize
-        raw = _segment(data[at : at + n], compression, size)
-        if len(raw) < size:
+        rows = high if tiled else min(high, height - row * high)
+        line = -(-wide * depth * bits // 8)  # bytes of a row, which begins on a byte
+        raw = data[at : at + n].translate(_REVERSED) if reverse else data[at : at + n]
+        raw = _segment(raw, compression, rows * line)
+        if len(raw) < rows * line:
             raise ValueError("segment too short")
-        block = np.frombuffer(raw, kind, rows * wide * depth).reshape(rows, wide, depth).astype(pixels.dtype)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=pixels.dtype)
+        block = _samples(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), kind, bits, predictor, (rows, wide, depth)).astype(pixels.dtype)
         into = pixels[row * high : row * high + rows, column * wide : column * wide + wide]
         block = block[: into.shape[0], : into.shape[1]]
         if separate:
             into[:, :, plane] = block[:, :, 0]
         else:
             into[...] = block
-    return Page(number, width, height, samples, bits, compression, pixels)
+    return Page(number, width, height, samples, bits, compression, pixels, form)
+
+
+def _samples(lines: np.ndarray, kind: np.dtype, bits: int, predictor: int, shape: tuple) -> np.ndarray:
+    """Samples of rows of bytes, with differences undone."""
+    rows, wide, depth = shape
+    if bits < 8:
+        parts = [lines >> np.uint8(at) & np.uint8((1 << bits) - 1) for at in range(8 - bits, -1, -bits)]
+        return np.stack(parts, axis=2).reshape(rows, -1)[:, : wide * depth].reshape(shape)
+    if predictor == 3:  # differences of bytes; the bytes of a row's numbers stand by significance, highest first
+        whole = np.cumsum(lines.reshape(rows, -1, depth), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, wide * depth)
+        return np.ascontiguousarray(whole.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(shape)
+    block = np.ascontiguousarray(lines).view(kind).reshape(shape)
+    return np.cumsum(block.astype(kind.newbyteorder("=")), axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else block
 
 
 def write_pages(
     images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, rows_per_strip: int = 128, tile: tuple[int, int] | None = None, order: str = "<", level: int = 1
 ) -> bytes:
-    """A TIFF file of these images (height x width x samples, 8 or 16 bits unsigned)."""
+    """A TIFF file of these images (height x width x samples): whole numbers, or floating point (predictors 1 and 3)."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for image in images:
@@ -255,6 +301,12 @@ def write_pages(
                     moved[:, 1:] -= block[:, :-1]
                     block = moved
                 raw = block.astype(np.dtype(image.dtype).newbyteorder(order)).tobytes()
+                if predictor == 3:
+                    numbers = np.ascontiguousarray(block.astype(np.dtype(image.dtype).newbyteorder(">"))).view(np.uint8)
+                    lines = numbers.reshape(len(block), -1, image.dtype.itemsize).transpose(0, 2, 1).reshape(len(block), -1, samples)
+                    moved = lines.copy()
+                    moved[:, 1:] -= lines[:, :-1]
+                    raw = moved.tobytes()
                 raw = {NONE: lambda d: d, PACKBITS: pack_bits, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, level)}[compression](raw)
                 offsets.append(len(out))
                 counts.append(len(raw))
@@ -262,6 +314,8 @@ def write_pages(
         if len(out) % 2:
             out.append(0)
         tags = [(WIDTH, 4, [width]), (LENGTH, 4, [height]), (BITS, 3, [bits] * samples), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [1 if samples < 3 else 2]), (SAMPLES, 3, [samples]), (PLANAR, 3, [1]), (PREDICTOR, 3, [predictor])]
+        if image.dtype.kind != "u":
+            tags.append((SAMPLE_FORMAT, 3, [{"i": 2, "f": 3}[image.dtype.kind]] * samples))
         tags += [(TILE_WIDTH, 4, [wide]), (TILE_LENGTH, 4, [high]), (TILE_OFFSETS, 4, offsets), (TILE_COUNTS, 4, counts)] if tile else [(STRIP_OFFSETS, 4, offsets), (ROWS_PER_STRIP, 4, [high]), (STRIP_COUNTS, 4, counts)]
         entries = []
         for tag, kind, values in sorted(tags):
@@ -282,18 +336,22 @@ def write_pages(
 def features(pixels: np.ndarray) -> str:
     """Size, range, mean, spread and entropy of the samples, as text."""
     flat = pixels.reshape(-1)
-    counts = np.bincount(flat, minlength=1)
+    small = flat.dtype.kind == "u" and flat.dtype.itemsize < 4
+    counts = np.bincount(flat, minlength=1) if small else np.unique(flat, return_counts=True)[1]
     share = counts[counts > 0] / max(1, flat.size)
     entropy = float(-(share * np.log2(share)).sum()) + 0.0
     rows, columns = pixels.shape[:2]
-    return f"{columns}x{rows} min={flat.min()} max={flat.max()} mean={flat.mean():.4f} std={flat.std():.4f} entropy={entropy:.4f}"
+    wide = flat if small else flat.astype(np.float64)
+    with np.errstate(all="ignore"):
+        return f"{columns}x{rows} min={flat.min()} max={flat.max()} mean={wide.mean():.4f} std={wide.std():.4f} entropy={entropy:.4f}"
 
 
 def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 64, compression: int = DEFLATE) -> DataFrame:
     """Each text as a one-page 8-bit TIFF: ``key, n_bytes, media``.
 
     The payload is the UTF-8 text (null: none) and zero bytes up to a positive multiple of ``width``,
-    the image's width. Equal texts give equal files. Other columns are ignored.
+    the image's width. Equal texts give equal files. Null keys and repeated rows stay, each a row; an empty table gives
+    no rows; other columns are ignored. A text of any length is one page of strips.
     """
 
     def run(batches):
@@ -311,15 +369,17 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     return rows.mapInArrow(run, "k long, n_bytes long, media binary").withColumnRenamed("k", key)
 
 
-PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compression int, pixels binary, feature string, error string"
+PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, sample_format int, compression int, pixels binary, feature string, error string"
 
 
-def read_media(rows: DataFrame, media: str = "media") -> DataFrame:
+def read_media(rows: DataFrame, media: str = "media", largest: int = 1 << 28) -> DataFrame:
     """One row per page of each TIFF in the binary column ``media``, with the row's other columns.
 
-    New columns (a clashing name of the input is replaced): page, width, height, samples, bits,
-    compression, pixels (interleaved, 16 bits little-endian), feature, error. A null or damaged file
-    gives one row with page null and the reason in error; an empty table gives no rows.
+    New columns (a clashing name of the input is replaced): page, width, height, samples, bits, sample_format,
+    compression, pixels (interleaved, little-endian; a byte a sample of less than 8 bits), feature, error. A null file,
+    one without pages and one that cannot be read give a row with page null and the reason in error, after the pages before the
+    damage; pages of more than ``largest`` bytes of samples count as damage. Null keys and repeated rows stay; an empty table
+    gives no rows.
     """
     from pyspark.sql import types as T
 
@@ -327,22 +387,29 @@ def read_media(rows: DataFrame, media: str = "media") -> DataFrame:
     names = {f.name for f in made.fields}
     kept = [f for f in rows.schema.fields if f.name not in names]
     schema = T.StructType([*kept, *made.fields])
+    kinds = [pa.int32()] * 7 + [pa.binary(), pa.string(), pa.string()]
+
+    def pages_of(data):
+        try:
+            if data is None:
+                raise ValueError("no data")
+            number = None
+            for p in read_pages(data, largest):
+                number = p.number
+                yield p.number, p.width, p.height, p.samples, p.bits, p.sample_format, p.compression, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), features(p.pixels), None
+            if number is None:
+                raise ValueError("no pages")
+        except Exception as e:  # whatever a damaged file leads to
+            yield (None,) * 9 + (str(e) or type(e).__name__,)
 
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for i, data in enumerate(batch.column(batch.schema.get_field_index(media)).to_pylist()):
-                try:
-                    if data is None:
-                        raise ValueError("no data")
-                    pages = read_pages(data)
-                    out = [(p.number, p.width, p.height, p.samples, p.bits, p.compression, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), features(p.pixels), None) for p in pages]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    out = [(None,) * 8 + (str(e) or type(e).__name__,)]
-                same = table.slice(i, 1).take([0] * len(out))
-                types = [pa.int32()] * 6 + [pa.binary(), pa.string(), pa.string()]
-                columns = [pa.array([o[k] for o in out], t) for k, t in enumerate(types)]
-                yield from pa.Table.from_arrays([*[same.column(f.name).combine_chunks() for f in kept], *columns], names=schema.names).to_batches()
+            for i, data in enumerate(batch.column(batch.schema.get_field_index(media))):
+                same = table.slice(i, 1)
+                for page in pages_of(data.as_py()):
+                    columns = [pa.array([v], t) for v, t in zip(page, kinds, strict=True)]
+                    yield from pa.Table.from_arrays([*[same.column(f.name).combine_chunks() for f in kept], *columns], names=schema.names).to_batches()
 
     return rows.mapInArrow(_gathered(run), schema)
 
@@ -366,7 +433,10 @@ def _gathered(run, rows: int = 256, size: int = 16_000_000):
 
 
 def digests(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digest columns of stored one-page texts that were read back with ``read_media``."""
+    """Digest columns of stored one-page texts that were read back with ``read_media``, a row for each of its rows.
+
+    Null keys and repeated rows stay; where the file could not be read the payload's columns are null; an empty table gives no rows.
+    """
     return pages.select(
         key,
         "n_bytes",

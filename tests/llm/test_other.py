@@ -258,7 +258,7 @@ def test_tiff_round_trips(compression):
             for predictor in (1, 2):
                 for tile in (None, (32, 48)):
                     for order in "<>":
-                        pages = tiff.read_pages(tiff.write_pages(images, compression, predictor, tile=tile, order=order))
+                        pages = list(tiff.read_pages(tiff.write_pages(images, compression, predictor, tile=tile, order=order)))
                         assert [p.number for p in pages] == [0, 1, 2] and all((p.pixels == x).all() for p, x in zip(pages, images, strict=True))
 
 
@@ -266,18 +266,18 @@ def test_tiff_round_trips(compression):
 @given(st.binary(max_size=600) | st.lists(st.sampled_from([b"a" * 90, b"ab", b"xyz"]), max_size=60).map(b"".join))
 def test_codecs(data):
     assert tiff.unpack_bits(tiff.pack_bits(data), len(data)) == data
-    assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+    assert tiff.lzw_decode(tiff.lzw_encode(data), len(data) + 1) == data
 
 
 def test_lzw_past_the_table_limit():
     data = np.random.default_rng(1).integers(0, 256, 30_000, dtype=np.uint8).tobytes()
-    assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+    assert tiff.lzw_decode(tiff.lzw_encode(data), len(data) + 1) == data
 
 
 def test_known_lzw_stream():
     # CLEAR, 'A', 'A', END in nine-bit codes
     bits = "".join(f"{c:09b}" for c in (256, 65, 65, 257)).ljust(40, "0")
-    assert tiff.lzw_decode(int(bits, 2).to_bytes(5, "big")) == b"AA"
+    assert tiff.lzw_decode(int(bits, 2).to_bytes(5, "big"), 9) == b"AA"
 
 
 def test_planes_and_damage():
@@ -298,7 +298,96 @@ def test_planes_and_damage():
     struct.pack_into("<I", loop, 16 + 2 + 12 * len(tags), 16)
     for bad in (b"", b"nope", bytes(loop), data[:30]):
         with pytest.raises((ValueError, struct.error, IndexError, KeyError)):
-            tiff.read_pages(bad)
+            list(tiff.read_pages(bad))
+
+
+def by_hand(tags, data, order="<"):
+    """A one-page file from (tag, type, values), its segment at byte 8."""
+    import struct
+
+    at = 8 + len(data)
+    body, extra = b"", b""
+    behind = at + 2 + 12 * len(tags) + 4
+    for tag, kind, values in sorted(tags):
+        raw = struct.pack(f"{order}{len(values)}{tiff.TYPES[kind]}", *values)
+        if len(raw) > 4:
+            raw, extra, behind = struct.pack(order + "I", behind), extra + raw, behind + len(raw)
+        body += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    return struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, at) + data + struct.pack(order + "H", len(tags)) + body + b"\0" * 4 + extra
+
+
+def page_tags(width, height, bits, size, samples=1, **more):
+    base = {256: (4, [width]), 257: (4, [height]), 258: (3, [bits] * samples), 259: (3, [1]), 273: (4, [8]), 277: (3, [samples]), 278: (4, [height]), 279: (4, [size])}
+    base |= {int(k[1:]): v for k, v in more.items()}
+    return [(t, *v) for t, v in base.items() if v]
+
+
+def test_small_samples_by_hand():
+    bilevel = bytes([0b10110000, 0b01000000, 0b11111111, 0b10000000])  # two rows of 9 pixels
+    (page,) = tiff.read_pages(by_hand(page_tags(9, 2, 1, 4), bilevel))
+    assert page.pixels[:, :, 0].tolist() == [[1, 0, 1, 1, 0, 0, 0, 0, 0], [1] * 9] and page.bits == 1
+    (page,) = tiff.read_pages(by_hand(page_tags(9, 2, 1, 4, t266=(3, [2])), bytes(int(f"{b:08b}"[::-1], 2) for b in bilevel)))
+    assert page.pixels[:, :, 0].tolist() == [[1, 0, 1, 1, 0, 0, 0, 0, 0], [1] * 9]
+    default = [t for t in page_tags(8, 1, 1, 1) if t[0] not in (258, 277, 278)]  # bilevel is the default
+    assert next(tiff.read_pages(by_hand(default, b"\xa5"))).pixels.ravel().tolist() == [1, 0, 1, 0, 0, 1, 0, 1]
+    (page,) = tiff.read_pages(by_hand(page_tags(3, 2, 4, 4), bytes([0x12, 0x30, 0xAB, 0xC0])))
+    assert page.pixels[:, :, 0].tolist() == [[1, 2, 3], [10, 11, 12]]
+    (page,) = tiff.read_pages(by_hand(page_tags(2, 1, 16, 4, t339=(3, [2]), t317=(3, [2])), b"\xff\xff\xfe\xff"))
+    assert page.pixels.ravel().tolist() == [-1, -3]
+    # one row 1.0, 2.0 as big-endian bytes 3f80 0000 4000 0000: by significance 3f 40 80 00 00 00 00 00, as differences
+    (page,) = tiff.read_pages(by_hand(page_tags(2, 1, 32, 8, t339=(3, [3]), t317=(3, [3])), bytes([0x3F, 0x01, 0x40, 0x80, 0, 0, 0, 0])))
+    assert page.pixels.ravel().tolist() == [1.0, 2.0] and "mean=1.5000" in tiff.features(page.pixels)
+
+
+def test_wide_and_floating_samples_round_trip():
+    rng = np.random.default_rng(3)
+    for kind in (np.uint32, np.int16, np.int32, np.float16, np.float32, np.float64):
+        image = (rng.standard_normal((37, 50, 2)) * 1000).astype(kind)
+        for predictor in (1, 3) if image.dtype.kind == "f" else (1, 2):
+            for tile in (None, (16, 32)):
+                for order in "<>":
+                    (page,) = tiff.read_pages(tiff.write_pages([image], tiff.LZW, predictor, tile=tile, order=order))
+                    assert (page.pixels == image).all() and page.bits == 8 * image.dtype.itemsize
+
+
+def test_damage_costs_a_row_and_no_job(spark):
+    good = tiff.write_pages([np.ones((2, 2, 1), np.uint8), np.ones((9, 4, 1), np.uint8)])
+    bad = {
+        "rows per strip 0": by_hand(page_tags(2, 2, 8, 4, t278=(4, [0])), b"abcd"),
+        "height 0": by_hand(page_tags(2, 0, 8, 4), b"abcd"),
+        "width a float": by_hand(page_tags(2, 2, 8, 4, t256=(11, [2.0])), b"abcd"),
+        "no samples": by_hand(page_tags(2, 2, 8, 4, t277=(3, [0])), b"abcd"),
+        "tile width 0": by_hand(page_tags(2, 2, 8, 4, t322=(4, [0]), t323=(4, [2]), t324=(4, [8]), t325=(4, [4])), b"abcd"),
+        "no offsets": by_hand(page_tags(2, 2, 8, 4, t273=None), b"abcd"),
+        "huge": by_hand(page_tags(1 << 31, 1 << 31, 8, 4), b"abcd"),
+        "bits differ": by_hand(page_tags(2, 2, 8, 4, samples=2, t258=(3, [8, 16])), b"abcd"),
+        "short": by_hand(page_tags(2, 3, 8, 4), b"abcd"),
+        "not deflate": by_hand(page_tags(2, 2, 8, 4, t259=(3, [8])), b"abcd"),
+        "lzw without a table": by_hand(page_tags(2, 2, 8, 4, t259=(3, [5])), bytes([0x82, 0x00, 0x00, 0x00])),
+        "unknown compression": by_hand(page_tags(2, 2, 8, 4, t259=(3, [7])), b"abcd"),
+        "no page": b"II*\0\0\0\0\0",
+        "cut": good[: len(good) // 2],
+    }
+    rng = random.Random(8)
+    for k in range(60):  # and any bytes changed
+        worse = bytearray(good)
+        for _ in range(4):
+            worse[rng.randrange(len(worse))] = rng.randrange(256)
+        bad[f"random {k}"] = bytes(worse)
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in bad.items()] + [("good", bytearray(good))], "name string, media binary")
+    got = {}
+    for r in tiff.read_media(df).select("name", "page", "error").collect():
+        got.setdefault(r.name, []).append((r.page, r.error))
+    assert set(got) == {*bad, "good"} and [p for p, _ in got["good"]] == [0, 1]
+    assert all(got[k][-1][0] is None and got[k][-1][1] for k in bad if not k.startswith("random"))
+
+
+def test_bombs_stop_at_the_declared_size():
+    zeros = bytes(1 << 20)
+    assert len(tiff.lzw_decode(tiff.lzw_encode(zeros), 100)) < 2000
+    assert len(tiff.unpack_bits(tiff.pack_bits(zeros), 100)) <= 228 and len(tiff._inflate(zlib.compress(zeros), 100)) == 100
+    with pytest.raises(ValueError, match="more than 1000 bytes"):
+        list(tiff.read_pages(tiff.write_pages([np.zeros((40, 40, 1), np.uint8)]), 1000))
 
 
 def test_media_rows(spark, docs_of):

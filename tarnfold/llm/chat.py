@@ -119,16 +119,27 @@ class Template:
         return "".join(unescape(self.decode(ids[a:b])) for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+_SHARED: dict[tuple[str, str], Template] = {}
+
+
+def template_of(vocabulary: str, pattern: str) -> Template:
+    """One template a worker process, vocabulary and pattern, kept from task to task."""
+    if (vocabulary, pattern) not in _SHARED:
+        _SHARED[vocabulary, pattern] = Template(vocabulary, pattern)
+    return _SHARED[vocabulary, pattern]
+
+
 def format_conversations(turns: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``conv_id, n_turns, ids binary (unsigned 32-bit), loss_mask binary (a byte an id), formatted``.
 
     ``turns``: conv_id, turn, role, text; more columns are ignored. Turns are taken in order of turn
-    (nulls first), equal ones by role and text, repeated rows kept. A null role or text is empty; the
-    rows of a null conv_id are one conversation. An empty table gives no rows.
+    (nulls first), equal ones by role and by the ids of the text, repeated rows kept. A null role or text is empty; a
+    row without a conv_id belongs to no other and is a conversation of its own. An empty table gives no rows. A conversation
+    is one row of the result, so it must fit in a task's memory; texts are encoded before that, wherever they lie.
     """
 
     def encode(batches):
-        template = Template(vocabulary, pattern)
+        template = template_of(vocabulary, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -141,7 +152,7 @@ def format_conversations(turns: DataFrame, vocabulary: str, pattern: str) -> Dat
                 )
 
     def assemble(batches):
-        template = Template(vocabulary, pattern)
+        template = template_of(vocabulary, pattern)
         current, held, started = None, [], False
 
         def made():
@@ -155,7 +166,7 @@ def format_conversations(turns: DataFrame, vocabulary: str, pattern: str) -> Dat
         out = []
         for batch in batches:
             for conv, role, name, body in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                if started and conv != current:
+                if started and (conv is None or conv != current):
                     out.append(made())
                     held = []
                     if len(out) >= 256:
@@ -170,22 +181,29 @@ def format_conversations(turns: DataFrame, vocabulary: str, pattern: str) -> Dat
 
     rows = turns.select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
     encoded = rows.mapInArrow(encode, "conv_id long, turn long, role string, name binary, body binary")
-    dealt = encoded.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "body")
+    lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "body"))  # rows without a conversation need not meet
+    dealt = encoded.repartition(partitions(turns.sparkSession), "conv_id", lone).sortWithinPartitions("conv_id", "turn", "role", "body")
     return dealt.mapInArrow(assemble, "conv_id long, n_turns long, ids binary, loss_mask binary, formatted string")
 
 
 def read_conversations(formatted: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """Turns and loss text from the output: ``conv_id, turns array<struct<role, text>>, loss_text, formatted``."""
+    """Turns and loss text from the output: ``conv_id, turns array<struct<role, text>>, loss_text, formatted``.
+
+    A row for each row of ``formatted``, null and repeated conv_ids included, and none for an empty table; more columns are ignored. Null ids
+    or a null mask read as no turns and no loss text.
+    """
     schema = "conv_id long, turns array<struct<role string, text string>>, loss_text string, formatted string"
     turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches):
-        template = Template(vocabulary, pattern)
+        template = template_of(vocabulary, pattern)
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-            masks = [np.frombuffer(x, np.uint8) for x in batch.column(2).to_pylist()]
-            turns = [[{"role": r, "text": t} for r, t in template.turns(x)] for x in ids]
-            loss = [template.under_mask(x, m) for x, m in zip(ids, masks, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, turn), pa.array(loss, pa.string()), batch.column(3)], names=["conv_id", "turns", "loss_text", "formatted"])
+            ids = [np.frombuffer(x or b"", "<u4") for x in batch.column(1).to_pylist()]
+            masks = [np.frombuffer(x, np.uint8) if x is not None else np.zeros(len(i), np.uint8) for x, i in zip(batch.column(2).to_pylist(), ids, strict=True)]
+            for at in range(0, len(ids), 256):
+                here = slice(at, at + 256)
+                turns = [[{"role": r, "text": t} for r, t in template.turns(x)] for x in ids[here]]
+                loss = [template.under_mask(x, m) for x, m in zip(ids[here], masks[here], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(turns, turn), pa.array(loss, pa.string()), batch.column(3).slice(at, 256)], names=["conv_id", "turns", "loss_text", "formatted"])
 
     return formatted.select("conv_id", "ids", "loss_mask", "formatted").mapInArrow(run, schema)

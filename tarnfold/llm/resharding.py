@@ -5,11 +5,13 @@ the old shard sizes and the new capacities a transport problem is solved whose c
 change shard; blocks are then picked to realise the flow, and only shards that gain or lose a block are
 rewritten (``rewrite``), from rows that the plan carries whole.
 
-Scale: the driver sees block totals only (at most ``blocks`` + the pieces of split blocks, a constant);
+Scale: the driver sees block totals only (at most ``blocks`` + the pieces of split blocks, a constant: with old
+shards of the caller's, each is cut into its part of ``blocks``, and there may be as many as that);
 documents are dealt by block, never by shard, so a shard of any size is numbered by many tasks. A block
 above ``1 / split`` of a shard's capacity is cut by a hash of the text for the numbering, and a text that
 is itself above that (a hot group of equal texts; at most ``new_shards * split`` of them) by a hash of its
-key. Above ``1 / together`` the pieces of a block, or of a text, may also part.
+key. The law of near equal sizes comes first: above ``1 / together`` of a shard the pieces of a block, or of a
+text, may also part.
 """
 
 from __future__ import annotations
@@ -172,13 +174,14 @@ def reshard(
 
     Returns ``key, size, text_crc32, old_shard, shard, slot`` and ``row``, the whole row of ``docs`` for
     ``rewrite``; other columns are not needed and may have any name. Rows come in ranges of shard and slot.
-    ``docs`` is read more than once and must give the same rows each time. ``old_shard`` gives the present shard (default: block modulo ``old_shards``).
+    ``docs`` is read more than once and must give the same rows each time. ``old_shard`` gives the present shard, 0 to
+    ``old_shards`` - 1 (default: block modulo ``old_shards``; null or another number is an error).
     Size is the UTF-8 length plus 1 (null: 1). Null keys are a value like any other; repeated rows are
     kept and get slots of their own. An empty table gives no rows. Equal texts of an old
     shard stay together unless they are more than ``1 / together`` of a new one; numbering is spread finer.
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    block = F.pmod(F.xxhash64(raw), F.lit(blocks))
+    block = F.pmod(F.xxhash64(raw), F.lit(blocks if old_shard is None else max(1, blocks // max(1, old_shards))))
     rows = docs.select(
         F.col(key).cast("long").alias("k"),
         (F.octet_length(raw).cast("long") + 1).alias("size"),
@@ -191,6 +194,8 @@ def reshard(
     )
     spark = docs.sparkSession
     by_block = rows.groupBy("block", "old_shard").agg(F.sum("size").alias("bytes")).collect()
+    if any(r.old_shard is None or not 0 <= r.old_shard < old_shards for r in by_block):
+        raise ValueError(f"old shards must be 0 to {old_shards - 1}")
     total = sum(r.bytes for r in by_block)
     most = max(1, total // (new_shards * split))
     large = {(r.block, r.old_shard): r.bytes for r in by_block if r.bytes > most}  # at most new_shards * split
@@ -249,7 +254,8 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, key: str = "doc_id") ->
     A shard is unchanged if nothing leaves or enters it; a changed one that no row is left in is deleted.
     Rows are those that the plan carries, whole, so null and repeated keys are rows like any other; they
     are in the order of their slots, and columns of the names shard and slot are replaced. ``plan`` comes
-    in ranges of slots, so that a large shard is several files.
+    in ranges of slots, so that a large shard is several files. A null text stays null and an empty table
+    changes nothing.
     """
     moves = plan.groupBy("old_shard", "shard").count().collect()
     changed = sorted({s for r in moves if r.shard != r.old_shard for s in (r.shard, r.old_shard)})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 import zlib
 
@@ -13,57 +15,46 @@ from pyspark.sql import DataFrame, SparkSession
 def work_folder(spark: SparkSession) -> str:
     """A folder of this application below the one that all executors share.
 
-    The cluster names the shared folder in ``spark.checkpoint.dir``; only where that is unset (a
-    plain test session) is one chosen here. The folder goes when the session ends.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. Only where the driver is the one machine
+    (``local[...]``, as in tests) and it is unset is one chosen here; elsewhere executors would write to disks of their own.
+    The folder goes when the session ends.
     """
     jvm = spark._jvm
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="tarnfold-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tarnfold-"))
     path = f"{base.rstrip('/')}/tarnfold-{spark.sparkContext.applicationId}"
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def written(df: DataFrame, tag: str, compression: str = "snappy", partition_by: tuple = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it cuts the lineage and outlives executors."""
+    """Write ``df`` to the shared folder and read it back: it cuts the lineage and outlives executors.
+
+    Whoever writes a table discards it when no plan reads it any more; nobody else does.
+    """
     path = f"{work_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _MADE.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tarnfold_path = path
     return out
 
 
-#: Tables of ``written`` that are still there, for ``discard_all``.
-_MADE: list[str] = []
-
-
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of ``written`` that no later plan reads."""
     for df in tables:
         if path := getattr(df, "_tarnfold_path", None):
-            _delete(df.sparkSession, path)
-
-
-def discard_all(spark: SparkSession, but: str) -> None:
-    """Delete all tables of ``written`` but those with this tag: for a job whose results are safe elsewhere."""
-    for path in list(_MADE):
-        if not path.rpartition("/")[2].startswith(but):
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _MADE:
-        _MADE.remove(path)
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -59,6 +59,35 @@ def test_reshard(spark, docs_of, tmp_path):
     assert resharding.reshard(docs_of([])).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=40, max_size=400), st.integers(1, 8), st.integers(1, 8))
+def test_assignment_is_near_the_flow(sizes, old, new):
+    """What the blocks move is the cheapest flow's cost, but for about a block a shard, and sizes are near equal."""
+    blocks = [(k, k % old, b) for k, b in enumerate(sizes)]
+    target = resharding.block_transfers(blocks, new)
+    assert set(target) == {k for k, _, _ in blocks}
+    held, supply = [0] * new, [0] * old
+    for k, s, b in blocks:
+        held[target[k]] += b
+        supply[s] += b
+    total = sum(sizes)
+    capacity = [total // new + (j < total % new) for j in range(new)]
+    cheapest = total - sum(min(a, b) for a, b in zip(supply, capacity, strict=False))
+    moved = sum(b for k, s, b in blocks if target[k] != s)
+    assert max(held) - min(held) <= max(sizes)
+    assert moved <= cheapest + 2 * max(sizes) * max(old, new)
+
+
+def test_old_shards_of_the_caller(spark, docs_of):
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(300)]
+    plan = resharding.reshard(docs_of(rows), old_shards=100, new_shards=4, old_shard=F.pmod("doc_id", F.lit(100)), blocks=400)
+    got = plan.groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.max("slot").alias("last")).collect()
+    assert sum(r.rows for r in got) == 300 and all(r.last == r.rows - 1 for r in got) and max(r.n for r in got) - min(r.n for r in got) < 100
+    for bad in (F.lit(None).cast("int"), F.lit(100), F.lit(-1)):
+        with pytest.raises(ValueError, match="old shards"):
+            resharding.reshard(docs_of(rows), old_shards=100, old_shard=bad)
+
+
 def test_a_hot_text_tears_no_other(spark, docs_of):
     rows = [(i, f"small {i % 60} " * 4) for i in range(600)] + [(1000 + i, "hot text " * 40) for i in range(400)]
     got = resharding.reshard(docs_of(rows), old_shards=1, new_shards=4, blocks=1).drop("row").collect()
@@ -88,7 +117,7 @@ def test_rewrite_keeps_whole_rows_and_deletes_emptied_shards(spark, docs_of, tmp
     docs_of(rows).withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(16)).cast("int")).write.partitionBy("shard").parquet(path)
     docs = spark.read.parquet(path)
     before = sorted(map(str, docs.drop("shard").collect()))
-    changed = resharding.rewrite(docs, resharding.reshard(docs, new_shards=12, old_shard=F.col("shard"), blocks=64), path)
+    changed = resharding.rewrite(docs, resharding.reshard(docs, old_shards=16, new_shards=12, old_shard=F.col("shard"), blocks=1024), path)
     back = spark.read.parquet(path)
     assert {12, 13, 14, 15} <= set(changed) and sorted(map(str, back.drop("shard", "slot").collect())) == before
     slots = {r.shard: sorted(r.slots) for r in back.groupBy("shard").agg(F.collect_list("slot").alias("slots")).collect()}
@@ -224,10 +253,11 @@ def test_turns_come_back(template, turns):
 
 
 def test_conversations(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a</s>"), (2, 0, None, None), (2, 0, None, None), (None, 0, "user", "x"), (3, 0, "tool", "y" * 5000), (4, None, "assistant", "z"), (4, 0, "user", "")]
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a</s>"), (2, 0, None, None), (2, 0, None, None), (None, 0, "user", "x"), (None, 0, "user", "x"), (3, 0, "tool", "y" * 5000), (4, None, "assistant", "z"), (4, 0, "user", "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, ids int")
     made = chat.format_conversations(df, RANKS, P.PATTERN)
     got = {r.conv_id: ([(t.role, t.text) for t in r.turns], r.loss_text, r.formatted) for r in chat.read_conversations(made, RANKS, P.PATTERN).collect()}
+    assert made.where("conv_id is null").count() == 2  # rows without a conversation are one each
     assert got[1] == ([("user", "a</s>"), ("assistant", "b")], "b", "<s>[INST]a<\\/s>[/INST][OUT]b</s>")
     assert got[2][0] == [("", ""), ("", "")] and got[None][0] == [("user", "x")] and got[3][0] == [("tool", "y" * 5000)] and got[4][0] == [("assistant", "z"), ("user", "")]
     assert chat.format_conversations(df.limit(0), RANKS, P.PATTERN).count() == 0
@@ -435,4 +465,13 @@ def test_pipeline_stages(spark, docs_of, tmp_path):
     empty = docs_of([]).drop("score", "ids").withColumn("n_chars", F.lit(1).cast("long"))
     for _, stage in c.STAGES:
         assert stage(spark, empty, "").count() == 0
+    # clashing names, a stage on another's unwritten result, no labels, null keys
+    odd = docs_of([(None, say(70)), (None, say(70)), (1, say(70)), (1, say(70)), (2, None)]).withColumns({c: F.lit(c) for c in ("lang_pred", "h1", "t", "runs", "row", "kept_text", "n_removed", "component_id", "k")})
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert c.language(spark, unlabelled, "").count() == 5
+    chained = c.repeats(spark, c.near_duplicate(spark, c.language(spark, odd, ""), ""), "")
+    assert chained.columns == odd.columns and chained.count() == 4
+    for r in chained.collect():
+        assert (r.lang_pred, r.h1, r.t, r.row, r.kept_text, r.k, r.score) == ("lang_pred", "h1", "t", "row", "kept_text", "k", 1.5)
+    assert c.packing(spark, chained, "").count() >= 4
     assert c.run(spark, SF).count() > 0

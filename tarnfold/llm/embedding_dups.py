@@ -156,15 +156,13 @@ def near_vectors(
     groups = components(edges.unionByName(of_key.join(one, "k").select("a", F.col("id").alias("b"))))
     least = groups.join(classes.select("id", "k"), "id").groupBy("component").agg(F.min("k").alias("label"))
     named = groups.join(least, "component").select("id", "label")
-    labels = written(
-        classes.join(counts, "id", "left").join(named, "id", "left").select("h1", "h2", "dim", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("label", "k").alias("component")),
-        "vector-labels",
-    )
+    counted = classes.join(counts, "id", "left").join(named, "id", "left")
+    labels = counted.select("h1", "h2", "dim", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("label", "k").alias("component"))
     out = raw.select("k", "h1", "h2", "dim").join(labels, ["h1", "h2", "dim"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
     links = F.when(F.col("k").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
     out = written(out.select(F.col("k").alias(key), links.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept")), "near-vectors")
-    discard(raw, classes, labels, groups, *([found] if plan else []))
+    discard(raw, classes, groups, *([found] if plan else []))
     return out
 
 

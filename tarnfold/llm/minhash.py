@@ -180,14 +180,11 @@ def _across(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     largest = F.max(F.struct("many", "component", "n"))
     stats = each.groupBy("band").agg(largest.alias("main"), F.sum("many").alias("many"), F.sum("n").alias("n"))
     tiles = lambda n, many: F.greatest(F.ceil(n / tile), F.ceil(many / rows), F.lit(1)).cast("int")
-    stats = written(
-        stats.select(
-            "band",
-            F.col("main.component").alias("main"),
-            tiles(F.col("n") - F.col("main.n"), F.col("many") - F.col("main.many")).alias("minors"),
-            tiles(F.col("main.n"), F.col("main.many")).alias("mains"),
-        ),
-        "buckets",
+    stats = stats.select(
+        "band",
+        F.col("main.component").alias("main"),
+        tiles(F.col("n") - F.col("main.n"), F.col("many") - F.col("main.many")).alias("minors"),
+        tiles(F.col("main.n"), F.col("main.many")).alias("mains"),
     )
     j = loose.join(stats, "band").withColumn("minor", F.col("component") != F.col("main"))
     t = F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains"))).cast("int")
@@ -226,7 +223,7 @@ def _across(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     links = written(sorted_tiles(near.join(sets, "id").select(*columns, "hashes")).mapInArrow(exact, "a long, b long"), "more-links")
-    discard(loose, stats, near)
+    discard(loose, near)
     return links
 
 
@@ -333,18 +330,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = written(banded.join(shared, "band").select("band", "id", "first"), "members")
     sets = written(_sets(docs, key, text, width, members.select("id").distinct().join(classes.select("id", "k", "h1", "h2"), "id")), "sets")
     stars = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_verified(_likely(stars, classes, percent), sets, percent), "links")
-    groups = components(links)
-    placed = written(members.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")), "placed")
+    groups = components(_verified(_likely(stars, classes, percent), sets, percent))
+    placed = members.join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     more = _across(placed, classes, sets, percent)
     # stars of what is joined already, and the links between them; without those, nothing changes
     final = groups if more.isEmpty() else components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    discard(placed, sets, members, links, more)
+    discard(sets, members, more)
     least = final.join(classes.select("id", "k"), "id").groupBy("component").agg(F.min("k").alias("label"))
-    of_class = written(classes.select("h1", "h2", "id", "k").join(final.join(least, "component"), "id", "left").select("h1", "h2", F.coalesce("label", "k").alias("component")), "labels")
-    discard(classes, groups, final)
+    of_class = classes.select("h1", "h2", "id", "k").join(final.join(least, "component"), "id", "left").select("h1", "h2", F.coalesce("label", "k").alias("component"))
     found = signatures.select("k", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
     out = written(found.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("k"), F.lit(True)).alias("kept")), "near-duplicates")
-    discard(signatures, of_class)
+    discard(signatures, classes, groups, final)
     return out

@@ -368,9 +368,7 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, most: int) -> tuple[
     copies = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max(F.octet_length("t")).alias("size")).where("n > 1")
     whole = copies.select("h1", "h2", F.array(F.struct(F.lit(0).alias("a"), (F.col("size") - length).alias("b"))).alias("runs"))
     runs = hits.select("h1", "h2", shifted.alias("runs")).unionByName(inside).unionByName(whole)
-    spans = written(runs.groupBy("h1", "h2").agg(F.flatten(F.collect_set("runs")).alias("runs")), "spans", "zstd")
-    discard(*made)
-    return spans, [seen, places, kinds]
+    return runs.groupBy("h1", "h2").agg(F.flatten(F.collect_set("runs")).alias("runs")), [seen, places, kinds, *made]
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 32, most: int = 4096, keep: bool = False) -> DataFrame:
@@ -413,7 +411,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     texts = rows.where(F.octet_length("t") >= length).select("h1", "h2", F.col("t").cast("binary").alias("t")).dropDuplicates(["h1", "h2"])
     schema = "h1 long, h2 long, removed int, spans int, sha string" + ", left binary, left_text string" * keep
     cut = written(texts.join(spans, ["h1", "h2"]).mapInArrow(run, schema), "cut", "zstd")
-    discard(spans, *made)
+    discard(*made)
     fields = [f for f in docs.columns if (f not in names if keep else f == key)]
     own = docs.select(h1, h2, t.alias("t"), F.struct(*[docs[f] for f in fields]).alias("row")) if keep else docs.select(h1, h2, F.octet_length(t).alias("size"), F.sha2(t.cast("binary"), 256).alias("own"), docs[key].cast("long").alias(key))
     joined = own.join(cut, ["h1", "h2"], "left")

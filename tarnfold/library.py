@@ -45,17 +45,23 @@ class Library:
                 best = search.best_chunk(words, "doc_id", [F.round("score", 9), F.col("chunk_id")])
                 page = best.join(scope, "doc_id").orderBy(*search.ordering(sort, F.col("doc_id"))).limit(limit)
                 return self._folded(page, search.ordering(sort, F.col("doc_id")), fold_duplicates)
-            top = words.orderBy(F.round("score", 9), "chunk_id").limit(8192)
-            lists["keyword"] = search.ranked(top, F.round("score", 9), "chunk_id")
+            lists["keyword"] = words.select("chunk_id", F.round("score", 9).alias("value"))
         if self.vectors is not None and self.encode is not None:
             live = self.chunks.where("semantic").join(scope.select("doc_id"), "doc_id", "left_semi").select("chunk_id")
-            near = search.nearest(self.vectors.join(live, "chunk_id", "left_semi"), self.encode(query), 8192, "chunk_id")
-            lists["semantic"] = search.ranked(near, F.col("distance"), "chunk_id")
+            distance = F.round(search.cosine_distance(F.col("embedding"), self.encode(query)), 6)
+            near = self.vectors.join(live, "chunk_id", "left_semi").select("chunk_id", distance.alias("value"))
+            lists["semantic"] = near
         if not lists:
             return self.chunks.select("doc_id", "chunk_id", F.lit(0.0).alias("score")).limit(0)
-        hits = search.fused(lists, "chunk_id").join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
         by_score = [F.desc(F.round("score", 9)), F.col("chunk_id")]
-        page = search.best_chunk(hits, "doc_id", by_score).orderBy(*by_score).limit(limit)
+        size = max(128, 5 * limit)
+        while True:  # more chunks while those of few documents fill the page
+            hits = search.fused_top(lists, size, "chunk_id").join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
+            page = search.best_chunk(hits, "doc_id", by_score).orderBy(*by_score).limit(limit)
+            found = hits.agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents")).first()
+            if found["documents"] >= limit or found["chunks"] < size:
+                break
+            size *= 4
         if mode == "hybrid" and sort == "relevance":
             page = search.exact_names_first(page, scope, query, limit).join(page.select("doc_id", "chunk_id", "matches"), "doc_id", "left")
         else:

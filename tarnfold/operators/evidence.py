@@ -75,10 +75,16 @@ def queue_metrics(work: DataFrame, now: float) -> DataFrame:
 def fair_selection(work: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """``size`` rows: a quarter is kept for the oldest normal work, the rest goes to urgent work first."""
     quota = max(1, size // 4)
-    normal = F.col("priority") <= 0
-    old = F.row_number().over(Window.partitionBy(normal).orderBy("available_at", key))
-    kept = work.withColumn("__turn", F.when(normal & (old <= quota), 0).when(~normal, 1).otherwise(2))
-    return kept.orderBy("__turn", F.desc("priority"), "available_at", key).limit(size).drop("__turn")
+    normal, urgent = work.where("priority <= 0"), work.where("priority > 0")
+    by_turn = [F.desc("priority"), F.col("available_at"), F.col(key)]
+    # top rows of each kind only, never the whole queue in a task
+    oldest = normal.orderBy("available_at", key).limit(quota)
+    rest = normal.orderBy(*by_turn).limit(size + quota).join(oldest.select(key), key, "left_anti").select(work.columns)
+    turns = [oldest, urgent.orderBy(*by_turn).limit(size), rest]
+    whole = turns[0].withColumn("__turn", F.lit(0))
+    for n, more in enumerate(turns[1:], 1):
+        whole = whole.unionByName(more.withColumn("__turn", F.lit(n)))
+    return whole.orderBy("__turn", *by_turn).limit(size).drop("__turn")
 
 
 def retry_delay(attempts: Column, changed: Column, interval: float) -> Column:

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SENSITIVE_NAMES = frozenset({".env", ".npmrc", ".pypirc", ".netrc", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519"})
-SENSITIVE_FOLDERS = frozenset({".ssh", ".gnupg", ".aws", ".azure", ".kube"})
+# Names and folders that are never indexed.
+SENSITIVE_NAMES = frozenset({".env", ".npmrc", ".pypirc", "credentials", "credentials.json", "id_rsa", "id_ed25519"})
+SENSITIVE_FOLDERS = frozenset({".ssh", ".aws", ".azure", ".gnupg", ".kube"})
 
 
 def chunk_diff(old: DataFrame, new: DataFrame, document: str = "doc_id") -> DataFrame:
@@ -103,8 +104,14 @@ def migration_page(documents: DataFrame, version: int, size: int) -> DataFrame:
     return documents.where(F.coalesce("chunking_version", F.lit(0)) < version).orderBy("doc_id").limit(size)
 
 
+def casefolded(text: Column) -> Column:
+    """Lower case in which the letters that only case folding joins (sharp and long s) are equal, too."""
+    return F.replace(F.translate(F.lower(text), "\u017f", "s"), F.lit("\u00df"), F.lit("ss"))
+
+
 def is_sensitive(path: Column) -> Column:
-    parts = F.split(F.lower(path), "/")
+    """Paths that are never indexed, whatever the case of their letters."""
+    parts = F.split(casefolded(path), "/")
     name = F.element_at(parts, -1)
     return name.isin(sorted(SENSITIVE_NAMES)) | name.startswith(".env.") | F.arrays_overlap(parts, F.array(*[F.lit(x) for x in sorted(SENSITIVE_FOLDERS)]))
 
@@ -133,10 +140,13 @@ def minimal_roots(roots: list[str]) -> list[str]:
 
 
 class Snapshot:
-    """Immutable table versions behind one manifest: write a version, then switch to it.
+    """Immutable table versions behind numbered manifests: write a version, then the next manifest.
 
-    Readers take the path from the manifest once, so a later switch does not disturb them. The previous
-    version stays readable; ``collect_garbage`` deletes what neither manifest names.
+    The manifest of the highest number holds. A manifest appears whole or not at all, by a rename that fails if the number is
+    taken (another publisher then was first, and the next number is tried), and none is ever changed or
+    deleted before a later one is there: readers always find one, and a crash at any point loses nothing that was published.
+    Readers take the path once, so a later switch does not disturb them. The previous version stays readable; ``collect_garbage``
+    deletes what the last manifest does not name.
     """
 
     def __init__(self, spark: SparkSession, base: str):
@@ -147,26 +157,44 @@ class Snapshot:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *parts]))
 
+    def _numbers(self) -> list[int]:
+        names = [x.getPath().getName() for x in self.files.listStatus(self.root)] if self.files.exists(self.root) else []
+        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
     def manifest(self) -> dict:
-        at = self._path("manifest.json")
-        if not self.files.exists(at):
+        numbers = self._numbers()
+        if not numbers:
             return {"current": None, "previous": None, "generation": 0}
-        return json.loads(self.spark.read.text(at.toString(), wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(self._path(f"manifest-{numbers[-1]:012d}.json").toString(), wholetext=True).first()[0])
 
-    def publish(self, df: DataFrame, **more) -> dict:
+    def publish(self, df: DataFrame, tries: int = 20, **more) -> dict:
         name = f"version-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.base}/{name}")
-        old = self.manifest()
-        new = {"current": name, "previous": old["current"], "generation": old["generation"] + 1, **more}
+        for _ in range(tries):
+            old = self.manifest()
+            new = {"current": name, "previous": old["current"], "generation": old["generation"] + 1, **more}
+            if self._claim(new):
+                return new
+        raise RuntimeError("other publishers were always first")
+
+    def _claim(self, new: dict) -> bool:
+        """Writes a manifest under its number; False if that number is taken."""
+        jvm = self.spark._jvm
         fresh = self._path(f".manifest-{uuid.uuid4().hex}")
         stream = self.files.create(fresh, True)
         stream.write(bytearray(json.dumps(new).encode()))
         stream.close()
-        target = self._path("manifest.json")
-        if self.files.exists(target):
-            self.files.delete(target, False)
-        self.files.rename(fresh, target)
-        return new
+        target = self._path(f"manifest-{new['generation']:012d}.json")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.root.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self.files.makeQualified(fresh), self.files.makeQualified(target), options)
+        except Exception:
+            if not self.files.exists(target):
+                raise
+            self.files.delete(fresh, False)
+            return False
+        return True
 
     def read(self, which: str = "current") -> DataFrame:
         name = self.manifest()[which]
@@ -175,8 +203,11 @@ class Snapshot:
         return self.spark.read.parquet(f"{self.base}/{name}")
 
     def collect_garbage(self) -> list[str]:
+        """Deletes versions that the last manifest does not name, and earlier manifests; a version that is being written is of no manifest, so run it when none is."""
         m = self.manifest()
         gone = []
+        for number in self._numbers()[:-1]:
+            self.files.delete(self._path(f"manifest-{number:012d}.json"), False)
         for s in self.files.listStatus(self.root):
             name = s.getPath().getName()
             if name.startswith("version-") and name not in (m["current"], m["previous"]):

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnfold.functions.text import bm25_term, fold_ascii, index_tokens, phrase_count, query_phrases
 from tarnfold.sources.files import TEXT_SUFFIXES
@@ -162,13 +163,14 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
     return at.groupBy("term", key, "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
-def batch_keyword(index: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:
+def batch_keyword(index: DataFrame, lengths: DataFrame | None, queries: DataFrame, limit: int, key: str = "chunk_id", stats: DataFrame | None = None) -> DataFrame:
     """Top ``limit`` rows for each query (query_id, term) over an index; single-term phrases.
 
-    ``lengths``: key, length of every row. Query terms meet the index by a join on the term; the
+    ``lengths``: key, length of every row; or ``stats``: one row of rows, average. Query terms meet the index by a join on the term; the
     number of rows per term comes from the index itself.
     """
-    stats = lengths.agg(F.count("*").alias("rows"), F.avg("length").alias("average"))
+    if stats is None:
+        stats = lengths.agg(F.count("*").alias("rows"), F.avg("length").alias("average"))
     wanted = queries.select("query_id", "term").distinct()
     hits = index.join(wanted.select("term").distinct(), "term", "left_semi")
     per_term = hits.groupBy("term").agg(F.count("*").alias("with"))
@@ -261,19 +263,74 @@ def fused(lists: dict[str, DataFrame], key: str) -> DataFrame:
     return whole.groupBy(key).agg(F.sum("part").alias("score"), F.array_sort(F.collect_set("match")).alias("matches"))
 
 
+def exact_ranks(ordered: DataFrame, limit: int, key: str, lists: int) -> DataFrame:
+    """``name, key, rank``: exact ranks in their lists of every row that the first ``limit`` fused rows can hold.
+
+    ``ordered``: name, key, value (smaller is better; ties by key). The best ``limit`` of one list alone score at least 1 / (base + limit - 1);
+    a row behind place ``lists * (base + limit)`` in all lists scores less. So each list's first rows are candidates, and what a
+    candidate of one list is in the others is counted. On the driver: candidates only, at most ``lists ** 2 * (base + limit)``.
+    """
+    spark, most = ordered.sparkSession, lists * (RANK_BASE + limit)
+    place = F.row_number().over(Window.partitionBy("name").orderBy("value", key))
+    top = [(r["name"], r[key], r["value"], r["place"] - 1) for r in ordered.withColumn("place", place).where(F.col("place") <= most).collect()]
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField(key, ordered.schema[key].dataType), T.StructField("rank", T.LongType())])
+    found = [(n, k, r) for n, k, _, r in top]
+    cut = {n for n, _, _, r in top if r == most - 1}  # lists that go on behind the candidates
+    wanted = sorted({k for _, k, _, _ in top})
+    if cut and wanted:
+        have = {(n, k) for n, k, _, _ in top}
+        rest = [(r["name"], r[key], r["value"]) for r in ordered.where(F.col("name").isin(sorted(cut)) & F.col(key).isin(wanted)).collect()]
+        rest = sorted((n, v, k) for n, k, v in rest if (n, k) not in have)
+        if rest:
+            by = {n: ([v for m, v, _ in rest if m == n], [k for m, _, k in rest if m == n]) for n in {n for n, _, _ in rest}}
+
+            def before(batches):
+                for batch in batches:
+                    names = np.array(batch.column(0).to_pylist(), object)
+                    for name, (values, keys) in by.items():
+                        here = np.flatnonzero(names == name)
+                        if len(here):
+                            all_values = np.concatenate([batch.column(2).to_numpy()[here], values])
+                            all_keys = np.concatenate([np.array(batch.column(1).to_pylist())[here], keys])
+                            rank = np.empty(len(all_values), np.int64)
+                            rank[np.lexsort((all_keys, all_values))] = np.arange(len(all_values))
+                            counts = rank[len(here) :] - np.arange(len(values))  # less the candidates before it; itself comes last of equals or not at all
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(values)), pa.array(range(len(values)), pa.int32()), pa.array(counts)], names=["name", "i", "n"])
+
+            ordered_rows = ordered.where(F.col("name").isin(sorted(by))).select("name", key, "value").join(F.broadcast(spark.createDataFrame([(n, k) for n, _, k in rest], T.StructType(schema.fields[:2]))), ["name", key], "left_anti")
+            counted = ordered_rows.mapInArrow(before, "name string, i int, n long").groupBy("name", "i").agg(F.sum("n").alias("n")).collect()
+            found += [(r["name"], by[r["name"]][1][r["i"]], r["n"] + r["i"]) for r in counted]
+    return spark.createDataFrame(found, schema)
+
+
+def fused_top(lists: dict[str, DataFrame], limit: int, key: str) -> DataFrame:
+    """The first ``limit`` rows of the whole lists fused by rank: ``key, score, matches``. ``lists``: (key, value), the smallest value first."""
+    whole = None
+    for name, df in lists.items():
+        part = df.select(F.lit(name).alias("name"), key, F.col("value").cast("double").alias("value"))
+        whole = part if whole is None else whole.unionByName(part)
+    ranks = exact_ranks(whole, limit, key, len(lists))
+    return fused({n: ranks.where(F.col("name") == n) for n in lists}, key).orderBy(F.desc(F.round("score", 9)), key).limit(limit)
+
+
 def hybrid_search(
-    documents: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, limit: int = 20, filters: Filters | None = None, candidates: int = 8192, key: str = "doc_id", vector_key: str = "vec_id"
+    documents: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, limit: int = 20, filters: Filters | None = None, key: str = "doc_id", vector_key: str = "vec_id", words: DataFrame | None = None
 ) -> DataFrame:
-    """Keyword and vector lists fused by rank; without a vector the keyword list alone."""
+    """Keyword and vector lists fused by rank, each whole; without a vector the keyword list alone.
+
+    ``words`` (key, score): the keyword list of an index; by default it is scored from the texts.
+    """
     limit = check_request(query, "hybrid", limit)
     scope = filters.apply(documents) if filters else documents
-    words = keyword_scores(documents, query, scope).select(key, "score").orderBy(F.round("score", 9), key).limit(candidates)
-    lists = {"keyword": ranked(words, F.round("score", 9), key)}
+    if words is None:
+        words = keyword_scores(documents, query, scope)
+    elif filters:
+        words = words.join(scope.select(key), key, "left_semi")
+    lists = {"keyword": words.select(key, F.round("score", 9).alias("value"))}
     if vector is not None:
         eligible = vectors.join(scope.select(F.col(key).alias(vector_key)), vector_key, "left_semi")
-        near = nearest(eligible, vector, candidates, vector_key).withColumnRenamed(vector_key, key)
-        lists["semantic"] = ranked(near, F.col("distance"), key)
-    return fused(lists, key).orderBy(F.desc(F.round("score", 9)), key).limit(limit)
+        lists["semantic"] = eligible.select(F.col(vector_key).alias(key), F.round(cosine_distance(F.col("embedding"), vector), 6).alias("value"))
+    return fused_top(lists, limit, key)
 
 
 def exact_names_first(results: DataFrame, documents: DataFrame, query: str, limit: int, key: str = "doc_id") -> DataFrame:
@@ -306,9 +363,19 @@ def fold(hits: DataFrame, digest: Column, key: str, order: list[Column], foldabl
     return marked.where("__n = 1").withColumn("other_locations", F.expr("slice(__all, 2, greatest(size(__all) - 1, 0))")).drop("__n", "__all")
 
 
+def fold_all(rows: DataFrame, digest: Column, key: str) -> DataFrame:
+    """Every row with its group's representative: ``key, representative, others``.
+
+    Groups of equal digest are of any size, so they stay rows and are never gathered; the smallest key represents.
+    """
+    marked = rows.select(key, digest.alias("digest"))
+    groups = marked.groupBy("digest").agg(F.min(key).alias("representative"), (F.count("*") - 1).alias("others"))
+    return marked.join(groups, "digest").select(key, "representative", "others")
+
+
 def shown(hits: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Hits with staleness, revision and citation; the documents are joined to this page only."""
-    d = documents.join(F.broadcast(hits), key)
+    """Hits with staleness, revision and citation; their documents are joined to them, broadcast if the planner finds the hits small."""
+    d = documents.join(hits, key)
     stale = F.when(F.col("kind") == "row", F.lit(True)).otherwise((F.col("size") != F.col("indexed_size")) | (F.col("mtime_ns") != F.col("indexed_mtime_ns")))
     revision = F.coalesce(F.col("version"), F.concat_ws(":", "mtime_ns", "size"))
     d = d.withColumns({"stale": stale, "revision": revision})

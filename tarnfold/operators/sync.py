@@ -105,20 +105,33 @@ class TableSync:
             if state.boundary is None:
                 return self.rows.limit(0), Checkpoint(watermark=state.watermark, last_full=now if mode == "full" else state.last_full), True
         if state.mode == "full":
-            page = page_full(self.rows, self.key, state.cursor, state.boundary, self.size)
-            last = page.agg(F.max(self.key).alias("m"), F.count("*").alias("n")).first()
-            cursor = last["m"]
+            page = self._read(page_full(self.rows, self.key, state.cursor, state.boundary, self.size))
+            cursor = max((r[self.key] for r in page), default=None)
         else:
             low = state.watermark[0] if state.watermark else None
-            page = page_incremental(self.rows, self.key, self.updated, low, state.cursor, state.boundary, self.size)
-            last = page.agg(F.max(F.struct(self.updated, self.key)).alias("m"), F.count("*").alias("n")).first()
-            cursor = tuple(last["m"]) if last["m"] else state.cursor
-        over = last["n"] < self.size
+            page = self._read(page_incremental(self.rows, self.key, self.updated, low, state.cursor, state.boundary, self.size))
+            cursor = max(((r[self.updated], r[self.key]) for r in page), default=state.cursor)
+        over = len(page) < self.size
+        page = self.rows.sparkSession.createDataFrame(page, self.rows.schema)
         if over:
             mark = state.watermark if state.mode == "full" else state.boundary
             return page, Checkpoint(None, None, mark, state.mode, now if state.mode == "full" else state.last_full), True
         return page, Checkpoint(cursor, state.boundary, state.watermark, state.mode, state.last_full), False
 
+    def _read(self, page: DataFrame) -> list:
+        """The page's rows (at most ``size``), read once: what the caller gets is what the cursor has passed."""
+        return page.select(*self.rows.columns).collect()
+
+    def cycle(self, now: float) -> tuple[DataFrame, Checkpoint]:
+        """A full cycle in one parallel read, for the first load of a large table: rows up to the boundary, and the checkpoint behind them.
+
+        The rows are a plan over the source, not pages; write them before the checkpoint. Read a database by ``by_key_ranges``.
+        """
+        whole = self.rows.agg(F.max(self.key).alias("k"), *([F.max(F.struct(self.updated, self.key)).alias("m")] if self.updated else [])).first()
+        mark = tuple(whole["m"]) if self.updated and whole["m"] is not None else None
+        rows = self.rows.limit(0) if whole["k"] is None else self.rows.where(F.col(self.key) <= F.lit(whole["k"]))
+        return rows, Checkpoint(watermark=mark, last_full=now)
+
 
 def bounded_snapshot(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` rows by key, and one row that says whether they are all (never guessed)."""
@@ -126,6 +139,24 @@ def bounded_snapshot(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, D
     return rows.orderBy(key).limit(most), probe.agg((F.count("*") <= most).alias("complete"))
 
 
+def snapshot_rows(tables: dict[str, tuple[DataFrame, str]], most: int) -> DataFrame:
+    """Bounded snapshots of several tables in one: ``table, row_id, row`` (JSON), and behind each table's rows a marker.
+
+    A marker has a null ``row_id`` and says ``complete`` and why not (``reason``: row_limit, null_key). A table without a marker was not
+    read to its end; its completeness is never concluded from the rows. ``tables``: name to (rows, key).
+    """
+    out = None
+    for name, (rows, key) in sorted(tables.items()):
+        held = rows.where(F.col(key).isNotNull()).orderBy(key).limit(most)
+        body = held.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("row_id"), F.to_json(F.struct(*rows.columns)).alias("row"), F.lit(None).cast("boolean").alias("complete"), F.lit(None).cast("string").alias("reason"))
+        facts = rows.agg(F.count(key).alias("n"), F.count_if(F.col(key).isNull()).alias("nulls"))
+        reason = F.when(F.col("n") > most, "row_limit").when(F.col("nulls") > 0, "null_key")
+        marker = facts.select(F.lit(name).alias("table"), F.lit(None).cast("string").alias("row_id"), F.lit(None).cast("string").alias("row"), reason.isNull().alias("complete"), reason.alias("reason"))
+        both = body.unionByName(marker)
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def sweep_page(known: DataFrame, seen: DataFrame, key: str, size: int) -> DataFrame:
     """The next unseen keys to delete, in key order."""
     return known.join(seen.select(key).distinct(), key, "left_anti").orderBy(key).limit(size)

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions.text import FOLDED, row_text
-from tarnfold.operators import chunking, evidence, maintain, search, sync, vectors
+from tarnfold.operators import chunking, evidence, maintain, schedule, search, sync, vectors
+from tarnfold.operators.index import KeywordIndex
+from tarnfold.plans.folders import work_folder
 from tarnfold.plans.parallel import spread
 from tarnfold.plans.structured import Source, within_budget
 from tarnfold.sources import files
@@ -281,18 +284,48 @@ def _rounded():
     return F.round("score", 6).alias("score")
 
 
+_INDEXES: dict[tuple, KeywordIndex] = {}
+
+
+def _indexed(spark, sf_dir, name: str, rows: Callable[[SparkSession, str], DataFrame], key: str) -> KeywordIndex:
+    """The written index of a corpus: made by the first query that needs it, read by all others of the application."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _INDEXES:
+        _INDEXES[at] = KeywordIndex.build(rows(spark, sf_dir), f"{work_folder(spark)}/index-{name}-{uuid.uuid4().hex}", key)
+    return _INDEXES[at]
+
+
+def _documents_index(spark, sf_dir) -> KeywordIndex:
+    return _indexed(spark, sf_dir, "documents", lambda s, d: corpus(s, d).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)), "doc_id")
 
 
 @_register("kw_bm25", _bm25_sql(_WORDS) + " SELECT doc_id, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), doc_id LIMIT 20")
 def _kw_bm25(spark, sf_dir):
-    return search.keyword_search(corpus(spark, sf_dir), _QUERY).select("doc_id", _rounded())
+    return _documents_index(spark, sf_dir).search(_QUERY).select("doc_id", _rounded())
 
 
 @_register("kw_bm25_all", _bm25_sql(_WORDS) + " SELECT doc_id, round(score, 6) AS score FROM hits")
 def _kw_bm25_all(spark, sf_dir):
+    """Scored from the texts, without an index."""
     return search.keyword_scores(corpus(spark, sf_dir), _QUERY).select("doc_id", _rounded())
 
 
+_PHRASES = "the_edition of_the"
+
+
+@_register(
+    "kw_phrases",
+    f"""WITH {_CORPUS}, grams AS (SELECT doc_id, CAST(len(t) AS DOUBLE) AS length_own, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) AS g FROM tokens),
+    counted AS (SELECT doc_id, length_own, CAST(len(list_filter(g, lambda x: x = 'the edition')) AS DOUBLE) AS tf0, CAST(len(list_filter(g, lambda x: x = 'of the')) AS DOUBLE) AS tf1 FROM grams),
+    stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length_own) AS mean, CAST(count(*) FILTER (WHERE tf0 > 0) AS DOUBLE) AS n0, CAST(count(*) FILTER (WHERE tf1 > 0) AS DOUBLE) AS n1 FROM counted)
+    SELECT doc_id, round(-(greatest(ln((n - n0 + 0.5::DOUBLE) / (n0 + 0.5::DOUBLE)), CASE WHEN ln((n - n0 + 0.5::DOUBLE) / (n0 + 0.5::DOUBLE)) > 0 THEN 0::DOUBLE ELSE 0.000001::DOUBLE END) * tf0 * 2.2::DOUBLE / (tf0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length_own / mean))
+      + greatest(ln((n - n1 + 0.5::DOUBLE) / (n1 + 0.5::DOUBLE)), CASE WHEN ln((n - n1 + 0.5::DOUBLE) / (n1 + 0.5::DOUBLE)) > 0 THEN 0::DOUBLE ELSE 0.000001::DOUBLE END) * tf1 * 2.2::DOUBLE / (tf1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length_own / mean))), 6) AS score
+    FROM counted, stats WHERE tf0 > 0 OR tf1 > 0""",
+)
+def _kw_phrases(spark, sf_dir):
+    return _documents_index(spark, sf_dir).scores(_PHRASES).select("doc_id", _rounded())
+
+
 _FILTERS = search.Filters(extensions=(".txt", ".md", ".csv"), category="document", directory="/data/en", modified_after="2023-11-20", modified_before="2024-02-01T00:00:00Z", min_size=200, max_size=20_000, file_source=None)
 _FILTER_SQL = f"""extension IN ('.txt', '.md', '.csv') AND extension IN ('.pdf', '.docx', '.pptx', '.txt', '.md', '.markdown', '.rst', '.tex')
  AND (path = '/data/en' OR starts_with(path, '/data/en/')) AND mtime_ns >= {search.nanoseconds("2023-11-20")} AND mtime_ns < {search.nanoseconds("2024-02-01")} AND size >= 200 AND size <= 20000"""
@@ -300,19 +333,19 @@ _FILTER_SQL = f"""extension IN ('.txt', '.md', '.csv') AND extension IN ('.pdf',
 
 @_register("kw_filtered", _bm25_sql(_WORDS, _FILTER_SQL) + " SELECT doc_id, path, size, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), doc_id LIMIT 20")
 def _kw_filtered(spark, sf_dir):
-    return search.keyword_search(corpus(spark, sf_dir), _QUERY, filters=_FILTERS).select("doc_id", "path", "size", _rounded())
+    return _documents_index(spark, sf_dir).search(_QUERY, filters=_FILTERS).select("doc_id", "path", "size", _rounded())
 
 
 @_register("kw_source", _bm25_sql(_WORDS, "source_id = 'src3' AND extension = '.py'") + " SELECT doc_id, source_id, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), doc_id LIMIT 20")
 def _kw_source(spark, sf_dir):
-    return search.keyword_search(corpus(spark, sf_dir), _QUERY, filters=search.Filters(source_id="src3", extension=".py")).select("doc_id", "source_id", _rounded())
+    return _documents_index(spark, sf_dir).search(_QUERY, filters=search.Filters(source_id="src3", extension=".py")).select("doc_id", "source_id", _rounded())
 
 
 for _sort, _by in (("modified_desc", "mtime_ns DESC, "), ("modified_asc", "mtime_ns, "), ("name", "lower(name), ")):
 
     @_register(f"kw_sorted_{_sort}", _bm25_sql(_WORDS) + f" SELECT doc_id, name, mtime_ns FROM hits ORDER BY {_by}round(hits.score, 9), doc_id LIMIT 50")
     def _kw_sorted(spark, sf_dir, sort=_sort):
-        return search.keyword_search(corpus(spark, sf_dir), _QUERY, 50, sort=sort).select("doc_id", "name", "mtime_ns")
+        return _documents_index(spark, sf_dir).search(_QUERY, 50, sort=sort).select("doc_id", "name", "mtime_ns")
 
 
 @_register("fn_substring", f"WITH {_CORPUS} SELECT doc_id, path FROM corpus WHERE contains(lower(path), lower('SRC1/doc1')) ORDER BY CASE WHEN lower(name) = lower('SRC1/doc1') THEN 0 ELSE 1 END, doc_id LIMIT 100")
@@ -351,12 +384,9 @@ def _content_digest(spark, sf_dir):
     return search.content_digest(turns(spark, sf_dir))
 
 
-@_register("fold_duplicates", "SELECT min(doc_id) AS doc_id, count(*) - 1 AS others, array_to_string(list_sort(list(doc_id))[2:], ',') AS other_locations FROM documents GROUP BY text")
+@_register("fold_duplicates", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS representative, count(*) OVER (PARTITION BY text) - 1 AS others FROM documents")
 def _fold_duplicates(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
-    grouped = d.groupBy("digest").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))  # ids only, whole texts stay behind
-    rest = F.expr("slice(ids, 2, greatest(size(ids) - 1, 0))")
-    return grouped.select(F.element_at("ids", 1).alias("doc_id"), (F.size("ids") - 1).cast("long").alias("others"), F.array_join(F.transform(rest, lambda x: x.cast("string")), ",").alias("other_locations"))
+    return search.fold_all(_table(spark, sf_dir, "documents"), F.sha2(F.col("text").cast("binary"), 256), "doc_id")
 
 
 @_register(
@@ -364,8 +394,8 @@ def _fold_duplicates(spark, sf_dir):
     _bm25_sql(_WORDS) + ", page AS (SELECT doc_id, text, row_number() OVER (ORDER BY round(hits.score, 9), doc_id) AS r FROM hits ORDER BY r LIMIT 100) SELECT arg_min(doc_id, r) AS doc_id, array_to_string(list(doc_id ORDER BY r)[2:], ',') AS other_locations FROM page GROUP BY text",
 )
 def _fold_page(spark, sf_dir):
-    page = search.keyword_search(corpus(spark, sf_dir), _QUERY, 100)
-    out = search.fold(page, F.sha2(F.col("text").cast("binary"), 256), "doc_id", [F.round("score", 9), F.col("doc_id")])
+    page = _documents_index(spark, sf_dir).search(_QUERY, 100)
+    out = search.fold(page, F.col("digest"), "doc_id", [F.round("score", 9), F.col("doc_id")])
     return out.select("doc_id", F.array_join(F.transform("other_locations", lambda x: x.cast("string")), ",").alias("other_locations"))
 
 
@@ -431,15 +461,16 @@ def _vec_topk_batch(spark, sf_dir):
 _HYBRID = (
     _bm25_sql(_WORDS)
     + f""", {_VECTORS},
-words AS (SELECT doc_id, row_number() OVER (ORDER BY round(hits.score, 9), doc_id) - 1 AS rank FROM hits ORDER BY rank LIMIT 8192),
+words AS (SELECT doc_id, row_number() OVER (ORDER BY round(hits.score, 9), doc_id) - 1 AS rank FROM hits),
 near AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_COSINE}, vec_id) - 1 AS rank FROM vectors WHERE vec_id IN (SELECT doc_id FROM corpus)),
-fused AS (SELECT doc_id, sum(CAST(1 AS DOUBLE) / (61 + rank)) AS score FROM (SELECT * FROM words UNION ALL SELECT * FROM (SELECT * FROM near ORDER BY rank LIMIT 8192)) GROUP BY doc_id)"""
+fused AS (SELECT doc_id, sum(CAST(1 AS DOUBLE) / (61 + rank)) AS score FROM (SELECT * FROM words UNION ALL SELECT * FROM near) GROUP BY doc_id)"""
 )
 
 
 @_register("hybrid_rrf", _HYBRID + " SELECT doc_id, round(score, 6) AS score FROM fused ORDER BY round(fused.score, 9) DESC, doc_id LIMIT 20")
 def _hybrid_rrf(spark, sf_dir):
-    return search.hybrid_search(corpus(spark, sf_dir), _table(spark, sf_dir, "embeddings"), _QUERY, _VECTOR).select("doc_id", _rounded())
+    index = _documents_index(spark, sf_dir)
+    return search.hybrid_search(index.documents, _table(spark, sf_dir, "embeddings"), _QUERY, _VECTOR, words=index.scores(_QUERY)).select("doc_id", _rounded())
 
 
 @_register(
@@ -451,9 +482,9 @@ UNION ALL SELECT doc_id, score, FALSE FROM page WHERE doc_id NOT IN (SELECT doc_
 SELECT doc_id, round(score, 6) AS score, exact FROM both_lists ORDER BY exact DESC, round(both_lists.score, 9) DESC, doc_id LIMIT 20""",
 )
 def _hybrid_exact(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    page = search.hybrid_search(c, _table(spark, sf_dir, "embeddings"), _QUERY, _VECTOR)
-    return search.exact_names_first(page, c, "Doc7.py", 20).select("doc_id", _rounded(), "exact")
+    index = _documents_index(spark, sf_dir)
+    page = search.hybrid_search(index.documents, _table(spark, sf_dir, "embeddings"), _QUERY, _VECTOR, words=index.scores(_QUERY))
+    return search.exact_names_first(page, index.documents, "Doc7.py", 20).select("doc_id", _rounded(), "exact")
 
 
 @_register(
@@ -474,11 +505,9 @@ def _hybrid_exact(spark, sf_dir):
 def _kw_batch(spark, sf_dir):
     from tarnfold.functions.text import index_tokens
 
-    t = turns(spark, sf_dir)
-    index = search.postings(t)
-    lengths = t.select("chunk_id", F.size(index_tokens(F.col("text"))).alias("length"))
+    index = _indexed(spark, sf_dir, "turns", turns, "chunk_id")
     wanted = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(index_tokens(F.col("text"))).alias("term"))
-    out = search.batch_keyword(index, lengths, wanted, 5)
+    out = index.batch(wanted, 5)
     return out.select("query_id", "chunk_id", _rounded(), F.col("rank").cast("long").alias("rank"))
 
 
@@ -707,14 +736,25 @@ def _unique_keys(spark, sf_dir):
     return sync.unique_keys(_table(spark, sf_dir, "events"), ["event_id", "user_id"])
 
 
-@_register("inspect_source")
+_KINDS = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END"
+_FIELDS = f"fields AS (SELECT table_name AS t, column_name AS c, ordinal_position AS p, {_KINDS} AS k FROM information_schema.columns WHERE table_name IN ({', '.join(repr(t) for t in _TABLES)}))"
+
+
+@_register("inspect_source", f'WITH {_FIELDS} SELECT t AS "table", CAST(p - 1 AS INT) AS position, c AS "column", k AS type, TRUE AS nullable FROM fields')
 def _inspect(spark, sf_dir):
     return Source({t: _table(spark, sf_dir, t) for t in _TABLES}).inspect(spark)
 
 
-@_register("recommend_source")
+@_register(
+    "recommend_source",
+    f"""WITH {_FIELDS}, m AS (SELECT *, k IN ('bigint', 'int', 'string') AND (lower(c) = 'id' OR ends_with(lower(c), '_id') OR ends_with(lower(c), 'key')) AS is_key,
+      k = 'timestamp_ntz' OR lower(c) IN ({", ".join(repr(n) for n in sync.TIME_NAMES)}) AS is_time FROM fields)
+    SELECT t AS "table", coalesce(string_agg(c, ',' ORDER BY p) FILTER (WHERE is_key), '') AS keys, coalesce(string_agg(c, ',' ORDER BY p) FILTER (WHERE is_time), '') AS watermarks,
+      coalesce(string_agg(c, ',' ORDER BY p) FILTER (WHERE k = 'string' AND NOT is_key), '') AS texts FROM m GROUP BY t""",
+)
 def _recommend(spark, sf_dir):
-    return sync.recommend({t: _table(spark, sf_dir, t) for t in _TABLES}, spark)
+    out = sync.recommend({t: _table(spark, sf_dir, t) for t in _TABLES}, spark)
+    return out.select("table", *[F.array_join(c, ",").alias(c) for c in ("keys", "watermarks", "texts")])
 
 
 # ---- events ----------------------------------------------------------------------------------------------
@@ -738,9 +778,19 @@ def _throughput(spark, sf_dir):
     return streams.throughput(changes(spark, sf_dir), F.floor(F.col("at") / 1_000_000).cast("long"))
 
 
-@_register("event_debounce")
+_QUIET, _CAP = 3_600_000_000, 6 * 3_600_000_000
+
+
+@_register(
+    "event_debounce",
+    f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(ts) AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+    walk AS (SELECT path, k, moment AS first_us, moment AS last, 1 AS n, 1 AS burst FROM e WHERE k = 1 UNION ALL
+      SELECT e.path, e.k, CASE WHEN fresh THEN e.moment ELSE first_us END, e.moment, CASE WHEN fresh THEN 1 ELSE n + 1 END, burst + CASE WHEN fresh THEN 1 ELSE 0 END
+      FROM (SELECT w.*, e.moment >= least(w.last + {_QUIET}, w.first_us + {_CAP}) AS fresh FROM walk w JOIN e ON e.path = w.path AND e.k = w.k + 1) x JOIN e ON e.path = x.path AND e.k = x.k + 1)
+    SELECT path, first_us, least(max(last) + {_QUIET}, first_us + {_CAP}) AS emitted_us, CAST(max(n) AS BIGINT) AS events FROM walk GROUP BY path, burst, first_us""",
+)
 def _event_debounce(spark, sf_dir):
-    return streams.debounce(changes(spark, sf_dir), at="at", quiet=3_600_000_000, cap=6 * 3_600_000_000)
+    return streams.debounce(changes(spark, sf_dir), at="at", quiet=_QUIET, cap=_CAP)
 
 
 @_register("event_classes", "SELECT event_id, CASE WHEN event_id * 37 & 4608 <> 0 THEN 'delete' WHEN event_id * 37 & 1114112 <> 0 THEN 'reconcile' WHEN event_id * 37 & 8567 <> 0 THEN 'upsert' END AS action FROM events")
@@ -751,10 +801,17 @@ def _event_classes(spark, sf_dir):
 # ---- vectors kept and made, hits checked again -------------------------------------------------------
 
 
-@_register("vec_half_precision")
+_HALF = "pow(2::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10)"
+
+
+@_register(
+    "vec_half_precision",
+    f"SELECT vec_id, array_to_string(list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN x = 0 THEN 0::BIGINT ELSE CAST(round_even(x / {_HALF}, 0) * {_HALF} * 16777216 AS BIGINT) END), ',') AS units FROM embeddings",
+)
 def _vec_half(spark, sf_dir):
-    rows = _table(spark, sf_dir, "embeddings")
-    return vectors.unpacked(vectors.packed(rows, "vec_id", dim=64), "vec_id", 64)
+    """The half-precision form as multiples of its smallest unit, 2 ** -24."""
+    rows = vectors.unpacked(vectors.packed(_table(spark, sf_dir, "embeddings"), "vec_id", dim=64), "vec_id", 64)
+    return rows.select("vec_id", F.array_join(F.transform("embedding", lambda x: (x.cast("double") * (1 << 24)).cast("long").cast("string")), ",").alias("units"))
 
 
 @_register("embed_encode")
@@ -779,7 +836,7 @@ def _hits_revalidated(spark, sf_dir):
 def _kw_cited(spark, sf_dir):
     n = F.col("doc_id")
     c = corpus(spark, sf_dir)
-    page = search.keyword_search(c, _QUERY).select("doc_id", "score")
+    page = _documents_index(spark, sf_dir).search(_QUERY).select("doc_id", "score")
     now = c.select("doc_id", "source_id", "path", "size", F.col("mtime_ns").alias("indexed_mtime_ns"), F.col("size").alias("indexed_size"), (F.col("mtime_ns") + (n % 4 == 0).cast("long")).alias("mtime_ns"), F.when(n % 3 == 0, "row").otherwise("file").alias("kind"), F.when(n % 2 == 0, F.concat(F.lit("v"), n.cast("string"))).alias("version"), F.lit(None).cast("string").alias("locator"), F.lit(0).alias("indexed_at"))
     return search.shown(page, now).select("doc_id", "citation.stale", "citation.revision")
 
@@ -855,15 +912,28 @@ def _progress(spark, sf_dir):
     return evidence.progress_state(facts).select("id", "discovery_complete", "state")
 
 
-@_register("recall_at_k")
+@_register(
+    "recall_at_k",
+    f"""WITH {_CORPUS}, tok AS (SELECT doc_id, unnest(t) AS term FROM tokens), lens AS (SELECT doc_id, CAST(len(t) AS DOUBLE) AS length FROM tokens),
+    stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean FROM lens),
+    wanted AS (SELECT DISTINCT item_id AS case_id, unnest(regexp_extract_all(lower({_FOLD}), '[a-z0-9]+')) AS term FROM benchmark),
+    post AS (SELECT term, doc_id, CAST(count(*) AS DOUBLE) AS tf FROM tok WHERE term IN (SELECT term FROM wanted) GROUP BY term, doc_id),
+    with_term AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM post GROUP BY term),
+    odds AS (SELECT term, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS o FROM with_term, stats),
+    scored AS (SELECT case_id, doc_id, sum(-(CASE WHEN o > 0 THEN o ELSE 0.000001::DOUBLE END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score
+      FROM post JOIN odds USING (term) JOIN wanted USING (term) JOIN lens USING (doc_id), stats GROUP BY case_id, doc_id),
+    placed AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9), doc_id) - 1 AS rank FROM scored),
+    firsts AS (SELECT p.case_id, min(rank) AS first FROM placed p JOIN benchmark b ON b.item_id = p.case_id JOIN documents d ON d.doc_id = p.doc_id WHERE rank < 10 AND contains(d.text, b.text) GROUP BY p.case_id)
+    SELECT CASE WHEN length(b.text) < 200 THEN 'short' ELSE 'long' END AS "group", count(*) AS cases, round(avg(CASE WHEN first < 5 THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS recall_5,
+      round(avg(CASE WHEN first < 10 THEN 1::DOUBLE ELSE 0::DOUBLE END), 6) AS recall_10, round(avg(first), 6) AS mean_first_rank FROM benchmark b LEFT JOIN firsts f ON f.case_id = b.item_id GROUP BY 1""",
+)
 def _recall(spark, sf_dir):
     """Each benchmark passage searched as a query over all documents; relevant: documents that hold it."""
     from tarnfold.functions.text import index_tokens
 
     d, b = spread(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark")
     wanted = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("term"))
-    index = search.postings(d, "doc_id")
-    hits = search.batch_keyword(index, d.select("doc_id", F.size(index_tokens(F.col("text"))).alias("length")), wanted, 10, "doc_id")
+    hits = _documents_index(spark, sf_dir).batch(wanted, 10)
     hits = hits.select(F.col("query_id").alias("case_id"), "doc_id", "rank")
     held = hits.join(d.select("doc_id", "text"), "doc_id").join(b.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage")), "case_id").where(F.col("text").contains(F.col("passage"))).select("case_id", "doc_id")
     cases = b.select(F.col("item_id").alias("case_id"), F.when(F.length("text") < 200, "short").otherwise("long").alias("group"))
@@ -877,10 +947,209 @@ def _latency(spark, sf_dir):
     return out.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "most")
 
 
-@_register("json_rows")
+@_register("json_rows", """SELECT '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":' || o_totalprice || ',"o_orderdate":"' || o_orderdate || '","o_orderpriority":"' || o_orderpriority || '"}' AS json FROM orders""")
 def _json_rows(spark, sf_dir):
     from tarnfold.plans.structured import json_rows
 
     return json_rows(_table(spark, sf_dir, "orders"))
 
 
+# ---- scheduling, scope, fixed values -----------------------------------------------------------------------------
+
+
+_QUEUE = _WORK + ", docs AS (SELECT doc_id, text, source FROM documents WHERE doc_id % 9 <> 0)"
+
+
+@_register(
+    "due_files",
+    f"""WITH {_QUEUE}, due AS (SELECT w.* FROM work w JOIN docs d ON d.doc_id = w.doc_id WHERE available_at <= 30), old AS (SELECT doc_id FROM due WHERE priority <= 0 ORDER BY available_at, doc_id LIMIT 10)
+    SELECT doc_id, attempts, priority, source FROM (SELECT due.*, CASE WHEN doc_id IN (SELECT doc_id FROM old) THEN 0 WHEN priority > 0 THEN 1 ELSE 2 END AS turn FROM due ORDER BY turn, priority DESC, available_at, doc_id LIMIT 40) JOIN docs USING (doc_id)""",
+)
+def _due_files(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").where("doc_id % 9 != 0").select("doc_id", "source")
+    return schedule.due_files(_work(spark, sf_dir), documents, 30, 40).select("doc_id", "attempts", "priority", "source")
+
+
+@_register(
+    "due_directories",
+    """SELECT url AS path, page_id % 7 AS root, page_id % 3 = 0 AS urgent FROM pages WHERE page_id % 7 IN (1, 2, 5) ORDER BY page_id % 3 = 0 DESC, page_id % 11, url LIMIT 25""",
+)
+def _due_directories(spark, sf_dir):
+    n = F.col("page_id")
+    directories = _table(spark, sf_dir, "pages").select(F.col("url").alias("path"), (n % 7).alias("root"), (n % 3 == 0).alias("priority"), (n % 11).alias("arrived"))
+    roots = spark.createDataFrame([(i, "discover" if i in (1, 2, 5) else "done", f"g{i}") for i in range(7)], "root long, phase string, generation string")
+    return schedule.due_directories(directories, roots, 25).select("path", "root", F.col("priority").alias("urgent"))
+
+
+_LOADS = """loads AS (SELECT n_regionkey AS source, CAST(n_regionkey AS INT) AS position, n_nationkey AS "table", CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS "index",
+  2 AS next_table, 40 AS page_size, n_nationkey % 6 <> 5 AS due, CAST(n_nationkey * 17 % 130 AS BIGINT) AS remaining FROM nation)"""
+
+
+@_register(
+    "round_robin",
+    f"""WITH {_LOADS}, live AS (SELECT *, max(position + 1) OVER () AS sources, max("index" + 1) OVER (PARTITION BY source) AS tables FROM loads WHERE due AND remaining > 0),
+    paged AS (SELECT *, unnest(range(least(CAST(ceil(remaining / 40) AS BIGINT), 5))) AS page FROM live),
+    sized AS (SELECT *, least(40, remaining - page * 40) AS size, row_number() OVER w AS nth, coalesce(sum(least(40, remaining - page * 40)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM paged WINDOW w AS (PARTITION BY source ORDER BY page, ("index" - next_table + tables * 5) % tables))
+    SELECT CAST((position - 3 + sources * 5) % sources AS INT) AS turn, source, "table", CAST(page AS INT) AS page, CAST(least(size, 150 - before) AS BIGINT) AS rows, CAST(nth AS INT) AS nth FROM sized WHERE nth <= 5 AND before < 150""",
+)
+def _round_robin(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = F.col("n_nationkey")
+    index = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    loads = _table(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").alias("source"), F.col("n_regionkey").alias("position"), n.alias("table"), index.alias("index"), F.lit(2).alias("next_table"), F.lit(40).alias("page_size"), (n % 6 != 5).alias("due"), (n * 17 % 130).cast("long").alias("remaining")
+    )
+    return schedule.round_robin(loads, 3, 5, 150)
+
+
+_JOBS = """jobs AS (SELECT c_custkey AS job, 'running' AS status, CAST(c_custkey % 4 AS INT) AS attempts, CAST(c_custkey AS VARCHAR) AS cursor FROM customer),
+commands AS (SELECT o_custkey AS job, o_orderkey AS moment, CASE o_orderkey % 3 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' ELSE 'cancel' END AS command FROM orders WHERE o_orderkey % 5 = 0)"""
+
+
+@_register(
+    "job_control",
+    f"""WITH {_JOBS}, last AS (SELECT job, arg_max(command, moment) AS command, bool_or(command = 'cancel') AS cancelled FROM commands GROUP BY job)
+    SELECT j.job, CASE command WHEN 'pause' THEN 'paused' WHEN 'cancel' THEN 'cancelled' ELSE 'running' END AS status, CASE WHEN cancelled THEN 0 ELSE attempts END AS attempts, CASE WHEN cancelled THEN NULL ELSE cursor END AS cursor FROM jobs j LEFT JOIN last l ON l.job = j.job""",
+)
+def _job_control(spark, sf_dir):
+    n = F.col("c_custkey")
+    jobs = _table(spark, sf_dir, "customer").select(n.alias("job"), F.lit("running").alias("status"), (n % 4).cast("int").alias("attempts"), n.cast("string").alias("cursor"))
+    k = F.col("o_orderkey")
+    commands = _table(spark, sf_dir, "orders").where(k % 5 == 0).select(F.col("o_custkey").alias("job"), k.alias("at"), F.when(k % 3 == 0, "pause").when(k % 3 == 1, "resume").otherwise("cancel").alias("command"))
+    return schedule.control(jobs, commands)
+
+
+@_register(
+    "publish_results",
+    f"""WITH {_STATES} SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'changed_during_read' END AS reason,
+      doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND status NOT IN ('pending', 'error') AS publish FROM states WHERE doc_id % 11 <> 0""",
+)
+def _publish_results(spark, sf_dir):
+    n, own = F.col("doc_id"), F.concat(F.lit("i"), F.col("doc_id").cast("string"))
+    s = states(spark, sf_dir)
+    read = s.select("doc_id", "path", "size", "mtime_ns", own.alias("identity"), "status", F.lit(None).cast("string").alias("reason"))
+    present = s.where(n % 7 != 0).select("path", (F.col("size") + (n % 5 == 0).cast("long")).alias("size"), "mtime_ns", own.alias("identity"))
+    documents = s.select("doc_id", F.when(n % 11 == 0, "other").otherwise(own).alias("identity"))
+    return schedule.publish_results(read, present, documents)
+
+
+_AFTER = "CASE WHEN failed THEN 100 + least(3600::DOUBLE, 60 * pow(2::DOUBLE, least(attempts, 6))) ELSE CAST(available_at AS DOUBLE) END"
+
+
+@_register(
+    "commit_batch",
+    f"WITH {_WORK} SELECT doc_id, {_AFTER} AS available_at, attempts + CASE WHEN failed THEN 1 ELSE 0 END AS attempts, priority FROM (SELECT *, doc_id % 20 = 3 AND doc_id % 2 = 1 AS failed FROM work)",
+)
+def _commit_batch(spark, sf_dir):
+    """A batch of the odd documents of which some fail: it is rolled back as a whole."""
+    work = _work(spark, sf_dir)
+    outcome = work.where("doc_id % 2 = 1").select("doc_id", (F.col("doc_id") % 20 == 3).alias("failed"))
+    return schedule.commit_batch(work, outcome, 100)
+
+
+@_register("commit_batch_whole", f"WITH {_WORK} SELECT doc_id, CAST(available_at AS DOUBLE) AS available_at, attempts, priority FROM work WHERE doc_id % 2 = 0")
+def _commit_batch_whole(spark, sf_dir):
+    work = _work(spark, sf_dir)
+    return schedule.commit_batch(work, work.where("doc_id % 2 = 1").select("doc_id", F.lit(False).alias("failed")), 100)
+
+
+def _narrower():
+    p = F.col("path")
+    return maintain.in_scope(p, ["/data/en", "/data/fr"], ["/data/en/src2"]), maintain.in_scope(p, [], ["/data/fr/src1"], "all")
+
+
+_NARROWER = "(starts_with(path, '/data/en/') OR starts_with(path, '/data/fr/')) AND NOT starts_with(path, '/data/en/src2/')"
+_REVOKED = f"gone AS (SELECT doc_id, CASE WHEN NOT ({_NARROWER}) THEN 'remove' WHEN starts_with(path, '/data/fr/src1/') AND status IN ('ready', 'partial', 'pending') THEN 'clear' END AS action FROM states)"
+
+
+@_register("scope_revoked", f"WITH {_STATES}, {_REVOKED} SELECT * FROM gone WHERE action IS NOT NULL")
+def _scope_revoked(spark, sf_dir):
+    return schedule.revoked(states(spark, sf_dir), *_narrower())
+
+
+@_register("scope_preview", f"WITH {_STATES}, {_REVOKED} SELECT count(*) AS checked, count(*) FILTER (WHERE action = 'remove') AS removed, count(*) FILTER (WHERE action = 'clear') AS content_removed FROM gone")
+def _scope_preview(spark, sf_dir):
+    return schedule.scope_preview(states(spark, sf_dir), *_narrower())
+
+
+_FOLDERS = "folders AS (SELECT DISTINCT '/data/' || lang || '/' || source AS path FROM documents)"
+
+
+@_register(
+    "reconcile_targets",
+    f"""WITH {_FOLDERS}, asked AS (SELECT DISTINCT '/data/' || lang || '/' || source || CASE WHEN doc_id % 3 = 0 THEN '/gone' || doc_id % 4 ELSE '' END AS path FROM documents WHERE doc_id % 2 = 0),
+    aim AS (SELECT CASE WHEN path IN (SELECT path FROM folders) THEN path ELSE regexp_replace(path, '/[^/]*$', '') END AS path FROM asked)
+    SELECT DISTINCT CASE WHEN starts_with(path, '/data/en/') THEN path END AS target, NOT starts_with(path, '/data/en/') AS "full" FROM aim""",
+)
+def _reconcile_targets(spark, sf_dir):
+    n = F.col("doc_id")
+    folder = F.concat(F.lit("/data/"), "lang", F.lit("/"), "source")
+    d = _table(spark, sf_dir, "documents")
+    gone = F.when(n % 3 == 0, F.concat(F.lit("/gone"), (n % 4).cast("string"))).otherwise("")
+    asked = d.select(F.concat(folder, gone).alias("path"), (n % 2 == 0).alias("is_directory"))
+    return schedule.reconcile_targets(asked, d.select(folder.alias("path")), maintain.in_scope(F.col("path"), ["/data/en"]))
+
+
+@_register("watched_events", "SELECT '/u/' || user_id % 10 || '/' || user_id AS path, bool_or(event_type = 'purchase') AS is_directory, count(*) AS version, min(epoch_us(ts)) AS first_at, max(epoch_us(ts)) AS last_at FROM events WHERE user_id % 10 IN (3, 7) GROUP BY user_id")
+def _watched_events(spark, sf_dir):
+    n = F.col("path").cast("long")
+    moved = changes(spark, sf_dir).withColumn("path", F.concat(F.lit("/u/"), (n % 10).cast("string"), F.lit("/"), F.col("path")))
+    return schedule.watched_events(moved, ["/u/3/", "/u/7"])
+
+
+@_register(
+    "prioritized",
+    f"""WITH {_WORK}, {_CORPUS}, asked AS (SELECT doc_id FROM corpus WHERE doc_id % 6 = 0 AND starts_with(path, '/data/en/')), queue AS (SELECT * FROM work WHERE doc_id % 4 <> 0)
+    SELECT doc_id, CAST(available_at AS DOUBLE) AS available_at, attempts, priority FROM queue WHERE doc_id NOT IN (SELECT doc_id FROM asked)
+    UNION ALL SELECT a.doc_id, 0, coalesce(attempts, 0), 1 FROM asked a LEFT JOIN queue q ON q.doc_id = a.doc_id""",
+)
+def _prioritized(spark, sf_dir):
+    c = corpus(spark, sf_dir).select("doc_id", "path")
+    return schedule.prioritized(_work(spark, sf_dir).where("doc_id % 4 != 0"), c.where("doc_id % 6 = 0").select("path"), c, maintain.in_scope(F.col("path"), ["/data/en"]))
+
+
+@_register("file_identities", "SELECT o_orderkey, CASE WHEN o_custkey % 9 = 0 THEN 'unavailable' ELSE o_custkey % 3 || ':' || o_custkey % 9 END AS identity FROM orders")
+def _file_identities(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", schedule.file_identity(F.col("o_custkey") % 3, F.col("o_custkey") % 9).alias("identity"))
+
+
+@_register(
+    "snapshot_tables",
+    """WITH n AS (SELECT * FROM nation ORDER BY n_nationkey LIMIT 20), r AS (SELECT * FROM region ORDER BY r_regionkey LIMIT 20)
+    SELECT 'nation' AS "table", CAST(n_nationkey AS VARCHAR) AS row_id, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS row, NULL::BOOLEAN AS complete, NULL AS reason FROM n
+    UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR), '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', NULL, NULL FROM r
+    UNION ALL SELECT 'nation', NULL, NULL, count(*) <= 20, CASE WHEN count(*) > 20 THEN 'row_limit' END FROM nation UNION ALL SELECT 'region', NULL, NULL, count(*) <= 20, CASE WHEN count(*) > 20 THEN 'row_limit' END FROM region""",
+)
+def _snapshot_tables(spark, sf_dir):
+    return sync.snapshot_rows({"nation": (_table(spark, sf_dir, "nation"), "n_nationkey"), "region": (_table(spark, sf_dir, "region"), "r_regionkey")}, 20)
+
+
+@_register("cycle_full", "SELECT event_id, user_id FROM events")
+def _cycle_full(spark, sf_dir):
+    return sync.TableSync(_table(spark, sf_dir, "events"), "event_id").cycle(0.0)[0].select("event_id", "user_id")
+
+
+_NAMES = "'/home/a/' || list_extract(['.env', 'Credentials', 'credentials.JSON', '.ENV.local', '.ssh/known', 'notes.psm1', 'rakefile', 'x/.AWS/y', 'id_ed25519', 'env', '.netrc', 'a.hrl'], CAST(doc_id % 12 + 1 AS INT))"
+
+
+@_register(
+    "sensitive_paths",
+    f"""SELECT doc_id, path, list_extract(string_split(lower(path), '/'), -1) IN ('.env', '.npmrc', '.pypirc', 'credentials', 'credentials.json', 'id_rsa', 'id_ed25519') OR starts_with(list_extract(string_split(lower(path), '/'), -1), '.env.')
+      OR len(list_intersect(string_split(lower(path), '/'), ['.ssh', '.aws', '.azure', '.gnupg', '.kube'])) > 0 AS sensitive FROM (SELECT doc_id, {_NAMES} AS path FROM documents)""",
+)
+def _sensitive_paths(spark, sf_dir):
+    names = [".env", "Credentials", "credentials.JSON", ".ENV.local", ".ssh/known", "notes.psm1", "rakefile", "x/.AWS/y", "id_ed25519", "env", ".netrc", "a.hrl"]
+    path = F.concat(F.lit("/home/a/"), F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("doc_id") % 12 + 1).cast("int")))
+    return _table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).withColumn("sensitive", maintain.is_sensitive(F.col("path")))
+
+
+_CODE = ".py .pyi .js .mjs .cjs .ts .jsx .tsx .java .go .rs .c .cpp .cc .cxx .h .hpp .cs .sh .bash .zsh .ps1 .psm1 .sql .css .scss .sass .less .r .rb .php .swift .kt .kts .scala .vue .svelte .lua .pl .dart .ex .exs .erl .hrl .clj .cljs .fs .fsx .vb .bat .cmd .properties .gitignore .dockerignore .editorconfig"
+
+
+@_register("category_code", f"SELECT doc_id, e AS extension FROM (SELECT doc_id, list_extract(['.py', '.psm1', '.hrl', '.sass', '.log', '.md', '.editorconfig', '.gradle', '.json'], CAST(doc_id % 9 + 1 AS INT)) AS e FROM documents) WHERE e IN ({', '.join(repr(x) for x in _CODE.split())})")
+def _category_code(spark, sf_dir):
+    names = [".py", ".psm1", ".hrl", ".sass", ".log", ".md", ".editorconfig", ".gradle", ".json"]
+    extension = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("doc_id") % 9 + 1).cast("int")).alias("extension")
+    return search.Filters(category="code", file_source=None).apply(_table(spark, sf_dir, "documents").select("doc_id", extension))

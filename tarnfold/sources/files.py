@@ -23,12 +23,12 @@ from pyspark.sql import types as T
 
 # Suffixes and names that are read as text.
 TEXT_SUFFIXES = (
-    ".txt .md .markdown .log .rst .tex .json .jsonl .yaml .yml .toml .ini .xml .conf .config .env "
-    ".py .pyi .js .jsx .mjs .cjs .ts .tsx .vue .svelte .java .kt .kts .scala .groovy .c .h .cc .cpp .cxx .hpp "
-    ".cs .go .rs .rb .php .swift .m .mm .r .jl .lua .pl .pm .sh .bash .zsh .fish .ps1 .bat .cmd .sql .css "
-    ".scss .less .dart .ex .exs .erl .hs .clj .proto .gradle .cmake"
+    ".txt .md .markdown .log .py .pyi .js .mjs .cjs .ts .jsx .tsx .java .go .rs .c .cpp .cc .cxx .h .hpp .cs .sh .bash .zsh .ps1 "
+    ".psm1 .sql .json .jsonl .yaml .yml .toml .ini .xml .conf .config .css .scss .sass .less .r .rb .php .swift .kt .kts .scala "
+    ".vue .svelte .lua .pl .dart .ex .exs .erl .hrl .clj .cljs .fs .fsx .vb .bat .cmd .properties .env .rst .tex .gitignore "
+    ".dockerignore .editorconfig"
 ).split()
-TEXT_NAMES = frozenset("dockerfile makefile readme license jenkinsfile gemfile".split())
+TEXT_NAMES = frozenset("dockerfile makefile gemfile rakefile license readme".split())
 MOST_FILE, MOST_CHARS, MOST_PIECE, MOST_PIECES = 32 << 20, 2_000_000, 1200, 20_000
 MOST_ENTRIES, MOST_UNPACKED, MOST_XML = 20_000, 256 << 20, 64 << 20
 

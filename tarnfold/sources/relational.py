@@ -42,6 +42,8 @@ class Relational:
             raise ValueError("a JDBC address is expected")
         if {k.lower() for k in self.options} & {"password", "dbtable", "query"}:
             raise ValueError("passwords come from the environment, tables from the allowlist")
+        if "sessioninitstatement" in {k.lower() for k in self.options}:
+            raise ValueError("sessions are read-only; their first statement is not an option")
         if not 1 <= self.timeout <= 60:
             raise ValueError("the timeout is 1 to 60 seconds")
 
@@ -74,6 +76,8 @@ class Relational:
         import os
 
         properties = {"queryTimeout": str(self.timeout), "fetchsize": str(self.fetch), **self.options}
+        if self.dialect in SESSION:
+            properties["sessionInitStatement"] = SESSION[self.dialect]
         if self.user:
             properties["user"] = self.user
         if self.password_env:

@@ -129,3 +129,45 @@ def test_row_text(spark):
     rows = df.select(text.alias("t"), cut.alias("c")).collect()
     assert rows[0].t == "p: a\nr: 3" and not rows[0].c
     assert len(rows[1].t) == 12_000 and rows[1].c
+
+
+def test_exact_ranks_of_whole_lists(spark):
+    """Fusion over lists far longer than a page: the same as ranking all rows."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    a, b = rng.integers(0, 400, n).astype(float), rng.permutation(n).astype(float)
+    rows = spark.createDataFrame([(k, float(a[k]), float(b[k])) for k in range(n)], "doc_id long, a double, b double").repartition(5)
+    lists = {"keyword": rows.where("doc_id % 3 != 0").select("doc_id", F.col("a").alias("value")), "semantic": rows.select("doc_id", F.col("b").alias("value"))}
+    for limit in (1, 7, 20):
+        got = [(r.doc_id, round(r.score, 9), r.matches) for r in search.fused_top(lists, limit, "doc_id").collect()]
+        ranks = {"keyword": sorted((k for k in range(n) if k % 3), key=lambda k: (a[k], k)), "semantic": sorted(range(n), key=lambda k: (b[k], k))}
+        score, names = {}, {}
+        for name, order in ranks.items():
+            for r, k in enumerate(order):
+                score[k] = score.get(k, 0) + 1 / (search.RANK_BASE + r)
+                names.setdefault(k, []).append(name)
+        best = sorted(score, key=lambda k: (-round(score[k], 9), k))[:limit]
+        assert got == [(k, round(score[k], 9), sorted(names[k])) for k in best]
+    assert search.fused_top({"keyword": lists["keyword"].limit(0)}, 5, "doc_id").count() == 0
+
+
+def test_index_agrees_with_the_scan(spark, tmp_path):
+    from tarnfold.operators.index import KeywordIndex
+
+    texts = ["the cat sat on the mat", "a cat_sat here", "cat cat cat", "", "THE MAT the mat the mat", "数据库 服务器 cat", None, "sat cat sat"]
+    rows = spark.createDataFrame([(i, t, f"/d/{i}", f"{i}.txt", ".txt", "files", 10 * i, i) for i, t in enumerate(texts)], "doc_id long, text string, path string, name string, extension string, source_id string, size long, mtime_ns long")
+    index = KeywordIndex.build(rows, str(tmp_path / "index"), buckets=4)
+    assert index.rows == 8 and KeywordIndex.open(spark, index.path) == index and "text" not in index.documents.columns
+    scanned = rows.fillna("", ["text"])
+    for query in ("cat", "the mat", "cat_sat", "the_mat cat", "数据", "nothing", "the_mat_the"):
+        want = {r.doc_id: round(r.score, 9) for r in search.keyword_scores(scanned, query).collect()}
+        assert {r.doc_id: round(r.score, 9) for r in index.scores(query).collect()} == want
+        for filters in (None, search.Filters(min_size=20, file_source=None)):
+            for sort in search.SORTS:
+                page = [r.doc_id for r in search.keyword_search(scanned, query, 3, filters, sort).collect()] if filters is None else None
+                got = [r.doc_id for r in index.search(query, 3, filters, sort).collect()]
+                assert page is None or got == page
+                assert all(filters is None or d >= 2 for d in got)
+    plan = index.terms(["cat"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:60]
+    assert "EqualTo(term,cat)" in plan or "In(term, [cat])" in plan

@@ -1,21 +1,21 @@
 """A written keyword index: postings by term, so that a query reads its own terms and not the corpus.
 
-``build`` writes three tables below a folder: ``postings`` (term, key, tf, positions, length; parted by a hash of the
-term, sorted by term and key, so that a query prunes folders, then row groups), ``documents`` (the rows' other columns, without
-texts) and ``stats`` (rows, tokens). Common terms spread over as many files as their rows need.
+``build`` writes four tables below a folder: ``postings`` (term, key, tf, positions, length; parted by a hash of the
+term, sorted by term and key, so that a query prunes folders, then row groups), ``terms`` (term, rows that hold it), ``documents``
+(the rows' other columns, without texts) and ``stats`` (rows, tokens). Common terms spread over as many files as their rows need.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions.text import bm25_term, query_phrases
-from tarnfold.operators.search import Filters, batch_keyword, check_request, ordering, postings
+from tarnfold.operators.search import Filters, check_request, ordering, postings, ranked
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,7 @@ class KeywordIndex:
         held.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key).write.partitionBy("bucket").parquet(f"{path}/postings")
         rows.drop(text).write.parquet(f"{path}/documents")
         spark = rows.sparkSession
+        spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("with")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
         tokens = spark.read.parquet(f"{path}/postings").agg(F.sum("tf").alias("tokens"))
         count = spark.read.parquet(f"{path}/documents").agg(F.count("*").alias("rows"))
         count.join(tokens).select("rows", "tokens", F.lit(buckets).alias("buckets"), F.lit(key).alias("key")).write.parquet(f"{path}/stats")
@@ -45,20 +46,39 @@ class KeywordIndex:
         s = spark.read.parquet(f"{path}/stats").first()
         return cls(spark, path, s["key"], s["buckets"], s["rows"], (s["tokens"] or 0) / s["rows"] if s["rows"] else 0.0)
 
-    @property
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @cached_property
     def documents(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/documents")
 
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/terms")
+
+    def frequencies(self, wanted: list[str]) -> dict[str, int]:
+        """How many rows hold each of these terms (those of one query)."""
+        return {r["term"]: r["with"] for r in self.vocabulary.where(F.col("term").isin(sorted(wanted))).collect()}
+
     def terms(self, wanted: list[str]) -> DataFrame:
         """The postings of these terms, read from their buckets only."""
         buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in wanted})
-        return self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(wanted)))
+        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(wanted)))
 
     def scores(self, query: str) -> DataFrame:
         """``key, score`` of every row in which any phrase occurs (BM25, smaller is better)."""
         phrases = query_phrases(query)
-        held = self.terms(sorted({t for p in phrases for t in p}))
-        names = [f"__tf{i}" for i in range(len(phrases))]
+        wanted = sorted({t for p in phrases for t in p})
+        held, names = self.terms(wanted), [f"__tf{i}" for i in range(len(phrases))]
+        if all(len(p) == 1 for p in phrases):  # what the vocabulary knows: a row's score is a sum over its postings
+            frequency = self.frequencies(wanted)
+            if not frequency:
+                return held.select(self.key, F.lit(0.0).alias("score")).limit(0)
+            with_term = F.create_map(*[F.lit(x) for t, n in frequency.items() for x in (t, n)])[F.col("term")]
+            part = bm25_term(F.col("tf"), with_term, F.lit(self.rows), F.col("length"), F.lit(self.average))
+            return held.select(self.key, part.alias("part")).groupBy(self.key).agg(F.sum("part").alias("score"))
         counted = held.groupBy(self.key, "length").agg(*[self._count(p).alias(n) for p, n in zip(phrases, names, strict=True)])
         with_phrase = counted.agg(*[F.count_if(F.col(n) > 0).alias(f"{n}_rows") for n in names])
         found = counted.where(reduce(lambda a, b: a | b, [F.col(n) > 0 for n in names], F.lit(False))).join(F.broadcast(with_phrase))  # one row
@@ -88,7 +108,9 @@ class KeywordIndex:
 
     def batch(self, queries: DataFrame, limit: int) -> DataFrame:
         """The first ``limit`` rows of each of many queries (query_id, term): ``query_id, key, score, rank``."""
-        terms = queries.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
-        held = self.spark.read.parquet(f"{self.path}/postings").join(terms.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-        stats = self.spark.range(1).select(F.lit(self.rows).alias("rows"), F.lit(self.average).alias("average"))
-        return batch_keyword(held, None, queries, limit, self.key, stats)
+        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")
+        wanted = queries.select("query_id", "term").distinct().withColumn("bucket", bucket).join(self.vocabulary, ["bucket", "term"])
+        hits = self.postings.select("bucket", "term", self.key, "tf", "length").join(wanted, ["bucket", "term"])
+        part = bm25_term(F.col("tf"), F.col("with"), F.lit(self.rows), F.col("length"), F.lit(self.average))
+        total = hits.select("query_id", self.key, part.alias("part")).groupBy("query_id", self.key).agg(F.sum("part").alias("score"))
+        return ranked(total, F.round("score", 9), self.key, "query_id").where(F.col("rank") < limit)

@@ -1,24 +1,32 @@
 """A stream source of volume change records: binary version 2 and 3 records, read by offset.
 
-``spark.readStream.format("change_journal").option("path", folder)`` reads files ``<first offset>.bin``
-of a journal dump; offsets are update sequence numbers, so a restarted query goes on where its checkpoint
-ends. A reset journal or lost records raise an error, which asks for a full scan.
+``spark.readStream.format("change_journal").option("path", folder)`` reads files ``<first offset>.bin`` of a journal dump, a
+task a file. ``journal.json`` beside them, where there is one, names the journal (``journal_id``), the first offset that still
+counts (``lowest_valid_usn``) and the offset behind the last record (``next_usn``). An offset of the stream is
+the journal's id and an update sequence number, so a restarted query goes on where its checkpoint ends.
+
+A cursor may be unusable: the journal was reset, records before its first one are lost, the cursor is ahead of the journal, or the journal
+changed while it was read. By default the query fails with that reason; with ``onInvalid=reconcile`` the batch is one row whose
+``reconcile`` is the reason (a full scan is needed), and the stream goes on from the journal's present end.
+
+Options: ``path`` (a folder that the executors see, or an address that pyarrow opens), ``maxFiles`` a batch (64), ``maxBytes`` a
+file (256 MiB), ``onInvalid``, ``startAt`` (``first`` kept record, or ``end``: only what comes later, after a baseline scan).
 """
 
 from __future__ import annotations
 
-import os
+import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 HEAD = struct.Struct("<IHH")
 V2 = struct.Struct("<QQqqIIIIHH")
 V3 = struct.Struct("<16s16sqqIIIIHH")
 DIRECTORY = 0x10
-SCHEMA = "usn long, at_us long, reason long, is_directory boolean, file_id string, parent_id string, name string"
+SCHEMA = "usn long, at_us long, reason long, is_directory boolean, file_id string, parent_id string, name string, reconcile string"
 EPOCH_1601_US = 11_644_473_600_000_000
 
 
@@ -67,41 +75,124 @@ def encode(r: Record, major: int = 2) -> bytes:
     return (HEAD.pack(size, major, 0) + body + name).ljust(size, b"\0")
 
 
-class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, options):
-        self.path, self.most = options["path"], int(options.get("maxRecords", 10_000))
+class JournalInvalid(RuntimeError):
+    """The cursor cannot be used; the message is the reason."""
 
-    def _files(self) -> list[tuple[int, str]]:
-        return sorted((int(n[:-4]), os.path.join(self.path, n)) for n in os.listdir(self.path) if n.endswith(".bin"))
+
+@dataclass
+class _Part(InputPartition):
+    """Records of a file from ``first`` up to ``last``, or the reason for a full scan."""
+
+    name: str
+    first: int
+    last: int
+    journal: str
+    reason: str | None = None
+
+
+class Folder:
+    """A journal dump: its files and its present state."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        self.files, self.path = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+    def read(self, name: str, most: int | None = None) -> bytes:
+        at = f"{self.path.rstrip('/')}/{name}"
+        if most is not None and self.files.get_file_info(at).size > most:
+            raise JournalInvalid("read_budget_exceeded")
+        with self.files.open_input_stream(at) as f:
+            return f.read()
+
+    def state(self) -> tuple[str, int, int, list[int]]:
+        """Journal id, first valid offset, offset behind the last record, and the files' first offsets."""
+        from pyarrow import fs
+
+        names = [f.base_name for f in self.files.get_file_info(fs.FileSelector(self.path))]
+        firsts = sorted(int(n[:-4]) for n in names if n.endswith(".bin"))
+        known = json.loads(self.read("journal.json")) if "journal.json" in names else {}
+        first = firsts[0] if firsts else 0
+        end = known.get("next_usn")
+        if end is None:  # from the last file alone
+            end = max((r.usn + 1 for r in decode(self.read(f"{firsts[-1]}.bin"))), default=first) if firsts else 0
+        return str(known.get("journal_id", "0")), max(first, known.get("lowest_valid_usn", first)), end, firsts
+
+
+def validity(cursor: dict | None, journal: str, lowest: int, end: int) -> str | None:
+    """Why a cursor cannot be read on from, or None."""
+    if cursor is None:
+        return "initial_baseline_required"
+    usn = cursor.get("usn") if isinstance(cursor, dict) else None
+    if not isinstance(usn, int) or isinstance(usn, bool) or not isinstance(cursor.get("journal"), str):
+        return "invalid_cursor"
+    if cursor["journal"] != journal:
+        return "journal_reset"
+    if usn < lowest:
+        return "journal_entries_lost"
+    return "cursor_ahead_of_journal" if usn > end else None
+
+
+class _Reader(DataSourceStreamReader):
+    def __init__(self, options):
+        self.path, self.most = options["path"], int(options.get("maxFiles", 64))
+        self.bytes, self.reconcile = int(options.get("maxBytes", 256 << 20)), options.get("onInvalid", "fail") == "reconcile"
+        self.at_end = options.get("startAt", "first") == "end"
+        if self.most < 1 or self.bytes < 4096 or options.get("onInvalid", "fail") not in ("fail", "reconcile"):
+            raise ValueError("maxFiles from 1, maxBytes from 4096, onInvalid fail or reconcile")
+        self.done: dict | None = None
 
     def initialOffset(self) -> dict:
-        files = self._files()
-        return {"usn": files[0][0] if files else 0}
-
-    def read(self, start: dict):
-        files, rows, after = self._files(), [], start["usn"]
-        if files and start["usn"] < files[0][0]:
-            raise RuntimeError("journal records before the first kept one are lost: a full scan is needed")
-        for k, (_, name) in enumerate(files):
-            if k + 1 < len(files) and files[k + 1][0] <= after:
-                continue
-            with open(name, "rb") as f:
-                for r in decode(f.read()):
-                    if r.usn >= after and len(rows) < self.most:
-                        rows.append((r.usn, r.at_us, r.reason, r.is_directory, r.file_id, r.parent_id, r.name))
-        end = rows[-1][0] + 1 if rows else after
-        return iter(rows), {"usn": end}
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        rows = []
-        for _, name in self._files():
-            with open(name, "rb") as f:
-                rows += [(r.usn, r.at_us, r.reason, r.is_directory, r.file_id, r.parent_id, r.name) for r in decode(f.read()) if start["usn"] <= r.usn < end["usn"]]
-        return iter(sorted(rows))
+        journal, lowest, end, _ = Folder(self.path).state()
+        return {"journal": journal, "usn": end if self.at_end else lowest}
+
+    def latestOffset(self) -> dict:
+        """The journal's end, or that of ``maxFiles`` files further on."""
+        journal, _, end, firsts = Folder(self.path).state()
+        if self.done and self.done["journal"] == journal and self.done["usn"] <= end:
+            ahead = [f for f in firsts if f > self.done["usn"]]
+            if len(ahead) > self.most:
+                end = min(end, ahead[self.most - 1])
+        return {"journal": journal, "usn": end}
+
+    def partitions(self, start: dict, end: dict) -> list[_Part]:
+        self.done = end
+        journal, lowest, present, firsts = Folder(self.path).state()
+        # a batch that is planned again after a failure ends where it ended before
+        reason = validity(start, end["journal"], lowest if journal == end["journal"] else 0, end["usn"]) or ("journal_reset_during_read" if journal != end["journal"] else None)
+        if reason:
+            return [_Part("", start.get("usn", 0), end["usn"], end["journal"], self._refused(reason))]
+        ends = [*firsts[1:], present]
+        return [_Part(f"{f}.bin", max(f, start["usn"]), min(e, end["usn"]), journal) for f, e in zip(firsts, ends, strict=True) if e > start["usn"] and f < end["usn"]]
+
+    def _refused(self, reason: str) -> str:
+        if not self.reconcile:
+            raise JournalInvalid(f"{reason}: a full scan is needed")
+        return reason
+
+    def read(self, part: _Part):
+        if part.reason:
+            yield (None,) * 7 + (part.reason,)
+            return
+        folder = Folder(self.path)
+        try:
+            data = folder.read(part.name, self.bytes)
+            records = [r for r in decode(data) if part.first <= r.usn < part.last]
+            if folder.state()[0] != part.journal:
+                raise JournalInvalid("journal_reset_during_read")
+        except (FileNotFoundError, JournalInvalid) as e:
+            reason = str(e) if isinstance(e, JournalInvalid) else "journal_entries_lost"
+            yield (None,) * 7 + (self._refused(reason),)
+            return
+        for r in records:
+            yield r.usn, r.at_us, r.reason, r.is_directory, r.file_id, r.parent_id, r.name, None
 
     def commit(self, end: dict) -> None:
         """Records stay where they are; the query's checkpoint holds the offset."""
 
+    def stop(self) -> None:
+        """Nothing is held open."""
+
 
 class ChangeJournal(DataSource):
     @classmethod
@@ -111,5 +202,5 @@ class ChangeJournal(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _Reader(self.options)

@@ -1,10 +1,12 @@
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnfold.streaming import events as streams
-from tarnfold.streaming.journal import ChangeJournal, Record, decode, encode
+from tarnfold.streaming.journal import ChangeJournal, Record, decode, encode, validity
 
 
 @settings(max_examples=100, deadline=None)
@@ -91,3 +93,70 @@ def test_journal_stream(spark, tmp_path):
 def test_classes(spark):
     rows = spark.createDataFrame([(0x200 | 0x100,), (0x10000,), (0x2000,), (0x80000000,)], "r long")
     assert [r[0] for r in rows.select(streams.classify(F.col("r"))).collect()] == ["delete", "reconcile", "upsert", None]
+
+
+def test_cursor_validity():
+    assert validity(None, "j", 0, 9) == "initial_baseline_required"
+    for odd in ({}, {"usn": 1}, {"journal": "j", "usn": True}, {"journal": "j", "usn": "1"}, {"journal": 3, "usn": 1}, "x"):
+        assert validity(odd, "j", 0, 9) == "invalid_cursor"
+    cases = {("i", 5): "journal_reset", ("j", 1): "journal_entries_lost", ("j", 10): "cursor_ahead_of_journal", ("j", 2): None, ("j", 9): None}
+    assert {k: validity({"journal": k[0], "usn": k[1]}, "j", 2, 9) for k in cases} == cases
+
+
+def test_journal_reset_lost_and_ahead(spark, tmp_path):
+    """A checkpoint that the journal no longer fits: an error, or a row that asks for a full scan."""
+    spark.dataSource.register(ChangeJournal)
+    rows = records(6)
+
+    def run(name, folder, **options):
+        s = spark.readStream.format("change_journal").option("path", str(folder)).options(**options).load()
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / f"out-{name}")).option("checkpointLocation", str(tmp_path / f"c-{name}")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return sorted(((r.usn, r.reconcile) for r in spark.read.parquet(str(tmp_path / f"out-{name}")).collect()), key=str)
+
+    def write(folder, journal, kept):
+        for f in folder.glob("*"):
+            f.unlink()
+        folder.mkdir(exist_ok=True)
+        for part in (kept[:2], kept[2:]):
+            if part:
+                (folder / f"{part[0].usn}.bin").write_bytes(b"".join(map(encode, part)))
+        (folder / "journal.json").write_text(json.dumps({"journal_id": journal, "next_usn": kept[-1].usn + 1}))
+
+    first = [(r.usn, None) for r in rows[:3]]
+    for name, journal, kept, reason in (("reset", "b", rows[3:], "journal_reset"), ("lost", "a", rows[4:], "journal_entries_lost"), ("ahead", "a", rows[:2], "cursor_ahead_of_journal")):
+        for mode in ("reconcile", "fail"):
+            folder = tmp_path / f"{name}-{mode}"
+            write(folder, "a", rows[:3])
+            assert run(f"{name}-{mode}", folder, onInvalid=mode) == first
+            write(folder, journal, kept)
+            if mode == "reconcile":
+                assert run(f"{name}-{mode}", folder, onInvalid=mode) == sorted([*first, (None, reason)], key=str)
+                write(folder, journal, [*kept, rows[5]] if kept[-1].usn < rows[5].usn else [*kept, Record(900, *list(vars(rows[0]).values())[1:])])
+                after = run(f"{name}-{mode}", folder, onInvalid=mode)
+                assert len(after) == 5 and max(u for u, _ in after if u) > rows[2].usn  # goes on from the new end
+            else:
+                with pytest.raises(Exception, match=reason):
+                    run(f"{name}-{mode}", folder, onInvalid=mode)
+
+
+def test_journal_batches_are_bounded(spark, tmp_path):
+    spark.dataSource.register(ChangeJournal)
+    folder = tmp_path / "many"
+    folder.mkdir()
+    rows = records(9)
+    for r in rows:
+        (folder / f"{r.usn}.bin").write_bytes(encode(r))
+    s = spark.readStream.format("change_journal").option("path", str(folder)).option("maxFiles", 2).load()
+    q = s.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "k")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.usn for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [r.usn for r in rows]
+    late = spark.readStream.format("change_journal").option("path", str(folder)).option("startAt", "end").load()
+    q = late.writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "l")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("late").count() == 0

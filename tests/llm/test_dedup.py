@@ -371,3 +371,19 @@ def test_one_key_on_two_texts_or_vectors(spark, docs_of):
     vectors = spark.createDataFrame([(1, x), (1, y), (2, near(x)), (3, near(y)), (4, near(near(y))), (5, [0.0, 0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
     links = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dups.near_vectors(vectors).collect())
     assert links == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 0, 5)]
+
+
+def test_corpus_wide_suffix_ranks(spark, docs_of):
+    from tarnfold.llm.suffix_array import suffix_ranks
+
+    rng = random.Random(12)
+    texts = ["banana", "", None, "a", "ab" * 7, "mississippi", "banana", "é", *("".join(rng.choice("ab") for _ in range(n)) for n in (2, 3, 4, 5, 40))]
+    suffixes = sorted(((t or "").encode()[i:], d, i) for d, t in enumerate(texts) for i in range(len((t or "").encode())))
+    for depth in (500, 4):
+        got = {(r.doc_id, r.start): r["rank"] for r in suffix_ranks(docs_of(list(enumerate(texts))), depth=depth).collect()}
+        assert len(got) == len(suffixes)
+        for (x, d, i), (y, e, j) in zip(suffixes, suffixes[1:], strict=False):  # in order, equal only if equal over the depth
+            assert got[d, i] <= got[e, j] and (got[d, i] < got[e, j] or x[:depth] == y[:depth])
+        if depth == 500:
+            assert all(got[d, i] == sum(y < x for y, _, _ in suffixes) for x, d, i in suffixes)
+    assert suffix_ranks(docs_of([])).count() == 0

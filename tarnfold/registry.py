@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tarnfold.functions.text import FOLDED, row_text
 from tarnfold.operators import chunking, evidence, maintain, schedule, search, sync, vectors
 from tarnfold.operators.index import KeywordIndex
+from tarnfold.operators.segments import VectorSegments
 from tarnfold.plans.folders import work_folder
 from tarnfold.plans.parallel import spread
 from tarnfold.plans.structured import Source, within_budget
@@ -618,6 +619,19 @@ def _segment_live(spark, sf_dir):
     return maintain.live_ratio(_members(spark, sf_dir), turns(spark, sf_dir)).withColumn("deleted_ratio", F.round("deleted_ratio", 6))
 
 
+@_register("segment_rebuilt", f"WITH {_HAVE} SELECT chunk_id, hash FROM turns WHERE semantic AND hash IN (SELECT hash FROM have) AND chunk_id % 4 <> 0")
+def _segment_rebuilt(spark, sf_dir):
+    """Segments of a third of the chunks, then of all, compacted when a quarter of the chunks is gone: what is live in them."""
+    every, byte = turns(spark, sf_dir), F.crc32(F.col("hash").cast("binary"))
+    have = _vectors_of_turns(spark, sf_dir).select("hash", F.array(*[(byte % n - n / 2).cast("float") for n in (97, 89, 83)]).alias("embedding"))
+    s = VectorSegments(spark, f"{work_folder(spark)}/segments-{uuid.uuid4().hex}")
+    s.add(every.where(F.col("chunk_id") % 3 == 0), have)
+    s.add(every, have)
+    left = every.where(F.col("chunk_id") % 4 != 0)
+    s.compact(left)
+    return s.live(left).select("chunk_id", "hash")
+
+
 def _snapshots(spark, sf_dir):
     c = corpus(spark, sf_dir).select(F.col("path").alias("key"), "doc_id", "size", "mtime_ns")
     old = c.where(F.col("doc_id") % 5 != 0).withColumn("identity", F.col("doc_id").cast("string"))

@@ -93,8 +93,10 @@ class Library:
         """The chunk, its neighbours and how far they are from it."""
         return evidence.neighbours(self.chunks, self.chunks.where(F.col("chunk_id") == chunk_id).select("doc_id", "chunk_id"), before, after).orderBy("distance")
 
-    def diagnose_path(self, requests: DataFrame) -> DataFrame:
-        return evidence.diagnose(requests, self.documents)
+    def diagnose_path(self, requests: DataFrame, query: str | None = None) -> DataFrame:
+        """``path, code, actions`` and, with a query, whether a ready path answers it."""
+        found = evidence.with_actions(evidence.diagnose(requests, self.documents))
+        return found if query is None else evidence.query_evidence(found, self.documents, self.chunks, query)
 
     def index_status(self) -> dict[str, DataFrame]:
         """Counts by source and status, states of sources, and how many chunks have a vector."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfold.functions.text import index_tokens, phrase_count, query_phrases
+
 STATUSES = ("ready", "partial", "unsupported", "encrypted", "error", "pending", "budget", "metadata")
 
 
@@ -125,6 +127,51 @@ def diagnose(requests: DataFrame, documents: DataFrame) -> DataFrame:
     return j.select("path", code.otherwise("ready").alias("code"))
 
 
+# What a user can do about each code.
+ACTIONS = {
+    "excluded_or_outside_scope": ["review_scope"],
+    "missing_or_moved": ["search_filename"],
+    "permission_denied_or_unavailable": ["check_source_access"],
+    "directory_coverage": ["prioritize_path", "review_scope"],
+    "not_discovered": ["prioritize_path"],
+    "legacy_identity_unverified": ["refresh_path"],
+    "replaced_file": ["refresh_path"],
+    "stale": ["refresh_path"],
+    "content_excluded": ["review_content_scope"],
+    "content_pending": ["refresh_path", "review_limits"],
+    "extraction_failed": ["refresh_path", "review_limits"],
+    "resource_or_file_limit": ["refresh_path", "review_limits"],
+    "unsupported_content": ["review_format_support"],
+    "partial_content": ["refresh_path", "review_limits"],
+    "encrypted_document": ["unlock_source_then_refresh"],
+    "ready": ["fetch"],
+}
+
+
+def with_actions(diagnosis: DataFrame) -> DataFrame:
+    """Adds ``actions`` (a list) for the code."""
+    return diagnosis.withColumn("actions", F.create_map(*[x for code, names in ACTIONS.items() for x in (F.lit(code), F.array(*map(F.lit, names)))])[F.col("code")])
+
+
+def query_evidence(diagnosis: DataFrame, documents: DataFrame, chunks: DataFrame, query: str) -> DataFrame:
+    """Adds ``keyword_match``, ``filename_match`` and ``query_assessment``: whether a ready path answers the query (else null).
+
+    ``documents``: path, doc_id; ``chunks``: doc_id, text. Only chunks of ready paths are tokenized; statistics are not needed.
+    """
+    ready = diagnosis.where("code = 'ready'").select("path").distinct().join(documents.select("path", "doc_id"), "path")
+    words, hit = index_tokens(F.col("text")), F.lit(False)
+    for phrase in query_phrases(query):
+        hit = hit | (phrase_count(F.col("__tokens"), phrase) > 0)
+    held = chunks.join(ready, "doc_id", "left_semi").withColumn("__tokens", words)
+    found = ready.join(held.where(hit).select("doc_id").distinct(), "doc_id", "left_semi").select("path").distinct().withColumn("__hit", F.lit(True))
+    is_ready = F.col("code") == "ready"
+    keyword = F.when(is_ready, F.coalesce("__hit", F.lit(False)))
+    name = F.when(is_ready, F.contains(F.lower("path"), F.lower(F.lit(query))))
+    told = F.when(keyword | name, "match").when(is_ready, "no_keyword_match_in_indexed_content")
+    out = diagnosis.join(found, "path", "left")
+    return out.withColumns({"keyword_match": keyword, "filename_match": name, "query_assessment": told}).drop("__hit")
+
+
 def progress_state(facts: DataFrame) -> DataFrame:
     """Adds ``state`` to rows of facts about an index (all booleans or counts), first match wins."""
     complete = ~F.col("active_root") & (F.col("queued_directories") == 0) & (F.col("discovery_errors") == 0) & ~F.col("unavailable_root")

@@ -897,6 +897,10 @@ known AS (SELECT path, status, size, mtime_ns, CASE WHEN doc_id % 37 = 0 THEN NU
     WHEN status = 'partial' THEN 'partial_content' ELSE 'ready' END AS code FROM asked a LEFT JOIN known k ON a.path = k.path""",
 )
 def _diagnose(spark, sf_dir):
+    return _diagnosed(spark, sf_dir)
+
+
+def _diagnosed(spark, sf_dir):
     s = states(spark, sf_dir)
     n = F.col("doc_id")
     own = F.concat(F.lit("i"), n.cast("string"))
@@ -905,6 +909,18 @@ def _diagnose(spark, sf_dir):
     return evidence.diagnose(asked, known)
 
 
+@_register(
+    "diagnose_evidence",
+    f"""WITH {_ASKED}, ready AS (SELECT a.path, a.doc_id FROM asked a JOIN known k ON a.path = k.path WHERE in_scope AND on_disk AND readable AND k.identity = a.identity AND k.size = a.size AND k.mtime_ns = a.mtime_ns AND content_allowed AND status = 'ready'),
+    m AS (SELECT path, list_has_any(t, {_WORDS}) AS keyword_match, contains(lower(path), '{_QUERY}') AS filename_match FROM ready JOIN tokens USING (doc_id))
+    SELECT path, keyword_match, filename_match, CASE WHEN keyword_match OR filename_match THEN 'match' ELSE 'no_keyword_match_in_indexed_content' END AS query_assessment, 'fetch' AS actions FROM m""",
+)
+def _diagnose_evidence(spark, sf_dir):
+    rows, found = corpus(spark, sf_dir), evidence.with_actions(_diagnosed(spark, sf_dir))
+    out = evidence.query_evidence(found, rows, rows, _QUERY).where("code = 'ready'")
+    return out.select("path", "keyword_match", "filename_match", "query_assessment", F.array_join("actions", ",").alias("actions"))
+
+
 @_register(
     "progress_state",
     """WITH f AS (SELECT doc_id AS id, doc_id % 11 = 0 AS paused, doc_id % 7 = 0 AS held, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 0 END AS due, doc_id % 13 = 0 AS active_root, CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS queued_directories,

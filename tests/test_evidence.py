@@ -56,6 +56,19 @@ def test_diagnosis_ladder(spark):
     }
 
 
+def test_query_evidence_of_ready_paths(spark):
+    found = spark.createDataFrame([("/a/Plan.txt", "ready"), ("/a/b.txt", "ready"), ("/a/c.txt", "ready"), ("/a/plan2.txt", "stale"), ("/a/none.txt", "not_discovered")], "path string, code string")
+    documents = spark.createDataFrame([("/a/Plan.txt", 1), ("/a/b.txt", 2), ("/a/c.txt", 3), ("/a/plan2.txt", 4)], "path string, doc_id long")
+    chunks = spark.createDataFrame([(1, "other"), (2, "a PLAN here"), (2, "plan"), (3, "planet"), (3, None), (4, "plan")], "doc_id long, text string")
+    got = {r.path: (r.keyword_match, r.filename_match, r.query_assessment, r.actions) for r in evidence.query_evidence(evidence.with_actions(found), documents, chunks, "plan").collect()}
+    missed = "no_keyword_match_in_indexed_content"
+    assert got == {
+        "/a/Plan.txt": (False, True, "match", ["fetch"]), "/a/b.txt": (True, False, "match", ["fetch"]), "/a/c.txt": (False, False, missed, ["fetch"]),
+        "/a/plan2.txt": (None, None, None, ["refresh_path"]), "/a/none.txt": (None, None, None, ["prioritize_path"]),
+    }
+    assert {r.query_assessment for r in evidence.query_evidence(found.limit(1), documents, chunks, "??").collect()} == {missed}
+
+
 def test_recall(spark):
     hits = spark.createDataFrame([(1, 5, 0), (1, 6, 1), (2, 7, 7)], "case_id int, doc_id int, rank int")
     relevant = spark.createDataFrame([(1, 6), (2, 7), (3, 9)], "case_id int, doc_id int")

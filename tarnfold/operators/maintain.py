@@ -116,21 +116,33 @@ def is_sensitive(path: Column) -> Column:
     return name.isin(sorted(SENSITIVE_NAMES)) | name.startswith(".env.") | F.arrays_overlap(parts, F.array(*[F.lit(x) for x in sorted(SENSITIVE_FOLDERS)]))
 
 
-def in_scope(path: Column, roots: list[str], excluded: list[str] = (), mode: str = "directories") -> Column:
-    """Row-level eligibility by folder: mode all, directories or none."""
+def in_scope(path: Column, roots: list[str], excluded: list[str] = (), mode: str = "directories", names: list[str] = (), resolved: Column | None = None) -> Column:
+    """Row-level eligibility by folder: mode all, directories or none.
+
+    ``names``: folders and files of these names below a root are out, whatever the case of their letters (with mode all: anywhere).
+    ``resolved``: the path without links; a path that is an alias of another one is out.
+    """
+    if mode not in ("all", "directories", "none"):
+        raise ValueError("mode is all, directories or none")
     if mode == "none":
         return F.lit(False)
+    out = F.array(*[casefolded(F.lit(n)) for n in names])
 
     def below(top):
         top = top.rstrip("/")
-        return (path == top) | path.startswith(top + "/")
+        return (path == (top or "/")) | path.startswith(top + "/")
+
+    def kept(top):
+        if not names:
+            return F.lit(True)
+        return ~F.arrays_overlap(F.split(casefolded(F.substr(path, F.lit(len(top.rstrip("/")) + 1))), "/"), out)
 
-    ok = F.lit(mode == "all")
+    ok = kept("") if mode == "all" else F.lit(False)
     for r in roots if mode == "directories" else ():
-        ok = ok | below(r)
+        ok = ok | below(r) & kept(r)
     for x in excluded:
         ok = ok & ~below(x)
-    return ok
+    return ok if resolved is None else ok & path.eqNullSafe(resolved)
 
 
 def minimal_roots(roots: list[str]) -> list[str]:

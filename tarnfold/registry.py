@@ -695,6 +695,12 @@ def _scope_tiers(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", content.alias("content"), (maintain.in_scope(p, ["/data/fr"]) & (F.col("extension") == ".md")).alias("semantic"))
 
 
+@_register("scope_names", f"WITH {_CORPUS} SELECT doc_id FROM corpus WHERE (starts_with(path, '/data/en/') OR starts_with(path, '/data/fr/')) AND NOT list_has_any(string_split(lower(substr(path, 10)), '/'), ['src1', 'doc7.py']) AND doc_id % 6 <> 0")
+def _scope_names(spark, sf_dir):
+    rows = corpus(spark, sf_dir).withColumn("resolved", F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("/real"), "path")).otherwise(F.col("path")))
+    return rows.where(maintain.in_scope(F.col("path"), ["/data/en", "/data/fr"], names=["SRC1", "Doc7.PY"], resolved=F.col("resolved"))).select("doc_id")
+
+
 # ---- synchronisation -----------------------------------------------------------------------------------
 
 

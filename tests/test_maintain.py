@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -74,3 +75,20 @@ def test_snapshot_publication(spark, tmp_path):
     assert len(s.collect_garbage()) == 1 and s.read().count() == 7 and s.manifest()["generation"] == 3
     s.compact(1)
     assert s.read().count() == 7
+
+
+def test_scope_by_names_and_aliases(spark):
+    paths = ["/r/a/x", "/r/Node_Modules/x", "/r/a/node_modules", "/r/a/node_modules2/x", "/node_modules/r/x", "/r", "/rest/x", "/link/x"]
+    rows = spark.createDataFrame([(p, "/r/a/y" if p == "/link/x" else p) for p in paths], "p string, real string")
+
+    def inside(*args, **more):
+        return [r.p for r in rows.where(maintain.in_scope(F.col("p"), *args, **more)).collect()]
+
+    names = ["NODE_modules"]
+    assert inside(["/r/"], names=names) == ["/r/a/x", "/r/a/node_modules2/x", "/r"]
+    assert inside(["/node_modules/r"], names=names) == ["/node_modules/r/x"]  # what is above a root does not count
+    assert inside([], mode="all", names=names, resolved=F.col("real")) == ["/r/a/x", "/r/a/node_modules2/x", "/r", "/rest/x"]
+    assert inside(["/"], ["/r"]) == ["/node_modules/r/x", "/rest/x", "/link/x"]
+    assert inside(["/r"], mode="none") == []
+    with pytest.raises(ValueError):
+        inside(["/r"], mode="some")

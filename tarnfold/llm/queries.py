@@ -116,10 +116,21 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_media(store_texts(table(spark, sf_dir, "documents"))))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import LOWER, UPPER, manifest
+
+    docs = table(spark, sf_dir, "documents")
+    lowered = {"text": F.translate("text", UPPER, LOWER)}
+    out = manifest(docs, claimed=lowered, doubted=F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 0)
+    return out.drop("path")
+
+
 def queries() -> dict:
-    found = (op1_hyperminhash, op2_suffix_repeats, op3_rotation_codes, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids)
+    found = (op1_hyperminhash, op2_suffix_repeats, op3_rotation_codes, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids, op11_merkle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import twins
+
+    return {"op11_merkle": twins.merkle()}

@@ -125,8 +125,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("path")
 
 
+def op12_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .grouping import pack_best_fit
+
+    out = pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def queries() -> dict:
-    found = (op1_hyperminhash, op2_suffix_repeats, op3_rotation_codes, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids, op11_merkle)
+    found = (op1_hyperminhash, op2_suffix_repeats, op3_rotation_codes, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids, op11_merkle, op12_grouping)
     return {f.__name__: f for f in found}
 
 

@@ -132,12 +132,18 @@ def op12_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op13_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    found = (op1_hyperminhash, op2_suffix_repeats, op3_rotation_codes, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids, op11_merkle, op12_grouping)
+    found = (op1_hyperminhash, op2_suffix_repeats, op3_rotation_codes, op4_language, op5_resharding, op6_piece_bpe, op7_chat, op8_packing, op9_tiff, op10_rans_ids, op11_merkle, op12_grouping, op13_threshold)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import twins
 
-    return {"op11_merkle": twins.merkle()}
+    return {"op11_merkle": twins.merkle(), "op13_threshold": twins.ranked()}

@@ -51,3 +51,25 @@ done AS (SELECT *, sha256(array_to_string(list_transform(path, lambda s: s.b ||
     list_reduce(list_prepend(struct_pack(b := coalesce(f, h), a := ''), path), lambda x, s: struct_pack(b := sha256(s.b || x.b || s.a), a := '')).b AS folded FROM whole)
 SELECT doc_id, h AS leaf, subroot, root, proof AS proof_sha256, folded AS folded_root, folded = root AS verified FROM done
 """
+
+
+def ranked(limit: int = 10) -> str:
+    """op13: every document scored for every item."""
+
+    def terms(table: str, key: str) -> str:
+        cut = r"regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+        return f"SELECT {key}, translate(unnest({cut}), '{UPPER}', '{LOWER}') AS term FROM {table}"
+
+    return f"""
+WITH words AS ({terms("documents", "doc_id")}),
+held AS (SELECT doc_id, term, count(*)::bigint AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::bigint AS n FROM held GROUP BY doc_id),
+whole AS (SELECT count(*)::bigint AS total_docs, sum(n)::bigint AS total_terms FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * total_docs + 2) / (2 * count(*) + 1)))::bigint AS w FROM held, whole GROUP BY term, total_docs),
+asked AS (SELECT DISTINCT * FROM ({terms("benchmark", "item_id")})),
+impacts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * total_docs) // total_terms)))) AS impact
+    FROM held JOIN sizes USING (doc_id) JOIN weights USING (term), whole),
+scored AS (SELECT item_id, doc_id, sum(impact)::bigint AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0),
+placed AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::int AS rank, doc_id, score FROM scored)
+SELECT * FROM placed WHERE rank <= {limit}
+"""

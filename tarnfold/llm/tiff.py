@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import raw_texts
@@ -337,11 +337,20 @@ def features(pixels: np.ndarray) -> str:
     """Size, range, mean, spread and entropy of the samples, as text."""
     flat = pixels.reshape(-1)
     small = flat.dtype.kind == "u" and flat.dtype.itemsize < 4
-    counts = np.bincount(flat, minlength=1) if small else np.unique(flat, return_counts=True)[1]
+    rows, columns = pixels.shape[:2]
+    if small:  # all from the counts, gathered a part at a time, as a page may be most of a task's memory
+        counts = np.zeros(1 << 8 * flat.dtype.itemsize, np.int64)
+        for at in range(0, flat.size, 1 << 20):
+            counts += np.bincount(flat[at : at + (1 << 20)], minlength=len(counts))
+        (values,) = np.nonzero(counts)
+        share = counts[values] / max(1, flat.size)
+        entropy, mean = float(-(share * np.log2(share)).sum()) + 0.0, float((share * values).sum())
+        std = float(np.sqrt((share * (values - mean) ** 2).sum()))
+        return f"{columns}x{rows} min={values.min()} max={values.max()} mean={mean:.4f} std={std:.4f} entropy={entropy:.4f}"
+    counts = np.unique(flat, return_counts=True)[1]
     share = counts[counts > 0] / max(1, flat.size)
     entropy = float(-(share * np.log2(share)).sum()) + 0.0
-    rows, columns = pixels.shape[:2]
-    wide = flat if small else flat.astype(np.float64)
+    wide = flat.astype(np.float64)
     with np.errstate(all="ignore"):
         return f"{columns}x{rows} min={flat.min()} max={flat.max()} mean={wide.mean():.4f} std={wide.std():.4f} entropy={entropy:.4f}"
 
@@ -372,13 +381,13 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, sample_format int, compression int, pixels binary, feature string, error string"
 
 
-def read_media(rows: DataFrame, media: str = "media", largest: int = 1 << 28) -> DataFrame:
+def read_media(rows: DataFrame, media: str = "media", largest: int | Column = 1 << 28) -> DataFrame:
     """One row per page of each TIFF in the binary column ``media``, with the row's other columns.
 
     New columns (a clashing name of the input is replaced): page, width, height, samples, bits, sample_format,
     compression, pixels (interleaved, little-endian; a byte a sample of less than 8 bits), feature, error. A null file,
     one without pages and one that cannot be read give a row with page null and the reason in error, after the pages before the
-    damage; pages of more than ``largest`` bytes of samples count as damage. Null keys and repeated rows stay; an empty table
+    damage; pages of more than ``largest`` bytes of samples (a number, or a column where rows know their size) count as damage. Null keys and repeated rows stay; an empty table
     gives no rows.
     """
     from pyspark.sql import types as T
@@ -387,14 +396,15 @@ def read_media(rows: DataFrame, media: str = "media", largest: int = 1 << 28) ->
     names = {f.name for f in made.fields}
     kept = [f for f in rows.schema.fields if f.name not in names]
     schema = T.StructType([*kept, *made.fields])
+    rows = rows.withColumn("__largest", (largest if isinstance(largest, Column) else F.lit(largest)).cast("long"))
     kinds = [pa.int32()] * 7 + [pa.binary(), pa.string(), pa.string()]
 
-    def pages_of(data):
+    def pages_of(data, most):
         try:
             if data is None:
                 raise ValueError("no data")
             number = None
-            for p in read_pages(data, largest):
+            for p in read_pages(data, most):
                 number = p.number
                 yield p.number, p.width, p.height, p.samples, p.bits, p.sample_format, p.compression, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), features(p.pixels), None
             if number is None:
@@ -405,9 +415,10 @@ def read_media(rows: DataFrame, media: str = "media", largest: int = 1 << 28) ->
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
+            bounds = batch.column(batch.schema.get_field_index("__largest"))
             for i, data in enumerate(batch.column(batch.schema.get_field_index(media))):
                 same = table.slice(i, 1)
-                for page in pages_of(data.as_py()):
+                for page in pages_of(data.as_py(), bounds[i].as_py() or 0):
                     columns = [pa.array([v], t) for v, t in zip(page, kinds, strict=True)]
                     yield from pa.Table.from_arrays([*[same.column(f.name).combine_chunks() for f in kept], *columns], names=schema.names).to_batches()
 

@@ -475,3 +475,18 @@ def test_pipeline_stages(spark, docs_of, tmp_path):
         assert (r.lang_pred, r.h1, r.t, r.row, r.kept_text, r.k, r.score) == ("lang_pred", "h1", "t", "row", "kept_text", "k", 1.5)
     assert c.packing(spark, chained, "").count() >= 4
     assert c.run(spark, SF).count() > 0
+
+
+def test_tiff_of_a_very_long_text(spark):
+    """Texts above what a page of unknown size may have: rows name their own bound; 300 MiB through writer and reader."""
+    docs = spark.createDataFrame([(1, "x" * 5000), (2, ""), (3, "y" * 64)], "doc_id long, text string")
+    stored = tiff.store_texts(docs)
+    assert {r.doc_id: r.error is None for r in tiff.read_media(stored, largest=4999).collect()} == {1: False, 2: True, 3: True}
+    assert all(r.error is None for r in tiff.read_media(stored, largest=F.col("n_bytes") + 64).collect())
+    data = np.tile(np.frombuffer(b"0123456789abcde\n", np.uint8), 300 << 16)
+    blob = tiff.write_pages([data.reshape(-1, 64, 1)])
+    (page,) = tiff.read_pages(blob, data.size + 64)
+    assert (page.pixels.reshape(-1) == data).all()
+    assert tiff.features(page.pixels).startswith(f"64x{300 << 14} min=10 max=101")
+    with pytest.raises(ValueError):
+        list(tiff.read_pages(blob))

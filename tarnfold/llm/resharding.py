@@ -264,12 +264,7 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, key: str = "doc_id") ->
     spark = docs.sparkSession
     own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]
     out = plan.where(F.col("shard").isin(changed)).select(*own, "shard", "slot").sortWithinPartitions("shard", "slot")
-    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.write.mode("overwrite").partitionBy("shard").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     for n in set(changed) - {r.shard for r in moves}:
         target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={n}")
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -139,12 +139,15 @@ def decode_block(blob: bytes, table: Table, part: int | None = None) -> np.ndarr
 def write_ids(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, block_tokens: int = 1 << 20) -> None:
     """Encode every text, append ``end_id``, and write all ids under ``path`` in ascending key order.
 
-    Null texts are empty; null keys come first; equal keys follow one another by a hash of their text;
-    an empty table writes no block. Other columns are ignored.
+    Null texts are empty; null keys come first; equal keys follow one another by a hash of their text, equal rows as they lie, and are
+    many tasks' where they are many. A very long text is encoded whole and has a block to itself beyond ``block_tokens``.
+    An empty table writes no block. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
-    rows = rows.repartitionByRange(partitions(spark), F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.xxhash64("t"))
+    # by range of key, text and place in the scan: one key, even of equal rows, may hold any share of all
+    order = [F.col("k").asc_nulls_first(), F.xxhash64("t").asc(), F.col("at").asc()]
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop("at")
 
     def encode(batches):
         encoder, end, part = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()

@@ -122,7 +122,7 @@ def pack_documents(
     ``ids`` are little-endian unsigned 32-bit. ``offset`` runs gapless from 0 within a sequence;
     ``sequence_id`` is the task's number shifted left by 33 plus a count, the same whenever the task is
     run again. A null or empty text has the end id alone. Null keys, repeated rows and equal lengths
-    keep a piece each (ties by input order); an empty table gives no rows; other columns are ignored.
+    keep a piece each (ties by input order); very long texts are encoded whole, then cut; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):

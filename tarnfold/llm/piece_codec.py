@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import ENTRY, LONG
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -73,7 +74,7 @@ class PieceCodec:
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model_bytes(self.ranks))
         self.map = dict(enumerate(byte_characters()))
-        self.known, self.before, self.limit = {}, {}, 400_000
+        self.known, self.before, self.held, self.limit = {}, {}, 0, 100_000_000
 
     def _learn(self, cuts: set[str]) -> None:
         """Adds cuts to the memo: from its last generation, else from the library, all in one call."""
@@ -89,21 +90,36 @@ class PieceCodec:
             if len(ids) > 1 and (rank := self.ranks.get(c.encode("utf-8"))) is not None:
                 ids = (rank,)  # an entry that no sequence of joins reaches still stands for itself
             self.known[c] = array("i", ids).tobytes()
+        self.held += sum(ENTRY + c.__sizeof__() + len(self.known[c]) for c in cuts)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; cuts that are new to the memo are encoded together."""
+        """Ids of each text, some characters' worth of texts at a time."""
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= 1_000_000:
+                out += self._encoded(group)
+                group, size = [], 0
+        return out + self._encoded(group)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Cuts that are new to the memo are encoded together; long ones are forgotten again."""
         all_cuts = [self.find(t) for t in texts]
         known, new = self.known.get, set()
         for cuts in all_cuts:
             found = list(map(known, cuts))
             if None in found:
                 new.update(c for c, ids in zip(cuts, found, strict=True) if ids is None)
-        if len(self.known) + len(new) > self.limit:  # a new generation: it needs the others of these texts as well
-            self.known, self.before = {}, self.known
+        if new and self.held > self.limit:  # a new generation: it needs the others of these texts as well
+            self.known, self.before, self.held = {}, self.known, 0
             new = {c for cuts in all_cuts for c in cuts}
         if new:
             self._learn(new)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, cuts)), np.int32) for cuts in all_cuts]
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, cuts)), np.int32) for cuts in all_cuts]
+        for c in [c for c in new if len(c) > LONG]:
+            self.held -= ENTRY + c.__sizeof__() + len(self.known.pop(c))
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -124,7 +140,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
 
     Null and empty texts have no ids and decode to nothing. Null keys and repeated rows stay as they
     are; an empty table gives no rows; other columns are ignored. One pass without a shuffle; a task
-    keeps a bounded memo of cuts.
+    keeps a memo of cuts bounded by bytes. Very long texts and cuts are encoded whole; cuts of over 200 characters are not remembered.
     """
 
     def run(batches):

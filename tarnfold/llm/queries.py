@@ -113,7 +113,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tiff import digests, read_media, store_texts
 
-    return digests(read_media(store_texts(table(spark, sf_dir, "documents"))))
+    stored = store_texts(table(spark, sf_dir, "documents"))
+    return digests(read_media(stored, largest=F.col("n_bytes") + 64))  # as large as what was stored
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,23 +77,31 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
+#: Rough bytes of an entry of a dict besides its key and value.
+ENTRY = 160
+#: Longer keys hardly come again and are not remembered.
+LONG = 200
+
+
 class Memo(dict):
-    """A bounded memo in two generations; ``make`` answers what neither knows.
+    """A memo in two generations, each bounded by bytes; ``make`` answers what neither knows.
 
     ``trimmed`` returns the memo to go on with: when the young generation is full, it becomes the old
     one, and what is still in use is copied from it as it is met.
     """
 
-    def __init__(self, make, limit: int = 400_000, before: dict | None = None):
+    def __init__(self, make, limit: int = 100_000_000, before: dict | None = None):
         super().__init__()
-        self.make, self.limit, self.before = make, limit, before or {}
+        self.make, self.limit, self.before, self.held = make, limit, before or {}, 0
 
     def __missing__(self, key):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= LONG:
+            self[key] = value
+            self.held += ENTRY + key.__sizeof__() + len(value)
         return value
 
     def trimmed(self) -> Memo:
-        return self if len(self) < self.limit else Memo(self.make, self.limit, dict(self))
+        return self if self.held < self.limit else Memo(self.make, self.limit, dict(self))

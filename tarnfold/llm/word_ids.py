@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 from .piece_codec import byte_characters
-from .shared import Memo
+from .shared import LONG, Memo
 
 # str.split() also cuts at these four, which the tokenizer's pattern does not count as white space.
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -57,7 +57,7 @@ class WordIds:
         self.by_chunk = chunk_safe(path)
         self.model = self.tokenizer.model
         self.map = dict(enumerate(byte_characters()))
-        self.known = Memo(self.chunk, 600_000)
+        self.known = Memo(self.chunk)
         self.tails: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
@@ -74,6 +74,8 @@ class WordIds:
             return self.library(chunk)
         tail = chunk[len(stem) :]
         if tail not in self.tails:
+            if len(tail) > LONG:
+                return ids + self.library(tail)
             if len(self.tails) > 10_000:
                 self.tails = {}
             self.tails[tail] = self.library(tail)
@@ -99,8 +101,11 @@ class WordIds:
             elif not self.by_chunk or any(c in t for c in _NOT_SPACE):
                 out.append(self.library(t))
             else:
-                self.known = self.known.trimmed()
-                out.append(b"".join(map(self.known.__getitem__, t.split())))
+                chunks, parts = t.split(), []
+                for at in range(0, len(chunks), 50_000):  # a very long text may fill a generation on its own
+                    self.known = self.known.trimmed()
+                    parts += map(self.known.__getitem__, chunks[at : at + 50_000])
+                out.append(b"".join(parts))
         return out
 
 

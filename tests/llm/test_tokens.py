@@ -160,3 +160,38 @@ def test_rans_files(spark, docs_of, hf, tmp_path):
         at += len(ids)
     rans.write_ids(docs_of([]), str(tmp_path / "e"), WORDS)
     assert rans.read_ids(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_memos_are_bounded_by_bytes(hf, tik):
+    """Long chunks are not kept, and short ones only up to the bound, however many a text has."""
+    rng = np.random.default_rng(0)
+    encoder = word_ids.WordIds(WORDS)
+    for _ in range(50):
+        encoder.encode([" ".join("".join(map(chr, rng.integers(97, 123, 5000))) + str(i) for i in range(8))])
+    assert encoder.known.held == 0
+    encoder.known.limit = 2_000_000
+    text = " ".join(map(str, range(150_000)))
+    assert encoder.encode([text])[0] == np.array(hf(text), "<u4").tobytes()
+    assert encoder.known.held < 20_000_000 and len(encoder.known) + len(encoder.known.before) <= 100_000
+    codec = piece_codec.PieceCodec(RANKS, P.PATTERN)
+    for _ in range(20):
+        han = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 2000)))
+        assert codec.encode([han])[0].tolist() == tik.encode_ordinary(han)
+    assert codec.held == 0 and not codec.known
+    codec.limit = 100_000
+    for at in range(0, 30_000, 1000):
+        t = " ".join(f"w{i}x" for i in range(at, at + 1000))
+        assert codec.encode([t])[0].tolist() == tik.encode_ordinary(t)
+    assert codec.held < 2_000_000 and len(codec.before) < 10_000
+
+
+def test_rans_one_key_is_many_tasks(spark, docs_of, tmp_path):
+    rows = [(7, f"text {i}") for i in range(500)] + [(7, "same")] * 500 + [(8, "last")]
+    rans.write_ids(docs_of(rows), str(tmp_path / "k"), WORDS)
+    sizes = [len(r) for r in spark.read.parquet(str(tmp_path / "k" / "blocks")).rdd.glom().collect()]
+    got = rans.read_ids(spark, str(tmp_path / "k")).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert len(got) == 1001 and got[-1].doc_id == 8 and sum(n > 0 for n in sizes) >= 3

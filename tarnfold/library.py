@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.operators import evidence, search
+from tarnfold.operators.index import KeywordIndex
 from tarnfold.plans.structured import Source
 
 
@@ -18,7 +19,7 @@ class Library:
 
     ``documents``: doc_id, source_id, path, name, extension, size, mtime_ns, status, indexed_at, ...;
     ``chunks``: chunk_id, doc_id, ordinal, text, hash, semantic; ``vectors``: chunk_id, embedding;
-    ``encode``: query text to a vector.
+    ``encode``: query text to a vector; ``index``: a keyword index of the chunks (with doc_id), without which texts are scanned.
     """
 
     documents: DataFrame
@@ -26,6 +27,18 @@ class Library:
     vectors: DataFrame | None = None
     sources: dict[str, Source] = field(default_factory=dict)
     encode: Callable[[str], list[float]] | None = None
+    index: KeywordIndex | None = None
+
+    def _words(self, query: str, scope: DataFrame | None) -> DataFrame:
+        """chunk_id, doc_id, value (the rounded score) of every chunk that the query finds."""
+        if self.index is not None:
+            hits = self.index.scores(query).join(self.index.documents.select("chunk_id", "doc_id"), "chunk_id")
+            if scope is not None:
+                hits = hits.join(scope.select("doc_id"), "doc_id", "left_semi")
+        else:
+            held = self.chunks if scope is None else self.chunks.join(scope.select("doc_id"), "doc_id", "left_semi")
+            hits = search.keyword_scores(self.chunks, query, held)
+        return hits.select("chunk_id", "doc_id", F.round("score", 9).alias("value"))
 
     def search(self, query: str, mode: str = "hybrid", limit: int = 20, filters: search.Filters | None = None, sort: str = "relevance", fold_duplicates: bool = False) -> DataFrame:
         """The best chunk of each matching document, best document first.
@@ -39,29 +52,20 @@ class Library:
             return search.filename_search(self.documents, query, limit, filters, sort)
         lists = {}
         if mode in ("keyword", "hybrid"):
-            held = self.chunks.join(scope.select("doc_id"), "doc_id", "left_semi")
-            words = search.keyword_scores(self.chunks, query, held).select("chunk_id", "doc_id", "score")
+            words = self._words(query, scope if filters else None)
             if mode == "keyword":
-                best = search.best_chunk(words, "doc_id", [F.round("score", 9), F.col("chunk_id")])
+                best = search.best_of(words, "doc_id", "value", "chunk_id").withColumnRenamed("value", "score")
                 page = best.join(scope, "doc_id").orderBy(*search.ordering(sort, F.col("doc_id"))).limit(limit)
                 return self._folded(page, search.ordering(sort, F.col("doc_id")), fold_duplicates)
-            lists["keyword"] = words.select("chunk_id", F.round("score", 9).alias("value"))
+            lists["keyword"] = words
         if self.vectors is not None and self.encode is not None:
-            live = self.chunks.where("semantic").join(scope.select("doc_id"), "doc_id", "left_semi").select("chunk_id")
+            live = self.chunks.where("semantic").join(scope.select("doc_id"), "doc_id", "left_semi").select("chunk_id", "doc_id")
             distance = F.round(search.cosine_distance(F.col("embedding"), self.encode(query)), 6)
-            near = self.vectors.join(live, "chunk_id", "left_semi").select("chunk_id", distance.alias("value"))
-            lists["semantic"] = near
+            lists["semantic"] = self.vectors.join(live, "chunk_id").select("chunk_id", "doc_id", distance.alias("value"))
         if not lists:
             return self.chunks.select("doc_id", "chunk_id", F.lit(0.0).alias("score")).limit(0)
         by_score = [F.desc(F.round("score", 9)), F.col("chunk_id")]
-        size = max(128, 5 * limit)
-        while True:  # more chunks while those of few documents fill the page
-            hits = search.fused_top(lists, size, "chunk_id").join(self.chunks.select("chunk_id", "doc_id"), "chunk_id")
-            page = search.best_chunk(hits, "doc_id", by_score).orderBy(*by_score).limit(limit)
-            found = hits.agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents")).first()
-            if found["documents"] >= limit or found["chunks"] < size:
-                break
-            size *= 4
+        page = search.fused_documents(lists, limit, "chunk_id", "doc_id")
         if mode == "hybrid" and sort == "relevance":
             page = search.exact_names_first(page, scope, query, limit).join(page.select("doc_id", "chunk_id", "matches"), "doc_id", "left")
         else:

@@ -187,17 +187,6 @@ def progress_state(facts: DataFrame) -> DataFrame:
     return facts.withColumns({"discovery_complete": complete, "state": state})
 
 
-def scope_impact(documents: DataFrame, keeps_file: Column, keeps_content: Column, keeps_semantic: Column, most: int = 10_000) -> DataFrame:
-    """What a new scope would revoke, counted over at most ``most`` rows (the preview is bounded by design)."""
-    part = documents.limit(most)
-    return part.agg(
-        F.count("*").alias("checked"),
-        F.count_if(~keeps_file).alias("files_revoked"),
-        F.count_if(keeps_file & ~keeps_content).alias("content_revoked"),
-        F.count_if(keeps_content & ~keeps_semantic).alias("semantic_revoked"),
-    )
-
-
 def recall(hits: DataFrame, relevant: DataFrame, cases: DataFrame, at: tuple[int, ...] = (5, 10)) -> DataFrame:
     """First relevant rank and recall of each case group.
 

@@ -104,9 +104,26 @@ def migration_page(documents: DataFrame, version: int, size: int) -> DataFrame:
     return documents.where(F.coalesce("chunking_version", F.lit(0)) < version).orderBy("doc_id").limit(size)
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Every character that full case folding changes: to one character, and to several. Made by rule from the Unicode tables at hand."""
+    one, more = {}, {}
+    for c in map(chr, range(0x110000)):
+        if (f := c.casefold()) != c:
+            (one if len(f) == 1 else more)[c] = f
+    return one, more
+
+
+_ONE, _MORE = _folds()
+
+
 def casefolded(text: Column) -> Column:
-    """Lower case in which the letters that only case folding joins (sharp and long s) are equal, too."""
-    return F.replace(F.translate(F.lower(text), "\u017f", "s"), F.lit("\u00df"), F.lit("ss"))
+    """Full case folding: texts that differ in case only are equal, sharp s, final sigma and ligatures included."""
+    out = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    wide = F.rlike(text, F.lit("[" + "".join(_MORE) + "]"))
+    marked = out
+    for c, f in _MORE.items():
+        marked = F.replace(marked, F.lit(c), F.lit(f))
+    return F.when(wide, marked).otherwise(out)
 
 
 def is_sensitive(path: Column) -> Column:

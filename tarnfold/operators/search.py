@@ -6,6 +6,7 @@ list is wanted; long texts are joined only to the rows that are shown.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfold.functions.text import bm25_term, fold_ascii, index_tokens, phrase_count, query_phrases
+from tarnfold.plans.folders import work_folder
 from tarnfold.sources.files import TEXT_SUFFIXES
 
 # File categories by extension.
@@ -312,6 +314,58 @@ def fused_top(lists: dict[str, DataFrame], limit: int, key: str) -> DataFrame:
     return fused({n: ranks.where(F.col("name") == n) for n in lists}, key).orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 
+def best_of(hits: DataFrame, document: str, value: str, key: str, smallest: bool = True) -> DataFrame:
+    """``document, key, value`` of each document's best hit, ties by key: an aggregate, so a document of very many hits is reduced where they lie."""
+    order = F.struct((F.col(value) if smallest else -F.col(value)).alias("v"), F.col(key).alias("k"))
+    best = hits.groupBy(document).agg(F.min(order).alias("b"))
+    return best.select(document, F.col("b.k").alias(key), (F.col("b.v") if smallest else -F.col("b.v")).alias(value))
+
+
+def whole_ranks(ordered: DataFrame, key: str) -> DataFrame:
+    """``name, key, rank`` (from 0, by value then key) of every row of every list, whatever their length.
+
+    One sort by range over all lists; a row's rank is its place in its partition and the counts of those before. The driver sees nothing.
+    """
+    spark = ordered.sparkSession
+    path = f"{work_folder(spark)}/ranks-{uuid.uuid4().hex}"
+    order = ["name", "value", key]
+    ordered.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    held = spark.read.parquet(path).withColumn("__part", F.shiftright("__id", 33))
+    counts = held.groupBy("name", "__part").agg(F.count("*").alias("n"), F.min("__id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("name").orderBy("__part")) - F.col("n") - F.col("first")
+    return held.join(counts.select("name", "__part", before.alias("shift")), ["name", "__part"]).select("name", key, (F.col("__id") + F.col("shift")).alias("rank"))
+
+
+def fused_documents(lists: dict[str, DataFrame], limit: int, key: str, document: str) -> DataFrame:
+    """The first ``limit`` documents by their best chunk in the fused lists (key, document, value): ``document, key, score, matches``.
+
+    Ranks count chunks. The first few chunks of the fused list are ranked by candidates; only where they
+    belong to too few documents, as one document may have any number of chunks, all ranks are made, by one distributed sort.
+    """
+    of, narrow, whole = None, {}, None
+    for name, df in lists.items():
+        part = df.select(key, document)
+        of = part if of is None else of.unionByName(part)
+        narrow[name] = df.select(key, "value")
+        own = df.select(F.lit(name).alias("name"), key, F.col("value").cast("double").alias("value"))
+        whole = own if whole is None else whole.unionByName(own)
+    size = max(128, 5 * limit)
+    hits = fused_top(narrow, size, key)
+    found = [tuple(r) for r in hits.join(of.distinct(), key).select(document, key, "score", "matches").collect()]  # at most ``size``
+    if len(found) >= size and len({r[0] for r in found}) < limit:
+        ranks = whole_ranks(whole, key)
+        hits = fused({n: ranks.where(F.col("name") == n) for n in lists}, key).withColumn("score", F.round("score", 9)).join(of.distinct(), key)
+        best = best_of(hits, document, "score", key, smallest=False)
+        page = best.orderBy(F.desc("score"), key).limit(limit)
+        return page.join(hits.select(key, "matches"), key).select(document, key, "score", "matches")
+    best: dict = {}
+    for r in sorted(found, key=lambda r: (-round(r[2], 9), r[1])):
+        best.setdefault(r[0], r)
+    fields = [lists[next(iter(lists))].schema[document], of.schema[key], hits.schema["score"], hits.schema["matches"]]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip((document, key, "score", "matches"), fields, strict=True)])
+    return hits.sparkSession.createDataFrame(list(best.values())[:limit], schema)
+
+
 def hybrid_search(
     documents: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, limit: int = 20, filters: Filters | None = None, key: str = "doc_id", vector_key: str = "vec_id", words: DataFrame | None = None
 ) -> DataFrame:

@@ -188,11 +188,11 @@ def unique_keys(rows: DataFrame, candidates: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*items))).withColumn("is_key", (F.col("nulls") == 0) & (F.col("distinct") == F.col("rows")))
 
 
-def recommend(tables: dict[str, DataFrame], spark: SparkSession, most_tables: int = 64, most_columns: int = 256) -> DataFrame:
-    """Candidate key, watermark and text columns of each table, from schemas alone."""
+def recommend(tables: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    """Candidate key, watermark and text columns of each table, from schemas alone, of all tables and columns."""
     out = []
-    for name in sorted(tables)[:most_tables]:
-        fields = tables[name].schema.fields[:most_columns]
+    for name in sorted(tables):
+        fields = tables[name].schema.fields
         keys = [f.name for f in fields if isinstance(f.dataType, (T.IntegralType, T.StringType)) and (f.name.lower() == "id" or f.name.lower().endswith(("_id", "key")))]
         times = [f.name for f in fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) or f.name.lower() in TIME_NAMES]
         texts = [f.name for f in fields if isinstance(f.dataType, T.StringType) and f.name not in keys]

@@ -164,10 +164,8 @@ def test_index_agrees_with_the_scan(spark, tmp_path):
         assert {r.doc_id: round(r.score, 9) for r in index.scores(query).collect()} == want
         for filters in (None, search.Filters(min_size=20, file_source=None)):
             for sort in search.SORTS:
-                page = [r.doc_id for r in search.keyword_search(scanned, query, 3, filters, sort).collect()] if filters is None else None
-                got = [r.doc_id for r in index.search(query, 3, filters, sort).collect()]
-                assert page is None or got == page
-                assert all(filters is None or d >= 2 for d in got)
+                page = [r.doc_id for r in search.keyword_search(scanned, query, 3, filters, sort).collect()]
+                assert [r.doc_id for r in index.search(query, 3, filters, sort).collect()] == page
     plan = index.terms(["cat"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:60]
     assert "EqualTo(term,cat)" in plan or "In(term, [cat])" in plan

@@ -871,14 +871,14 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("page_text")
 def _page_text(spark, sf_dir):
-    out = files.extract(page_files(spark, sf_dir))
+    out = files.extract(page_files(spark, sf_dir), files.WHOLE, files.WHOLE)
     return out.select("path", "status", "truncated", F.size("chunks").alias("pieces"), F.array_join(F.transform("chunks", lambda c: c["text"]), "\n").alias("text"))
 
 
 @_register("chunk_documents")
 def _chunk_documents(spark, sf_dir):
     d = corpus(spark, sf_dir).select(F.concat("path", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
-    return chunking.chunk_documents(files.extract(d))
+    return chunking.chunk_documents(files.extract(d, files.WHOLE, files.WHOLE), most_chars=files.WHOLE)
 
 
 @_register("kw_bm25_chunk")

@@ -30,7 +30,11 @@ TEXT_SUFFIXES = (
 ).split()
 TEXT_NAMES = frozenset("dockerfile makefile gemfile rakefile license readme".split())
 MOST_FILE, MOST_CHARS, MOST_PIECE, MOST_PIECES = 32 << 20, 2_000_000, 1200, 20_000
-MOST_ENTRIES, MOST_UNPACKED, MOST_XML = 20_000, 256 << 20, 64 << 20
+MOST_ENTRIES, MOST_UNPACKED, MOST_XML = 20_000, 128 << 20, 64 << 20
+#: As ``most_chars`` and ``most_bytes``: no bound, and none on pieces.
+WHOLE = 1 << 62
+# The characters below the blank that text may hold.
+PLAIN_CONTROLS = "\t\n\f\r"
 
 
 class Refused(Exception):
@@ -66,7 +70,7 @@ def is_binary(text: str) -> bool:
     """A NUL, or more than a tenth of control characters."""
     if "\0" in text:
         return True
-    odd = sum(ord(c) < 32 and c not in "\t\n\r\f\b\x1b" for c in text)
+    odd = sum(ord(c) < 32 and c not in PLAIN_CONTROLS for c in text)
     return bool(text) and odd > len(text) / 10
 
 
@@ -75,11 +79,11 @@ class Collector:
 
     def __init__(self, most_chars: int = MOST_CHARS):
         self.pieces: list[tuple[str, dict]] = []
-        self.left = most_chars
+        self.left, self.most = most_chars, MOST_PIECES if most_chars < WHOLE else WHOLE
 
     def add(self, text: str, locator: dict) -> None:
         for at in range(0, len(text), MOST_PIECE):
-            if len(self.pieces) >= MOST_PIECES or self.left <= 0:
+            if len(self.pieces) >= self.most or self.left <= 0:
                 raise Full
             piece = text[at : at + min(MOST_PIECE, self.left)]
             self.left -= len(piece)
@@ -419,7 +423,7 @@ def read_files(spark: SparkSession, folder: str, pattern: str | None = None) ->
 
 
 def extract(files: DataFrame, most_chars: int = MOST_CHARS, most_bytes: int = MOST_FILE, path: str = "path", content: str = "content") -> DataFrame:
-    """``path, status, reason, truncated, chunks`` of every file row. Larger files are not read."""
+    """``path, status, reason, truncated, chunks`` of every file row. Larger files are not read; with ``WHOLE`` as bounds all are, to their end."""
     data = F.when(F.octet_length(content) <= most_bytes, F.col(content))
     rows = files.select(F.col(path).alias("path"), data.alias("content"), F.col(content).isNull().alias("lost"))
     kind = pa.list_(pa.struct([("text", pa.string()), ("locator", pa.string())]))

@@ -9,8 +9,10 @@ A cursor may be unusable: the journal was reset, records before its first one ar
 changed while it was read. By default the query fails with that reason; with ``onInvalid=reconcile`` the batch is one row whose
 ``reconcile`` is the reason (a full scan is needed), and the stream goes on from the journal's present end.
 
-Options: ``path`` (a folder that the executors see, or an address that pyarrow opens), ``maxFiles`` a batch (64), ``maxBytes`` a
-file (256 MiB), ``onInvalid``, ``startAt`` (``first`` kept record, or ``end``: only what comes later, after a baseline scan).
+Options: ``path`` (a folder that the executors see, or an address that pyarrow opens), ``maxBytes`` a file (256 MiB), ``onInvalid``,
+``startAt`` (``first`` kept record, or ``end``: only what comes later, after a baseline scan), ``maxFiles`` a batch (all that are there).
+``maxFiles`` needs ``progress``, a folder of this query's own: Spark asks for a batch's end before it says where the query stands, so the reader notes
+where each batch began and bounds the first batch of every start and restart by that.
 """
 
 from __future__ import annotations
@@ -105,6 +107,20 @@ class Folder:
         with self.files.open_input_stream(at) as f:
             return f.read()
 
+    def write(self, name: str, data: bytes) -> None:
+        self.files.create_dir(self.path, recursive=True)
+        at = f"{self.path.rstrip('/')}/{name}"
+        with self.files.open_output_stream(f"{at}.new") as f:
+            f.write(data)
+        self.files.move(f"{at}.new", at)
+
+    def journal(self) -> str:
+        """The journal's id, without a look at its files."""
+        try:
+            return str(json.loads(self.read("journal.json")).get("journal_id", "0"))
+        except FileNotFoundError:
+            return "0"
+
     def state(self) -> tuple[str, int, int, list[int]]:
         """Journal id, first valid offset, offset behind the last record, and the files' first offsets."""
         from pyarrow import fs
@@ -135,28 +151,46 @@ def validity(cursor: dict | None, journal: str, lowest: int, end: int) -> str |
 
 class _Reader(DataSourceStreamReader):
     def __init__(self, options):
-        self.path, self.most = options["path"], int(options.get("maxFiles", 64))
+        self.path, self.most = options["path"], int(options.get("maxFiles", 1 << 62))
         self.bytes, self.reconcile = int(options.get("maxBytes", 256 << 20)), options.get("onInvalid", "fail") == "reconcile"
         self.at_end = options.get("startAt", "first") == "end"
         if self.most < 1 or self.bytes < 4096 or options.get("onInvalid", "fail") not in ("fail", "reconcile"):
             raise ValueError("maxFiles from 1, maxBytes from 4096, onInvalid fail or reconcile")
-        self.done: dict | None = None
+        self.progress = options.get("progress")
+        if "maxFiles" in options and not self.progress:
+            raise ValueError("maxFiles needs progress, a folder of this query's own")
+        self.done: dict | None = None  # what is behind us, as far as it is known
+        self.told: dict | None = None
 
     def initialOffset(self) -> dict:
         journal, lowest, end, _ = Folder(self.path).state()
         return {"journal": journal, "usn": end if self.at_end else lowest}
 
     def latestOffset(self) -> dict:
-        """The journal's end, or that of ``maxFiles`` files further on."""
+        """The journal's end, or that of ``maxFiles`` files further on.
+
+        What was told last is either planned by now or where the query already was, so it is behind us. At first ``progress`` says
+        where the last batch began; without a note there was none.
+        """
+        self.done = self.told or self.done or (self._noted() if self.progress else None)
         journal, _, end, firsts = Folder(self.path).state()
         if self.done and self.done["journal"] == journal and self.done["usn"] <= end:
-            ahead = [f for f in firsts if f > self.done["usn"]]
+            ahead = [f for f, e in zip(firsts, [*firsts[1:], end], strict=True) if e > self.done["usn"]]
             if len(ahead) > self.most:
-                end = min(end, ahead[self.most - 1])
-        return {"journal": journal, "usn": end}
+                end = min(end, ahead[self.most])
+        self.told = {"journal": journal, "usn": end}
+        return self.told
+
+    def _noted(self) -> dict:
+        try:
+            return json.loads(Folder(self.progress).read("progress.json"))
+        except FileNotFoundError:
+            return self.initialOffset()
 
     def partitions(self, start: dict, end: dict) -> list[_Part]:
-        self.done = end
+        if self.progress:
+            Folder(self.progress).write("progress.json", json.dumps(start).encode())
+        self.done = self.told = end
         journal, lowest, present, firsts = Folder(self.path).state()
         # a batch that is planned again after a failure ends where it ended before
         reason = validity(start, end["journal"], lowest if journal == end["journal"] else 0, end["usn"]) or ("journal_reset_during_read" if journal != end["journal"] else None)
@@ -178,7 +212,7 @@ class _Reader(DataSourceStreamReader):
         try:
             data = folder.read(part.name, self.bytes)
             records = [r for r in decode(data) if part.first <= r.usn < part.last]
-            if folder.state()[0] != part.journal:
+            if folder.journal() != part.journal:
                 raise JournalInvalid("journal_reset_during_read")
         except (FileNotFoundError, JournalInvalid) as e:
             reason = str(e) if isinstance(e, JournalInvalid) else "journal_entries_lost"

@@ -3,6 +3,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,6 +32,9 @@ def test_lines_and_binary():
     out = files.extract_bytes("a.txt", b"one\r\ntwo\rthree\n")
     assert out["status"] == "ready" and out["chunks"][0]["text"] == "one\ntwo\nthree\n"
     assert files.extract_bytes("a.txt", b"ab\x01\x02\x03\x04")["status"] == "error"
+    for c in range(1, 32):  # a tenth and more of any control character but tab, line feed, form feed and return
+        assert (files.extract_bytes("a.txt", b"abcdef" + bytes([c]))["status"] == "error") == (chr(c) not in "\t\n\f\r")
+        assert files.extract_bytes("a.txt", b"abcdefghij" + bytes([c]))["status"] == "ready"
     assert files.extract_bytes("a.xyz", b"ab")["status"] == "unsupported"
     assert files.extract_bytes("a.txt", b"abc", most_bytes=2)["status"] == "budget"
     assert files.extract_bytes("Makefile", b"all:")["status"] == "ready"
@@ -42,6 +46,15 @@ def test_budget_gives_partial():
     assert out["status"] == "partial" and out["truncated"] and sum(len(c["text"]) for c in out["chunks"]) == 1500
 
 
+def test_whole_texts(spark):
+    body = "line of text\n" * 400_000
+    rows = spark.createDataFrame([("a.txt", bytearray(body.encode()))], "path string, content binary")
+    cut = files.extract(rows).first()
+    assert cut.status == "partial" and cut.truncated
+    (out,) = files.extract(rows, files.WHOLE, files.WHOLE).select("status", F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + F.length(c["text"])).alias("n")).collect()
+    assert out.status == "ready" and out.n >= len(body) - 5000
+
+
 def test_html():
     out = files.extract_bytes("p.html", b"<p>A &amp; B</p><script>var x = '<p>'</script>\n<style>p{}</style><noscript>n</noscript><b>C</b>")
     assert [c["text"] for c in out["chunks"]] == ["A & B", "C"]

@@ -92,3 +92,15 @@ def test_scope_by_names_and_aliases(spark):
     assert inside(["/r"], mode="none") == []
     with pytest.raises(ValueError):
         inside(["/r"], mode="some")
+
+
+def test_full_case_folding(spark):
+    names = ["Stra\u00dfe", "\u03a3\u03a5\u03a3", "\ufb01le", "\u0149a", "\u017fum", "\u0130", "\u1e9e", "\u0390", "plain.TXT", "\u13a0\uab70", "\u01c5", "\U00010400", ""]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r.name: r.folded for r in rows.select("name", maintain.casefolded(F.col("name")).alias("folded")).collect()}
+    assert got == {n: n.casefold() for n in names}
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c)]
+    rows = spark.createDataFrame([(c,) for c in every], "c string").repartition(4)
+    assert all(r.f == r.c.casefold() for r in rows.select("c", maintain.casefolded(F.col("c")).alias("f")).collect())
+    out = rows.select(maintain.in_scope(F.lit("/d/\u03a3\u03b1\u03c2/x"), ["/d"], names=["\u03c3\u0391\u03a3"]).alias("ok")).first()
+    assert not out.ok

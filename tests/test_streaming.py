@@ -150,9 +150,10 @@ def test_journal_batches_are_bounded(spark, tmp_path):
     rows = records(9)
     for r in rows:
         (folder / f"{r.usn}.bin").write_bytes(encode(r))
-    s = spark.readStream.format("change_journal").option("path", str(folder)).option("maxFiles", 2).load()
+    s = spark.readStream.format("change_journal").option("path", str(folder)).option("maxFiles", 2).option("progress", str(tmp_path / "p")).load()
     q = s.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "k")).start()
     q.processAllAvailable()
+    assert max(p["numInputRows"] for p in q.recentProgress) <= 2  # the first batch, too
     q.stop()
     assert sorted(r.usn for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [r.usn for r in rows]
     late = spark.readStream.format("change_journal").option("path", str(folder)).option("startAt", "end").load()
@@ -160,3 +161,21 @@ def test_journal_batches_are_bounded(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("late").count() == 0
+
+
+def test_journal_batches_are_bounded_after_a_restart(spark, tmp_path):
+    spark.dataSource.register(ChangeJournal)
+    folder, seen = tmp_path / "many", []
+    folder.mkdir()
+    for upto in (5, 5, 12):  # nothing new in between
+        for r in records(upto):
+            (folder / f"{r.usn}.bin").write_bytes(encode(r))
+        s = spark.readStream.format("change_journal").option("path", str(folder)).option("maxFiles", 2).option("progress", str(tmp_path / "p")).load()
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "k")).start()
+        q.processAllAvailable()
+        seen += [p["numInputRows"] for p in q.recentProgress]
+        q.stop()
+    assert max(seen) <= 2
+    assert sorted(r.usn for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [r.usn for r in records(12)]
+    with pytest.raises(Exception, match="maxFiles needs progress"):
+        spark.readStream.format("change_journal").option("path", str(folder)).option("maxFiles", 2).load().writeStream.format("memory").queryName("no").start().processAllAvailable()

@@ -75,6 +75,9 @@ def test_preflight_and_proposal(spark):
         sync.proposal([{"table": "t", "key": "id", "texts": ["zzz"]}], {"t": rows})
     r = sync.recommend({"t": rows}, spark).first()
     assert r["keys"] == ["id"] and r["texts"] == ["body", "u"]
+    wide = spark.range(1).select("id", *[F.lit("x").alias(f"c{i}") for i in range(300)])
+    many = sync.recommend({f"t{i:03}": wide for i in range(70)}, spark).collect()
+    assert len(many) == 70 and all(len(r.texts) == 300 for r in many)  # none is left out
 
 
 def test_bounded_snapshot_says_whether_it_is_whole(spark):

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -289,13 +290,21 @@ _INDEXES: dict[tuple, KeywordIndex] = {}
 
 
 def _indexed(spark, sf_dir, name: str, rows: Callable[[SparkSession, str], DataFrame], key: str) -> KeywordIndex:
-    """The written index of a corpus: made by the first query that needs it, read by all others of the application."""
-    at = (spark.sparkContext.applicationId, sf_dir, name)
+    """The written index of a corpus: made by the first query that needs it, read by all others of the application while its table stays the same."""
+    at = (spark.sparkContext.applicationId, name, _stamp(spark, f"{sf_dir}/{'documents' if name == 'documents' else 'conversations'}.parquet"))
     if at not in _INDEXES:
         _INDEXES[at] = KeywordIndex.build(rows(spark, sf_dir), f"{work_folder(spark)}/index-{name}-{uuid.uuid4().hex}", key)
     return _INDEXES[at]
 
 
+def _stamp(spark, path: str) -> str:
+    """A digest of a table's files: names, sizes and times."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    facts = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join(facts).encode()).hexdigest()
+
+
 def _documents_index(spark, sf_dir) -> KeywordIndex:
     return _indexed(spark, sf_dir, "documents", lambda s, d: corpus(s, d).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)), "doc_id")
 
@@ -311,6 +320,28 @@ def _kw_bm25_all(spark, sf_dir):
     return search.keyword_scores(corpus(spark, sf_dir), _QUERY).select("doc_id", _rounded())
 
 
+_LIVE_SQL = "WITH live AS (SELECT * FROM documents WHERE doc_id % 11 <> 0), " + _bm25_sql(_WORDS).replace("FROM documents", "FROM live").removeprefix("WITH ")
+
+
+def _changed_index(spark, sf_dir) -> KeywordIndex:
+    """An index of two thirds of the documents, some with older texts, after the others came, the texts changed and some documents went."""
+    rows, old = corpus(spark, sf_dir), F.col("doc_id") % 7 == 0
+    first = rows.where("doc_id % 3 <> 0").withColumn("text", F.when(old, F.concat(F.lit("edition the edition "), F.upper("text"))).otherwise(F.col("text")))
+    index = KeywordIndex.build(first, f"{work_folder(spark)}/changed-{uuid.uuid4().hex}")
+    index = index.apply(rows.where((F.col("doc_id") % 3 == 0) | old))
+    return index.apply(deleted=rows.where("doc_id % 11 = 0").select("doc_id"))
+
+
+@_register("kw_incremental", _LIVE_SQL + " SELECT doc_id, round(score, 6) AS score FROM hits")
+def _kw_incremental(spark, sf_dir):
+    return _changed_index(spark, sf_dir).scores(_QUERY).select("doc_id", _rounded())
+
+
+@_register("kw_compacted", _LIVE_SQL + " SELECT doc_id, path, round(score, 6) AS score FROM hits ORDER BY round(hits.score, 9), doc_id LIMIT 20")
+def _kw_compacted(spark, sf_dir):
+    return _changed_index(spark, sf_dir).compact(ratio=0.01, most=1).search(_QUERY).select("doc_id", "path", _rounded())
+
+
 _PHRASES = "the_edition of_the"
 
 
@@ -459,6 +490,60 @@ def _vec_topk_batch(spark, sf_dir):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+def _cells(spark, sf_dir):
+    """The embeddings in segments of two passes, their chunks, and every hundredth as queries."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").cast("string").alias("hash"), F.lit(True).alias("semantic"), "embedding")
+    s = VectorSegments(spark, f"{work_folder(spark)}/cells-{uuid.uuid4().hex}")
+    s.add(rows.where("chunk_id % 4 <> 0"), rows)
+    s.add(rows, rows)
+    return s, rows.select("chunk_id", "hash", "semantic"), rows.where("chunk_id % 100 = 0").select("chunk_id", "embedding")
+
+
+def _asked(queries: DataFrame, size: int = 1000):
+    """The queries' ids and vectors in blocks that the driver holds."""
+    block = []
+    for r in queries.toLocalIterator():
+        block.append(r)
+        if len(block) == size:
+            yield [x[0] for x in block], np.array([x[1] for x in block])
+            block = []
+    if block:
+        yield [x[0] for x in block], np.array([x[1] for x in block])
+
+
+def _hits_of(spark, queries, search_block) -> DataFrame:
+    out = None
+    for ids, vectors in _asked(queries):
+        names = spark.createDataFrame(list(enumerate(ids)), "query_no int, query_id long")
+        part = search_block(vectors).join(F.broadcast(names), "query_no").select("query_id", F.col("chunk_id").alias("vec_id"), "distance", F.col("rank").cast("long").alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "query_id long, vec_id long, distance double, rank long") if out is None else out
+
+
+_ALL_NEAREST = f"""WITH vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    wanted AS (SELECT vec_id AS query_id, v AS q FROM vectors WHERE vec_id % 100 = 0),
+    scored AS (SELECT query_id, vec_id, {_COSINE} AS distance FROM vectors, wanted),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) - 1 AS rank FROM scored)"""
+
+
+@_register("vec_cells", _ALL_NEAREST + " SELECT query_id, vec_id, distance, rank FROM placed WHERE rank < 10")
+def _vec_cells(spark, sf_dir):
+    """The exact nearest of every hundredth vector, by the cells that may hold them."""
+    s, chunks, queries = _cells(spark, sf_dir)
+    return _hits_of(spark, queries, lambda q: s.search_batch(q, 10, chunks, certain=True))
+
+
+@_register("vec_cells_recall", "SELECT count(*) FILTER (WHERE vec_id % 100 = 0) AS queries, TRUE AS recalled FROM embeddings")
+def _vec_cells_recall(spark, sf_dir):
+    """Whether the nearest cells alone find 95 of 100 of the ten nearest of every hundredth vector."""
+    s, chunks, queries = _cells(spark, sf_dir)
+    near = _hits_of(spark, queries, lambda q: s.search_batch(q, 10, chunks))
+    rows = _table(spark, sf_dir, "embeddings")
+    exact = _hits_of(spark, queries, lambda q: search.nearest_batch(rows, q, 10).withColumnRenamed("vec_id", "chunk_id"))
+    found = exact.join(near.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.95 * F.count("*")).alias("recalled"))
+    return found
+
+
 _HYBRID = (
     _bm25_sql(_WORDS)
     + f""", {_VECTORS},

@@ -61,6 +61,23 @@ def index_tokens(c: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def path_grams(c: Column) -> Column:
+    """Runs of three characters of a path (A-Z as a-z), and of CJK runs the single characters and pairs."""
+    folded = fold_ascii(c)
+    n = F.char_length(folded)
+    threes = F.when(n > 2, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(folded, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    short = F.flatten(F.transform(F.regexp_extract_all(folded, F.lit(f"([{CJK}]+)"), F.lit(1)), lambda r: F.concat(_letters(r), _pairs(r))))
+    return F.coalesce(F.concat(threes, short), F.array().cast("array<string>"))
+
+
+def query_grams(query: str) -> list[str]:
+    """The grams that every path with ``query`` in it has; none for a query too short to have any."""
+    folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in query)
+    if len(folded) > 2:
+        return sorted({folded[i : i + 3] for i in range(len(folded) - 2)})
+    return [folded] if re.fullmatch(f"[{CJK}]{{1,2}}", folded) else []
+
+
 def query_phrases(query: str) -> list[list[str]]:
     """Distinct phrases of a query, each as the token run that a document must hold."""
     found: dict[str, list[str]] = {}

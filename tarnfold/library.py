@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.operators import evidence, search
 from tarnfold.operators.index import KeywordIndex
+from tarnfold.operators.paths import PathIndex
 from tarnfold.plans.structured import Source
 
 
@@ -19,7 +20,8 @@ class Library:
 
     ``documents``: doc_id, source_id, path, name, extension, size, mtime_ns, status, indexed_at, ...;
     ``chunks``: chunk_id, doc_id, ordinal, text, hash, semantic; ``vectors``: chunk_id, embedding;
-    ``encode``: query text to a vector; ``index``: a keyword index of the chunks (with doc_id), without which texts are scanned.
+    ``encode``: query text to a vector; ``index``: a keyword index of the chunks (with doc_id), without which texts are scanned;
+    ``paths``: a path index of the documents, without which paths are.
     """
 
     documents: DataFrame
@@ -28,6 +30,7 @@ class Library:
     sources: dict[str, Source] = field(default_factory=dict)
     encode: Callable[[str], list[float]] | None = None
     index: KeywordIndex | None = None
+    paths: PathIndex | None = None
 
     def _words(self, query: str, scope: DataFrame | None) -> DataFrame:
         """chunk_id, doc_id, value (the rounded score) of every chunk that the query finds."""
@@ -48,6 +51,8 @@ class Library:
         """
         limit = search.check_request(query, mode, limit, sort)
         scope = filters.apply(self.documents) if filters else self.documents
+        if mode == "files" and self.paths is not None:
+            return self.paths.search(query, limit, filters, sort)
         if mode == "files":
             return search.filename_search(self.documents, query, limit, filters, sort)
         lists = {}

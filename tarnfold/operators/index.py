@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnfold.functions.text import bm25_term, index_tokens, query_phrases
+from tarnfold.functions.text import bm25_term, index_tokens, path_grams, query_phrases
 from tarnfold.operators.maintain import Snapshot
 from tarnfold.operators.search import Filters, check_request, ordering, postings, ranked
 
@@ -43,6 +43,8 @@ _FINE = {"parquet.block.size": str(4 << 20), "parquet.page.row.count.limit": "20
 _SLACK = 2e-9
 
 
+#: How an index cuts its texts.
+TOKENS = {"words": index_tokens, "path": path_grams}
 _BANDS = T.StructType().add("band", "integer").add("n", "long").add("most", "long")
 _KINDS = {
     "postings": T.StructType().add("term", "string").add("length", "integer").add("tf", "long").add("positions", T.ArrayType(T.IntegerType())),
@@ -83,12 +85,16 @@ class KeywordIndex:
     generation: int
     segments: tuple[Segment, ...]
     schemas: tuple[tuple[str, str], ...] = ()
+    kind: str = "words"
 
     # ---- building and changing ----
 
     @classmethod
-    def build(cls, rows: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 64) -> KeywordIndex:
-        """Writes the index of ``rows``, of which the key is unique; all columns but the text can be filtered and shown later."""
+    def build(cls, rows: DataFrame, path: str, key: str = "doc_id", text: str = "text", buckets: int = 64, kind: str = "words") -> KeywordIndex:
+        """Writes the index of ``rows``, of which the key is unique; all columns but the text can be filtered and shown later.
+
+        ``kind``: how texts are cut, as one of ``TOKENS``.
+        """
         spark = rows.sparkSession
 
         def change(old: KeywordIndex) -> tuple[Segment, ...]:
@@ -98,7 +104,7 @@ class KeywordIndex:
 
         kinds = {**_KINDS, "documents": rows.drop(text).limit(0).withColumns({"__length": F.lit(0), "__terms": F.array(F.lit(""))}).schema}
         kinds = {t: _parted(k, key, rows.schema[key].dataType, t) for t, k in kinds.items()}
-        return cls(spark, path.rstrip("/"), key, text, buckets, 0, (), tuple(sorted(kinds.items())))._publish(change)
+        return cls(spark, path.rstrip("/"), key, text, buckets, 0, (), tuple(sorted(kinds.items())), kind)._publish(change)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> KeywordIndex:
@@ -107,7 +113,7 @@ class KeywordIndex:
         if not m["generation"]:
             raise FileNotFoundError(f"{path} has no index")
         held = tuple(Segment(**{k: tuple(v) if isinstance(v, list) else v for k, v in s.items()}) for s in m["segments"])
-        return cls(spark, path.rstrip("/"), m["key"], m["text"], m["buckets"], m["generation"], held, tuple(map(tuple, m["schemas"])))
+        return cls(spark, path.rstrip("/"), m["key"], m["text"], m["buckets"], m["generation"], held, tuple(map(tuple, m["schemas"])), m["kind"])
 
     def _publish(self, change: Callable[[KeywordIndex], tuple[Segment, ...]], tries: int = 20) -> KeywordIndex:
         manifests, old = Snapshot(self.spark, self.path), self
@@ -115,21 +121,22 @@ class KeywordIndex:
             held = change(old)
             if held == old.segments and old.generation:
                 return old
-            new = {"current": None, "previous": None, "generation": old.generation + 1, "key": self.key, "text": self.text, "buckets": self.buckets, "schemas": old.schemas, "segments": [vars(s) for s in held], "before": [s.name for s in old.segments]}
+            new = {"current": None, "previous": None, "generation": old.generation + 1, "key": self.key, "text": self.text, "buckets": self.buckets, "schemas": old.schemas, "kind": old.kind, "segments": [vars(s) for s in held], "before": [s.name for s in old.segments]}
             if manifests._claim(new):
-                return KeywordIndex(self.spark, self.path, self.key, self.text, self.buckets, new["generation"], held, old.schemas)
+                return KeywordIndex(self.spark, self.path, self.key, self.text, self.buckets, new["generation"], held, old.schemas, old.kind)
             old = KeywordIndex.open(self.spark, self.path)
         raise RuntimeError("other writers were always first")
 
     def _written(self, rows: DataFrame) -> Segment:
         """A segment of these rows."""
-        documents = rows.withColumn("__t", index_tokens(F.col(self.text))).withColumns({"__length": F.size("__t"), "__terms": F.array_distinct("__t")}).drop("__t", self.text)
-        return self._segment(documents, postings(rows, self.key, self.text))
+        cut = TOKENS[self.kind]
+        documents = rows.withColumn("__t", cut(F.col(self.text))).withColumns({"__length": F.size("__t"), "__terms": F.array_distinct("__t")}).drop("__t", self.text)
+        return self._segment(documents, postings(rows, self.key, self.text, cut))
 
     def _segment(self, documents: DataFrame, held: DataFrame) -> Segment:
         name = f"s{uuid.uuid4().hex}"
         at = lambda table: f"{self.path}/{table}/segment={name}"
-        documents.write.parquet(at("documents"))
+        documents.repartitionByRange(self.key).sortWithinPartitions(self.key).write.options(**_FINE).parquet(at("documents"))
         shares = F.percentile_approx("__length", [k / BANDS for k in range(1, BANDS)], 10_000)
         facts = self.spark.read.parquet(at("documents")).agg(F.count("*").alias("rows"), F.sum("__length").alias("tokens"), shares.alias("edges")).first()
         edges = tuple(sorted(set(facts["edges"] or ())))
@@ -194,7 +201,7 @@ class KeywordIndex:
             again |= set(rest[: extra + 1 if extra > 0 and not again else max(0, extra)])
             if not again:
                 return old.segments
-            part = KeywordIndex(self.spark, self.path, self.key, self.text, self.buckets, old.generation, tuple(s for s in old.segments if s.name in again), old.schemas)
+            part = KeywordIndex(self.spark, self.path, self.key, self.text, self.buckets, old.generation, tuple(s for s in old.segments if s.name in again), old.schemas, old.kind)
             made = part._segment(part._documents().drop("segment"), part._postings().drop("segment", "bucket"))
             return (*(s for s in old.segments if s.name not in again), made)
 

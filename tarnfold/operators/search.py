@@ -7,6 +7,7 @@ list is wanted; long texts are joined only to the rows that are shown.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -158,9 +159,9 @@ def keyword_search(documents: DataFrame, query: str, limit: int = 20, filters: F
     return keyword_scores(documents, query, scope).orderBy(*ordering(sort, F.col(key))).limit(limit)
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", tokens: Callable[[Column], Column] = index_tokens) -> DataFrame:
     """``term, key, tf, positions, length``: the inverted index, for many queries or to be written once."""
-    t = chunks.select(key, index_tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
+    t = chunks.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
     at = t.select(key, "length", F.posexplode("t").alias("position", "term"))
     return at.groupBy("term", key, "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
 

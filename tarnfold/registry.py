@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tarnfold.functions.text import FOLDED, row_text
 from tarnfold.operators import chunking, evidence, maintain, schedule, search, sync, vectors
 from tarnfold.operators.index import KeywordIndex
+from tarnfold.operators.paths import PathIndex
 from tarnfold.operators.segments import VectorSegments
 from tarnfold.plans.folders import work_folder
 from tarnfold.plans.parallel import spread
@@ -385,6 +386,16 @@ def _fn_substring(spark, sf_dir):
     return search.filename_search(corpus(spark, sf_dir), "SRC1/doc1", 100).select("doc_id", "path")
 
 
+@_register("fn_indexed", f"WITH {_CORPUS} SELECT doc_id, path FROM corpus WHERE doc_id % 11 <> 0 AND contains(lower(path), lower('SRC1/doc1')) ORDER BY CASE WHEN lower(name) = lower('SRC1/doc1') THEN 0 ELSE 1 END, doc_id LIMIT 100")
+def _fn_indexed(spark, sf_dir):
+    """By the path index, after half the documents moved to where they are and some went."""
+    rows = corpus(spark, sf_dir).drop("text")
+    index = PathIndex.build(rows.withColumn("path", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("/old/src1/doc1/"), "name")).otherwise(F.col("path"))), f"{work_folder(spark)}/paths-{uuid.uuid4().hex}")
+    index = index.apply(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 11 = 0").select("doc_id"))
+    index = index.apply(deleted=rows.where("doc_id % 11 = 0").select("doc_id"))
+    return index.search("SRC1/doc1", 100).select("doc_id", "path")
+
+
 @_register("fn_exact_first", f"WITH {_CORPUS} SELECT doc_id, name FROM corpus WHERE contains(lower(path), 'doc5.txt') ORDER BY CASE WHEN lower(name) = 'doc5.txt' THEN 0 ELSE 1 END, doc_id LIMIT 20")
 def _fn_exact_first(spark, sf_dir):
     return search.filename_search(corpus(spark, sf_dir), "DOC5.txt").select("doc_id", "name")

@@ -5,10 +5,17 @@ Queues and catalogues are tables; every function is a plan over them. What reach
 
 from __future__ import annotations
 
+import os
+import uuid
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnfold.operators.evidence import fair_selection
+from tarnfold.operators.maintain import minimal_roots
+from tarnfold.plans.folders import work_folder
 
 UNFINISHED = ("pending", "budget", "error")
 
@@ -152,56 +159,96 @@ def file_identity(device: Column, inode: Column) -> Column:
     return F.when(F.coalesce(inode, F.lit(0)) != 0, F.concat_ws(":", device.cast("string"), inode.cast("string"))).otherwise("unavailable")
 
 
-def local_files(spark: SparkSession, roots: list[str], excluded: list[str] = (), slices: int = 64) -> DataFrame:
-    """Files below the roots, links left out: ``path, size, mtime_ns, identity``; each root's top folders are walked in tasks of their own.
+@dataclass(frozen=True)
+class Discovery:
+    """What a scan found: ``files`` (path, size, mtime_ns, identity, generation), ``errors`` (path, error), and whether every folder was read.
 
-    For folders that all executors see under the same path. A folder that cannot be read gives no rows and one with ``error``.
+    Only a ``complete`` scan says anything about files it has not found: sweep then, and never otherwise.
     """
-    import os
 
-    import pyarrow as pa
+    files: DataFrame
+    errors: DataFrame
+    generation: str
+    rounds: int
+    complete: bool
+
+
+_FOUND = "kind string, path string, size long, mtime_ns long, identity string, error string"
+
+
+def discover(spark: SparkSession, roots: list[str], excluded: list[str] = (), slices: int = 64, first: int = 16, most: int = 4096) -> Discovery:
+    """Scans the roots in rounds: a task lists so many folders and hands on those that it has not opened, which are dealt anew.
 
-    tops = []
-    for root in roots:
-        with os.scandir(root) as found:
-            tops += [(e.path, e.is_dir(follow_symlinks=False)) for e in found if not e.is_symlink()]
-    schema = "path string, size long, mtime_ns long, identity string, error string"
-    if not tops:
-        return spark.createDataFrame([], schema)
+    So one deep or wide root is all tasks' work after a round or two. ``first`` folders a task at first, four times as many each round, up to ``most``.
+    Links are left out, excluded paths with all below them. For folders that all executors see under the same path. What is open
+    between rounds is a written table; the driver sees its count.
+    """
+    generation, base = uuid.uuid4().hex, f"{work_folder(spark)}/scan-{uuid.uuid4().hex}"
     gone = {x.rstrip("/") for x in excluded}
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def walk(batches):
-        def row(path):
-            s = os.stat(path, follow_symlinks=False)
-            return path, s.st_size, s.st_mtime_ns, f"{s.st_dev}:{s.st_ino}" if s.st_ino else "unavailable", None
-
-        def files(path, folder):
-            if path in gone:
-                return
-            try:
-                if not folder:
-                    yield row(path)
-                    return
-                with os.scandir(path) as entries:
-                    inside = [(e.path, e.is_dir(follow_symlinks=False), e.is_file(follow_symlinks=False)) for e in entries if not e.is_symlink()]
-            except OSError as e:
-                yield path, None, None, None, type(e).__name__
-                return
-            for p, is_folder, is_file in sorted(inside):
-                if is_folder or is_file:
-                    yield from files(p, is_folder)
-
-        for batch in batches:
-            held = []
-            for path, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for r in files(path, folder):
-                    held.append(r)
-                    if len(held) >= 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=["path", "size", "mtime_ns", "identity", "error"])
-                        held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=["path", "size", "mtime_ns", "identity", "error"])
-
-    start = spark.createDataFrame(sorted(tops), "path string, folder boolean").repartition(min(slices, len(tops)), "path")
-    return start.mapInArrow(walk, schema)
+
+    def scan(limit: int):
+        def run(batches):
+            waiting, found, listed = [], [], 0
+            for batch in batches:
+                waiting += batch.column(0).to_pylist()
+            while waiting:
+                path = waiting.pop()
+                if listed >= limit:
+                    found.append(("open", path, None, None, None, None))
+                else:
+                    listed += 1
+                    try:
+                        with os.scandir(path) as entries:
+                            for e in entries:
+                                if e.path in gone or e.is_symlink():
+                                    continue
+                                if e.is_dir(follow_symlinks=False):
+                                    waiting.append(e.path)
+                                elif e.is_file(follow_symlinks=False):
+                                    found.append(_file_row(e.path))
+                                if len(found) >= 5000:
+                                    yield _found(found)
+                                    found = []
+                    except OSError as e:
+                        found.append(("error", path, None, None, None, type(e).__name__))
+            if found:
+                yield _found(found)
+
+        return run
+
+    tops = [r for r in minimal_roots(roots) if r not in gone]
+    held = spark.createDataFrame([("file" if os.path.isfile(r) else "open", r) for r in tops], "kind string, path string")
+    single = [_file_row(r) for r in tops if os.path.isfile(r) and not os.path.islink(r)]
+    spark.createDataFrame(single, _FOUND).write.parquet(f"{base}/round=0")
+    opened, rounds = held.where("kind = 'open'").select("path"), 0
+    count = len(tops) - len(single)
+    while count:
+        rounds += 1
+        at = f"{base}/round={rounds}"
+        opened.repartition(max(1, min(slices, count)), F.xxhash64("path")).mapInArrow(scan(min(most, first * 4 ** (rounds - 1))), _FOUND).write.parquet(at)
+        opened = spark.read.schema(_FOUND).parquet(at).where("kind = 'open'").select("path")
+        count = opened.count()
+    every = spark.read.schema(_FOUND).option("basePath", base).parquet(*[f"{base}/round={n}" for n in range(rounds + 1)])
+    files = every.where("kind = 'file'").select("path", "size", "mtime_ns", "identity", F.lit(generation).alias("generation"))
+    errors = every.where("kind = 'error'").select("path", "error")
+    return Discovery(files, errors, generation, rounds, errors.limit(1).count() == 0)
+
+
+def _file_row(path: str) -> tuple:
+    try:
+        s = os.stat(path, follow_symlinks=False)
+    except FileNotFoundError as e:  # it went between listing and looking
+        return "error", path, None, None, None, type(e).__name__
+    return "file", path, s.st_size, s.st_mtime_ns, f"{s.st_dev}:{s.st_ino}" if s.st_ino else "unavailable", None
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "path", "size", "mtime_ns", "identity", "error"])
+
+
+def local_files(spark: SparkSession, roots: list[str], excluded: list[str] = (), slices: int = 64) -> DataFrame:
+    """Files below the roots, links left out: ``path, size, mtime_ns, identity, error``; a folder that cannot be read gives a row with ``error``."""
+    d = discover(spark, roots, excluded, slices)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("mtime_ns", "long"), ("identity", "string"))]
+    return d.files.select("path", "size", "mtime_ns", "identity", F.lit(None).cast("string").alias("error")).unionByName(d.errors.select("path", *none, "error"))

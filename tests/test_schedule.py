@@ -40,6 +40,36 @@ def test_local_files_skip_links_and_carry_identities(spark, tmp_path):
     assert schedule.local_files(spark, [str(tmp_path / "empty")]).count() == 0
 
 
+def test_discovery_deals_open_folders_anew(spark, tmp_path):
+    """One root with a wide level below a deep one, scanned by several tasks in a few rounds."""
+    deep = tmp_path / "root"
+    for k in range(60):
+        deep = deep / f"{k}"
+    deep.mkdir(parents=True)
+    want = set()
+    for k in range(120):
+        (deep / f"w{k}").mkdir()
+        (deep / f"w{k}" / "f.txt").write_text("x" * k)
+        want.add(str(deep / f"w{k}" / "f.txt"))
+    (tmp_path / "single.md").write_text("s")
+    d = schedule.discover(spark, [str(tmp_path / "root"), str(tmp_path / "root" / "0"), str(tmp_path / "single.md")], slices=8, first=8, most=32)
+    rows = d.files.collect()
+    assert {r.path for r in rows} == want | {str(tmp_path / "single.md")} and len(rows) == len(want) + 1
+    assert d.complete and d.rounds >= 4 and {r.generation for r in rows} == {d.generation}
+    last = spark.read.parquet(d.files.inputFiles()[0].rsplit("/round=", 1)[0] + f"/round={d.rounds}")
+    assert last.where("kind = 'file'").rdd.glom().filter(lambda x: len(x) > 0).count() > 1  # several tasks' files
+
+
+def test_discovery_with_errors_is_not_complete(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "f.txt").write_text("x")
+    d = schedule.discover(spark, [str(tmp_path), str(tmp_path.parent / "not there")])
+    assert not d.complete and [r.error for r in d.errors.collect()] == ["FileNotFoundError"] and d.files.count() == 1
+    gone = spark.createDataFrame([("/old",)], "path string")
+    assert maintain.sweep(gone, d.files, d.complete, "path").count() == 0
+    assert schedule.discover(spark, [str(tmp_path / "a")], [str(tmp_path / "a")]).files.count() == 0
+
+
 def test_watcher_needs_roots(spark):
     events = spark.createDataFrame([("/a/x", False, 1), ("/a/x", True, 5), ("/ab", False, 2)], "path string, is_directory boolean, at long")
     assert [tuple(r) for r in schedule.watched_events(events, ["/a"]).collect()] == [("/a/x", True, 2, 1, 5)]

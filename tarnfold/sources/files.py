@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfold.sources import pdf
+
 # Suffixes and names that are read as text.
 TEXT_SUFFIXES = (
     ".txt .md .markdown .log .py .pyi .js .mjs .cjs .ts .jsx .tsx .java .go .rs .c .cpp .cc .cxx .h .hpp .cs .sh .bash .zsh .ps1 "
@@ -45,6 +47,10 @@ class Refused(Exception):
         self.status = status
 
 
+class Remark(Exception):
+    """The file was read; something about it is worth saying."""
+
+
 class Full(Exception):
     """The character or piece budget is used up."""
 
@@ -372,15 +378,19 @@ def parse_pptx(data: bytes) -> Iterator[tuple[str, dict]]:
 
 def parse_pdf(data: bytes) -> Iterator[tuple[str, dict]]:
     try:
-        from pypdf import PdfReader
-    except ImportError:
-        raise Refused("unsupported", "no PDF reader is installed") from None
-    reader = PdfReader(io.BytesIO(data))
-    if reader.is_encrypted:
-        raise Refused("encrypted", "encrypted document")
-    for number, page in enumerate(reader.pages, 1):
-        text = page.extract_text() or ""
-        yield text if text.strip() else "[page without text]", {"page": number}
+        document = pdf.Document(data)
+        empty = 0
+        for number, page in enumerate(document.pages(), 1):
+            if text := document.text(page):
+                yield text, {"page": number}
+            else:
+                empty += 1
+    except pdf.Encrypted as e:
+        raise Refused("encrypted", str(e)) from None
+    except pdf.Damaged as e:
+        raise Refused("error", str(e)) from None
+    if empty:
+        raise Remark(f"pages without text: {empty} (nothing is recognised in images)")
 
 
 def parser_of(name: str):
@@ -405,6 +415,8 @@ def extract_bytes(name: str, data: bytes, most_chars: int = MOST_CHARS, most_byt
             bag.add(text, locator)
     except Full:
         status, reason, cut = "partial", "text budget reached", True
+    except Remark as e:
+        reason = str(e)
     except Refused as e:
         return {"status": e.status, "reason": str(e), "truncated": False, "chunks": []}
     except Exception as e:  # a damaged file must not stop the job

@@ -109,8 +109,8 @@ def test_pptx():
     assert [(c["text"], json.loads(c["locator"])) for c in out["chunks"]] == [("two", {"slide": 1}), ("one", {"slide": 2}), ("say", {"notes": True, "slide": 2})]
 
 
-def test_pdf_is_optional():
-    assert files.extract_bytes("a.pdf", b"%PDF-1.4")["status"] in ("unsupported", "error")
+def test_pdf_damage():
+    assert files.extract_bytes("a.pdf", b"%PDF-1.4")["status"] == "error" and files.extract_bytes("a.pdf", b"none")["status"] == "error"
 
 
 def test_shared_formulas():

@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,8 @@ class KeywordIndex:
     segments: tuple[Segment, ...]
     schemas: tuple[tuple[str, str], ...] = ()
     kind: str = "words"
+    #: Postings that the first look of a page may read at once; fewer of them are not worth another look.
+    least_read: ClassVar[int] = 100_000
 
     # ---- building and changing ----
 
@@ -248,8 +251,14 @@ class KeywordIndex:
         return F.pmod(F.crc32(term.cast("binary")), F.lit(self.buckets)).cast("int")
 
     def _table(self, table: str) -> DataFrame:
-        paths = [f"{self.path}/{table}/segment={s.name}" for s in self.segments]
-        return self.spark.read.schema(self._kind(table)).option("basePath", f"{self.path}/{table}").parquet(*paths)
+        if table not in self._read:  # segments do not change: their files are listed once
+            paths = [f"{self.path}/{table}/segment={s.name}" for s in self.segments]
+            self._read[table] = self.spark.read.schema(self._kind(table)).option("basePath", f"{self.path}/{table}").parquet(*paths)
+        return self._read[table]
+
+    @cached_property
+    def _read(self) -> dict[str, DataFrame]:
+        return {}
 
     def _kind(self, table: str) -> T.StructType:
         """The table's columns, so that a segment without rows, or without a new column, can be read."""
@@ -346,9 +355,17 @@ class KeywordIndex:
 
     # ---- pages ----
 
-    def bounds(self, frequency: dict[str, int]) -> list[tuple[float, int, str, int, int]]:
+    def looked_up(self, wanted: list[str]) -> tuple[dict[str, int], list]:
+        """How many rows hold each term, and the terms' rows (segment, term, with, bands), which are one a term and segment."""
+        rows = self._table("terms").where(self._of(wanted)).select("segment", "term", "with", "bands").collect() if wanted and self.segments else []
+        out: dict[str, int] = {}
+        lost = self._lost("gone", "term", "with")
+        for r in [*rows, *(lost.where(F.col("term").isin(wanted)).select("term", (-F.col("with")).alias("with")).collect() if rows and lost is not None else [])]:
+            out[r["term"]] = out.get(r["term"], 0) + r["with"]
+        return {t: n for t, n in out.items() if n > 0}, rows
+
+    def bounds(self, frequency: dict[str, int], rows: list) -> list[tuple[float, int, str, int, int]]:
         """(best score that a row can have, postings, segment, least length, last length) of each band that holds a term, best first."""
-        rows = self._table("terms").where(self._of(list(frequency))).select("segment", "term", "bands").collect()  # a row a term and segment
         held: dict[tuple[str, int], list] = {}
         for r in rows:
             for b in r["bands"]:
@@ -359,7 +376,8 @@ class KeywordIndex:
             high = edges[name][band] if band < len(edges[name]) else (1 << 31) - 1
             best = 0.0
             for term, _, tf in parts:
-                n = frequency.get(term, 0)
+                if not (n := frequency.get(term, 0)):
+                    continue
                 odds = (self.rows - n + 0.5) / (n + 0.5)
                 idf = math.log(odds) if odds > 1 else 1e-6
                 best -= idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * low / self.average))
@@ -369,9 +387,9 @@ class KeywordIndex:
     def _best(self, query: str, limit: int, scope: DataFrame | None) -> tuple[list, dict[str, int]]:
         """The first ``limit`` (score, key) by relevance, from as few bands as show that there are no others; and what was read."""
         wanted = sorted({t for p in query_phrases(query) for t in p})
-        frequency = self.frequencies(wanted)
-        left = self.bounds(frequency) if frequency else []
-        page, read, most = [], {"bands": 0, "postings": 0, "of": sum(b[1] for b in left)}, 50 * limit
+        frequency, rows = self.looked_up(wanted)
+        left = self.bounds(frequency, rows) if frequency else []
+        page, read, most = [], {"bands": 0, "postings": 0, "of": sum(b[1] for b in left)}, self.least_read
         while left:
             if len(page) >= limit:
                 left = [b for b in left if b[0] <= page[limit - 1][0] + _SLACK]

@@ -160,10 +160,38 @@ def keyword_search(documents: DataFrame, query: str, limit: int = 20, filters: F
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", tokens: Callable[[Column], Column] = index_tokens) -> DataFrame:
-    """``term, key, tf, positions, length``: the inverted index, for many queries or to be written once."""
-    t = chunks.select(key, tokens(F.col(text)).alias("t")).withColumn("length", F.size("t"))
-    at = t.select(key, "length", F.posexplode("t").alias("position", "term"))
-    return at.groupBy("term", key, "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    """``term, key, tf, positions, length``: the inverted index, for many queries or to be written once.
+
+    A row's tokens are together, so its postings are made where it lies: a batch's tokens are sorted by row and term at once, without a shuffle.
+    """
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().dictionary_encode()
+            codes, row = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            order = np.lexsort((codes, row))  # stable: places stay ascending
+            codes, row, place = codes[order], row[order], place[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])])) if len(codes) else np.zeros(0, np.int64)
+            edges = np.append(first, len(codes))
+            for at in range(0, len(first), 50_000):
+                own, cut = first[at : at + 50_000], edges[at : at + 50_001]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        flat.dictionary.take(pa.array(codes[own])),
+                        batch.column(0).take(pa.array(row[own])),
+                        pa.array(lengths[row[own]].astype(np.int32)),
+                        pa.array(np.diff(cut)),
+                        pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(place[cut[0] : cut[-1]])),
+                    ],
+                    names=["term", "k", "length", "tf", "positions"],
+                )
+
+    kind = chunks.schema[key].dataType.simpleString()
+    rows = chunks.select(F.col(key).alias("k"), tokens(F.col(text)).alias("t"))
+    return rows.mapInArrow(run, f"term string, k {kind}, length int, tf long, positions array<int>").withColumnRenamed("k", key)
 
 
 def batch_keyword(index: DataFrame, lengths: DataFrame, queries: DataFrame, limit: int, key: str = "chunk_id") -> DataFrame:

@@ -192,6 +192,32 @@ class Package:
         except ElementTree.ParseError:
             raise Refused("error", "damaged document part") from None
 
+    def elements(self, name: str, tag: str) -> Iterator[ElementTree.Element]:
+        """The elements of a part that have this tag, one at a time as the part is unpacked; what was given is forgotten."""
+        if name not in self.names:
+            return
+        parser, open_, tail = ElementTree.XMLPullParser(["start", "end"]), [], b""
+        try:
+            with self.zip.open(name) as part:
+                while chunk := part.read(1 << 16):
+                    seen = tail + chunk
+                    if b"<!DOCTYPE" in seen or b"<!ENTITY" in seen:
+                        raise Refused("error", "document type declarations are not read")
+                    tail = chunk[-8:]
+                    parser.feed(chunk)
+                    for event, e in parser.read_events():
+                        if event == "start":
+                            open_.append(e)
+                            continue
+                        open_.pop()
+                        if _tag(e) == tag:
+                            yield e
+                        if open_ and tag not in map(_tag, open_):  # nothing that is still to come needs it
+                            open_[-1].remove(e)
+                parser.close()
+        except (ElementTree.ParseError, zipfile.BadZipFile):
+            raise Refused("error", "damaged document part") from None
+
 
 def _tag(e: ElementTree.Element) -> str:
     return e.tag.rpartition("}")[2]
@@ -294,8 +320,7 @@ def parse_xlsx(data: bytes) -> Iterator[tuple[str, dict]]:
     if book is None:
         raise Refused("error", "no workbook part")
     epoch = datetime(1904, 1, 1) if any(_tag(e) == "workbookPr" and e.get("date1904") in ("1", "true") for e in book) else datetime(1899, 12, 30)
-    strings_root = package.xml("xl/sharedStrings.xml")
-    strings = ["".join(t.text or "" for t in s.iter() if _tag(t) == "t") for s in (strings_root if strings_root is not None else ()) if _tag(s) == "si"]
+    strings = ["".join(t.text or "" for t in s.iter() if _tag(t) == "t") for s in package.elements("xl/sharedStrings.xml", "si")]
     styles, dated = package.xml("xl/styles.xml"), []
     if styles is not None:
         custom = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter() if _tag(f) == "numFmt"}
@@ -303,11 +328,8 @@ def parse_xlsx(data: bytes) -> Iterator[tuple[str, dict]]:
         dated = [(n := int(x.get("numFmtId", 0))) in DATE_FORMATS or n in custom and _is_date(custom[n]) for x in cells]
     links = _links(package, "xl/workbook.xml")
     for sheet in (e for e in book.iter() if _tag(e) == "sheet"):
-        root = package.xml(links.get(_relation(sheet), ""))
-        if root is None:
-            continue
         shared: dict[str, tuple[str, int, int]] = {}
-        for row in (e for e in root.iter() if _tag(e) == "row"):
+        for row in package.elements(links.get(_relation(sheet), ""), "row"):
             shown, first, last = [], None, None
             for cell in (c for c in row if _tag(c) == "c"):
                 place = cell.get("r", "")

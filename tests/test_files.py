@@ -158,3 +158,28 @@ def test_chunks_lose_nothing_and_map_back(text, most):
 def test_chunk_sizes_are_checked():
     with pytest.raises(ValueError):
         list(split_pieces([], most=10))
+
+
+def test_a_large_sheet_is_streamed():
+    """A sheet of over 100 MiB, of which the rows are never together in memory; a larger archive is refused."""
+    import tracemalloc
+
+    row = "<row r='%d'>" + "".join(f"<c r='{c}%d' t='inlineStr'><is><t>{'x' * 400}</t></is></c>" for c in "ABCDE") + "</row>"
+    sheet = "<worksheet xmlns='m'><sheetData>" + "".join(row % ((i,) * 6) for i in range(48_000)) + "</sheetData></worksheet>"
+    assert 100 << 20 < len(sheet) < 127 << 20
+    book = "<workbook xmlns:r='r'><sheets><sheet name='S' r:id='a'/></sheets></workbook>"
+    rels = "<Relationships><Relationship Id='a' Target='worksheets/sheet1.xml'/></Relationships>"
+    parts = {"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/sheet1.xml": sheet}
+    data = zipped(parts)
+    del sheet
+    tracemalloc.start()
+    n = sum(1 for _ in files.parse_xlsx(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 48_000 and peak < 40 << 20
+    parts["xl/worksheets/sheet1.xml"] = " " * (129 << 20)
+    assert files.extract_bytes("b.xlsx", zipped(parts))["status"] == "budget"
+    parts["xl/worksheets/sheet1.xml"] = "<!DOCTYPE x [<!ENTITY a 'b'>]><worksheet><row/></worksheet>"
+    assert files.extract_bytes("b.xlsx", zipped(parts))["status"] == "error"
+    parts["xl/worksheets/sheet1.xml"] = "<worksheet><row r='1'><c r='A1'><v>1</v></c></row><row"
+    assert files.extract_bytes("b.xlsx", zipped(parts))["status"] == "error"

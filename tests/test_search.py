@@ -163,7 +163,7 @@ def test_index_agrees_with_the_scan(spark, tmp_path):
         want = {r.doc_id: round(r.score, 9) for r in search.keyword_scores(scanned, query).collect()}
         assert {r.doc_id: round(r.score, 9) for r in index.scores(query).collect()} == want
         for filters in (None, search.Filters(min_size=20, file_source=None)):
-            for sort in search.SORTS:
+            for sort in search.SORTS if query == "the_mat cat" else ("relevance",):
                 page = [r.doc_id for r in search.keyword_search(scanned, query, 3, filters, sort).collect()]
                 assert [r.doc_id for r in index.search(query, 3, filters, sort).collect()] == page
     plan = index.terms(["cat"])._jdf.queryExecution().executedPlan().toString()

@@ -14,6 +14,10 @@ FOLDED = {
     "ß": "ss", "ŉ": "ʼn", "ſ": "s", "ǰ": "ǰ", "ẖ": "ẖ", "ẗ": "ẗ", "ẘ": "ẘ", "ẙ": "ẙ", "ẚ": "aʾ", "ẞ": "ss",
     "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
 }
+# These, and the other letters whose lower case has an ASCII letter in it.
+LETTERS = {**FOLDED, "\u0130": "i\u0307", "\u212a": "k"}
+#: Stands between the tokens of a row that are written as one string; tokens that hold it are left out.
+SEPARATOR = "\0"
 
 
 def fold_ascii(c: Column) -> Column:
@@ -61,6 +65,11 @@ def index_tokens(c: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def has_cjk(c: Column) -> Column:
+    """Whether a text has CJK; in all others the index tokens are runs of ASCII letters and digits, once ``LETTERS`` are replaced."""
+    return (F.octet_length(c) != F.char_length(c)) & c.rlike(f"[{CJK}]")
+
+
 def path_grams(c: Column) -> Column:
     """Runs of three characters of a path (A-Z as a-z), and of CJK runs the single characters and pairs."""
     folded = fold_ascii(c)
@@ -71,10 +80,10 @@ def path_grams(c: Column) -> Column:
 
 
 def query_grams(query: str) -> list[str]:
-    """The grams that every path with ``query`` in it has; none for a query too short to have any."""
+    """The grams that every path with ``query`` in it has; none for a query too short to have any, or with none that is written."""
     folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in query)
     if len(folded) > 2:
-        return sorted({folded[i : i + 3] for i in range(len(folded) - 2)})
+        return sorted({g for i in range(len(folded) - 2) if SEPARATOR not in (g := folded[i : i + 3])})
     return [folded] if re.fullmatch(f"[{CJK}]{{1,2}}", folded) else []
 
 

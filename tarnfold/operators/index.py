@@ -2,9 +2,10 @@
 
 A segment is never changed. It has three tables below the index's folder, each parted by ``segment``:
 
-* ``postings``: term, key, tf, positions, length; parted by a hash of the term, sorted by term, length and key;
+* ``postings``: term, key, tf, positions, length; parted by a hash of the term, each file sorted by term and length;
 * ``terms``: a row a term: how many rows hold it, and for each band of lengths how many and their largest tf;
-* ``documents``: the rows' other columns without the text, with their length and distinct terms.
+* ``documents``: the rows' other columns without the text, with their length and their tokens as one string, of which postings
+  are made when a segment is written or written anew.
 
 ``apply`` writes one segment of the added and changed rows, and marks what they replace or delete as dead: ``dead`` (segment, key) and
 ``gone`` (segment, term, how many rows left it), so that frequencies stay exact without reading a posting. ``compact`` writes
@@ -32,20 +33,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnfold.functions.text import bm25_term, index_tokens, path_grams, query_phrases
+from tarnfold.functions.text import bm25_term, query_phrases
+from tarnfold.operators.forward import TOKENS, distinct_tokens, postings_of, terms_by_band, with_tokens
 from tarnfold.operators.maintain import Snapshot
-from tarnfold.operators.search import Filters, check_request, ordering, postings, ranked
+from tarnfold.operators.search import Filters, check_request, ordering, ranked
 
 #: Bands of a segment's lengths.
 BANDS = 32
 #: Small row groups and pages, so that a scan skips what its filters leave out.
-_FINE = {"parquet.block.size": str(4 << 20), "parquet.page.row.count.limit": "2000"}
+_FINE = {"parquet.block.size": str(4 << 20), "parquet.page.row.count.limit": "2000", "compression": "zstd"}
 #: Scores are compared to nine digits; a band is left out if its bound is worse by more than that.
 _SLACK = 2e-9
 
-
-#: How an index cuts its texts.
-TOKENS = {"words": index_tokens, "path": path_grams}
 _BANDS = T.StructType().add("band", "integer").add("n", "long").add("most", "long")
 _KINDS = {
     "postings": T.StructType().add("term", "string").add("length", "integer").add("tf", "long").add("positions", T.ArrayType(T.IntegerType())),
@@ -105,7 +104,7 @@ class KeywordIndex:
                 raise FileExistsError(f"{path} has an index; open it and apply changes")
             return (old._written(rows),)
 
-        kinds = {**_KINDS, "documents": rows.drop(text).limit(0).withColumns({"__length": F.lit(0), "__terms": F.array(F.lit(""))}).schema}
+        kinds = {**_KINDS, "documents": rows.drop(text).limit(0).withColumns({"__length": F.lit(0), "__tokens": F.lit("")}).schema}
         kinds = {t: _parted(k, key, rows.schema[key].dataType, t) for t, k in kinds.items()}
         return cls(spark, path.rstrip("/"), key, text, buckets, 0, (), tuple(sorted(kinds.items())), kind)._publish(change)
 
@@ -132,24 +131,21 @@ class KeywordIndex:
 
     def _written(self, rows: DataFrame) -> Segment:
         """A segment of these rows."""
-        cut = TOKENS[self.kind]
-        documents = rows.withColumn("__t", cut(F.col(self.text))).withColumns({"__length": F.size("__t"), "__terms": F.array_distinct("__t")}).drop("__t", self.text)
-        return self._segment(documents, postings(rows, self.key, self.text, cut))
+        return self._segment(with_tokens(rows, self.text, self.kind))
 
-    def _segment(self, documents: DataFrame, held: DataFrame) -> Segment:
+    def _segment(self, documents: DataFrame) -> Segment:
+        """A segment of rows with their tokens, written where they lie; their postings are made of what was written."""
         name = f"s{uuid.uuid4().hex}"
         at = lambda table: f"{self.path}/{table}/segment={name}"
-        documents.repartitionByRange(self.key).sortWithinPartitions(self.key).write.options(**_FINE).parquet(at("documents"))
+        documents.write.options(**_FINE).parquet(at("documents"))
+        forward = self.spark.read.schema(self._kind("documents")).parquet(at("documents"))
         shares = F.percentile_approx("__length", [k / BANDS for k in range(1, BANDS)], 10_000)
-        facts = self.spark.read.parquet(at("documents")).agg(F.count("*").alias("rows"), F.sum("__length").alias("tokens"), shares.alias("edges")).first()
+        facts = forward.agg(F.count("*").alias("rows"), F.sum("__length").alias("tokens"), shares.alias("edges")).first()
         edges = tuple(sorted(set(facts["edges"] or ())))
-        held = held.withColumn("bucket", self._bucket(F.col("term")))
-        # by range of bucket, term, length and key: a term of half the corpus is many files, and no task
-        order = ["bucket", "term", "length", self.key]
-        held.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**_FINE).partitionBy("bucket").parquet(at("postings"))
+        postings_of(forward, self.key, self.buckets, facts["tokens"] or 0).write.options(**_FINE).partitionBy("bucket").parquet(at("postings"))
         written = self.spark.read.schema(self._kind("postings")).parquet(at("postings"))
-        band = reduce(lambda a, e: a + F.when(F.col("length") > e, 1).otherwise(0), edges, F.lit(0))
-        by_band = written.groupBy("bucket", "term", band.alias("band")).agg(F.count("*").alias("n"), F.max("tf").alias("most"))
+        # dealt by term once: the sums of a band and the term's list of bands are made where its rows come together
+        by_band = terms_by_band(written, edges).repartition("bucket", "term").groupBy("bucket", "term", "band").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
         terms = by_band.groupBy("bucket", "term").agg(F.sum("n").alias("with"), F.array_sort(F.collect_list(F.struct("band", "n", "most"))).alias("bands"))
         terms.sortWithinPartitions("bucket", "term").write.options(**_FINE).parquet(at("terms"))
         return Segment(name, facts["rows"], facts["tokens"] or 0, edges)
@@ -176,14 +172,14 @@ class KeywordIndex:
         if not self.segments:
             return ()
         made = f"p{uuid.uuid4().hex}"
-        lost = self._documents("segment", self.key, "__length", "__terms").join(keys, self.key, "left_semi")
+        lost = self._documents("segment", self.key, "__length", "__tokens").join(keys, self.key, "left_semi")
         lost.write.partitionBy("segment").parquet(f"{self.path}/dead/made={made}")
         written = self.spark.read.schema(lost.schema).parquet(f"{self.path}/dead/made={made}")
         facts = {r["segment"]: r for r in written.groupBy("segment").agg(F.count("*").alias("rows"), F.sum("__length").alias("tokens")).collect()}  # a row a segment
         if not facts:
             self._delete("dead", f"made={made}")
             return self.segments
-        counts = written.select("segment", F.explode("__terms").alias("term")).groupBy("segment", "term").agg(F.count("*").alias("with"))
+        counts = written.select("segment", F.explode(distinct_tokens(F.col("__tokens"))).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("with"))
         counts.sortWithinPartitions("segment", "term").write.partitionBy("segment").parquet(f"{self.path}/gone/made={made}")
         out = []
         for s in self.segments:
@@ -205,7 +201,7 @@ class KeywordIndex:
             if not again:
                 return old.segments
             part = KeywordIndex(self.spark, self.path, self.key, self.text, self.buckets, old.generation, tuple(s for s in old.segments if s.name in again), old.schemas, old.kind)
-            made = part._segment(part._documents().drop("segment"), part._postings().drop("segment", "bucket"))
+            made = part._segment(part._documents().drop("segment"))
             return (*(s for s in old.segments if s.name not in again), made)
 
         return self._publish(change)
@@ -292,7 +288,7 @@ class KeywordIndex:
     @cached_property
     def documents(self) -> DataFrame:
         """The indexed rows' columns, without their texts."""
-        return self._documents().drop("segment", "__length", "__terms")
+        return self._documents().drop("segment", "__length", "__tokens")
 
     @cached_property
     def vocabulary(self) -> DataFrame:
@@ -378,9 +374,7 @@ class KeywordIndex:
             for term, _, tf in parts:
                 if not (n := frequency.get(term, 0)):
                     continue
-                odds = (self.rows - n + 0.5) / (n + 0.5)
-                idf = math.log(odds) if odds > 1 else 1e-6
-                best -= idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * low / self.average))
+                best -= _weight(self.rows, n) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * low / self.average))
             out.append((best, sum(n for _, n, _ in parts), name, low, high))
         return sorted(out)
 
@@ -433,6 +427,12 @@ class KeywordIndex:
         return ranked(total, F.round("score", 9), self.key, "query_id").where(F.col("rank") < limit)
 
 
+def _weight(rows: int, having: int) -> float:
+    """The weight of a term that so many rows have."""
+    odds = (rows - having + 0.5) / (having + 0.5)
+    return math.log(odds) if odds > 1 else 1e-6
+
+
 def _within(bands: list[tuple]) -> Column:
     """Postings of these bands. Bands that touch are one range, and a segment of all of them has no range."""
     ranges: dict[str, list[list[int]]] = {}

@@ -5,7 +5,7 @@ A segment is never changed. It has three tables below the index's folder, each p
 * ``postings``: term, key, tf, positions, length; parted by a hash of the term, each file sorted by term and length;
 * ``terms``: a row a term: how many rows hold it, and for each band of lengths how many and their largest tf;
 * ``documents``: the rows' other columns without the text, with their length and their tokens as one string, of which postings
-  are made when a segment is written or written anew.
+  are made when a segment is written or written anew, and of which many queries at once are answered.
 
 ``apply`` writes one segment of the added and changed rows, and marks what they replace or delete as dead: ``dead`` (segment, key) and
 ``gone`` (segment, term, how many rows left it), so that frequencies stay exact without reading a posting. ``compact`` writes
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfold.functions.text import bm25_term, query_phrases
-from tarnfold.operators.forward import TOKENS, distinct_tokens, postings_of, terms_by_band, with_tokens
+from tarnfold.operators.forward import TOKENS, best_rows, distinct_tokens, postings_of, terms_by_band, with_tokens
 from tarnfold.operators.maintain import Snapshot
 from tarnfold.operators.search import Filters, check_request, ordering, ranked
 
@@ -45,6 +45,8 @@ _FINE = {"parquet.block.size": str(4 << 20), "parquet.page.row.count.limit": "20
 #: Scores are compared to nine digits; a band is left out if its bound is worse by more than that.
 _SLACK = 2e-9
 
+#: Terms of all queries of a batch that go to every task; more of them are joined.
+_WANTED = 500_000
 _BANDS = T.StructType().add("band", "integer").add("n", "long").add("most", "long")
 _KINDS = {
     "postings": T.StructType().add("term", "string").add("length", "integer").add("tf", "long").add("positions", T.ArrayType(T.IntegerType())),
@@ -88,6 +90,7 @@ class KeywordIndex:
     kind: str = "words"
     #: Postings that the first look of a page may read at once; fewer of them are not worth another look.
     least_read: ClassVar[int] = 100_000
+    most_wanted: ClassVar[int] = _WANTED
 
     # ---- building and changing ----
 
@@ -419,8 +422,23 @@ class KeywordIndex:
         return hits.join(documents, self.key).orderBy(*ordering(sort, F.col(self.key))).limit(limit)
 
     def batch(self, queries: DataFrame, limit: int) -> DataFrame:
-        """The first ``limit`` rows of each of many queries (query_id, term): ``query_id, key, score, rank``."""
+        """The first ``limit`` rows of each of many queries (query_id, term): ``query_id, key, score, rank``.
+
+        The queries' terms go to the tasks, each of which scores its rows whole and hands on its best rows for each query. Only where they are
+        more than ``most_wanted``, postings are joined with them, and parts of scores are shuffled.
+        """
         wanted = queries.select("query_id", "term").distinct().withColumn("bucket", self._bucket(F.col("term"))).join(self.vocabulary, ["bucket", "term"])
+        few = wanted.select("query_id", "term", "with").limit(self.most_wanted + 1).collect()
+        if len(few) > self.most_wanted:
+            return self._joined_batch(wanted, limit)
+        ids = list({r["query_id"]: None for r in few})
+        number = {q: i for i, q in enumerate(ids)}
+        best = best_rows(self._documents(), self.key, [(number[r["query_id"]], r["term"], _weight(self.rows, r["with"])) for r in few], limit, self.average or 1.0)
+        names = self.spark.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("query_no", T.IntegerType()), T.StructField("query_id", queries.schema["query_id"].dataType)]))
+        top = ranked(best, F.round("score", 9), self.key, "query_no").where(F.col("rank") < limit)
+        return top.join(F.broadcast(names), "query_no").select("query_id", self.key, "score", "rank")  # bounded by ``most_wanted``
+
+    def _joined_batch(self, wanted: DataFrame, limit: int) -> DataFrame:
         hits = self.postings.select("bucket", "term", self.key, "tf", "length").join(wanted, ["bucket", "term"])
         part = bm25_term(F.col("tf"), F.col("with"), F.lit(self.rows), F.col("length"), F.lit(self.average))
         total = hits.select("query_id", self.key, part.alias("part")).groupBy("query_id", self.key).agg(F.sum("part").alias("score"))

@@ -1063,10 +1063,12 @@ def _recall(spark, sf_dir):
     """Each benchmark passage searched as a query over all documents; relevant: documents that hold it."""
     from tarnfold.functions.text import index_tokens
 
-    d, b = spread(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark")
+    d, b = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     wanted = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("term"))
-    hits = _documents_index(spark, sf_dir).batch(wanted, 10)
-    hits = hits.select(F.col("query_id").alias("case_id"), "doc_id", "rank")
+    # written, so that its size is known: where a few rows a passage are small, they go to the texts, and texts are not shuffled
+    at = f"{work_folder(spark)}/hits-{uuid.uuid4().hex}"
+    _documents_index(spark, sf_dir).batch(wanted, 10).select(F.col("query_id").alias("case_id"), "doc_id", "rank").write.parquet(at)
+    hits = spark.read.parquet(at)
     held = hits.join(d.select("doc_id", "text"), "doc_id").join(b.select(F.col("item_id").alias("case_id"), F.col("text").alias("passage")), "case_id").where(F.col("text").contains(F.col("passage"))).select("case_id", "doc_id")
     cases = b.select(F.col("item_id").alias("case_id"), F.when(F.length("text") < 200, "short").otherwise("long").alias("group"))
     out = evidence.recall(hits, held, cases)

@@ -105,3 +105,12 @@ def test_encodings_against_the_provider(spark):
     assert sorted(r.chunk_id for r in rows) == sorted(texts)
     for r in rows:
         assert list(r.embedding) == hashing_provider()([texts[r.chunk_id] or ""])[0].tolist()
+
+
+def test_recall_does_not_shuffle_the_texts(spark, tmp_path):
+    """recall_at_k: the few hits go to the documents."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["recall_at_k"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    documents = [x for x in plan.splitlines() if "text#" in x and "doc_id" in x]
+    assert documents and "Repartition" not in plan and "Window" not in plan.split("Relation")[1]

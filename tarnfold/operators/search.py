@@ -121,10 +121,11 @@ def check_request(query: str, mode: str, limit: int, sort: str = "relevance") ->
     return max(1, min(int(limit), 100))
 
 
-def keyword_scores(rows: DataFrame, query: str, scope: DataFrame | None = None, text: str = "text") -> DataFrame:
+def keyword_scores(rows: DataFrame, query: str, scope: DataFrame | None = None, text: str = "text", shown: list[str] | None = None) -> DataFrame:
     """Rows in which any phrase of the query occurs, with ``score`` (BM25, smaller is better).
 
-    Corpus statistics come from ``rows``; ``scope`` (default: rows) is what is searched. One pass each.
+    Corpus statistics come from ``rows``; ``scope`` (default: rows) is what is searched. One pass each. With ``shown``, the columns to keep,
+    rows that are dear to make are made once: their counts are written beside these columns, without the texts, and both passes read that.
     """
     phrases = query_phrases(query)
     made = [f"__tf{i}" for i in range(len(phrases))]
@@ -134,9 +135,13 @@ def keyword_scores(rows: DataFrame, query: str, scope: DataFrame | None = None,
         df = df.withColumns({m: phrase_count(F.col("__tokens"), p) for m, p in zip(made, phrases, strict=True)})
         return df.withColumn("__length", F.size("__tokens")).drop("__tokens")
 
-    whole = counted(rows.select(text))
+    if shown is not None and scope is None:
+        path = f"{work_folder(rows.sparkSession)}/counted-{uuid.uuid4().hex}"
+        counted(rows).select(*shown, "__length", *made).write.parquet(path)
+        whole = found = rows.sparkSession.read.parquet(path)
+    else:
+        whole, found = counted(rows.select(text)), counted(rows if scope is None else scope)
     stats = whole.agg(F.count("*").alias("__rows"), F.avg("__length").alias("__average"), *[F.count_if(F.col(m) > 0).alias(f"{m}_rows") for m in made])
-    found = counted(rows if scope is None else scope)
     hit = F.lit(False)
     for m in made:
         hit = hit | (F.col(m) > 0)

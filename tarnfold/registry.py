@@ -980,7 +980,7 @@ def _chunk_documents(spark, sf_dir):
 @_register("kw_bm25_chunk")
 def _kw_bm25_chunk(spark, sf_dir):
     chunks = _chunk_documents(spark, sf_dir).select(F.concat_ws("#", "path", "ordinal").alias("chunk"), "path", "text")
-    hits = search.keyword_scores(chunks, _QUERY)
+    hits = search.keyword_scores(chunks, _QUERY, shown=["chunk", "path"])  # texts are read, cut and counted once
     best = search.best_chunk(hits, "path", [F.round("score", 9), F.col("chunk")])
     return best.orderBy(F.round("score", 9), "chunk").limit(20).select("chunk", _rounded())
 

@@ -169,3 +169,19 @@ def test_index_agrees_with_the_scan(spark, tmp_path):
     plan = index.terms(["cat"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1][:60]
     assert "EqualTo(term,cat)" in plan or "In(term, [cat])" in plan
+
+
+def test_dear_rows_are_made_once(spark):
+    """With ``shown``, statistics and scores come from one pass over the rows; the result is that of two."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = documents(spark, ["a b a", "b c", "c c c a", "d", None, ""])
+    want = {r.doc_id: round(r.score, 9) for r in search.keyword_scores(df, "a c_c").collect()}
+    hits = search.keyword_scores(df.mapInArrow(made, df.schema), "a c_c", shown=["doc_id"])
+    assert {r.doc_id: round(r.score, 9) for r in hits.collect()} == want and hits.columns == ["doc_id", "score"]
+    assert seen.value == df.count()

@@ -128,3 +128,14 @@ def test_a_page_reads_few_bands(spark, tmp_path, monkeypatch):
     assert "GreaterThanOrEqual(length" in plan.toString() or "LessThanOrEqual(length" in plan.toString()
     kept = df.count()
     assert 0 < kept < 6_667 / 4
+
+
+def test_a_compacted_segment_is_made_of_the_rows_tokens(spark, tmp_path, monkeypatch):
+    """Neither changes nor compaction read postings: living rows and their tokens are joined with the dead, and inverted again."""
+    texts = rows_of(7, range(40))
+    index = KeywordIndex.build(table(spark, texts), str(tmp_path / "i"), buckets=2).apply(table(spark, {3: "w0 w0", 50: "w1"}))
+    monkeypatch.setattr(KeywordIndex, "_postings", lambda self: 1 / 0)
+    one = index.compact(ratio=0.01, most=1)
+    monkeypatch.undo()
+    assert len(one.segments) == 1
+    same(spark, one, {**texts, 3: "w0 w0", 50: "w1"}, ["w0 w3"])

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfold.functions.text import bm25_term, query_phrases
-from tarnfold.operators.forward import TOKENS, best_rows, distinct_tokens, postings_of, terms_by_band, with_tokens
+from tarnfold.operators.forward import TOKENS, best_rows, distinct_tokens, postings_of, with_tokens
 from tarnfold.operators.maintain import Snapshot
 from tarnfold.operators.search import Filters, check_request, ordering, ranked
 
@@ -145,10 +145,10 @@ class KeywordIndex:
         shares = F.percentile_approx("__length", [k / BANDS for k in range(1, BANDS)], 10_000)
         facts = forward.agg(F.count("*").alias("rows"), F.sum("__length").alias("tokens"), shares.alias("edges")).first()
         edges = tuple(sorted(set(facts["edges"] or ())))
-        postings_of(forward, self.key, self.buckets, facts["tokens"] or 0).write.options(**_FINE).partitionBy("bucket").parquet(at("postings"))
-        written = self.spark.read.schema(self._kind("postings")).parquet(at("postings"))
-        # dealt by term once: the sums of a band and the term's list of bands are made where its rows come together
-        by_band = terms_by_band(written, edges).repartition("bucket", "term").groupBy("bucket", "term", "band").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+        postings_of(forward, self.key, self.buckets, facts["tokens"] or 0, edges).write.options(**_FINE).partitionBy("bucket").parquet(at("postings"))
+        # only the postings that stand for a band; dealt by term once: the sums of a band and the term's list of bands are made where its rows come together
+        heads = self.spark.read.schema("term string, band int, n long, most long, bucket int").parquet(at("postings")).where("band is not null")
+        by_band = heads.repartition("bucket", "term").groupBy("bucket", "term", "band").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
         terms = by_band.groupBy("bucket", "term").agg(F.sum("n").alias("with"), F.array_sort(F.collect_list(F.struct("band", "n", "most"))).alias("bands"))
         terms.sortWithinPartitions("bucket", "term").write.options(**_FINE).parquet(at("terms"))
         return Segment(name, facts["rows"], facts["tokens"] or 0, edges)
@@ -175,14 +175,15 @@ class KeywordIndex:
         if not self.segments:
             return ()
         made = f"p{uuid.uuid4().hex}"
-        lost = self._documents("segment", self.key, "__length", "__tokens").join(keys, self.key, "left_semi")
+        lost = self._documents("segment", self.key, "__length").join(keys, self.key, "left_semi")
         lost.write.partitionBy("segment").parquet(f"{self.path}/dead/made={made}")
         written = self.spark.read.schema(lost.schema).parquet(f"{self.path}/dead/made={made}")
         facts = {r["segment"]: r for r in written.groupBy("segment").agg(F.count("*").alias("rows"), F.sum("__length").alias("tokens")).collect()}  # a row a segment
         if not facts:
             self._delete("dead", f"made={made}")
             return self.segments
-        counts = written.select("segment", F.explode(distinct_tokens(F.col("__tokens"))).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("with"))
+        texts = self._documents("segment", self.key, "__tokens").join(written, ["segment", self.key], "left_semi")  # keys alone are written: small enough to go to the rows
+        counts = texts.select("segment", F.explode(distinct_tokens(F.col("__tokens"))).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("with"))
         counts.sortWithinPartitions("segment", "term").write.partitionBy("segment").parquet(f"{self.path}/gone/made={made}")
         out = []
         for s in self.segments:

@@ -139,3 +139,13 @@ def test_a_compacted_segment_is_made_of_the_rows_tokens(spark, tmp_path, monkeyp
     monkeypatch.undo()
     assert len(one.segments) == 1
     same(spark, one, {**texts, 3: "w0 w0", 50: "w1"}, ["w0 w3"])
+
+
+def test_lists_of_the_dead_hold_keys_and_no_texts(spark, tmp_path):
+    """So they stay small and go to the rows, instead of the rows' tokens into a shuffle; frequencies stay exact."""
+    texts = rows_of(8, range(60))
+    index = KeywordIndex.build(table(spark, texts), str(tmp_path / "i"), buckets=2).apply(table(spark, {3: "w0 w0", 70: "w1"}), spark.createDataFrame([(5,)], "doc_id long"))
+    dead = spark.read.parquet(f"{index.path}/dead")
+    assert "__tokens" not in dead.columns and sorted(r.doc_id for r in dead.collect()) == [3, 5]
+    del texts[5]
+    same(spark, index, {**texts, 3: "w0 w0", 70: "w1"})

@@ -149,3 +149,12 @@ def test_lists_of_the_dead_hold_keys_and_no_texts(spark, tmp_path):
     assert "__tokens" not in dead.columns and sorted(r.doc_id for r in dead.collect()) == [3, 5]
     del texts[5]
     same(spark, index, {**texts, 3: "w0 w0", 70: "w1"})
+
+
+def test_terms_are_made_of_few_postings(spark, tmp_path):
+    """Of a term in a band only the first posting of a deal is read for the segment's terms."""
+    texts = {i: " ".join(WORDS[: 1 + i % 5]) for i in range(2000)}
+    index = KeywordIndex.build(table(spark, texts), str(tmp_path / "i"), buckets=2)
+    written = spark.read.parquet(f"{index.path}/postings")
+    assert written.count() == 6000 and written.where("n is not null").count() < 100
+    assert written.agg(F.sum("n")).first()[0] == 6000 and index.frequencies(["w0", "w4"]) == {"w0": 2000, "w4": 400}

@@ -236,10 +236,10 @@ _EXTENSIONS = (".txt", ".md", ".py", ".csv", ".json")
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as files: source, path, name, extension, size, time."""
-    d = spread(_table(spark, sf_dir, "documents"))
+    d = _table(spark, sf_dir, "documents")
     extension = F.element_at(F.array(*[F.lit(e) for e in _EXTENSIONS]), (F.col("doc_id") % 5 + 1).cast("int"))
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), extension)
-    return d.select(
+    rows = d.select(
         "doc_id",
         "text",
         "lang",
@@ -250,6 +250,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").cast("long").alias("size"),
         (F.lit(1_700_000_000_000_000_000) + F.col("doc_id") % 97 * F.lit(86_400_000_000_000)).alias("mtime_ns"),
     )
+    return spread(rows)  # dealt out as what is asked of them: no text where none is
 
 
 _FOLD = "text"

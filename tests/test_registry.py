@@ -114,3 +114,12 @@ def test_recall_does_not_shuffle_the_texts(spark, tmp_path):
     plan = __spark_entry__.queries()["recall_at_k"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     documents = [x for x in plan.splitlines() if "text#" in x and "doc_id" in x]
     assert documents and "Repartition" not in plan and "Window" not in plan.split("Relation")[1]
+
+
+def test_citations_do_not_shuffle_the_texts(spark):
+    """kw_cited: a table of one file is dealt out as what is asked of it; the texts' sizes, not the texts."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["kw_cited"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [i for i, x in enumerate(plan) if "Repartition" in x]
+    assert dealt and all("octet_length" in plan[i + 1] for i in dealt)

@@ -24,7 +24,8 @@ import json
 import math
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from typing import ClassVar
@@ -145,7 +146,9 @@ class KeywordIndex:
         shares = F.percentile_approx("__length", [k / BANDS for k in range(1, BANDS)], 10_000)
         facts = forward.agg(F.count("*").alias("rows"), F.sum("__length").alias("tokens"), shares.alias("edges")).first()
         edges = tuple(sorted(set(facts["edges"] or ())))
-        postings_of(forward, self.key, self.buckets, facts["tokens"] or 0, edges).write.options(**_FINE).partitionBy("bucket").parquet(at("postings"))
+        made = postings_of(forward, self.key, self.buckets, facts["tokens"] or 0, edges)
+        with _unsorted_writes(spark=self.spark, folders=self.buckets):
+            made.write.options(**_FINE).partitionBy("bucket").parquet(at("postings"))
         # only the postings that stand for a band; dealt by term once: the sums of a band and the term's list of bands are made where its rows come together
         heads = self.spark.read.schema("term string, band int, n long, most long, bucket int").parquet(at("postings")).where("band is not null")
         by_band = heads.repartition("bucket", "term").groupBy("bucket", "term", "band").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
@@ -446,6 +449,23 @@ class KeywordIndex:
         return ranked(total, F.round("score", 9), self.key, "query_id").where(F.col("rank") < limit)
 
 
+@contextmanager
+def _unsorted_writes(spark: SparkSession, folders: int) -> Iterator[None]:
+    """A task keeps a file open for each of so many folders, instead of sorting its rows by folder first: deals are in that order already.
+
+    A setting of the session that someone else has made stays as it is.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    if spark.conf.get(name, "0") != "0":
+        yield
+        return
+    spark.conf.set(name, str(folders))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def _weight(rows: int, having: int) -> float:
     """The weight of a term that so many rows have."""
     odds = (rows - having + 0.5) / (having + 0.5)

@@ -158,3 +158,25 @@ def test_terms_are_made_of_few_postings(spark, tmp_path):
     written = spark.read.parquet(f"{index.path}/postings")
     assert written.count() == 6000 and written.where("n is not null").count() < 100
     assert written.agg(F.sum("n")).first()[0] == 6000 and index.frequencies(["w0", "w4"]) == {"w0": 2000, "w4": 400}
+
+
+def test_postings_are_written_without_a_sort_by_folder(spark, tmp_path):
+    """Deals are in that order already; the session's setting is as before, also where it is the user's own."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    rows = table(spark, rows_of(9, range(300)))
+    for n, own in enumerate((None, "3")):
+        if own:
+            spark.conf.set(name, own)
+        try:
+            index = KeywordIndex.build(rows, str(tmp_path / f"i{n}"), buckets=8)
+            assert spark.conf.get(name, None) == own
+        finally:
+            spark.conf.unset(name)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+        plans = [ran.apply(k).physicalPlanDescription() for k in range(ran.size())]
+        plans = [p for p in plans if f"i{n}/postings" in p and "InsertIntoHadoopFsRelationCommand" in p and "MapInArrow" in p]
+        assert len(plans) == 1 and "Sort" not in plans[0]
+        folders = list((tmp_path / f"i{n}" / "postings").glob("segment=*/bucket=*"))
+        assert len(folders) == 8
+        same(spark, index, rows_of(9, range(300)))
